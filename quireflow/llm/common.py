@@ -92,13 +92,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the words `[^\\x20\\x09-\\x0D]+` of all rows, and each row's offsets among the words."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the words of all rows, and each row's offsets among the words.
+
+    Words are maximal runs of bytes that `breaks` doesn't mark: by default `[^\\x20\\x09-\\x0D]+`.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~breaks[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = word[:-1]

@@ -13,8 +13,8 @@ from .common import WordHasher, as_batches, mixed, short_batches, slices, text_b
 
 #: (bytes from, lowest ratio, highest ratio) of compressed to raw bytes, for a whole text and for a chunk of it. A short text
 #: carries the frame's own bytes and has little to repeat, so its band is wide; the last row holds for all longer texts.
-WHOLE_BANDS = ((0, 0.12, 1.60), (128, 0.14, 1.10), (512, 0.16, 0.95), (2048, 0.16, 0.86), (16384, 0.12, 0.80))
-CHUNK_BANDS = ((0, 0.12, 1.60), (128, 0.14, 1.10), (512, 0.16, 0.95), (2048, 0.16, 0.86))
+WHOLE_BANDS = ((0, 0.35, 2.0), (128, 0.40, 1.05), (512, 0.33, 0.85), (2048, 0.30, 0.72), (16384, 0.28, 0.70))
+CHUNK_BANDS = ((0, 0.35, 2.0), (128, 0.40, 1.05), (512, 0.33, 0.85), (2048, 0.32, 0.72))
 CHUNK_BYTES = 4096
 #: A text goes if more than this share of its chunks lies outside its band.
 BAD_CHUNKS = 0.5

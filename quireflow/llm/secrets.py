@@ -33,10 +33,10 @@ class CharClass(NamedTuple):
     bits: float
 
 
-#: Entropy bits a character over a window: 24 hex digits reach 4 at most, 24 base64 characters log2(24) = 4.58.
+#: Entropy bits a character over a window: 24 hex digits reach 4 at most, 20 base64 characters log2(20) = 4.32.
 CLASSES = (
     CharClass("entropy_hex", b"0123456789abcdefABCDEF", 24, 3.0),
-    CharClass("entropy_base64", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 24, 4.0),
+    CharClass("entropy_base64", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 20, 3.7),
 )
 #: In the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
