@@ -9,6 +9,7 @@ the slot of its rank among pieces of its length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WordHasher, as_batches, short_batches, slices, staged, text_buffer, word_bounds
 
 #: Words whose ids a worker remembers; beyond it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 
 
 def minimum_bin_slack(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -77,14 +78,37 @@ def slots(plan: list[tuple[int, list[tuple[int, int]]]], capacity: int) -> dict[
     return {"length": at[:, 0], "rank": at[:, 1], "sequence": at[:, 2], "copies": at[:, 3], "offset": at[:, 4]}
 
 
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+#: Classes of printable ASCII bytes; 0 is undecided: an apostrophe may begin a contraction, other bytes need the tokenizer's own rules.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _OTHER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0x27] = 0
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next one from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(0x100 + others.index(b)) for b in range(256)]
+
+
 class Encoder:
-    """Token ids of texts by a tokenizer that drops white space; each distinct word is encoded once."""
+    """Token ids of texts by a word tokenizer: lower case, white space dropped, letters, single digits and others apart.
+
+    Texts are cut where that tokenizer cuts them for certain: at ASCII white space, and between decided classes of bytes.
+    Each distinct unit is encoded once. A unit of one class goes straight to the vocabulary; one with undecided bytes takes
+    the whole way through the tokenizer, whose rules then cut it further.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.symbols = byte_symbols()
         self.hasher = WordHasher()
         self.clear()
 
@@ -95,34 +119,64 @@ class Encoder:
         self.size = np.zeros(1 << 16, np.int64)
         self.filled = 0
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        for a in range(0, len(words), 4096):
-            for key, found in zip(keys[a : a + 4096], self.tokenizer.encode_batch(words[a : a + 4096], add_special_tokens=False), strict=True):
-                ids, k = found.ids, len(self.slot)
-                while self.filled + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-                if k >= len(self.first):
-                    self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-                self.pool[self.filled : self.filled + len(ids)] = ids
-                self.first[k], self.size[k], self.slot[key] = self.filled, len(ids), k
-                self.filled += len(ids)
+    def _keep(self, key: int, ids: list[int]) -> None:
+        k = len(self.slot)
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        if k >= len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.first[k], self.size[k], self.slot[key] = self.filled, len(ids), k
+        self.filled += len(ids)
+
+    def _learn(self, new: list[tuple[int, bytes, bool]]) -> None:
+        whole = []
+        tokenize, symbols = self.tokenizer.model.tokenize, self.symbols
+        for key, raw, decided in new:
+            if decided:
+                text = raw.decode().lower()
+                self._keep(key, [t.id for t in tokenize(text if text.isascii() else "".join([symbols[b] for b in text.encode()]))])
+            else:
+                whole.append((key, raw.decode()))
+        for a in range(0, len(whole), 4096):
+            part = whole[a : a + 4096]
+            for (key, _), found in zip(part, self.tokenizer.encode_batch_fast([w for _, w in part], add_special_tokens=False), strict=True):
+                self._keep(key, found.ids)
+
+    def units(self, part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the units, the rows' offsets among them, and which units are of one decided class."""
+        starts, ends, _ = word_bounds(part, own)
+        kind = _CLASS[part]
+        lead = np.flatnonzero(part[:-1] == 0xC3)  # U+00C0 to U+00FF are letters, but for the signs of times and division
+        lead = lead[(part[lead + 1] != 0x97) & (part[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = _LETTER
+        cut = np.flatnonzero((kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))) + 1
+        inside = np.zeros(len(part) + 1, bool)
+        inside[starts] = inside[cut] = True
+        own_starts = np.flatnonzero(inside)
+        inside[:] = False
+        inside[ends] = inside[cut] = True
+        # where rows or words meet without white space, a cut is both a start and an end already
+        own_ends = np.flatnonzero(inside)
+        unsure = np.concatenate([[0], np.cumsum(kind == 0)])
+        return own_starts, own_ends, np.searchsorted(own_starts, own), unsure[own_ends] == unsure[own_starts]
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row, their ids one after another, n + 1 offsets of the rows)."""
         data, offsets = text_buffer(column)
         for a, b in slices(offsets):
             part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            starts, ends, at = word_bounds(part, own)
+            starts, ends, at, decided = self.units(part, own) if len(part) else (np.zeros(0, np.int64),) * 4
             if not len(starts):
                 yield a, b, np.zeros(0, np.uint32), np.zeros(b - a + 1, np.int64)
                 continue
-            keys, where, back = np.unique(self.hasher(part, starts, ends, lower=False), return_index=True, return_inverse=True)
+            keys, where, back = np.unique(self.hasher(part, starts, ends), return_index=True, return_inverse=True)
             if len(self.slot) + len(keys) > CACHED_WORDS:
                 self.clear()
             raw, known = part.tobytes(), keys.tolist()
-            new = [(k, raw[starts[i] : ends[i]].decode()) for k, i in zip(known, where.tolist(), strict=True) if k not in self.slot]
+            new = [(k, raw[starts[i] : ends[i]], decided[i]) for k, i in zip(known, where.tolist(), strict=True) if k not in self.slot]
             if new:
-                self._learn([k for k, _ in new], [w for _, w in new])
+                self._learn(new)
             place = np.fromiter((self.slot[k] for k in known), np.int64, len(known))[back]
             sizes, firsts = self.size[place], self.first[place]
             until = np.concatenate([[0], np.cumsum(sizes)])
