@@ -73,33 +73,42 @@ def repeated_words(words: np.ndarray, offsets: np.ndarray, width: int = 3) -> np
     return np.add.reduceat(np.append(covered, False).astype(np.int64), np.minimum(offsets[:-1], n)) * (np.diff(offsets) > 0)
 
 
+class Measure:
+    """The columns of _RESULT but the id, for runs of rows of bounded size."""
+
+    def __init__(self):
+        import zstandard
+
+        self.hasher, self.compress = WordHasher(), zstandard.ZstdCompressor(level=LEVEL).compress
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, dict[str, object]]]:
+        data, offsets = text_buffer(column)
+        for a, b in slices(offsets):
+            part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            starts, ends, at = word_bounds(part, own)
+            points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+            chars = np.concatenate([[0], np.cumsum(points[ends] - points[starts])])
+            symbols = np.concatenate([[0], np.cumsum(_SYMBOLS[part])])
+            words = self.hasher(part, starts, ends, lower=False) if len(starts) else np.zeros(0, np.uint64)
+            dup, found = [], []
+            for i in range(b - a):
+                raw = part[own[i] : own[i + 1]].tobytes()
+                lines = [x for x in raw.split(b"\n") if x.strip()]
+                dup.append(len(lines) - len(set(lines)))
+                found.append(compression(raw, self.compress))
+            values = [np.diff(at), np.diff(chars[at]), np.diff(symbols[own]), dup, repeated_words(words, at), *zip(*found, strict=True)]
+            yield a, b, dict(zip(_RESULT.names[1:], values, strict=True))
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of RESULT_TYPES for each document, over its whole text; a null text counts as empty."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        hasher, compress = WordHasher(), zstandard.ZstdCompressor(level=LEVEL).compress
+        measure = Measure()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = text_buffer(batch.column(1))
-            for a, b in slices(offsets):
-                part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                starts, ends, at = word_bounds(part, own)
-                points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-                chars = np.concatenate([[0], np.cumsum(points[ends] - points[starts])])
-                symbols = np.concatenate([[0], np.cumsum(_SYMBOLS[part])])
-                words = hasher(part, starts, ends, lower=False) if len(starts) else np.zeros(0, np.uint64)
-                dup, found = [], []
-                for i in range(b - a):
-                    raw = part[own[i] : own[i + 1]].tobytes()
-                    lines = [x for x in raw.split(b"\n") if x.strip()]
-                    dup.append(len(lines) - len(set(lines)))
-                    found.append(compression(raw, compress))
-                columns = list(zip(*found, strict=True))
-                values = [ids[a:b], np.diff(at), np.diff(chars[at]), np.diff(symbols[own]), dup, repeated_words(words, at), *columns]
-                yield as_batches(dict(zip(_RESULT.names, values, strict=True)), _RESULT)
+            for a, b, columns in measure(batch.column(1)):
+                yield as_batches({"id": batch.column(0).slice(a, b - a)} | columns, _RESULT)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, RESULT_TYPES)
 
@@ -112,3 +121,19 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     return measured(docs, id_col, text_col).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.col("band_failed")).withColumnRenamed("id", id_col)
+
+
+def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that judged() keeps; each row is judged where it stands."""
+    short_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = Measure()
+        for batch in batches:
+            for a, b, found in measure(batch.column(at)):
+                n, repeated = np.asarray(found["n_words"]), np.asarray(found["n_repeat_words"])
+                good = (n >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT_PERCENT * n) & ~np.array(found["band_failed"], bool)
+                yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
