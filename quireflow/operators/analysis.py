@@ -198,11 +198,18 @@ def merged_bibliography(found: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def assembled(books: DataFrame, rows: DataFrame) -> DataFrame:
-    """One analysis row for each book: all agents joined, fields of an agent without an answer null."""
-    out = books.select("book_id")
-    for agent in ("genre_tags", "overview", "themes"):
-        out = out.join(form(rows, agent), "book_id", "left")
-    return out
+    """One analysis row for each book: the answers of all agents side by side, in one aggregation and one join.
+
+    The fields of an agent without an answer are what its normal form makes of a call that failed.
+    """
+    agents = ("genre_tags", "overview", "themes")
+    answer = lambda a, c: F.max(F.when(F.col("agent") == a, F.col(c)))
+    wide = rows.filter(F.col("agent").isin(*agents)).withColumn("text", F.to_json("json")).groupBy("book_id").agg(*[answer(a, c).alias(f"{a}_{c}") for a in agents for c in ("text", "status")])
+    joined = books.select("book_id").join(wide, "book_id", "left")
+    made: dict[str, Column] = {}
+    for agent in agents:
+        made |= FORMS[agent](M.parsed(F.col(f"{agent}_text")), F.coalesce(f"{agent}_status", F.lit("exception")))
+    return joined.select("book_id", *[c.alias(k) for k, c in made.items()])
 
 
 def image_descriptions(images: DataFrame, rows: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def joined(*columns: str) -> list[F.Column]:
 @query(
     "agent_normalise_genre",
     f"""WITH {ANSWER} SELECT doc_id,
-        CASE WHEN kind = 'ok' THEN array_to_string(list_filter([trim(a), trim(b), lang], lambda x: x <> ''), '|') ELSE '' END AS genres, CASE WHEN kind = 'ok' THEN lang ELSE '' END AS tags,
+        CASE WHEN kind = 'ok' THEN array_to_string(list_filter([trim(a), trim(b), lang, 'fourth'], lambda x: x <> '')[1:3], '|') ELSE '' END AS genres, CASE WHEN kind = 'ok' THEN lang ELSE '' END AS tags,
         CASE WHEN kind IS NULL THEN '' WHEN kind = 'ok' THEN a ELSE 'general' END AS target_audience, CASE WHEN kind IS NULL THEN '' ELSE 'intermediate' END AS difficulty_level
         FROM answers""",
 )

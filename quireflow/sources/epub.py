@@ -14,6 +14,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
@@ -116,19 +117,16 @@ def parse(content: bytes) -> dict:
 
 def read(files: DataFrame) -> DataFrame:
     """One row of BOOK for each file (path, content); a file that can't be read has status failed and an error."""
-    fields = StructType.fromDDL(BOOK).names
+    schema = to_arrow_schema(StructType.fromDDL(BOOK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema = to_arrow_schema(StructType.fromDDL(BOOK))
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     row = parse(content) | {"status": "completed", "error": None}
                 except Exception as e:  # any broken file is a row with its error
                     row = {"status": "failed", "error": f"{type(e).__name__}: {e}"}
-                yield pa.RecordBatch.from_pylist([{k: row.get(k) for k in fields} | {"path": path}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{k: row.get(k) for k in schema.names} | {"path": path}], schema=schema)
 
     return files.select("path", "content").mapInArrow(run, BOOK)
 
