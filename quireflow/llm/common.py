@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows in an Arrow batch. Texts are unbounded, so batches are kept short; kernels cut them further by bytes.
 BATCH_ROWS = 512
 #: Bytes of text that a kernel works on at once; a longer text is worked on alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -173,19 +173,25 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int) -> list[n
     return out
 
 
-_HASHER: list[WordHasher] = []
+_SHARED: list[WordHasher] = []
+
+
+def word_hasher() -> WordHasher:
+    """The one hasher of a worker: its tables of powers are as long as a slice."""
+    if not _SHARED:
+        _SHARED.append(WordHasher())
+    return _SHARED[0]
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """(first row, last row, sorted distinct shingle hashes of each row), for runs of rows of bounded size."""
-    if not _HASHER:
-        _HASHER.append(WordHasher())
+    hasher = word_hasher()
     data, offsets = text_buffer(column)
     for a, b in slices(offsets):
         part = data[offsets[a] : offsets[b]]
         own = offsets[a : b + 1] - offsets[a]
         starts, ends, at = word_bounds(part, own)
-        words = _HASHER[0](part, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        words = hasher(part, starts, ends) if len(starts) else np.zeros(0, np.uint64)
         yield a, b, shingle_hashes(words, at, width)
 
 

@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_batches, short_batches, slices, staged, text_buffer, word_bounds
+from .common import as_batches, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
 
-#: Words whose ids a worker remembers; beyond it starts anew.
-CACHED_WORDS = 600_000
+#: Units whose ids a worker remembers; beyond it starts anew.
+CACHED_UNITS = 300_000
 
 
 def minimum_bin_slack(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -102,6 +102,8 @@ class Encoder:
     the whole way through the tokenizer, whose rules then cut it further.
     """
 
+    cached = CACHED_UNITS
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
         from tokenizers import Tokenizer
@@ -109,7 +111,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.symbols = byte_symbols()
-        self.hasher = WordHasher()
+        self.hasher = word_hasher()
         self.clear()
 
     def clear(self) -> None:
@@ -171,7 +173,7 @@ class Encoder:
                 yield a, b, np.zeros(0, np.uint32), np.zeros(b - a + 1, np.int64)
                 continue
             keys, where, back = np.unique(self.hasher(part, starts, ends), return_index=True, return_inverse=True)
-            if len(self.slot) + len(keys) > CACHED_WORDS:
+            if len(self.slot) + len(keys) > self.cached:
                 self.clear()
             raw, known = part.tobytes(), keys.tolist()
             new = [(k, raw[starts[i] : ends[i]], decided[i]) for k, i in zip(known, where.tolist(), strict=True) if k not in self.slot]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_batches, mixed, short_batches, slices, text_buffer, word_bounds
+from .common import as_batches, mixed, short_batches, slices, text_buffer, word_bounds, word_hasher
 
 #: (bytes from, lowest ratio, highest ratio) of compressed to raw bytes, for a whole text and for a chunk of it. A short text
 #: carries the frame's own bytes and has little to repeat, so its band is wide; the last row holds for all longer texts.
@@ -79,7 +79,7 @@ class Measure:
     def __init__(self):
         import zstandard
 
-        self.hasher, self.compress = WordHasher(), zstandard.ZstdCompressor(level=LEVEL).compress
+        self.hasher, self.compress = word_hasher(), zstandard.ZstdCompressor(level=LEVEL).compress
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, dict[str, object]]]:
         data, offsets = text_buffer(column)

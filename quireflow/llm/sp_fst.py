@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, short_batches, text_buffer
+from .common import short_batches, text_buffer, word_hasher
 from .packing import Encoder
 
 #: Field numbers and kinds of the public model format: a piece has text 1, score 2 and type 3.
@@ -205,10 +205,12 @@ class Transducer:
 class PieceEncoder(Encoder):
     """Ids of many texts; each distinct unit is composed and searched once. Units hold the normaliser's spaces as such."""
 
+    cached = 2 * Encoder.cached  # a search costs more than a place in memory
+
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.machine = Transducer(f.read())
-        hasher = WordHasher()
+        hasher = word_hasher()
         self.hasher = lambda data, starts, ends: hasher(data, starts, ends, lower=False)
         self.clear()
         sizes = np.array([len(b) for b in self.machine.bytes], np.int64)
