@@ -76,6 +76,23 @@ LABELLED = """
 40 0.9 8 1.0 30 0.8 0 0 0 0  0
 3 0.0 2 1.0 3 1.0 0 0 0 0  0
 4 0.0 1 1.0 0 0.0 0 0 0 0  0
+60 0.0 50 0.0 0 0.0 0 0 0 0  1
+45 0.0 0 0.0 0 0.0 0 0 0 0  1
+80 0.0 60 0.0 5 1.0 0 0 0 0  1
+56 0.0 2 1.0 56 0.0 0 0 0 0  1
+40 0.1 45 0.0 12 0.0 0 0 0 0  1
+150 0.05 3 1.0 3 1.0 0 0 0 0  1
+28 0.0 30 0.0 9 0.0 0 0 0 0  1
+70 0.0 8 0.0 35 0.3 0 0 0 0  1
+60 0.0 0 0.0 50 0.0 0 0 1 0  0
+150 0.0 90 0.0 0 0.0 0 0 1 0  0
+40 0.0 60 0.0 45 0.0 0 0 1 0  0
+20 0.2 30 0.1 60 0.0 0 0 1 0  0
+9 0.0 40 0.0 80 0.0 0 0 1 1  0
+200 0.1 3 1.0 2 1.0 0 0 1 0  0
+15 1.0 12 1.0 14 1.0 0 0 0 0  0
+30 0.8 4 1.0 5 1.0 0 0 0 0  0
+2 0.0 1 1.0 1 1.0 0 0 0 0  0
 """
 
 #: Elements without text of the page, by tag. Their content up to the closing tag isn't even read as markup.

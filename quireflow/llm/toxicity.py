@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features.
 
-P(grade >= k) = sigmoid(w . x - threshold_k), with one w for all thresholds, which rise with k. x marks the words and word
-beginnings that a text holds. The labels only say toxic or not, so the grades of toxic rows are made from them: 2 for
+P(grade >= k) = sigmoid(w . x - threshold_k), with one w for all thresholds, which rise with k. x has log2(1 + n) for each
+word and word beginning that a text holds n times. The labels only say toxic or not, so the grades of toxic rows are made from them: 2 for
 those that hold more features than the median toxic row, 1 for the others; 0 is not toxic.
 """
 
@@ -16,21 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_batches, mixed, short_batches, slices, staged, text_buffer, word_bounds
+from .common import as_batches, mixed, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
 
 #: The fit reads at most so many labelled rows, the first by a hash of their id, and keeps at most so many features.
 FIT_ROWS, FEATURES = 8192, 512
 #: A feature needs so many rows and such a share of toxic rows among its own. The share keeps out words that only tell the
 #: language in which toxic rows happen to be many. CHANCE: of all features that are looked at, so many may pass by chance.
 LEAST_ROWS, LEAST_SHARE, CHANCE = 5, 0.8, 0.1
-PREFIX_BYTES = 5
+#: Beginnings of words that count as features, in bytes: words that share a root are often too rare one by one.
+PREFIX_BYTES = (4, 5, 6, 7)
 GRADES = 3
 STEPS, RATE, RIDGE = 400, 0.1, 1e-5
 
 _BREAKS = np.ones(128, bool)
 _BREAKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 _BREAKS = np.concatenate([_BREAKS, np.zeros(128, bool)])
-_HASHER: list[WordHasher] = []
 
 
 @dataclass
@@ -48,9 +48,8 @@ class OrdinalModel:
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, row, feature hash) of each word and each longer word's beginning, repeats included."""
-    if not _HASHER:
-        _HASHER.append(WordHasher())
+    """(first row, last row, row, feature hash) of each word and of the beginnings of longer words, repeats included."""
+    hasher = word_hasher()
     data, offsets = text_buffer(column)
     for a, b in slices(offsets):
         part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -59,14 +58,16 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         if not len(starts):
             yield a, b, row, np.zeros(0, np.uint64)
             continue
-        long = ends - starts > PREFIX_BYTES
-        words = _HASHER[0](part, starts, ends)
-        beginnings = mixed(_HASHER[0](part, starts[long], starts[long] + PREFIX_BYTES) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        yield a, b, np.concatenate([row, row[long]]), np.concatenate([words, beginnings])
+        rows, found = [row], [hasher(part, starts, ends)]
+        for n in PREFIX_BYTES:
+            long = ends - starts > n
+            rows.append(row[long])
+            found.append(mixed(hasher(part, starts[long], starts[long] + n) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+        yield a, b, np.concatenate(rows), np.concatenate(found)
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, toxic, features) of the labelled rows to fit on; the sample has a fixed bound, so it may be broadcast."""
+    """(id, toxic, features, times) of the labelled rows to fit on; the sample has a fixed bound, so it may be broadcast."""
     sample = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "toxic", "text")
 
@@ -75,19 +76,24 @@ def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
             for a, b, row, found in features(batch.column(2)):
                 order = np.lexsort((found, row))
                 row, found = row[order], found[order]
-                first = np.ones(len(row), bool)
-                first[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (found[1:] != found[:-1])))[: len(row)]
                 ends = np.searchsorted(row[first], np.arange(b - a + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[first].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["id", "toxic", "features"])
+                times = np.diff(np.append(first, len(row))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (found[first].view(np.int64), times)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *lists], names=["id", "toxic", "features", "times"])
 
-    return chosen.mapInArrow(run, "id long, toxic int, features array<long>")
+    return chosen.mapInArrow(run, "id long, toxic int, features array<long>, times array<int>")
 
 
-def ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds that maximise the likelihood of the grades, by Adam over all rows."""
+def amount(times: np.ndarray) -> np.ndarray:
+    return np.log2(1.0 + times)
+
+
+def ordinal(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds that maximise the likelihood of the grades of sparse rows, by Adam over all of them."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+    x = np.concatenate([*values, np.zeros(0)])
     k = GRADES - 1
     above = (grades[:, None] >= np.arange(1, GRADES)[None, :]).astype(float)
     share = np.clip(above.mean(axis=0), 1e-4, 1 - 1e-4)
@@ -97,7 +103,7 @@ def ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int) -> tuple[np.n
     for step in range(1, STEPS + 1):
         w, gaps = value[:size], np.exp(value[size + 1 :])
         theta = value[size] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(at, w[col], minlength=len(rows))
+        score = np.bincount(at, w[col] * x, minlength=len(rows))
         p = 1 / (1 + np.exp(-np.clip(score[:, None] - theta[None, :], -40, 40)))
         padded = np.concatenate([np.ones((len(rows), 1)), p, np.zeros((len(rows), 1))], axis=1)
         i = np.arange(len(rows))
@@ -108,7 +114,7 @@ def ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int) -> tuple[np.n
         by_theta[i, grades + 1] -= slope[i, grades + 1] / mass
         t = by_theta[:, 1:-1] / len(rows)
         by_score = -t.sum(axis=1)
-        grad = np.concatenate([np.bincount(col, by_score[at], minlength=size) + RIDGE * w, [t.sum()], [t[:, j:].sum() * gaps[j - 1] for j in range(1, k)]])
+        grad = np.concatenate([np.bincount(col, by_score[at] * x, minlength=size) + RIDGE * w, [t.sum()], [t[:, j:].sum() * gaps[j - 1] for j in range(1, k)]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         value = value - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return value[:size], value[size] + np.concatenate([[0], np.cumsum(np.exp(value[size + 1 :]))])
@@ -132,25 +138,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.flatnonzero(np.isin(chosen, np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64))).tolist() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["id", "toxic", "held"])
-
-    held = sorted(tuple(r) for r in seen.mapInArrow(run, "id long, toxic int, held array<int>").collect())  # FIT_ROWS rows of FEATURES numbers at most
-    rows = [np.array(r[2], np.int64) for r in held]
+            rows, times = [], []
+            for x, n in zip(batch.column(2), batch.column(3), strict=True):
+                own = np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+                at = np.searchsorted(chosen, own)
+                hit = np.flatnonzero(chosen[np.minimum(at, len(chosen) - 1)] == own) if len(chosen) else np.zeros(0, np.int64)
+                rows.append(at[hit].tolist())
+                times.append(np.asarray(n.values.to_numpy(zero_copy_only=False))[hit].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=["id", "toxic", "held", "times"])
+
+    held = sorted(tuple(r) for r in seen.mapInArrow(run, "id long, toxic int, held array<int>, times array<int>").collect())  # FIT_ROWS rows of FEATURES numbers at most
+    rows, values = [np.array(r[2], np.int64) for r in held], [amount(np.array(r[3], float)) for r in held]
     toxic = np.array([r[1] for r in held])
     strength = np.array([len(r) for r in rows])
     middle = np.median(strength[toxic > 0])
     grades = np.where(toxic > 0, 1 + (strength > middle), 0)
-    weights, thresholds = ordinal(rows, grades, len(chosen))
+    weights, thresholds = ordinal(rows, values, grades, len(chosen))
     model = OrdinalModel(chosen, weights, thresholds)
-    model.toxic_from = best_cut(model.at_least(np.array([weights[r].sum() for r in rows]))[:, 0], toxic > 0)
+    model.toxic_from = best_cut(model.at_least(np.array([weights[r] @ v for r, v in zip(rows, values, strict=True)]))[:, 0], toxic > 0)
     return model
 
 
 def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut between two values of p with the best F1 on the rows of the fit; of equal ones the highest."""
-    values = np.unique(np.round(p, 6))
-    cuts = np.append((values[1:] + values[:-1]) / 2, 0.5)
+    """The cut, midway in log odds between two values of p, with the best F1 on the rows of the fit; of equal ones the highest."""
+    odds = np.unique(np.round(np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6))), 4))
+    cuts = np.append(1 / (1 + np.exp(-(odds[1:] + odds[:-1]) / 2)), 0.5)
     said = np.array([2 * (toxic & (p >= c)).sum() / ((p >= c).sum() + toxic.sum()) for c in cuts])
     return float(cuts[said >= said.max() - 1e-12].max())
 
@@ -163,8 +175,8 @@ def scores(model: OrdinalModel, column: pa.Array) -> np.ndarray:
         if size:
             k = np.minimum(np.searchsorted(model.features, found), size - 1)
             hit = model.features[k] == found
-            pair = np.unique(row[hit] * size + k[hit])
-            out.append(np.bincount(pair // size, model.weights[pair % size], minlength=b - a))
+            pair, times = np.unique(row[hit] * size + k[hit], return_counts=True)
+            out.append(np.bincount(pair // size, model.weights[pair % size] * amount(times), minlength=b - a))
         else:
             out.append(np.zeros(b - a))
     return np.concatenate([*out, np.zeros(0)])
