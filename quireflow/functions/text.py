@@ -141,3 +141,9 @@ def content_id(content: Column, length: int = 16) -> Column:
 def base64_text(content: Column) -> Column:
     """Base64 in one line; Spark's own breaks it every 76 signs."""
     return F.regexp_replace(F.base64(content), "[\r\n]", "")
+
+
+def metadata_lines(values: dict[str, Column], nothing: str = "No metadata available") -> Column:
+    """`name: value` lines of what is neither null nor empty, or a fixed sentence if all are."""
+    lines = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{name}: "), v)) for name, v in values.items()]
+    return F.coalesce(F.nullif(F.concat_ws("\n", *lines), F.lit("")), F.lit(nothing))

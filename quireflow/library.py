@@ -75,7 +75,7 @@ class Library:
         how = self.config.chunking
         rows = A.normalised(self.answers(A.answered(A.windows(books, chapters), self.analyzer, attempts=self.config.llm.attempts)))
         found = A.merged_bibliography(A.form(rows, "bibliography"), books)
-        payload = found.select("book_id", "title", "authors").join(A.assembled(books, rows), "book_id")
+        payload = found.select("book_id", "title", "authors").join(A.payload(A.assembled(books, rows)), "book_id")
         chunks = K.chunk_books(books, chapters, how.preserve_structure, min_tokens=how.min_tokens, max_tokens=how.max_tokens, overlap=how.overlap, compat=how.compat)
         own = E.embed_chunks(chunks.drop("position", "n_raw"), self.embedder, batch_size=self.config.embedding.batch_size)
         cards = S.book_card(payload).withColumn("embedding", E.embed(F.col("card"), self.embedder)).drop("card")

@@ -212,6 +212,20 @@ def assembled(books: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.select("book_id", *[c.alias(k) for k, c in made.items()])
 
 
+def image_calls(images: DataFrame) -> DataFrame:
+    """(book_id, ord, agent, input): three calls for each image that has bytes; the input is a data URI."""
+    uri = F.concat(F.lit("data:"), F.col("content_type"), F.lit(";base64,"), F.col("base64_data"))
+    agents = F.explode(F.array(*[F.lit(a) for a in IMAGE_AGENTS]))
+    return images.filter(F.coalesce("base64_data", F.lit("")) != "").select("book_id", "ord", agents.alias("agent"), uri.alias("input"))
+
+
+def payload(analysis: DataFrame) -> DataFrame:
+    """The fields that are stored with a book; themes by their names only."""
+    names = lambda c: F.transform(c, lambda x: x["name"]).alias(c)
+    themes_of = ("primary_themes", "secondary_themes")
+    return analysis.select(*[c for c in analysis.columns if c not in themes_of], *[names(c) for c in themes_of])
+
+
 def image_descriptions(images: DataFrame, rows: DataFrame) -> DataFrame:
     """Images with description, text and class from the three calls for each; a call that failed leaves its default."""
     per = rows.groupBy("book_id", "ord").pivot("agent", list(IMAGE_AGENTS)).agg(F.first("answer"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,8 +32,17 @@ def errors(progress: DataFrame) -> DataFrame:
     return progress.filter("status = 'failed'").select("path", "error")
 
 
-def positions(files: DataFrame, done: int, total: int) -> Column:
-    return F.format_string("[%d/%d]", F.lit(done), F.lit(total))
+def positions(files: DataFrame) -> DataFrame:
+    """Files with their mark [i/n] in the order of discovery; the list of a run is what one driver works off."""
+    at = F.row_number().over(Window.orderBy(F.lower("file_name"), "path"))
+    return files.withColumn("mark", F.format_string("[%d/%d]", at, F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))))
+
+
+def summary(progress: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Totals, seconds from the first to the last file, and the sorted names of files that failed."""
+    failed = F.col("status") == "failed"
+    name = F.element_at(F.split("path", "/"), -1)
+    return progress.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("total"), F.count_if(~failed).alias("successful"), F.count_if(failed).alias("failed"), F.timestamp_diff("SECOND", F.min("at"), F.max("at")).alias("seconds"), F.array_sort(F.collect_list(F.when(failed, name))).alias("failed_files"))
 
 
 def exit_code(failed: int, interrupted: bool = False) -> int:

@@ -60,12 +60,29 @@ def first_pages(images: DataFrame, book: str, xref: str, page: str, order: str)
     return images.withColumn("_at", F.row_number().over(Window.partitionBy(book, xref).orderBy(page, order))).filter("_at = 1").drop("_at")
 
 
-def with_images(chapters: DataFrame, images: DataFrame, book: list[str]) -> DataFrame:
-    """Chapters with what is seen on the images of their pages, by page and order; chapters without images stay.
+def image_lines(ranges: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, images, n_images) for ranges (keys, start_page, end_page) that any image falls into, by page and order.
 
-    Image pages that are null or 0 match nothing, nor do chapters without pages.
+    The first of keys is the book. Image pages that are null or 0 match nothing, nor do ranges without pages. A range
+    becomes its pages, so this is an equi-join.
     """
+    book = keys[:-1]
     seen = images.filter(F.coalesce(F.col("page_number"), F.lit(0)) != 0).select(*book, F.col("page_number").alias("_page"), "ord", T.image_context(F.col("image_type"), F.col("description"), F.col("ocr_text")).alias("_line"))
-    inside = chapters.select(*book, "number", "start_page", "end_page").filter("start_page > 0 AND end_page > 0").withColumn("_page", F.explode(F.when(F.col("start_page") <= F.col("end_page"), F.sequence("start_page", "end_page"))))
-    lines = inside.join(seen, [*book, "_page"]).groupBy(*book, "number").agg(T.ordered_concat(F.struct("_page", "ord"), F.col("_line"), "\n\n").alias("images"), F.count(F.lit(1)).alias("n_images"))
-    return chapters.join(lines, [*book, "number"], "left").withColumn("content", F.when(F.col("images").isNotNull(), F.concat("content", F.lit("\n\nImages:\n"), "images")).otherwise(F.col("content"))).withColumn("n_images", F.coalesce("n_images", F.lit(0)))
+    inside = ranges.select(*keys, "start_page", "end_page").filter("start_page > 0 AND end_page > 0").withColumn("_page", F.explode(F.when(F.col("start_page") <= F.col("end_page"), F.sequence("start_page", "end_page"))))
+    return inside.join(seen, [*book, "_page"]).groupBy(*keys).agg(T.ordered_concat(F.struct("_page", "ord"), F.col("_line"), "\n\n").alias("images"), F.count(F.lit(1)).alias("n_images"))
+
+
+def with_images(rows: DataFrame, images: DataFrame, book: list[str], chapter: str = "number") -> DataFrame:
+    """Chapters, or chunks of chapters, with what is seen on the images of the chapter's pages; the others stay as they are.
+
+    All chunks of a chapter get all its images. Token counts aren't taken anew.
+    """
+    keys = [*book, chapter]
+    lines = image_lines(rows.select(*keys, "start_page", "end_page").distinct(), images, keys)
+    return rows.join(lines, keys, "left").withColumn("content", F.when(F.col("images").isNotNull(), F.concat("content", F.lit("\n\nImages:\n"), "images")).otherwise(F.col("content"))).withColumn("n_images", F.coalesce("n_images", F.lit(0)))
+
+
+def image_summary(images: DataFrame, book: list[str]) -> DataFrame:
+    """(book, summary): what all images of a book show, a numbered line each in order."""
+    line = F.concat(F.lit("Image "), (F.col("ord") + 1).cast("string"), F.lit(" ("), F.col("image_type"), F.lit("): "), F.col("description"))
+    return images.withColumn("_line", line).groupBy(*book).agg(T.ordered_concat(F.col("ord"), F.col("_line"), "\n").alias("summary"))

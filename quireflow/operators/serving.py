@@ -108,3 +108,22 @@ def with_availability(books: DataFrame, checkouts: DataFrame) -> DataFrame:
 def download_token(book_id: Column, user_id: Column, expiry: Column, secret: str) -> Column:
     """A token for a link that holds until `expiry`."""
     return F.sha2(F.concat_ws("|", book_id, user_id, T.short_date(expiry), F.lit(secret)), 256)
+
+
+def book_overview(book: DataFrame) -> DataFrame:
+    """(book_id, message): what the bot says when a thread moves to a book."""
+    head = F.concat(F.lit("Now talking about "), F.col("title"), F.lit(" by "), F.array_join("authors", ", "))
+    topics = F.concat(F.lit("Topics: "), F.array_join(F.slice("main_topics", 1, 5), ", "))
+    return book.select("book_id", F.concat_ws("\n", head, F.nullif(F.substring("summary", 1, 150), F.lit("")), topics).alias("message"))
+
+
+def chat_prompt(hits: DataFrame, history: DataFrame, question: str, key: str = "chunk_index") -> DataFrame:
+    """One row with the prompt of an answer: numbered passages, the last messages, the question.
+
+    hits are the few rows of a top-k with content; history has one row with `history`, or none.
+    """
+    numbered = hits.withColumn("_n", F.row_number().over(Window.orderBy(F.col("score").desc(), key)))
+    both = numbered.select("_n", "content").unionByName(history.select("history"), allowMissingColumns=True)
+    passage = F.when(F.col("_n").isNotNull(), F.concat(F.format_string("[%d] ", "_n"), F.col("content")))
+    found = both.agg(T.ordered_concat(F.col("_n"), passage, "\n\n").alias("passages"), F.coalesce(F.max("history"), F.lit("")).alias("said"))
+    return found.select(F.concat(F.lit("Passages:\n"), "passages", F.lit("\n\nEarlier:\n"), "said", F.lit("\n\nQuestion: "), F.lit(question)).alias("prompt"))

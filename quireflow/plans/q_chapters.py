@@ -99,3 +99,16 @@ def toc_rendering(t: Tables) -> DataFrame:
     ranked = t.orders.withColumn("rn", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).filter("rn <= 30")
     entry = F.struct("o_orderkey", (F.col("o_orderkey") % 3).cast("int").alias("level"), F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))).alias("title"))
     return ranked.groupBy("o_custkey").agg(T.toc_lines(F.array_sort(F.collect_list(entry)), indent=True).alias("toc"))
+
+
+@query("image_summary", "SELECT label AS book_id, string_agg('Image ' || (vec_id + 1) || ' (photo): item ' || vec_id, chr(10) ORDER BY vec_id) AS summary FROM embeddings GROUP BY label")
+def image_summary(t: Tables) -> DataFrame:
+    images = t.embeddings.select(F.col("label").alias("book_id"), F.col("vec_id").alias("ord"), F.lit("photo").alias("image_type"), F.concat(F.lit("item "), F.col("vec_id").cast("string")).alias("description"))
+    return C.image_summary(images, ["book_id"])
+
+
+@query("metadata_lines", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'No metadata available' ELSE 'title: ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE chr(10) || 'publisher: ' || c_mktsegment END END AS lines FROM customer")
+def metadata_lines(t: Tables) -> DataFrame:
+    key = F.col("c_custkey")
+    values = {"title": F.when(key % 4 != 0, F.col("c_name")), "date": F.lit(""), "publisher": F.when(key % 2 != 0, F.col("c_mktsegment"))}
+    return t.customer.select("c_custkey", T.metadata_lines(values).alias("lines"))

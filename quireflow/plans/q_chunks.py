@@ -62,3 +62,17 @@ def chunk_by_chapter(t: Tables) -> DataFrame:
     own = chapters(t).select(F.concat_ws("/", "lang", "source").alias("book_id"), "number", F.concat(F.lit("Chapter "), F.col("number").cast("string")).alias("title"), F.lit(0).alias("start_page"), F.lit(0).alias("end_page"), "content")
     books = own.groupBy("book_id").agg(F.lit(None).cast("string").alias("raw_text"))
     return K.chunk_books(books, own, min_tokens=50, max_tokens=200).select("book_id", "chapter_number", "chunk_index", "local_index", "total_chunks", "total_document_chunks", "token_count", "content")
+
+
+@query(
+    "chunk_with_images",
+    f"WITH {CHAPTERS}, {RAW}, c AS (SELECT *, (number - 1) * 2 + 1 AS s, (number - 1) * 2 + 2 AS e FROM chunks), img AS (SELECT split_part(url, '/', 4) AS lang, 'src' || (page_id % 20) AS source, page_id AS ord, page_id % 12 AS p, '[PHOTO] ' || url AS line FROM pages), "
+    "l AS (SELECT c.doc_id, count(i.ord) AS n_images, string_agg(i.line, chr(10) || chr(10) ORDER BY i.p, i.ord) AS images FROM (SELECT DISTINCT lang, source, doc_id, s, e FROM c) c JOIN img i ON i.lang = c.lang AND i.source = c.source AND i.p <> 0 AND i.p BETWEEN c.s AND c.e GROUP BY c.doc_id) "
+    "SELECT c.doc_id, c.k::INT AS position, coalesce(l.n_images, 0) AS n_images, sha256(c.content || CASE WHEN l.images IS NULL THEN '' ELSE chr(10) || chr(10) || 'Images:' || chr(10) || l.images END) AS content_sha256 FROM c LEFT JOIN l ON l.doc_id = c.doc_id",
+)
+def chunk_with_images(t: Tables) -> DataFrame:
+    from ..operators import chapters as C
+
+    chunks = fixed(t).withColumn("start_page", (F.col("number") - 1) * 2 + 1).withColumn("end_page", (F.col("number") - 1) * 2 + 2)
+    images = t.pages.select(F.split_part("url", F.lit("/"), F.lit(4)).alias("lang"), F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("source"), F.col("page_id").alias("ord"), (F.col("page_id") % 12).cast("int").alias("page_number"), F.lit("photo").alias("image_type"), F.col("url").alias("description"), F.lit("").alias("ocr_text"))
+    return C.with_images(chunks, images, BOOK).select("doc_id", "position", "n_images", F.sha2("content", 256).alias("content_sha256"))

@@ -132,3 +132,32 @@ def book_detail(t: Tables) -> DataFrame:
     own = t.documents.withColumn("number", F.row_number().over(Window.partitionBy(*BOOK).orderBy("doc_id")))
     line = F.concat(F.col("number").cast("string"), F.lit(": "), F.substring("text", 1, 40))
     return own.withColumn("line", line).groupBy(*BOOK).agg(F.count(F.lit(1)).alias("chapters"), T.ordered_concat(F.col("number"), F.col("line"), "|").alias("chapter_list"))
+
+
+@query(
+    "chat_with_book",
+    "WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), h AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, q WHERE e.label = 3 ORDER BY score DESC, e.vec_id LIMIT 5), n AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS n FROM h), "
+    "t AS (SELECT * FROM conversations WHERE conv_id = 1 QUALIFY row_number() OVER (ORDER BY turn DESC) <= 6), s AS (SELECT string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS history FROM t) "
+    "SELECT 'Passages:' || chr(10) || (SELECT string_agg('[' || n || '] passage ' || vec_id, chr(10) || chr(10) ORDER BY n) FROM n) || chr(10) || chr(10) || 'Earlier:' || chr(10) || coalesce((SELECT history FROM s), '') || chr(10) || chr(10) || 'Question: why?' AS prompt",
+)
+def chat_with_book(t: Tables) -> DataFrame:
+    from .q_retrieval import asked
+
+    hits = R.top_k(t.embeddings, asked(t), 5, {"label": 3}, "vec_id").withColumn("content", F.concat(F.lit("passage "), F.col("vec_id").cast("string")))
+    thread = V.last_messages(t.conversations.filter("conv_id = 1"), "conv_id", "turn")
+    return V.chat_prompt(hits, V.rendered(thread, "conv_id", "turn"), "why?", "vec_id")
+
+
+@query("focus_book", "SELECT p_partkey AS book_id, 'Now talking about ' || p_name || ' by ' || p_brand || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type || chr(10) END || 'Topics: ' || array_to_string(string_split(p_name, ' ')[1:5], ', ') AS message FROM part")
+def focus_book(t: Tables) -> DataFrame:
+    books = t.part.select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_type")).alias("summary"), F.split("p_name", " ").alias("main_topics"))
+    return V.book_overview(books)
+
+
+@query("list_books", f"WITH {LOANS}, a AS (SELECT book_id, count(*) AS n FROM loans WHERE status = 'active' GROUP BY book_id) SELECT p_partkey AS book_id, p_name AS title, coalesce(n, 0) AS active_loans FROM part LEFT JOIN a ON a.book_id = p_partkey WHERE p_size IN (1, 2, 3) ORDER BY p_name, p_partkey LIMIT 10 OFFSET 10")
+def list_books(t: Tables) -> DataFrame:
+    """The second page of books that match a filter, by title, with their loans; the page is cut before the join."""
+    from ..functions.filters import predicate
+
+    books = t.part.filter(predicate(t.part, {"p_size": [1, 2, 3]})).select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"))
+    return V.with_availability(R.page(books, 2, 10), loans(t))

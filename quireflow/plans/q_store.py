@@ -109,3 +109,25 @@ def batch_progress(t: Tables) -> DataFrame:
 @query("batch_errors", f"WITH {FILES} SELECT path, 'bad ' || event_id AS error FROM files WHERE status = 'failed'")
 def batch_errors(t: Tables) -> DataFrame:
     return B.errors(files(t))
+
+
+@query("batch_positions", "SELECT page_id, '[' || row_number() OVER (ORDER BY lower(url), url) || '/' || count(*) OVER () || ']' AS mark FROM pages")
+def batch_positions(t: Tables) -> DataFrame:
+    return B.positions(t.pages.select("page_id", F.col("url").alias("path"), F.col("url").alias("file_name"))).select("page_id", "mark")
+
+
+@query("batch_summary", "SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS successful, count(*) FILTER (event_type = 'error') AS failed, date_diff('second', min(date_trunc('second', ts)), max(date_trunc('second', ts))) AS seconds, coalesce(string_agg('File' || lpad(event_id::VARCHAR, 9, '0') || '.epub', '|' ORDER BY event_id) FILTER (event_type = 'error'), '') AS failed_files FROM events GROUP BY user_id")
+def batch_summary(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("dir/File"), F.lpad(F.col("event_id").cast("string"), 9, "0"), F.lit(".epub"))
+    progress = t.events.select("user_id", name.alias("path"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), F.date_trunc("second", "ts").alias("at"))
+    return B.summary(progress, ["user_id"]).withColumn("failed_files", F.array_join("failed_files", "|"))
+
+
+@query("web_hits")
+def web_hits(t: Tables) -> DataFrame:
+    """The five pages that hold most words of a question."""
+    from ..sources import markup
+    from ..sources.web import TableSearch
+
+    pages = t.pages.select(markup.html_title(F.col("html")).alias("title"), "url", markup.html_to_text(F.col("html")).alias("text"))
+    return TableSearch(pages).search(t.benchmark.orderBy("item_id").first()["text"])
