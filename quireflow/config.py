@@ -6,7 +6,7 @@ import os
 from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
-VARIABLE, DEFAULT_FILE = "LIBRARIAN_INGEST_CONFIG", "config/config.yaml"
+VARIABLE, DEFAULT_FILE = "QUIREFLOW_CONFIG", "config/config.yaml"
 
 
 @dataclass

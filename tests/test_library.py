@@ -103,7 +103,7 @@ def test_config(tmp_path, monkeypatch):
     assert cli.main(["init-config", str(path)]) == 0
     assert Config.from_yaml(path) == Config()
     path.write_text("chunking: {min_tokens: 7}")
-    monkeypatch.setenv("LIBRARIAN_INGEST_CONFIG", str(path))
+    monkeypatch.setenv("QUIREFLOW_CONFIG", str(path))
     assert Config.load().chunking.min_tokens == 7
     path.write_text("")
     assert Config.load() == Config()
