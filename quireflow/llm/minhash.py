@@ -139,11 +139,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short_batches(docs.sparkSession)
     marked = staged(signed(docs, id_col, text_col, width, bands, rows), "signed")
     reps = staged(marked.filter("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep")), "reps")
-    members = staged(marked.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", F.explode("keys").alias("key")), "members")
-    hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("m"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    bands_of = marked.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", F.explode("keys").alias("key"))
+    hubs = bands_of.groupBy("key").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("m"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("key", "hub", "m")
+    members = staged(bands_of.join(hubs, "key"), "members")  # of buckets with a second member; all that follows is about these
     sized = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    stars = staged(members.join(hubs, "key").filter(F.col("id") != F.col("hub")).filter(sized(F.col("n"), F.col("m"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    wanted = members.join(hubs.select("key"), "key", "left_semi").select("id").distinct()
+    stars = staged(members.filter(F.col("id") != F.col("hub")).filter(sized(F.col("n"), F.col("m"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    wanted = members.select("id").distinct()
     texts = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), "texts")
     links = staged(confirmed(stars, texts, width, percent), "links")
     first = components(links)
