@@ -94,17 +94,13 @@ class Transducer:
         self.weight = [-s for _, s, _ in pieces]
         low = min([0.0, *self.score.values()])
         self.fallback_weight = 10.0 - low
-        self.next: list[dict[str, int]] = [{}]
-        self.final: dict[int, int] = {}
+        self.trie: dict = {}  # a node has its children by character, and under "" the piece that ends there
         for i, (t, _, kind) in enumerate(pieces):
             if kind == NORMAL:
-                state = 0
+                node = self.trie
                 for c in t:
-                    if c not in self.next[state]:
-                        self.next[state][c] = len(self.next)
-                        self.next.append({})
-                    state = self.next[state][c]
-                self.final[state] = i
+                    node = node.setdefault(c, {})
+                node[""] = i
         held = [t for t, _, kind in pieces if kind == NORMAL]
         inner = {pair for t in held for pair in zip(t, t[1:], strict=False)}
         lasts = {a for a, b in inner if b == SPACE}
@@ -115,7 +111,7 @@ class Transducer:
         for a, b in inner:
             if (a.isascii() or a == SPACE) and (b.isascii() or b == SPACE):
                 self.cuts[ord(a.replace(SPACE, " ")), ord(b.replace(SPACE, " "))] = False
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, dict[int, bool]] = {}
         # what each id decodes to
         self.bytes = [b"" if kind in (CONTROL,) else bytes([int(t[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else t.replace(SPACE, " ").encode() for t, _, kind in pieces]
 
@@ -133,56 +129,84 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def arcs_after(self, a: int) -> dict[int, bool]:
+        """Which pieces may follow piece a, as far as that is known; a negative a is the start or a byte, and borders on nothing."""
+        return self.arcs.setdefault(a if a >= 0 else _START, {})
+
     def arc(self, a: int, b: int) -> bool:
-        """Whether piece b may follow piece a; a negative a is the start or a byte, which borders on nothing."""
-        if not self.bpe:
-            return True
-        key = (a if a >= 0 else _START, b)
-        found = self.arcs.get(key)
-        if found is None:
-            want = [self.text[a], self.text[b]] if a >= 0 else [self.text[b]]
-            found = self.arcs[key] = self.merged("".join(want)) == want
+        """Whether piece b may follow piece a, found by ranked merges once and remembered."""
+        want = [self.text[a], self.text[b]] if a >= 0 else [self.text[b]]
+        found = self.arcs_after(a)[b] = not self.bpe or self.merged("".join(want)) == want
         return found
 
     def path(self, text: str) -> tuple[float, list[int]]:
-        """Weight and ids of the shortest path of a normalised text. States are (place, last piece)."""
+        """Weight and ids of the shortest path of a normalised text."""
+        return self.single_path(text) if self.bpe else self.best_path(text)
+
+    def single_path(self, text: str) -> tuple[float, list[int]]:
+        """The path of a byte-pair model: every prefix has one segmentation, so a place has one state at most."""
         n = len(text)
-        at: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        at[0][_START] = (0.0, -1, 0)
-        follow, final, weight, arc = self.next, self.final, self.weight, self.arc
+        last: list[int | None] = [None] * (n + 1)
+        start = [0] * (n + 1)
+        last[0] = _START
+        trie, after = self.trie, self.arcs_after
         for i in range(n):
-            here = at[i]
-            if not here:
+            a = last[i]
+            if a is None:
                 continue
-            state, j, single = 0, i, False
+            known, node, single, j = after(a), trie, False, i
             while j < n:
-                state = follow[state].get(text[j], 0)
-                if not state:
+                node = node.get(text[j])
+                if node is None:
                     break
                 j += 1
-                piece = final.get(state)
-                if piece is not None:
+                b = node.get("")
+                if b is not None:
                     single = single or j == i + 1
-                    for last, (cost, _, _) in here.items():
-                        if arc(last, piece):
-                            known = at[j].get(piece)
-                            total = cost + weight[piece]
-                            if known is None or total < known[0]:
-                                at[j][piece] = (total, i, last)
+                    ok = known.get(b)
+                    if self.arc(a, b) if ok is None else ok:
+                        last[j], start[j] = b, i
             if not single:
-                last, (cost, _, _) = min(here.items(), key=lambda x: (x[1][0], x[0]))
-                at[i + 1][_FALLBACK] = (cost + self.fallback_weight, i, last)
-        if not n:
-            return 0.0, []
-        last, (total, _, _) = min(at[n].items(), key=lambda x: (x[1][0], x[0]))
+                last[i + 1], start[i + 1] = _FALLBACK, i
         ids: list[int] = []
-        place = n
-        while last != _START:
-            _, before, previous = at[place][last]
-            ids += [last] if last >= 0 else self.fallback(text[before:place])
-            place, last = before, previous
+        total, place = 0.0, n
+        while place:
+            piece, before = last[place], start[place]
+            if piece >= 0:
+                ids.append(piece)
+                total += self.weight[piece]
+            else:
+                ids += self.fallback(text[before:place])
+                total += self.fallback_weight
+            place = before
         return total, ids[::-1]
 
+    def best_path(self, text: str) -> tuple[float, list[int]]:
+        """The path of a unigram model: the least weight to each place, of equal ones the first piece found."""
+        n = len(text)
+        cost = [0.0] + [float("inf")] * n
+        last, start = [_START] * (n + 1), [0] * (n + 1)
+        for i in range(n):
+            node, single, j = self.trie, False, i
+            while j < n:
+                node = node.get(text[j])
+                if node is None:
+                    break
+                j += 1
+                b = node.get("")
+                if b is not None:
+                    single = single or j == i + 1
+                    if cost[i] + self.weight[b] < cost[j]:
+                        cost[j], last[j], start[j] = cost[i] + self.weight[b], b, i
+            if not single and cost[i] + self.fallback_weight < cost[i + 1]:
+                cost[i + 1], last[i + 1], start[i + 1] = cost[i] + self.fallback_weight, _FALLBACK, i
+        ids: list[int] = []
+        place = n
+        while place:
+            ids += [last[place]] if last[place] >= 0 else self.fallback(text[start[place] : place])
+            place = start[place]
+        return cost[n], ids[::-1]
+
     def fallback(self, char: str) -> list[int]:
         """Byte ids of a character, last first; without byte pieces the unknown id."""
         return [self.byte_ids[b] for b in reversed(char.encode())] if self.byte_ids else [self.unknown]
@@ -205,7 +229,7 @@ class Transducer:
 class PieceEncoder(Encoder):
     """Ids of many texts; each distinct unit is composed and searched once. Units hold the normaliser's spaces as such."""
 
-    cached = 2 * Encoder.cached  # a search costs more than a place in memory
+    cached = 5 * Encoder.cached  # a search costs more than a place in memory
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
