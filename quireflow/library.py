@@ -87,13 +87,12 @@ class Library:
         try:
             with logs.timed("ingest"):
                 books, chapters, failed = self.parsed(rows)
-                errors = {r["path"]: r["error"] for r in failed.collect()}  # one short row for each broken file of a batch
-                done = rows.select("path", F.when(F.col("path").isin(*errors), "failed").otherwise("completed").alias("status"))
                 stored = books.count()
                 if stored:
                     self.collection.upsert(self.points(books, chapters))
-                said = F.create_map(*[F.lit(x) for pair in errors.items() for x in pair]) if errors else F.lit(None).cast("map<string,string>")
-                done.select("path", "status", F.try_element_at(said, F.col("path")).alias("error"), F.current_timestamp().cast("timestamp_ntz").alias("at")).write.mode("append").parquet(self.progress_path)
+                done = rows.select("path").join(failed, "path", "left").select("path", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error", F.current_timestamp().cast("timestamp_ntz").alias("at"))
+                done.write.mode("append").parquet(self.progress_path)
+                errors = {r["path"]: r["error"] for r in failed.collect()}  # one short row for each broken file of the batch
                 return Report(stored, errors)
         finally:
             rows.unpersist()
