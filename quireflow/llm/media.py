@@ -29,8 +29,8 @@ from pyspark.sql.types import StructType
 from .common import as_batches, fresh_path, short_batches
 
 WIDTH = 64
-#: An archive is closed, and the next one begun, at so many bytes; a range that one task reads.
-ARCHIVE_BYTES, RANGE_BYTES = 128 << 20, 8 << 20
+#: An archive is closed, and the next one begun, at so many bytes; the least range that one task reads; about the most ranges.
+ARCHIVE_BYTES, RANGE_BYTES, RANGES = 256 << 20, 8 << 20, 50_000
 #: Payload bytes in a batch that goes to Spark.
 BATCH_BYTES = 4 << 20
 RETRIES, WAIT_S = 3, 0.05
@@ -157,7 +157,8 @@ class ArchiveReader(DataSourceReader):
 
         fs, top = filesystem(self.folder)
         files = sorted((f for f in fs.get_file_info(FileSelector(top)) if f.is_file and f.base_name.endswith(".zip") and f.base_name[0] not in "._"), key=lambda f: f.path)
-        ranges = [ByteRange(f.path, a, min(a + self.range_bytes, f.size)) for f in files for a in range(0, f.size, self.range_bytes)]
+        step = max(self.range_bytes, sum(f.size for f in files) // RANGES)
+        ranges = [ByteRange(f.path, a, min(a + step, f.size)) for f in files for a in range(0, f.size, step)]
         return ranges or [ByteRange("", 0, 0)]
 
     def member(self, fs, stream, info: zipfile.ZipInfo) -> bytes:
