@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.filters import predicate
+from ..functions.filters import matching
 from ..functions.vector import cosine, query_vector
 
 
 def scored(points: DataFrame, query: list[float] | Column, filters: dict | None = None, vector: str = "embedding") -> DataFrame:
     """The points that match the filters, with their cosine similarity to the query as `score`."""
     target = query_vector(query) if isinstance(query, (list, tuple)) else query
-    return points.filter(predicate(points, filters)).withColumn("score", cosine(F.col(vector), target))
+    return matching(points, filters).withColumn("score", cosine(F.col(vector), target))
 
 
 def top_k(points: DataFrame, query: list[float] | Column, k: int = 10, filters: dict | None = None, key: str = "chunk_index", vector: str = "embedding") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..functions.filters import predicate
+from ..functions.filters import matching
 from ..operators import embedding as E
 from ..operators import retrieval as R
 from .registry import Tables, query
@@ -115,8 +115,7 @@ def tagged(t: Tables) -> DataFrame:
 
 
 def filtered(t: Tables, filters: dict) -> DataFrame:
-    rows = tagged(t)
-    return rows.filter(predicate(rows, filters)).select("p_partkey", "p_brand", F.array_join("tags", " ").alias("tags"))
+    return matching(tagged(t), filters).select("p_partkey", "p_brand", F.array_join("tags", " ").alias("tags"))
 
 
 @query("filter_any_of", f"WITH {TAGGED}, w AS (SELECT list_sort(list_distinct(flatten(list(tags))))[1:2] AS wanted FROM tagged) SELECT p_partkey, p_brand, array_to_string(tags, ' ') AS tags FROM tagged, w WHERE list_has_any(tags, wanted)")

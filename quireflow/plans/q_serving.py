@@ -157,7 +157,7 @@ def focus_book(t: Tables) -> DataFrame:
 @query("list_books", f"WITH {LOANS}, a AS (SELECT book_id, count(*) AS n FROM loans WHERE status = 'active' GROUP BY book_id) SELECT p_partkey AS book_id, p_name AS title, coalesce(n, 0) AS active_loans FROM part LEFT JOIN a ON a.book_id = p_partkey WHERE p_size IN (1, 2, 3) ORDER BY p_name, p_partkey LIMIT 10 OFFSET 10")
 def list_books(t: Tables) -> DataFrame:
     """The second page of books that match a filter, by title, with their loans; the page is cut before the join."""
-    from ..functions.filters import predicate
+    from ..functions.filters import matching
 
-    books = t.part.filter(predicate(t.part, {"p_size": [1, 2, 3]})).select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"))
+    books = matching(t.part, {"p_size": [1, 2, 3]}).select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"))
     return V.with_availability(R.page(books, 2, 10), loans(t))

@@ -145,6 +145,11 @@ def metadata(books: DataFrame) -> DataFrame:
     return books.select("book_id", F.coalesce("title", T.file_stem(F.col("path"))).alias("title"), "authors", "publisher", "date", "language", "description", "subjects", isbn.alias("isbn"), isbn13.alias("isbn13"))
 
 
+def contents(books: DataFrame) -> DataFrame:
+    """(book_id, seq, level, title, href, parent_seq) of the contents in reading order."""
+    return books.select("book_id", F.explode("toc").alias("t")).select("book_id", "t.*")
+
+
 def images(books: DataFrame) -> DataFrame:
     each = books.select("book_id", F.explode("images").alias("i")).select("book_id", "i.*").withColumn("page_number", F.lit(None).cast("int"))
     return each.filter((F.col("width") >= LEAST_SIDE) & (F.col("height") >= LEAST_SIDE))

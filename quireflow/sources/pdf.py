@@ -69,6 +69,12 @@ def chapters(pages: DataFrame, toc: DataFrame) -> DataFrame:
     return by_toc.unionByName(whole).withColumn("word_count", T.word_count(F.col("content")))
 
 
+def contents(books: DataFrame) -> DataFrame:
+    """(book_id, seq, level, title, page) of the contents, levels from 0 as in EPUB files, pages from 1."""
+    each = books.select("book_id", F.explode("toc").alias("t")).select("book_id", "t.*")
+    return each.select("book_id", "seq", (F.col("level") - 1).alias("level"), "title", "page")
+
+
 def images(books: DataFrame) -> DataFrame:
     """Each image object once, on its first page, if it is large enough, with a name made from page and object."""
     each = books.select("book_id", F.explode("images").alias("i")).select("book_id", "i.*")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quireflow.functions import model_output as M
 from quireflow.functions import text as T
 from quireflow.functions import vector as V
-from quireflow.functions.filters import predicate
+from quireflow.functions.filters import matching, predicate
 from quireflow.operators import analysis as A
 from quireflow.operators import batch as B
 from quireflow.operators import chapters as C
@@ -51,7 +51,12 @@ def test_isbn(spark):
 
 def test_filters_treat_missing_as_no_match(spark):
     df = spark.createDataFrame([(1, ["a", None], "x"), (2, ["b"], None), (3, None, "y")], "id int, tags array<string>, kind string")
-    ids = lambda f: [r["id"] for r in df.filter(predicate(df, f)).orderBy("id").collect()]
+
+    def ids(f):
+        found = [r["id"] for r in df.filter(predicate(df, f)).orderBy("id").collect()]
+        assert found == [r["id"] for r in matching(df, f).orderBy("id").collect()]
+        return found
+
     assert ids(None) == ids({}) == [1, 2, 3]
     assert ids({"tags": ["b", "z"]}) == [2] and ids({"tags": "a"}) == [1] and ids({"tags": []}) == []
     assert ids({"kind": ["x", "y"]}) == [1, 3] and ids({"kind": "x", "tags": ["a", "b"]}) == [1]
@@ -142,6 +147,10 @@ def test_pdf_chapters(spark):
     books = spark.createDataFrame([("x.pdf", "p", 8, {"title": "", "author": "A; B", "creationDate": "D:201901"})], "path string, book_id string, page_count int, info map<string,string>")
     meta = pdf.metadata(books).first()
     assert (meta["title"], meta["authors"], meta["date"], meta["subjects"]) == ("x", ["A", "B"], "2019-01-01", [])
+    listed = pdf.contents(spark.createDataFrame([("p", [(0, 1, "A", 1), (1, 3, "B", 2)])], "book_id string, toc array<struct<seq: int, level: int, title: string, page: int>>"))
+    assert [tuple(r) for r in listed.orderBy("seq").collect()] == [("p", 0, 0, "A", 1), ("p", 1, 2, "B", 2)]
+    seen = pdf.images(spark.createDataFrame([("p", [(0, 7, "png", 60, 60, 2), (1, 7, "png", 60, 60, 1), (2, 8, "jpeg", 49, 60, 1)])], "book_id string, images array<struct<ord: int, xref: int, ext: string, width: int, height: int, page_number: int>>"))
+    assert [(r["filename"], r["content_type"]) for r in seen.collect()] == [("page1_img7.png", "image/png")]
     files = spark.createDataFrame([("x.pdf", bytearray(b"no"))], "path string, content binary")
     assert pdf.read(files).first()["status"] == "failed"
 
@@ -247,3 +256,15 @@ def test_hybrid_and_web(spark):
     assert R.hybrid(rows, [1.0, 0.0], ["dogs"], weight=0.5).first()["chunk_index"] == 2
     both = R.context(rows.select("chunk_index", "content"), spark.createDataFrame([("http://x",)], "url string"))
     assert both.columns == ["chunk_index", "content", "source", "url"] and both.count() == 4
+
+
+def test_plans(spark, capsys):
+    """Filters and columns reach the scan, and a top-k sorts nothing but what each task keeps."""
+    folder = "/root/testdata/sf0.001"
+    found = R.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), [0.1] * 64, 10, {"label": [1, 3]}, "vec_id")
+    found.select("vec_id", "score").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "TakeOrderedAndProject" in plan and "PushedFilters: [In(label, [1,3])]" in plan
+    S.last_messages(spark.read.parquet(f"{folder}/conversations.parquet"), "conv_id", "turn").select("conv_id", "turn").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "ReadSchema: struct<conv_id:bigint,turn:bigint>" in plan and "WindowGroupLimit" in plan
