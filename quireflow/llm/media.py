@@ -128,6 +128,8 @@ def write_archives(items: DataFrame, id_col: str, text_col: str, folder: str) ->
                 members += 1
         close()
         for here, there in done:
+            if fs.get_file_info(there).is_file:  # from an attempt whose executor was lost
+                fs.delete_file(there)
             fs.move(here, there)
         yield pa.RecordBatch.from_pydict({"members": pa.array([members], pa.int64())})
 
