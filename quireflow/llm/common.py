@@ -10,11 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch. Texts are unbounded, so batches are kept short; kernels cut them further by bytes.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch. Texts are unbounded, so batches are kept short; kernels cut them further by bytes.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Bytes of text that a kernel works on at once; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
 
+#: Arrow's own pools keep what is freed; beside an executor's heap there is no room for that.
+pa.set_memory_pool(pa.system_memory_pool())
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Only where that is unset (a local session) is a folder of our own set."""
@@ -36,13 +39,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches short, since one row may be a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

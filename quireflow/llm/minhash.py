@@ -74,7 +74,6 @@ def alike(inter: int | np.ndarray, a: int | np.ndarray, b: int | np.ndarray, per
 def signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, sets in shingle_sets(batch.column(1), width):
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
@@ -86,7 +85,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
                 keys = band_keys(np.stack([signature(sets[i], bands * rows) for i in full]), bands, rows) if len(full) else np.zeros((0, bands), np.int64)
                 ends = np.cumsum(np.where(sizes > 0, bands, 0))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(sizes), pa.array(f1), pa.array(f2), lists], names=["id", "n", "f1", "f2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(f1), pa.array(f2), lists], names=["id", "n", "f1", "f2", "keys"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
 
@@ -96,10 +95,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [s for _, _, sets in shingle_sets(batch.column(2), width) for s in sets]
-            right = [s for _, _, sets in shingle_sets(batch.column(3), width) for s in sets]
-            keep = [alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent) for x, y in zip(left, right, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for k in range(0, batch.num_rows, 32):  # two sets for each pair, of texts of any length
+                part = batch.slice(k, 32)
+                left, right = ([s for _, _, sets in shingle_sets(part.column(c), width) for s in sets] for c in (2, 3))
+                keep = [alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent) for x, y in zip(left, right, strict=True)]
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -134,7 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ids must be unique integers. A null, empty or blank text has no shingles, is linked with nothing and is kept; a text
     of fewer words than `width` has its whole word sequence as its one shingle. Ties and repeated texts go to the smallest
-    id. An empty table gives an empty result. Further columns of docs, whatever their names, are not read.
+    id. A row without an id is never kept; its component is that of an equal text with one, or null. An empty table gives an
+    empty result. Further columns of docs, whatever their names, are not read.
     """
     short_batches(docs.sparkSession)
     marked = staged(signed(docs, id_col, text_col, width, bands, rows), "signed")
@@ -163,7 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     homes = reps.join(last.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
     named = marked.select("id", "n", "f1", "f2").join(homes, ["f1", "f2"], "left")
     home = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), home.alias("component_id"), (home == F.col("id")).alias("kept"))
+    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), home.alias("component_id"), F.coalesce(home == F.col("id"), F.lit(False)).alias("kept"))
 
 
 def in_blocks(inside: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:

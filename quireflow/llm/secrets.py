@@ -158,11 +158,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_buffer(batch.column(1))
             for a, b in slices(offsets):
                 found = scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield as_batches({"id": ids[a:b], "spans": [[{"kind": KINDS[k], "start": x, "end": y} for x, k, y in one] for one in found]}, schema)
+                yield as_batches({"id": batch.column(0).slice(a, b - a), "spans": [[{"kind": KINDS[k], "start": x, "end": y} for x, k, y in one] for one in found]}, schema)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, spans array<struct<kind string, start long, end long>>").withColumnRenamed("id", id_col)
 
