@@ -50,7 +50,7 @@ def image_size(data: bytes) -> tuple[int, int]:
     raise ValueError("not an image that can be read")
 
 
-def contents(tree: ElementTree.Element) -> list[dict]:
+def entries(tree: ElementTree.Element) -> list[dict]:
     """Entries of an NCX or a navigation document in reading order, with level and parent."""
     out: list[dict] = []
 
@@ -100,7 +100,7 @@ def parse(content: bytes) -> dict:
             if name not in z.namelist():
                 continue
             if kind == "application/x-dtbncx+xml" or "nav" in (item.get("properties") or "").split():
-                found = contents(ElementTree.fromstring(z.read(name)))
+                found = entries(ElementTree.fromstring(z.read(name)))
                 out["toc"] = out["toc"] or found
             if kind in ("application/xhtml+xml", "text/html"):
                 reader = markup.read(z.read(name).decode("utf-8", "ignore"))
