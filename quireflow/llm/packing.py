@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import as_batches, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
 
 #: Units whose ids a worker remembers; beyond it starts anew.
-CACHED_UNITS = 300_000
+CACHED_UNITS = 500_000
 
 
 def minimum_bin_slack(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

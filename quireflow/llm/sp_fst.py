@@ -229,7 +229,7 @@ class Transducer:
 class PieceEncoder(Encoder):
     """Ids of many texts; each distinct unit is composed and searched once. Units hold the normaliser's spaces as such."""
 
-    cached = 5 * Encoder.cached  # a search costs more than a place in memory
+    cached = 3 * Encoder.cached  # a search costs more than a place in memory
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
