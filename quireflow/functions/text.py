@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: All white space of Unicode, and the four separators that text functions elsewhere count as such.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
     """Without white space at both ends; plain trim() drops spaces only."""
-    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def blank(text: Column) -> Column:
+    """Whether a text has nothing but white space."""
+    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def words(text: Column) -> Column:

@@ -103,7 +103,7 @@ def recursive(texts: DataFrame, keys: list[str], text: str = "content", min_toke
 def fixed(texts: DataFrame, keys: list[str], text: str = "content", chars: int = 1000, step: int = 800, min_tokens: int = 0) -> DataFrame:
     """Windows of `chars` characters every `step`, with the same filter; column expressions only."""
     starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length("body") - chars) / step), F.lit(0)).cast("int"))
-    cuts = texts.select(*keys, F.col(text).alias("body")).filter(T.strip(F.col("body")) != "").select(*keys, "body", F.size(starts).alias("n_raw"), F.posexplode(starts).alias("position", "k"))
+    cuts = texts.select(*keys, F.col(text).alias("body")).filter(~T.blank(F.col("body"))).select(*keys, "body", F.size(starts).alias("n_raw"), F.posexplode(starts).alias("position", "k"))
     chunks = cuts.select(*keys, "position", "n_raw", T.strip(F.substring(F.col("body"), F.col("k") * step + 1, F.lit(chars))).alias("content")).filter("content <> ''")
     return chunks.withColumn("token_count", T.token_estimate(F.col("content"))).filter((F.col("token_count") >= min_tokens) | (F.col("position") == F.col("n_raw") - 1))
 
