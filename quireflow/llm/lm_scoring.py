@@ -10,12 +10,19 @@ counts of all class triples are a bounded statistic of the whole corpus, and noi
 expectation over them and over its noise. As the score is a sum over the two places, exp(s) summed over w is a product of
 two matrices, so the normaliser of every context comes from one batched product. A word in the rest shares that class's
 probability by its count.
+
+On that base every word that occurs LEAST times in the training texts, and the end, has a target and a context vector of
+its own, so the vocabulary grows with the corpus: log P(w | g, h) = log base(w | g, h) + q_w . (c1 * r_h + c2 * r_g). They
+are trained by sampled NCE in each slice, from the same start for a word in all slices, with noise from the slice's own
+tokens. A word's vectors are then averaged over its slices by its counts there, in a table that is sorted by word, and sent
+to the slices that have the word; no process holds the vocabulary. As usual with NCE the product isn't normalised again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batches, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
+from .common import as_batches, mixed, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
 
 SLICE_TEXT = 16 << 20
 CLASSES, WIDTH, NOISE = 160, 32, 10
 STEPS, RATE, RIDGE, SEED = 150, 0.05, 1e-4, 11
 REST, END = 0, 1
 HELD_OUT_OF, HELD_OUT = 7, 2
+#: Least training count of a word with vectors; tokens of a step, noise words that a step's tokens share, and its rate. A
+#: slice of fewer than READ tokens is read again, EPOCHS times at most.
+LEAST, STEP_TOKENS, SHARED_NOISE, WORD_RATE, READ, EPOCHS = 5, 2048, 64, 0.1, 1 << 20, 20
+PLACES = np.array([1.0, 0.5], np.float32)  # c1 and c2 of the word vectors
+END_WORD = -1  # the end's key among word hashes
 
 _SLICE = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("words", pa.list_(pa.int64())), ("k", pa.list_(pa.int32()))])
 _SLICE_TYPES = "slice long, ids array<long>, train array<boolean>, ends array<int>, tokens array<int>, words array<long>, k array<int>"
@@ -86,6 +98,7 @@ class Model:
     rest_tokens: int
     rest_words: int
     end_count: int
+    log_share: np.ndarray
 
     def classes(self, words: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -93,6 +106,11 @@ class Model:
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         return np.where(self.hashes[at] == words, self.numbers[at], REST)
 
+    def gain(self, word: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        """Log ratio of each of the words' classes after each of the contexts to the class's share of the corpus."""
+        s = self.near[:, word][before] + self.far[:, word][earlier] + (self.bias - self.log_share)[word]
+        return s - self.normaliser[before, earlier][:, None]
+
     def log10(self, word: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
         s = self.near[before, word] + self.far[earlier, word] + self.bias[word]
         return (s - self.normaliser[before, earlier]) / np.log(10)
@@ -103,13 +121,18 @@ def with_ends(values: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarra
     return np.insert(values, ends, end), np.concatenate([[0], (ends + np.arange(1, len(ends) + 1))[:-1]])
 
 
+def tokens_before(values: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value before each token and the one before that; before a text stands the end."""
+    before = np.concatenate([[end], values[:-1]])
+    before[first] = end
+    earlier = np.concatenate([[end], before[:-1]])
+    earlier[first] = end
+    return before, earlier
+
+
 def contexts(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class before each token and the one before that; before a text stands the end."""
-    before = np.concatenate([[END], classes[:-1]])
-    before[first] = END
-    earlier = np.concatenate([[END], before[:-1]])
-    earlier[first] = END
-    return before, earlier
+    return tokens_before(classes, first, END)
 
 
 def train_nce(triples: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +175,7 @@ def learn(parts: DataFrame, counted: DataFrame) -> Model:
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     blank = np.zeros((1, 1))
-    found = Model(hashes[order], order + 2, blank, blank, blank[0], blank, tokens + texts, distinct + (texts > 0), tokens - sum(r["c"] for r in top), distinct - len(top), texts)
+    found = Model(hashes[order], order + 2, blank, blank, blank[0], blank, tokens + texts, distinct + (texts > 0), tokens - sum(r["c"] for r in top), distinct - len(top), texts, blank[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(CLASSES**3, np.int64)
@@ -170,6 +193,8 @@ def learn(parts: DataFrame, counted: DataFrame) -> Model:
     triples, counts = sums["triple"].to_numpy(), sums["k"].to_numpy()
     order = np.argsort(triples)
     near, far, bias = train_nce(triples[order], counts[order], CLASSES)
+    share = np.bincount(triples % CLASSES, counts, CLASSES) + 1
+    found.log_share = np.log(share / share.sum())
     # classes without a word take no probability
     bias[len(top) + 2 :] = -1e4
     shift = near.max(axis=1, keepdims=True), far.max(axis=1, keepdims=True)
@@ -178,13 +203,128 @@ def learn(parts: DataFrame, counted: DataFrame) -> Model:
     return found
 
 
+def first_vectors(words: np.ndarray) -> np.ndarray:
+    """Context vectors that training starts from, made from the words' hashes, so they agree between slices."""
+    salts = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64))
+    return ((mixed(words[:, None] ^ salts[None, :]) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24) - np.float32(0.5)) * np.float32(0.5)
+
+
+def train_words(model: Model, keys: np.ndarray, own: np.ndarray, kinds: np.ndarray, tokens: np.ndarray, first: np.ndarray, learnt: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Target and context vectors of the words `keys` from one slice; row 0 belongs to all words without vectors and stays 0.
+
+    own and kinds give the row and the class of each word of the slice, the end last; tokens are places in them.
+    """
+    rng = np.random.default_rng([SEED, seed & 0xFFFFFFFFFFFF])
+    q = np.zeros((len(keys) + 1, WIDTH), np.float32)
+    r = np.concatenate([np.zeros((1, WIDTH), np.float32), first_vectors(keys)])
+    sums = [np.ones(len(q), np.float32), np.ones(len(q), np.float32)]
+    row, kind = own[tokens], kinds[tokens]
+    before, earlier = contexts(kind, first)
+    row_1, row_2 = tokens_before(row, first, own[-1])
+    at = np.flatnonzero(learnt)
+    log_k, weight = np.float32(np.log(NOISE)), np.float32(NOISE / SHARED_NOISE)
+
+    def move(value: np.ndarray, held: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        to = rows[order][starts]
+        total = np.add.reduceat(slope[order], starts, axis=0)
+        total[to == 0] = 0
+        held[to] += np.einsum("ij,ij->i", total, total) / WIDTH
+        value[to] += WORD_RATE * total / np.sqrt(held[to])[:, None]
+
+    for _ in range(min(EPOCHS, -(-READ // max(len(at), 1)))):
+        for k in range(0, len(at), STEP_TOKENS):
+            i = at[k : k + STEP_TOKENS]
+            j = at[rng.integers(0, len(at), SHARED_NOISE)]
+            u = PLACES[0] * r[row_1[i]] + PLACES[1] * r[row_2[i]]
+            b, e = before[i], earlier[i]
+            seen = model.near[b, kind[i]] + model.far[e, kind[i]] + (model.bias - model.log_share)[kind[i]] - model.normaliser[b, e]
+            q_seen, q_noise = q[row[i]], q[row[j]]
+            up = 1 / (1 + np.exp(seen.astype(np.float32) + np.einsum("ij,ij->i", u, q_seen) - log_k))
+            down = weight / (1 + np.exp(log_k - model.gain(kind[j], b, e).astype(np.float32) - u @ q_noise.T))
+            by_u = up[:, None] * q_seen - down @ q_noise
+            move(q, sums[0], np.concatenate([row[i], row[j]]), np.concatenate([up[:, None] * u, -(down.T @ u)]))
+            move(r, sums[1], np.concatenate([row_1[i], row_2[i]]), np.concatenate([PLACES[0] * by_u, PLACES[1] * by_u]))
+    return q, r
+
+
+def as_binary(values: np.ndarray, has: np.ndarray) -> pa.Array:
+    """Rows of half floats as a binary column, empty where `has` is false; values has the rows where it is true."""
+    ends = np.concatenate([[0], np.cumsum(np.where(has, 2 * values.shape[1], 0))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(ends), pa.py_buffer(values.astype(np.float16).tobytes())])
+
+
+def from_binary(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of as_binary aren't empty, and their values."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(offsets) else np.zeros(0, np.uint8)
+    return np.diff(offsets) > 0, data.view(np.float16).astype(np.float32).reshape(-1, 2 * WIDTH)
+
+
+_VECTOR = pa.schema([("word", pa.int64()), ("slice", pa.int64()), ("pos", pa.int32()), ("c", pa.int64()), ("k", pa.int32()), ("vectors", pa.binary())])
+_VECTOR_TYPES = "word long, slice long, pos int, c long, k int, vectors binary"
+
+
+def local_vectors(model: Model, part: pa.Table, known: pa.Table) -> pa.Table:
+    """Rows of _VECTOR for each word of each slice and the end; words without vectors, or not learnt from here, have none."""
+    out = []
+    row = part.combine_chunks()
+    for n in range(row.num_rows):
+        number = row["slice"][n].as_py()
+        train, ends, local, words, k = (row[name].chunk(0)[n].values.to_numpy(zero_copy_only=False) for name in ("train", "ends", "tokens", "words", "k"))
+        train = train.astype(bool)
+        c = np.zeros(len(words) + 1, np.int64)
+        c[known["pos"].to_numpy()] = known["c"].to_numpy()
+        c[-1], k = model.end_count, np.append(k, train.sum()).astype(np.int64)
+        has = (c >= LEAST) & (k > 0)
+        own = np.where(has, np.cumsum(has), 0)
+        tokens, first = with_ends(local, ends.astype(np.int64), len(words))
+        kinds = np.append(model.classes(words.view(np.uint64)), END)
+        learnt = np.repeat(train, np.diff(np.append(first, len(tokens))))
+        keys = np.append(words, END_WORD).astype(np.int64)
+        q, r = train_words(model, keys[has].view(np.uint64), own, kinds, tokens, first, learnt, number)
+        rows = [keys, np.full(len(keys), number), np.arange(len(keys), dtype=np.int32), c, k.astype(np.int32)]
+        out.append(pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows), as_binary(np.concatenate([q[1:], r[1:]], axis=1), has)], schema=_VECTOR))
+    return pa.Table.from_batches(out, _VECTOR)
+
+
+def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _VECTOR in order of word, with the mean of a word's vectors, weighted by k, in each of its rows."""
+    held = _VECTOR.empty_table()
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = pa.concat_tables([held, pa.Table.from_arrays(batch.columns, schema=_VECTOR)])
+        word = held["word"].to_numpy()
+        cut = len(word) if batch is None or not len(word) else int(np.searchsorted(word, word[-1]))  # the last word may go on
+        if not cut:
+            continue
+        now, held = held.slice(0, cut).combine_chunks(), held.slice(cut)
+        group = np.cumsum(np.diff(word[:cut], prepend=word[0]) != 0)
+        has, values = from_binary(now["vectors"])
+        mean, filled = np.zeros((0, 2 * WIDTH), np.float32), np.zeros(cut, bool)
+        if has.any():
+            mine, k = group[has], now["k"].to_numpy()[has].astype(np.float32)
+            starts = np.flatnonzero(np.diff(mine, prepend=-1))
+            mean = np.add.reduceat(values * k[:, None], starts, axis=0) / np.add.reduceat(k, starts)[:, None]
+            place = np.full(group[-1] + 1, -1)
+            place[mine[starts]] = np.arange(len(starts))
+            filled = place[group] >= 0
+            mean = mean[place[group][filled]]
+        yield pa.RecordBatch.from_arrays([*(now[name].chunk(0) for name in _VECTOR.names[:-1]), as_binary(mean, filled)], schema=_VECTOR)
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text, scores in log10.
 
     Texts whose crc32(id as text) modulo 7 is 2 are held out, all others are learnt from; a text's tokens are its words, A-Z
     in lower case, and one end. A null, empty or blank text has only the end. Ties among the most frequent words go to the
     smaller hash. Repeated rows are learnt as often as they come; an empty table gives no rows. A null id counts as
-    training. Only the two named columns are read.
+    training. Only the two named columns are read. score, not base_score, depends a little on how texts fall into slices.
     """
     short_batches(docs.sparkSession)
     parts = staged(sliced(docs, id_col, text_col), "slices")
@@ -201,12 +341,21 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             c = np.zeros(len(words) + 1, np.int64)
             c[known["pos"].to_numpy()] = known["c"].to_numpy()
             c[-1] = model.end_count
+            has, values = from_binary(known["vectors"])
+            place = np.zeros(len(c), np.int64)
+            place[known["pos"].to_numpy()[has]] = np.arange(1, len(values) + 1)
+            values = np.concatenate([np.zeros((1, 2 * WIDTH), np.float32), values])
             tokens, first = with_ends(local, ends, len(words))
             kind = np.append(model.classes(words), END)[tokens]
             before, earlier = contexts(kind, first)
             base = np.log10((c + 1) / (model.tokens + model.distinct + 1))[tokens]
             inside = np.log10((c + 1) / (model.rest_tokens + model.rest_words + 1))
             full = model.log10(kind, before, earlier) + np.where(kind == REST, inside[tokens], 0.0)
+            near, far = tokens_before(tokens, first, len(words))
+            for a in range(0, len(tokens), 1 << 16):
+                b = slice(a, a + (1 << 16))
+                u = PLACES[0] * values[place[near[b]], WIDTH:] + PLACES[1] * values[place[far[b]], WIDTH:]
+                full[b] += np.einsum("ij,ij->i", u, values[place[tokens[b]], :WIDTH]) / np.log(10)
             size = np.diff(np.append(first, len(tokens)))
             add = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
             values = [ids, pa.array(~train.to_numpy(zero_copy_only=False).astype(bool)), size, add((c[tokens] > 0).astype(np.int64)), np.full(len(size), model.tokens), add(base), add(full)]
@@ -216,4 +365,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     places = parts.select("slice", F.posexplode("words").alias("pos", "word")).join(counted, "word").select(F.col("slice").alias("of"), "pos", "c")
     body = parts.select("slice", "ids", "train", "ends", "tokens", "words")
     types = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return body.groupBy("slice").cogroup(places.groupBy("of")).applyInArrow(run, types).withColumnRenamed("id", id_col)
+    learning = parts.select("slice", "train", "ends", "tokens", "words", "k").groupBy("slice").cogroup(places.groupBy("of"))
+    local = learning.applyInArrow(lambda part, known: local_vectors(model, part, known), _VECTOR_TYPES)
+    means = local.repartition("word").sortWithinPartitions("word").mapInArrow(averaged, _VECTOR_TYPES).select(F.col("slice").alias("of"), "pos", "c", "vectors")
+    return body.groupBy("slice").cogroup(means.groupBy("of")).applyInArrow(run, types).withColumnRenamed("id", id_col)

@@ -66,3 +66,18 @@ def test_model_is_normalised_and_learns_order(monkeypatch):
     cross = lambda q: -(counts * np.log(np.maximum(q, 1e-12))).sum() / counts.sum()
     assert cross(p) < cross(np.broadcast_to(unigram, counts.shape)) - 0.1
     assert cross(p) < cross(np.broadcast_to(pairs, counts.shape)) + 0.03
+
+
+def test_words_of_the_rest_have_vectors_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    common = [f"c{k}" for k in range(lm_scoring.CLASSES)]
+    rows = [" ".join([*(w for _ in range(5) for w in common), *(x for k in rng.integers(0, 20, 40) for x in (f"a{k}", f"b{k}"))]) for _ in range(60)]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    right = [f"a{k} b{k}" for k in range(20)]
+    wrong = [f"a{k} b{(k + 1) % 20}" for k in range(20)]
+    docs = spark.createDataFrame([*zip(ids, rows, strict=False), *zip(held, right + wrong, strict=False)], "doc_id long, text string")
+    found = by_id(lm_scoring.scored(docs))
+    score = [found[i]["score"] for i in held[:40]]
+    assert sum(score[:20]) > sum(score[20:]) + 10
+    assert sum(x > y for x, y in zip(score[:20], score[20:], strict=True)) >= 18
