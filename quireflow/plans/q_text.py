@@ -47,6 +47,13 @@ def base64_digest(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.base64_text(F.substring("text", 1, 60).cast("binary")).alias("b64"))
 
 
+@query("base64_whole", "SELECT doc_id, length(base64(encode(text)))::BIGINT AS b64_chars, sha256(base64(encode(text))) AS b64_sha256 FROM documents")
+def base64_whole(t: Tables) -> DataFrame:
+    """All of every text; only the length and the hash of what is encoded are returned."""
+    b64 = T.base64_text(F.col("text").cast("binary"))
+    return t.documents.select("doc_id", F.length(b64).cast("long").alias("b64_chars"), F.sha2(b64, 256).alias("b64_sha256"))
+
+
 @query(
     "author_split",
     "SELECT c_custkey, array_to_string(list_transform(CASE WHEN contains(s, ',') THEN string_split(s, ',') ELSE string_split(s, ';') END, lambda x: trim(x)), '|') AS names FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || ', ' || c_mktsegment WHEN 1 THEN c_name || ' ;' || c_mktsegment ELSE c_name END AS s FROM customer)",

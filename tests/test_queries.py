@@ -41,3 +41,11 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_without_sql_there_are_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_base64_takes_whole_texts(spark):
+    import base64
+
+    texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    found = {r["doc_id"]: r["b64_chars"] for r in QUERIES["base64_whole"](spark, FOLDER).collect()}
+    assert found == {i: len(base64.b64encode(t)) for i, t in texts.items()} and max(found.values()) > 76
