@@ -40,6 +40,7 @@ class Library:
         self.analyzer = analyzer or A.WordAnalyzer()
         self.collection = S.Collection(spark, f"{self.config.storage.path}/points")
         self.progress_path = f"{self.config.storage.path}/progress"
+        self.analyses_path = f"{self.config.storage.path}/analyses"
 
     def progress(self) -> DataFrame:
         try:
@@ -70,12 +71,35 @@ class Library:
         calls.write.parquet(path)
         return self.spark.read.schema(calls.schema).parquet(path)
 
-    def points(self, books: DataFrame, chapters: DataFrame) -> DataFrame:
-        """Chunk and book points of parsed books, analysed and embedded."""
-        how = self.config.chunking
-        rows = A.normalised(self.answers(A.answered(A.windows(books, chapters), self.analyzer, attempts=self.config.llm.attempts)))
+    def images(self, found: DataFrame) -> DataFrame:
+        """Images of parsed files, as found by the readers; none unless the settings have a vision model enabled."""
+        fields = ("book_id", "ord", "filename", "content_type", "width", "height", "page_number", "base64_data")
+        keys = found.select("path", "book_id")
+        read = lambda kind, reader: reader.images(reader.read(found.filter(F.col("document_type") == kind)).join(keys, "path").filter("status = 'completed'"))
+        each = read("epub", epub).select(*fields).unionByName(read("pdf", pdf).select(*fields))
+        return each if self.config.vlm.enabled else each.limit(0)
+
+    def asked(self, calls: DataFrame) -> DataFrame:
+        return self.answers(A.answered(calls, self.analyzer, attempts=self.config.llm.attempts))
+
+    def analysed(self, books: DataFrame, chapters: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(analysis rows, bibliographies, failures) of books: image calls, the agents of books, then those of chapters."""
+        described = A.image_descriptions(images, self.asked(A.image_calls(images)))
+        rows = A.normalised(self.asked(A.windows(books, chapters)))
+        by_chapter = A.normalised(self.asked(A.chapter_windows(chapters, books=books)))
         found = A.merged_bibliography(A.form(rows, "bibliography"), books)
-        payload = found.select("book_id", "title", "authors").join(A.payload(A.assembled(books, rows)), "book_id")
+        return A.assembled(books, rows, by_chapter, described), found, A.broken_books(by_chapter)
+
+    def analyses(self) -> DataFrame:
+        """The last analysis of each book: what all agents said."""
+        stored = self.spark.read.parquet(self.analyses_path)
+        fields = [c for c in stored.columns if c not in ("book_id", "at")]
+        return stored.groupBy("book_id").agg(F.max_by(F.struct(*fields), "at").alias("x")).select("book_id", "x.*")
+
+    def points(self, books: DataFrame, chapters: DataFrame, analysis: DataFrame, found: DataFrame) -> DataFrame:
+        """Chunk and book points of parsed and analysed books, embedded."""
+        how = self.config.chunking
+        payload = found.select("book_id", "title", "authors").join(A.payload(analysis), "book_id")
         chunks = K.chunk_books(books, chapters, how.preserve_structure, min_tokens=how.min_tokens, max_tokens=how.max_tokens, overlap=how.overlap, compat=how.compat)
         own = E.embed_chunks(chunks.drop("position", "n_raw"), self.embedder, batch_size=self.config.embedding.batch_size)
         cards = S.book_card(payload).withColumn("embedding", E.embed(F.col("card"), self.embedder)).drop("card")
@@ -89,7 +113,12 @@ class Library:
                 books, chapters, failed = self.parsed(rows)
                 stored = books.count()
                 if stored:
-                    self.collection.upsert(self.points(books, chapters))
+                    analysis, found, broken = self.analysed(books, chapters, self.images(rows))
+                    failed = failed.unionByName(broken.join(rows.select("path", "book_id"), "book_id").select("path", "error"))
+                    whole = lambda df: df.join(broken, "book_id", "left_anti")
+                    stored = whole(books).count()
+                    whole(analysis).withColumn("at", F.current_timestamp()).write.mode("append").parquet(self.analyses_path)
+                    self.collection.upsert(self.points(whole(books), whole(chapters), whole(analysis), whole(found)))
                 done = rows.select("path").join(failed, "path", "left").select("path", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error", F.current_timestamp().cast("timestamp_ntz").alias("at"))
                 done.write.mode("append").parquet(self.progress_path)
                 errors = {r["path"]: r["error"] for r in failed.collect()}  # one short row for each broken file of the batch

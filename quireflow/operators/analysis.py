@@ -54,6 +54,8 @@ class WordAnalyzer:
             "key_quotes": {"quotes": [{"text": max(sentences, key=len, default="")[:300], "context": "", "significance": "longest sentence"}]},
             "chapter_summary": {"summary": first, "key_points": sentences[:5], "concepts_introduced": top[:5], "practical_examples": []},
         }
+        if agent in IMAGE_AGENTS:  # it reads no images
+            return {"describe": "", "ocr": "NO_TEXT", "classify": "unknown"}[agent]
         return json.dumps(forms.get(agent, {"text": first}))
 
 
@@ -74,13 +76,21 @@ def windows(books: DataFrame, chapters: DataFrame, agents: tuple[str, ...] = BOO
     return out
 
 
-def chapter_windows(chapters: DataFrame, agents: tuple[str, ...] = CHAPTER_AGENTS) -> DataFrame:
-    """(book_id, number, title, agent, input): one call for each chapter that an agent reads."""
+def chapter_windows(chapters: DataFrame, agents: tuple[str, ...] = CHAPTER_AGENTS, books: DataFrame | None = None) -> DataFrame:
+    """(book_id, number, title, agent, input): one call for each chapter that an agent reads.
+
+    With books, a book without chapters has one call of its text for each agent but chapter_summary, as number 0 without a title.
+    """
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy("number"))
     ranked = chapters.select("book_id", "number", "title", "content").withColumn("rank", rank)
     calls = F.explode(F.array(*[F.struct(F.lit(a).alias("agent"), F.lit(WINDOWS[a][0]).alias("n"), F.lit(WINDOWS[a][1]).alias("limit")) for a in agents]))
     each = ranked.withColumn("call", calls).filter((F.col("call.n") == 0) | (F.col("rank") <= F.col("call.n")))
-    return each.select("book_id", "number", "title", F.col("call.agent").alias("agent"), F.substring(F.col("content"), F.lit(1), F.col("call.limit")).alias("input"))
+    found = each.select("book_id", "number", "title", F.col("call.agent").alias("agent"), F.substring(F.col("content"), F.lit(1), F.col("call.limit")).alias("input"))
+    whole = [a for a in agents if a != "chapter_summary"]
+    if books is None or not whole:
+        return found
+    bare = books.join(chapters.select("book_id").distinct(), "book_id", "left_anti")
+    return found.unionByName(bare.select("book_id", F.lit(0).alias("number"), F.lit("").alias("title"), F.explode(F.array(*[F.lit(a) for a in whole])).alias("agent"), F.substring("raw_text", 1, WHOLE_CHARS).alias("input")))
 
 
 def answered(calls: DataFrame, analyzer: Analyzer, threads: int = 6, attempts: int = ATTEMPTS, wait_s: float = LEAST_WAIT_S) -> DataFrame:
@@ -197,10 +207,29 @@ def merged_bibliography(found: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def assembled(books: DataFrame, rows: DataFrame) -> DataFrame:
+def summaries(rows: DataFrame) -> DataFrame:
+    """(book_id, number, title, the fields of chapter_summary) of each chapter."""
+    return form(rows, "chapter_summary", ("book_id", "number", "title"))
+
+
+def broken_books(rows: DataFrame) -> DataFrame:
+    """(book_id, error) of books of which a chapter's summary failed: the other agents have defaults, this one fails its book."""
+    return rows.filter("agent = 'chapter_summary' AND status = 'exception'").groupBy("book_id").agg(F.min_by("error", "number").alias("error"))
+
+
+def listed(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """(book_id, name): a book's rows as an array of structs, in order."""
+    fields = [c for c in rows.columns if c != "book_id"]
+    each = F.collect_list(F.struct(F.col(order).alias("k"), F.struct(*fields).alias("v")))
+    return rows.groupBy("book_id").agg(F.transform(F.array_sort(each), lambda x: x.v).alias(name))
+
+
+def assembled(books: DataFrame, rows: DataFrame, by_chapter: DataFrame | None = None, described: DataFrame | None = None) -> DataFrame:
     """One analysis row for each book: the answers of all agents side by side, in one aggregation and one join.
 
-    The fields of an agent without an answer are what its normal form makes of a call that failed.
+    The fields of an agent without an answer are what its normal form makes of a call that failed. by_chapter has the
+    normalised answers of the chapters' agents, described the image_descriptions with ord; they become arrays, empty where
+    a book has none.
     """
     agents = ("genre_tags", "overview", "themes")
     answer = lambda a, c: F.max(F.when(F.col("agent") == a, F.col(c)))
@@ -209,7 +238,16 @@ def assembled(books: DataFrame, rows: DataFrame) -> DataFrame:
     made: dict[str, Column] = {}
     for agent in agents:
         made |= FORMS[agent](M.parsed(F.col(f"{agent}_text")), F.coalesce(f"{agent}_status", F.lit("exception")))
-    return joined.select("book_id", *[c.alias(k) for k, c in made.items()])
+    found = joined.select("book_id", *[c.alias(k) for k, c in made.items()])
+    lists = []
+    if by_chapter is not None:
+        lists += [("technical_concepts", "ord", distinct_concepts(concept_rows(by_chapter), ["book_id"])), ("key_quotes", "ord", quotes(by_chapter)), ("chapter_summaries", "number", summaries(by_chapter))]
+    if described is not None:
+        lists.append(("image_descriptions", "ord", described))
+    for name, order, each in lists:
+        one = listed(each, order, name)
+        found = found.join(one, "book_id", "left").withColumn(name, F.coalesce(name, F.array().cast(one.schema[name].dataType)))
+    return found
 
 
 def image_calls(images: DataFrame) -> DataFrame:

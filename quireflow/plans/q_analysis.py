@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import model_output as M
+from ..functions import text as T
 from ..operators import analysis as A
 from .registry import Tables, query
 
@@ -130,7 +132,10 @@ def ocr_and_class(t: Tables) -> DataFrame:
 
 @query("analyze_books")
 def analyze_books(t: Tables) -> DataFrame:
-    """All book agents, with the analyzer that needs no model, over books of documents."""
+    """All agents of books, chapters and images, with the analyzer that needs no model, over books of documents.
+
+    Every fiftieth document's text stands for the bytes of an image.
+    """
     from ..operators import chapters as C
     from .q_chapters import BOOK, chapters
 
@@ -138,8 +143,13 @@ def analyze_books(t: Tables) -> DataFrame:
     books = C.raw_text(own, BOOK).withColumn("book_id", F.concat_ws("/", *BOOK))
     keyed = own.withColumn("book_id", F.concat_ws("/", *BOOK))
     rows = A.normalised(A.answered(A.windows(books, keyed), A.WordAnalyzer()))
-    found = A.assembled(books, rows)
-    return found.select("book_id", "genres", "tags", "difficulty_level", "summary", "main_topics", F.transform("primary_themes", lambda x: x["name"]).alias("themes"))
+    by_chapter = A.normalised(A.answered(A.chapter_windows(keyed, books=books), A.WordAnalyzer()).persist(StorageLevel.DISK_ONLY))  # read by each list
+    none = F.lit(None).cast("int")
+    images = keyed.filter("doc_id % 50 = 0").select("book_id", F.col("number").alias("ord"), F.concat("title", F.lit(".png")).alias("filename"), F.lit("image/png").alias("content_type"), none.alias("width"), none.alias("height"), none.alias("page_number"), T.base64_text(F.col("content").cast("binary")).alias("base64_data"))
+    described = A.image_descriptions(images, A.answered(A.image_calls(images), A.WordAnalyzer()))
+    found = A.assembled(books, rows, by_chapter, described)
+    lists = ("technical_concepts", "key_quotes", "chapter_summaries", "image_descriptions")
+    return found.select("book_id", "genres", "tags", "difficulty_level", "summary", "main_topics", F.transform("primary_themes", lambda x: x["name"]).alias("themes"), *lists)
 
 
 @query("analyze_chapters")

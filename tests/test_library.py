@@ -11,6 +11,7 @@ import pytest
 from quireflow import cli
 from quireflow.config import Config
 from quireflow.library import Library
+from quireflow.operators import analysis as A
 from quireflow.sources import epub, files
 
 
@@ -112,3 +113,33 @@ def test_config(tmp_path, monkeypatch):
         Config.load()
     with pytest.raises(FileNotFoundError):
         Config.load(tmp_path / "none.yaml")
+
+
+class Talker:
+    """Answers that name the agent; the summary of a chapter with swords in it fails."""
+
+    def analyze(self, agent: str, text: str) -> str:
+        if agent == "chapter_summary" and "swords" in text:
+            raise ValueError("no summary")
+        forms = {"technical_concepts": '{"concepts": [{"term": "whale"}]}', "key_quotes": '{"quotes": [{"text": "call me"}]}', "chapter_summary": '{"summary": "short"}', "describe": "a ship", "ocr": "NO_TEXT", "classify": "Photo"}
+        return forms.get(agent, "{}")
+
+
+def test_ingest_runs_the_whole_committee(spark, folder, tmp_path):
+    config = Config()
+    config.storage.path, config.llm.attempts, config.vlm.enabled = str(tmp_path / "store"), 1, True
+    library = Library(spark, config, analyzer=Talker())
+    report = library.ingest_directory(str(folder))
+    assert report.stored == 1 and {p.rpartition("/")[2] for p in report.errors} == {"a.EPUB", "c.epub"}
+    (row,) = library.analyses().collect()
+    assert [c["term"] for c in row["technical_concepts"]] == ["whale"]
+    assert [(q["text"], q["chapter"]) for q in row["key_quotes"]] == [("call me", "Start"), ("call me", "End")]
+    assert [(s["title"], s["summary"]) for s in row["chapter_summaries"]] == [("Start", "short"), ("End", "short")]
+    assert [(i["filename"], i["description"], i["image_type"]) for i in row["image_descriptions"]] == [("a.png", "a ship", "photo")]
+
+
+def test_a_book_without_chapters_is_read_as_a_whole(spark):
+    books = spark.createDataFrame([("b", "bare text")], "book_id string, raw_text string")
+    none = spark.createDataFrame([], "book_id string, number int, title string, content string")
+    found = {(r["agent"], r["input"]) for r in A.chapter_windows(none, books=books).collect()}
+    assert found == {("technical_concepts", "bare text"), ("key_quotes", "bare text")}
