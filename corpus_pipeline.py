@@ -13,6 +13,8 @@ from quireflow.llm.queries import tokenizer_path
 
 #: Training sequences have at most so many ids.
 CAPACITY = 2048
+#: The key of a row while near-duplicates are sought.
+ROW = "__row"
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +28,14 @@ def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of each group of near-duplicates stays, the one with the smallest doc_id, a null last; of equal ids any one.
+
+    Rows are told apart by a key of their own, so rows without an id and repeated rows are documents like others.
+    """
+    keyed = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    found = minhash.near_duplicates(keyed, id_col=ROW, width=5, percent=80).join(keyed.select(ROW, "doc_id"), ROW)
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}"))
+    return keyed.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,11 @@ def test_stages_keep_the_columns_and_take_edges(spark, edge):
     none = base.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, FOLDER).collect() == [], name
+
+
+def test_near_duplicates_keep_null_ids_and_one_of_repeated_rows(spark):
+    one, two, three, four = (" ".join(f"{w}{k}" for k in range(60)) for w in "abcd")
+    rows = [(None, one), (None, two), (7, three), (7, three), (9, four), (3, four), (None, four), (None, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.without_near_duplicates(spark, docs, FOLDER).collect()
+    assert sorted((r["text"], r["doc_id"] or 0) for r in found) == [(one, 0), (two, 0), (three, 7), (four, 3)]
