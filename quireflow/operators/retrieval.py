@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,18 +60,43 @@ def reranked(found: DataFrame, chosen: DataFrame, key: str = "book_id") -> DataF
     return found.join(chosen.select(key, F.col("rank").alias("chosen_rank")), key).orderBy("chosen_rank")
 
 
+def recommended(points: DataFrame, query: list[float] | Column, k: int, tags: list[str] | None = None, chosen: DataFrame | None = None, key: str = "book_id", vector: str = "embedding") -> DataFrame:
+    """The k books that a reader is shown: twice as many candidates by similarity, of those with any of the tags, then the model's choice.
+
+    chosen has (key, rank) from a model that read the candidates; without it the candidates' own order counts.
+    """
+    candidates = top_k(books_only(points), query, 2 * k, {"tags": tags} if tags else None, key, vector)
+    if chosen is not None:
+        return reranked(candidates, chosen, key).limit(k)
+    return candidates.orderBy(F.col("score").desc(), key).limit(k)
+
+
+def wanted_tags(message: str, known: list[str]) -> list[str]:
+    """Known tags that a message names as whole words: what a recommendation is filtered by."""
+    words = set(re.findall(r"[^\W_]+", message.lower()))
+    return [t for t in known if set(re.findall(r"[^\W_]+", t.lower())) and set(re.findall(r"[^\W_]+", t.lower())) <= words]
+
+
 def page(books: DataFrame, number: int, size: int, by: str = "title", key: str = "book_id") -> DataFrame:
     """One page of a list in a total order."""
     return books.orderBy(by, key).offset((number - 1) * size).limit(size)
 
 
-def needs_web(hits: DataFrame, message: Column, least: float = 0.5) -> Column:
-    """Whether to look on the web: the message asks for news, or the best of the hits (aggregated) is too weak."""
-    return message.rlike(WEB_WORDS) | (F.coalesce(F.max("score"), F.lit(0.0)) < least)
+#: What a message holds that asks for more than a library has.
+WEB_WORDS = ("latest", "recent", "news", "current", "2024", "2025", "what is", "how to", "tutorial", "guide")
+
+
+def needs_web(message: Column, best: Column, least: float = 0.5) -> Column:
+    """Whether to look on the web: the message holds one of the words, or the library's best score (null: no hit) is too low."""
+    low = F.lower(message)
+    asks = reduce(or_, [F.contains(low, F.lit(w)) for w in WEB_WORDS])
+    return F.coalesce(asks, F.lit(False)) | (F.coalesce(best, F.lit(0.0)) < least)
 
 
-#: Words that ask for what no library has.
-WEB_WORDS = r"(?i)latest|recent|current|today|news|update|new release|trending|202\d|online"
+def general_context(library: DataFrame, web: DataFrame, message: Column, least: float = 0.5) -> DataFrame:
+    """Library hits, and web hits only where the gate lets them in. library has a `score`; both are the few rows of a search."""
+    gate = library.agg(F.max("score").alias("best")).select(needs_web(message, F.col("best"), least).alias("open"))
+    return context(library, web.join(gate.filter("open"), how="left_semi"))
 
 
 def context(library: DataFrame, web: DataFrame) -> DataFrame:

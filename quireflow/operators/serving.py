@@ -2,43 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 LOAN_DAYS = 14
+#: The words that ask for a recommendation, and the ways to name a book to talk about, tried in this order.
+RECOMMEND = ("recommend", "suggest", "gimmee", "gimme", "give me", "find me", "looking for")
+FOCUS = (
+    r"(?:let's|lets|want to)\s+(?:talk|chat|discuss)\s+(?:about\s+)?([^\n]+)",
+    r"(?:focus|switch)\s+(?:on|to)\s+([^\n]+)",
+    r"tell me (?:more )?about\s+([^\n]+)",
+)
 #: Ordered rules: the first that matches names the intent. "my checkouts" holds the word checkout, so the first rule takes it.
 INTENTS = (
-    ("checkout", r"checkout|check out|download|borrow"),
-    ("return", r"return.*book|return the"),
-    ("read_chapter", r"^read chapter \d+"),
-    ("my_checkouts", r"my checkouts|my books"),
-    ("help", r"\bhelp\b"),
-    ("recommend", r"recommend|suggest|what should i read"),
-    ("focus", r"(?:focus on|talk about|tell me about) .+"),
+    ("checkout", r"checkout|download"),
+    ("return_book", r"(?s)return.*book|book.*return"),
+    ("read_chapter", r"^read\s+chapter\s+\d+"),
+    ("list_checkouts", r"my checkouts|my books"),
+    ("help", r"help"),
+    ("recommend", "|".join(RECOMMEND)),
 )
-FOCUS = r"(?i)(?:focus on|talk about|tell me about) (.+)"
-READ = r"(?i)read chapter (\d+)"
-RETURN = r"(?i)return (?:the )?(?:book )?(.+)"
+READ = r"^read\s+chapter\s+(\d+)"
+RETURN = r"return\s+([^\n]+)"
+
+
+def titles_asked(message: Column) -> Column:
+    """Titles that a message may want to talk about, one for each way that it uses, in the order in which they are tried."""
+    low = F.lower(message)
+    return F.filter(F.array(*[captured(low, pattern) for pattern in FOCUS]), lambda x: x.isNotNull())
+
 
+def captured(text: Column, pattern: str) -> Column:
+    """The stripped first group of a pattern's first match, or null."""
+    return F.when(text.rlike(pattern), T.strip(F.regexp_extract(text, pattern, 1)))
 
-def intent(message: Column, in_book: Column, known_title: Column) -> Column:
-    """The intent of a message; focus counts only if its title is known, and what is left depends on the thread's mode."""
-    low = F.lower(T.strip(message))
+
+def intent(message: Column, in_book: Column, known: Callable[[Column], Column]) -> Column:
+    """The intent of a message; focus_book counts only if a title in it is known, and what is left depends on the thread's mode."""
+    low = F.lower(message)
     chain = None
     for name, pattern in INTENTS:
-        match = low.rlike(pattern) & (known_title if name == "focus" else F.lit(True))
+        match = low.rlike(pattern)
         chain = F.when(match, F.lit(name)) if chain is None else chain.when(match, F.lit(name))
-    return chain.when(in_book, F.lit("in_book")).otherwise(F.lit("search"))
+    return chain.when(F.exists(titles_asked(message), known), F.lit("focus_book")).when(in_book, F.lit("book_question")).otherwise(F.lit("search"))
 
 
 def chapter_asked(message: Column) -> Column:
-    return F.nullif(F.regexp_extract(message, READ, 1), F.lit("")).cast("int")
+    return captured(F.lower(message), READ).cast("int")
+
+
+def title_asked(message: Column, known: Callable[[Column], Column]) -> Column:
+    """The first title in a message that is known, or null."""
+    return F.try_element_at(F.filter(titles_asked(message), known), F.lit(1))
 
 
-def title_asked(message: Column, pattern: str = FOCUS) -> Column:
-    return F.nullif(T.strip(F.regexp_extract(message, pattern, 1)), F.lit(""))
+def return_asked(message: Column) -> Column:
+    """What a message wants to bring back."""
+    return captured(F.lower(message), RETURN)
 
 
 def last_messages(thread: DataFrame, key: str, order: str, n: int = 6) -> DataFrame:
@@ -72,6 +96,19 @@ def read_chapter(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.groupBy(*keys).agg(T.ordered_concat(F.col("chunk_index"), F.col("content"), "\n\n").alias("content")).withColumn("parts", T.parts(F.col("content")))
 
 
+def chapter_reply(chapters: DataFrame) -> DataFrame:
+    """Adds `reply` and `pending`: the first part of a chapter (with parts and title) under its heading, and the parts that wait."""
+    many = F.size("parts") > 1
+    heading = F.concat(F.lit("*"), F.col("title"), F.lit("*"), F.when(many, F.concat(F.lit(" (Part 1 of "), F.size("parts").cast("string"), F.lit(")"))).otherwise(F.lit("")), F.lit("\n\n"))
+    more = F.when(many, F.lit('\n\n_Say "continue" for the next part._')).otherwise(F.lit(""))
+    return chapters.withColumn("reply", F.concat(heading, F.element_at("parts", 1), more)).withColumn("pending", F.when(many, F.slice(F.col("parts"), F.lit(2), F.size("parts") - 1)).otherwise(F.array().cast("array<string>")))
+
+
+def continued(states: DataFrame) -> DataFrame:
+    """One step of "continue": the next of the parts that wait as `reply`, null if none does, and those still waiting."""
+    return states.withColumn("reply", F.try_element_at("pending", F.lit(1))).withColumn("pending", F.when(F.size("pending") > 1, F.slice(F.col("pending"), F.lit(2), F.size("pending") - 1)).otherwise(F.array().cast("array<string>")))
+
+
 def loans(checkouts: DataFrame, now: Column) -> DataFrame:
     """Loans with expiry (LOAN_DAYS after checkout if null) and whole days left, rounded down: below 0 once overdue."""
     due = F.coalesce("expiry_time", F.col("checkout_time") + F.expr(f"INTERVAL {LOAN_DAYS} DAYS"))
@@ -127,3 +164,32 @@ def chat_prompt(hits: DataFrame, history: DataFrame, question: str, key: str = "
     passage = F.when(F.col("_n").isNotNull(), F.concat(F.format_string("[%d] ", "_n"), F.col("content")))
     found = both.agg(T.ordered_concat(F.col("_n"), passage, "\n\n").alias("passages"), F.coalesce(F.max("history"), F.lit("")).alias("said"))
     return found.select(F.concat(F.lit("Passages:\n"), "passages", F.lit("\n\nEarlier:\n"), "said", F.lit("\n\nQuestion: "), F.lit(question)).alias("prompt"))
+
+
+def book_detail(books: DataFrame, chapters: DataFrame, quotes: DataFrame, checkouts: DataFrame) -> DataFrame:
+    """Books with their loans, their chapters (number, title, summary) in order and their quotes (ord, text, chapter).
+
+    Each list is one aggregation by book before it is joined; a book without chapters or quotes has empty lists.
+    """
+    found = with_availability(books, checkouts)
+    for name, rows, fields in (("chapters", chapters, ("number", "title", "summary")), ("quotes", quotes, ("ord", "text", "chapter"))):
+        own = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        found = found.join(own, "book_id", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
+    return found
+
+
+def focused(best: DataFrame, books: DataFrame, threads: DataFrame) -> DataFrame:
+    """Threads (thread, with any state) that move to the best title found: mode, book_id, empty history, and what the bot says.
+
+    best has (thread, book_id) for threads whose question named a title well enough; the others keep mode and book, and are told so.
+    """
+    said = book_overview(books)
+    moved = threads.join(best.select("thread", F.col("book_id").alias("found")), "thread", "left").join(said.select(F.col("book_id").alias("found"), "message"), "found", "left")
+    hit = F.col("message").isNotNull()
+    return moved.select(
+        "thread",
+        F.when(hit, F.lit("book")).otherwise(F.col("mode")).alias("mode"),
+        F.when(hit, F.col("found")).otherwise(F.col("book_id")).alias("book_id"),
+        F.when(hit, F.lit(0)).otherwise(F.col("history_length")).alias("history_length"),
+        F.coalesce("message", F.lit("No such book was found")).alias("message"),
+    )

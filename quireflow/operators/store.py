@@ -41,9 +41,10 @@ def book_list(stored: DataFrame, limit: int = 1000) -> DataFrame:
     return stored.filter("is_metadata").select("book_id", "title", "authors", "genres", "tags", "difficulty_level").orderBy("title", "book_id").limit(limit)
 
 
-def scroll(stored: DataFrame, book_id, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A book's chunks in order, some at a time."""
-    return stored.filter((F.col("book_id") == book_id) & ~F.col("is_metadata")).orderBy("chunk_index").offset(offset).limit(limit)
+def scroll(stored: DataFrame, book_id, limit: int = 100, offset: int = 0, chapter: int | None = None) -> DataFrame:
+    """A book's chunks in order, or those of one of its chapters, some at a time."""
+    own = F.lit(True) if chapter is None else F.col("chapter_number") == chapter
+    return stored.filter((F.col("book_id") == book_id) & ~F.col("is_metadata") & own).orderBy("chunk_index").offset(offset).limit(limit)
 
 
 def lookup(stored: DataFrame, book_id) -> DataFrame:

@@ -83,10 +83,14 @@ def citations(t: Tables) -> DataFrame:
     return found.select("vec_id", "rank", "mark", T.citation(F.concat(F.lit("Book "), F.col("label").cast("string")), F.concat(F.lit("part "), F.col("vec_id").cast("string")), where, F.col("rank")).alias("line"))
 
 
-@query("recommend_topk", f"WITH {POINTS}, {QUERY}, c AS (SELECT e.vec_id, e.label, {RAW} AS score FROM points e, q WHERE is_metadata ORDER BY score DESC, e.vec_id LIMIT 6) SELECT vec_id, label, round(score, 6) AS score FROM c WHERE label <> 0 ORDER BY score DESC, vec_id LIMIT 3")
+TAGS = "CASE WHEN label % 2 = 0 THEN ['even', 'book'] ELSE ['odd', 'book'] END"
+
+
+@query("recommend_topk", f"WITH {POINTS}, {QUERY}, c AS (SELECT e.vec_id, e.label, {RAW} AS score FROM points e, q WHERE is_metadata AND list_contains({TAGS}, 'odd') ORDER BY score DESC, e.vec_id LIMIT 6) SELECT vec_id, label, round(score, 6) AS score FROM c ORDER BY score DESC, vec_id LIMIT 3")
 def recommend(t: Tables) -> DataFrame:
-    candidates = R.top_k(R.books_only(points(t)), asked(t), 6, None, "vec_id")
-    return rounded(candidates.filter("label <> 0").orderBy(F.col("score").desc(), "vec_id").limit(3), "label")
+    """From a wish in words: its tags filter the books, twice as many candidates as wanted are found, the best are shown."""
+    tagged = points(t).withColumn("tags", F.when(F.col("label") % 2 == 0, F.array(F.lit("even"), F.lit("book"))).otherwise(F.array(F.lit("odd"), F.lit("book"))))
+    return rounded(R.recommended(tagged, asked(t), 3, R.wanted_tags("gimme something ODD, please", ["even", "odd"]), key="vec_id"), "label")
 
 
 @query("rerank_chosen", f"WITH {POINTS}, {QUERY}, c AS (SELECT e.vec_id, e.label, {RAW} AS score FROM points e, q WHERE is_metadata ORDER BY score DESC, e.vec_id LIMIT 10) SELECT c.vec_id, c.label, x.rank::INT AS chosen_rank FROM c JOIN (VALUES (4, 1), (2, 2), (99, 3)) x(label, rank) ON x.label = c.label")
@@ -97,8 +101,16 @@ def rerank(t: Tables) -> DataFrame:
 
 @query("general_context_union", f"WITH {QUERY}, hits AS (SELECT e.vec_id, {RAW} AS score FROM embeddings e, q ORDER BY score DESC, e.vec_id LIMIT 3), web AS (SELECT url FROM pages ORDER BY page_id LIMIT 5) SELECT 'library' AS source, vec_id, round(score, 6) AS score, NULL::VARCHAR AS url FROM hits UNION ALL SELECT 'web', NULL, NULL, url FROM web")
 def context(t: Tables) -> DataFrame:
+    """The message asks for news, so the gate is open."""
+    web = t.pages.orderBy("page_id").limit(5).select("url")
+    return R.general_context(rounded(R.top_k(t.embeddings, asked(t), 3, None, "vec_id")), web, F.lit("the latest on the sea")).select("source", "vec_id", "score", "url")
+
+
+@query("general_context_closed", f"WITH {QUERY} SELECT 'library' AS source, e.vec_id, {COS} AS score, NULL::VARCHAR AS url FROM embeddings e, q ORDER BY {RAW} DESC, e.vec_id LIMIT 3")
+def context_closed(t: Tables) -> DataFrame:
+    """The best hit is the question itself, and the message asks for nothing else, so no web hit comes in."""
     web = t.pages.orderBy("page_id").limit(5).select("url")
-    return R.context(rounded(R.top_k(t.embeddings, asked(t), 3, None, "vec_id")), web).select("source", "vec_id", "score", "url")
+    return R.general_context(rounded(R.top_k(t.embeddings, asked(t), 3, None, "vec_id")), web, F.lit("an old tale")).select("source", "vec_id", "score", "url")
 
 
 @query("hybrid_search", f"WITH {QUERY} SELECT e.vec_id, round({RAW} + 0.1 * (CASE WHEN contains('book ' || e.label, '7') THEN 1 ELSE 0 END), 6) AS score FROM embeddings e, q ORDER BY {RAW} + 0.1 * (CASE WHEN contains('book ' || e.label, '7') THEN 1 ELSE 0 END) DESC, e.vec_id LIMIT 10")

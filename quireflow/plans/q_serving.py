@@ -36,35 +36,56 @@ def thread_render(t: Tables) -> DataFrame:
     return V.rendered(V.last_messages(t.conversations, "conv_id", "turn"), "conv_id", "turn")
 
 
-#: Utterances that the tables lack, one for each remainder of the turn.
-SAID = ("please download it", "my checkouts", "Return the book Dune now", "read chapter 3", "please read chapter 3", "I need help", "can you recommend one", "tell me about the sea")
-SAID_SQL = "CASE turn % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(SAID)) + " END"
+#: Utterances that the tables lack, one for each remainder of the turn; SAID_WEB in the same way for the gate.
+SAID = (
+    "please download it", "my checkouts", "MY BOOKS", "Return the book Dune now", "this book I return", "borrow it", "read  chapter 3", "please read chapter 3", "I need helpful things", "can you recommend one",
+    "gimme some python", "Give me more", "find me a tale", "looking for the sea", "what should i read", "let''s talk about the sea", "I want to discuss the Sea", "lets chat about mud", "switch to sea stories ", "focus on mud", "tell me more about sea birds", "tell me about mud", "focus on mud, tell me about the sea", "talk about the sea",
+)
+SAID_WEB = ("an old tale", "the LATEST tale", "a tale of 2025", "What is a tale", "how to read", "a tutorial", "Guide me", "current tales", "today online", "trending update")
 
 
-def said(t: Tables) -> DataFrame:
+def said_sql(said: tuple[str, ...]) -> str:
+    return f"CASE turn % {len(said)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(said)) + " END"
+
+
+def said(said: tuple[str, ...]) -> F.Column:
     chain = None
-    for k, x in enumerate(SAID):
-        chain = F.when(F.col("turn") % 8 == k, x) if chain is None else chain.when(F.col("turn") % 8 == k, x)
-    return t.conversations.withColumn("message", F.when(F.col("conv_id") % 3 == 0, F.col("text")).otherwise(chain))
+    for k, x in enumerate(said):
+        now, text = F.col("turn") % len(said) == k, F.lit(x.replace("''", "'"))
+        chain = F.when(now, text) if chain is None else chain.when(now, text)
+    return chain
+
+
+#: The rules as they are stated: substrings in any order, and a title that is found counts as known if it holds "sea".
+FOCUS_SQL = "list_filter([{}], lambda x: contains(x, 'sea'))".format(", ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN trim(regexp_extract(low, '{p}', 1)) END" for p in (r"(?:let''s|lets|want to)\s+(?:talk|chat|discuss)\s+(?:about\s+)?([^\n]+)", r"(?:focus|switch)\s+(?:on|to)\s+([^\n]+)", r"tell me (?:more )?about\s+([^\n]+)")))
 
 
 @query(
     "intent_classify",
-    f"""WITH m AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN text ELSE {SAID_SQL} END AS message FROM conversations), s AS (SELECT *, lower(message) AS low FROM m)
-    SELECT conv_id, turn, CASE WHEN regexp_matches(low, 'checkout|check out|download|borrow') THEN 'checkout' WHEN regexp_matches(low, 'return.*book|return the') THEN 'return' WHEN regexp_matches(low, '^read chapter \\d+') THEN 'read_chapter'
-        WHEN regexp_matches(low, 'my checkouts|my books') THEN 'my_checkouts' WHEN regexp_matches(low, '\\bhelp\\b') THEN 'help' WHEN regexp_matches(low, 'recommend|suggest|what should i read') THEN 'recommend'
-        WHEN regexp_matches(low, '(?:focus on|talk about|tell me about) .+') AND conv_id % 2 = 0 THEN 'focus' WHEN conv_id % 5 = 0 THEN 'in_book' ELSE 'search' END AS intent,
-        TRY_CAST(nullif(regexp_extract(message, '(?i)read chapter (\\d+)', 1), '') AS INT) AS chapter, nullif(trim(regexp_extract(message, '(?i)(?:focus on|talk about|tell me about) (.+)', 1)), '') AS title FROM s""",
+    rf"""WITH u AS (SELECT conv_id, turn + conv_id % 24 AS turn, turn AS t, text FROM conversations), m AS (SELECT conv_id, t, CASE WHEN conv_id % 3 = 0 THEN text ELSE {said_sql(SAID)} END AS message FROM u), s AS (SELECT *, lower(message) AS low FROM m), f AS (SELECT *, {FOCUS_SQL} AS titles FROM s)
+    SELECT conv_id, t AS turn, CASE WHEN contains(low, 'checkout') OR contains(low, 'download') THEN 'checkout' WHEN contains(low, 'return') AND contains(low, 'book') THEN 'return_book' WHEN regexp_matches(low, '^read\s+chapter\s+\d+') THEN 'read_chapter'
+        WHEN contains(low, 'my checkouts') OR contains(low, 'my books') THEN 'list_checkouts' WHEN contains(low, 'help') THEN 'help'
+        WHEN contains(low, 'recommend') OR contains(low, 'suggest') OR contains(low, 'gimmee') OR contains(low, 'gimme') OR contains(low, 'give me') OR contains(low, 'find me') OR contains(low, 'looking for') THEN 'recommend'
+        WHEN len(titles) > 0 THEN 'focus_book' WHEN conv_id % 5 = 0 THEN 'book_question' ELSE 'search' END AS intent,
+        TRY_CAST(nullif(regexp_extract(low, '^read\s+chapter\s+(\d+)', 1), '') AS INT) AS chapter, titles[1] AS title, CASE WHEN regexp_matches(low, 'return\s+[^\n]+') THEN trim(regexp_extract(low, 'return\s+([^\n]+)', 1)) END AS returned FROM f""",
 )
 def intent_classify(t: Tables) -> DataFrame:
-    found = V.intent(F.col("message"), F.col("conv_id") % 5 == 0, F.col("conv_id") % 2 == 0)
-    return said(t).select("conv_id", "turn", found.alias("intent"), V.chapter_asked(F.col("message")).alias("chapter"), V.title_asked(F.col("message")).alias("title"))
+    known = lambda title: F.contains(title, F.lit("sea"))
+    shifted = t.conversations.withColumn("t", F.col("turn")).withColumn("turn", F.col("turn") + F.col("conv_id") % 24)
+    message = F.when(F.col("conv_id") % 3 == 0, F.col("text")).otherwise(said(SAID))
+    rows = shifted.select("conv_id", F.col("t").alias("turn"), message.alias("message"))
+    return rows.select("conv_id", "turn", V.intent(F.col("message"), F.col("conv_id") % 5 == 0, known).alias("intent"), V.chapter_asked(F.col("message")).alias("chapter"), V.title_asked(F.col("message"), known).alias("title"), V.return_asked(F.col("message")).alias("returned"))
 
 
-@query("web_gate", "WITH h AS (SELECT label, max(vec_id % 100) / 100.0 AS best FROM embeddings GROUP BY label) SELECT c.conv_id, regexp_matches(min(CASE WHEN c.conv_id % 4 = 0 THEN 'what is the Latest news' ELSE 'an old tale' END), '(?i)latest|recent|current|today|news|update|new release|trending|202\\d|online') OR coalesce(max(CASE WHEN c.conv_id % 3 = 0 THEN NULL ELSE (c.turn + 3) / 10.0 END), 0) < 0.5 AS needs_web FROM conversations c GROUP BY c.conv_id")
+@query(
+    "web_gate",
+    f"""WITH m AS (SELECT conv_id, t, lower({said_sql(SAID_WEB)}) AS low, CASE WHEN conv_id % 4 <> 0 THEN (t + 3) / 10.0 END AS best FROM (SELECT conv_id, turn AS t, turn + conv_id AS turn FROM conversations))
+    SELECT conv_id, t AS turn, (contains(low, 'latest') OR contains(low, 'recent') OR contains(low, 'news') OR contains(low, 'current') OR contains(low, '2024') OR contains(low, '2025') OR contains(low, 'what is') OR contains(low, 'how to') OR contains(low, 'tutorial') OR contains(low, 'guide')) OR best IS NULL OR best < 0.5 AS needs_web FROM m""",
+)
 def web_gate(t: Tables) -> DataFrame:
-    hits = t.conversations.withColumn("score", F.when(F.col("conv_id") % 3 != 0, (F.col("turn") + 3) / 10.0)).withColumn("message", F.when(F.col("conv_id") % 4 == 0, "what is the Latest news").otherwise("an old tale"))
-    return hits.groupBy("conv_id").agg(R.needs_web(hits, F.min("message")).alias("needs_web"))
+    rows = t.conversations.select("conv_id", F.col("turn").alias("t"), (F.col("turn") + F.col("conv_id")).alias("turn"))
+    best = F.when(F.col("conv_id") % 4 != 0, (F.col("t") + 3) / 10.0)
+    return rows.select("conv_id", F.col("t").alias("turn"), R.needs_web(said(SAID_WEB), best).alias("needs_web"))
 
 
 @query(
@@ -125,25 +146,47 @@ def token(t: Tables) -> DataFrame:
     return loans(t).select("o_orderkey", V.download_token(F.col("book_id").cast("string"), F.col("user_id").cast("string"), F.col("expiry_time"), "key").alias("token"))
 
 
-@query("book_detail", "WITH c AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS number, text FROM documents) SELECT lang, source, count(*) AS chapters, string_agg(number || ': ' || text[1:40], '|' ORDER BY number) AS chapter_list FROM c GROUP BY lang, source")
+@query(
+    "book_detail",
+    f"""WITH {LOANS}, a AS (SELECT book_id, count(*) AS n FROM loans WHERE status = 'active' GROUP BY book_id),
+    c AS (SELECT p_partkey % 97 AS book_id, count(*) AS chapters, string_agg(p_partkey || ':' || p_name || ':' || p_type, '|' ORDER BY p_partkey) AS chapter_list FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1),
+    q AS (SELECT s_suppkey % 97 AS book_id, string_agg(s_name, '|' ORDER BY s_suppkey) AS quote_list FROM supplier GROUP BY 1)
+    SELECT b.book_id, coalesce(a.n, 0) AS active_loans, coalesce(c.chapters, 0)::INT AS n_chapters, coalesce(chapter_list, '') AS chapter_list, coalesce(quote_list, '') AS quote_list
+    FROM (SELECT DISTINCT p_partkey % 120 AS book_id FROM part) b LEFT JOIN a ON a.book_id = b.book_id LEFT JOIN c ON c.book_id = b.book_id LEFT JOIN q ON q.book_id = b.book_id""",
+)
 def book_detail(t: Tables) -> DataFrame:
-    from .q_chapters import BOOK
+    """Parts stand for chapters with a summary, suppliers for quotes; some books have neither."""
+    books = t.part.select((F.col("p_partkey") % 120).alias("book_id")).distinct()
+    chapters = t.part.filter("p_partkey % 3 <> 0").select((F.col("p_partkey") % 97).alias("book_id"), F.col("p_partkey").alias("number"), F.col("p_name").alias("title"), F.col("p_type").alias("summary"))
+    quotes = t.supplier.select((F.col("s_suppkey") % 97).alias("book_id"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("text"), F.lit("").alias("chapter"))
+    found = V.book_detail(books, chapters, quotes, loans(t))
+    line = lambda c: F.concat_ws(":", c.number.cast("string"), c.title, c.summary)
+    return found.select("book_id", "active_loans", F.size("chapters").alias("n_chapters"), F.array_join(F.transform("chapters", line), "|").alias("chapter_list"), F.array_join(F.transform("quotes", lambda q: q.text), "|").alias("quote_list"))
 
-    own = t.documents.withColumn("number", F.row_number().over(Window.partitionBy(*BOOK).orderBy("doc_id")))
-    line = F.concat(F.col("number").cast("string"), F.lit(": "), F.substring("text", 1, 40))
-    return own.withColumn("line", line).groupBy(*BOOK).agg(F.count(F.lit(1)).alias("chapters"), T.ordered_concat(F.col("number"), F.col("line"), "|").alias("chapter_list"))
+
+@query(
+    "read_chapter_reply",
+    f"""WITH {CHAPTERS}, {RAW}, c AS (SELECT doc_id, string_agg(content, chr(10) || chr(10) ORDER BY k) AS content FROM chunks GROUP BY doc_id), n AS (SELECT *, CASE WHEN length(content) <= 3500 THEN 1 ELSE (length(content) - 1) // 3000 + 1 END AS parts FROM c)
+    SELECT doc_id, sha256('*Doc ' || doc_id || '*' || CASE WHEN parts > 1 THEN ' (Part 1 of ' || parts || ')' ELSE '' END || chr(10) || chr(10) || CASE WHEN parts > 1 THEN content[1:3000] || chr(10) || chr(10) || '_Say "continue" for the next part._' ELSE content END) AS reply_sha256, (parts - 1)::INT AS waiting,
+        CASE WHEN parts > 1 THEN sha256(content[3001:6000]) END AS next_sha256, greatest(parts - 2, 0)::INT AS still_waiting FROM n""",
+)
+def read_chapter_reply(t: Tables) -> DataFrame:
+    """What a reader gets of each chapter, what waits, and what "continue" gives then."""
+    found = V.read_chapter(fixed(t).withColumnRenamed("position", "chunk_index"), ["doc_id"])
+    first = V.chapter_reply(found.withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))).select("doc_id", F.sha2("reply", 256).alias("reply_sha256"), F.size("pending").alias("waiting"), "pending")
+    return V.continued(first).select("doc_id", "reply_sha256", "waiting", F.sha2("reply", 256).alias("next_sha256"), F.size("pending").alias("still_waiting"))
 
 
 @query(
     "chat_with_book",
-    "WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), h AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, q WHERE e.label = 3 ORDER BY score DESC, e.vec_id LIMIT 5), n AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS n FROM h), "
+    "WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), p AS (SELECT *, vec_id = min(vec_id) OVER (PARTITION BY label) AS is_metadata FROM embeddings), h AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM p e, q WHERE e.label = 3 AND NOT e.is_metadata ORDER BY score DESC, e.vec_id LIMIT 5), n AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS n FROM h), "
     "t AS (SELECT * FROM conversations WHERE conv_id = 1 QUALIFY row_number() OVER (ORDER BY turn DESC) <= 6), s AS (SELECT string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS history FROM t) "
     "SELECT 'Passages:' || chr(10) || (SELECT string_agg('[' || n || '] passage ' || vec_id, chr(10) || chr(10) ORDER BY n) FROM n) || chr(10) || chr(10) || 'Earlier:' || chr(10) || coalesce((SELECT history FROM s), '') || chr(10) || chr(10) || 'Question: why?' AS prompt",
 )
 def chat_with_book(t: Tables) -> DataFrame:
-    from .q_retrieval import asked
+    from .q_retrieval import asked, points
 
-    hits = R.top_k(t.embeddings, asked(t), 5, {"label": 3}, "vec_id").withColumn("content", F.concat(F.lit("passage "), F.col("vec_id").cast("string")))
+    hits = R.top_k(R.chunks_only(points(t)), asked(t), 5, {"label": 3}, "vec_id").withColumn("content", F.concat(F.lit("passage "), F.col("vec_id").cast("string")))
     thread = V.last_messages(t.conversations.filter("conv_id = 1"), "conv_id", "turn")
     return V.chat_prompt(hits, V.rendered(thread, "conv_id", "turn"), "why?", "vec_id")
 
@@ -161,3 +204,18 @@ def list_books(t: Tables) -> DataFrame:
 
     books = matching(t.part, {"p_size": [1, 2, 3]}).select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"))
     return V.with_availability(R.page(books, 2, 10), loans(t))
+
+
+@query(
+    "focus_thread",
+    """WITH b AS (SELECT DISTINCT conv_id AS thread FROM conversations), f AS (SELECT thread, CASE WHEN thread % 3 = 0 THEN thread % 50 + 1 END AS found FROM b), p AS (SELECT p_partkey, 'Now talking about ' || p_name || ' by ' || p_brand || chr(10) || p_type || chr(10) || 'Topics: ' || p_name AS message FROM part)
+    SELECT thread, CASE WHEN message IS NOT NULL OR thread % 2 = 0 THEN 'book' ELSE 'global' END AS mode, CASE WHEN message IS NOT NULL THEN found WHEN thread % 2 = 0 THEN 7 END AS book_id, CASE WHEN message IS NOT NULL THEN 0 ELSE 4 END AS history_length, coalesce(message, 'No such book was found') AS message FROM f LEFT JOIN p ON p_partkey = found""",
+)
+def focus_thread(t: Tables) -> DataFrame:
+    """Threads that ask for a title: those whose title is found move to its book, the others stay where they are."""
+    threads = t.conversations.select(F.col("conv_id").alias("thread")).distinct()
+    best = threads.filter("thread % 3 = 0").select("thread", (F.col("thread") % 50 + 1).alias("book_id"))
+    own = F.col("thread") % 2 == 0
+    states = threads.select("thread", F.when(own, "book").otherwise("global").alias("mode"), F.when(own, F.lit(7).cast("long")).alias("book_id"), F.lit(4).alias("history_length"))
+    books = t.part.select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.col("p_type").alias("summary"), F.array("p_name").alias("main_topics"))
+    return V.focused(best, books, states)

@@ -213,12 +213,28 @@ def test_embedding(spark):
 
 
 def test_intents(spark):
-    said = ["my checkouts", "return the book X", "read chapter 3", "please read chapter 3", "helpful", "help", "tell me about Dune", "what is love", "show my books"]
+    said = ["my checkouts", "return the book X", "read chapter 3", "please read chapter 3", "helpful", "borrow it", "tell me about Dune", "what is love", "show my books", "gimme it", "Let's talk about Dune", "focus on mud, tell me about Dune"]
     df = spark.createDataFrame([(k, s) for k, s in enumerate(said)], "k int, m string")
-    got = lambda book, known: [r[0] for r in df.orderBy("k").select(S.intent(F.col("m"), F.lit(book), F.lit(known))).collect()]
-    assert got(False, True) == ["checkout", "return", "read_chapter", "search", "search", "help", "focus", "search", "my_checkouts"]
-    assert got(True, False)[6:8] == ["in_book", "in_book"]
-    assert value(spark, S.title_asked(F.lit("Please focus on The Sea "))) == "The Sea" and value(spark, S.chapter_asked(F.lit("read chapter 12"))) == 12
+    known = lambda title: title == "dune"
+    got = lambda book, by: [r[0] for r in df.orderBy("k").select(S.intent(F.col("m"), F.lit(book), by)).collect()]
+    assert got(False, known) == ["checkout", "return_book", "read_chapter", "search", "help", "search", "focus_book", "search", "list_checkouts", "recommend", "focus_book", "focus_book"]
+    assert got(True, lambda title: F.lit(False))[6:8] == ["book_question", "book_question"]
+    assert value(spark, S.title_asked(F.lit("Please focus on The Sea "), lambda t: F.lit(True))) == "the sea" and value(spark, S.chapter_asked(F.lit("Read chapter 12"))) == 12
+
+
+def test_web_gate(spark):
+    rows = [("old tale", 0.9, False), ("old tale", 0.4, True), ("old tale", None, True), ("the LATEST tale", 0.9, True), ("how to read", 0.9, True), ("trending today online", 0.9, False), (None, 0.9, False)]
+    df = spark.createDataFrame(rows, "m string, best double, want boolean")
+    assert all(r["got"] == r["want"] for r in df.select("want", R.needs_web(F.col("m"), F.col("best")).alias("got")).collect())
+
+
+def test_recommended_takes_twice_as_many_candidates_and_the_models_order(spark):
+    rows = [(k, True, [1.0, k / 10], ["sea"] if k != 1 else ["war"]) for k in range(6)] + [(9, False, [1.0, 0.0], ["sea"])]
+    points = spark.createDataFrame(rows, "book_id int, is_metadata boolean, embedding array<float>, tags array<string>")
+    chosen = spark.createDataFrame([(4, 1), (0, 2), (5, 3)], "book_id int, rank int")
+    found = lambda **how: [r["book_id"] for r in R.recommended(points, [1.0, 0.0], 2, **how).collect()]
+    assert found() == [0, 1] and found(tags=["sea"]) == [0, 2] and found(tags=["sea"], chosen=chosen) == [4, 0]
+    assert R.wanted_tags("gimme sea, and machine learning", ["Sea", "sea food", "machine learning", ""]) == ["Sea", "machine learning"]
 
 
 def test_loans(spark):
