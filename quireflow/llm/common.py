@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes in an Arrow batch. Texts are unbounded, so batches are kept short; kernels cut them further by bytes.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
-#: Bytes of text that a kernel works on at once; a longer text is worked on alone.
+#: Bytes of text that a kernel works on at once; a longer text is cut inside, at places that change nothing.
 SLICE_BYTES = 1 << 20
 
-#: Arrow's own pools keep what is freed; beside an executor's heap there is no room for that.
-pa.set_memory_pool(pa.system_memory_pool())
+if TaskContext.get() is not None:  # Arrow's own pools keep what is freed; beside an executor's heap a worker has no room for that
+    pa.set_memory_pool(pa.system_memory_pool())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset (a local session) is a folder of our own set."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quireflow-"))
         return context._jsc.sc().getCheckpointDir().get()
     return found
@@ -44,7 +48,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short, since one row may be a very long text."""
+    """Keep Arrow batches short, since one row may be a very long text.
+
+    The two settings stay for the session: results are read lazily, so there is no moment at which to put them back.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -121,81 +128,118 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPA
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-class WordHasher:
-    """64-bit hashes of words by differences of a prefix sum: sum of code(byte) * P**i, divided by P**start, then mixed."""
-
-    def __init__(self, seed: int = 20_240_131):
-        rng = np.random.default_rng(seed)
-        self.codes = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-        self.inverse = pow(self.base, -1, 2**64)
-        self.up = self.down = np.zeros(0, np.uint64)
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # keeps the first k bytes of eight
 
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, SLICE_BYTES + 1)
 
-            def run(base: int) -> np.ndarray:
-                out = np.full(size, base, np.uint64)
-                out[0] = 1
-                with np.errstate(over="ignore"):
-                    return np.cumprod(out, dtype=np.uint64)
+class WordHasher:
+    """64-bit hashes of words, eight bytes at a time: words of one length of up to eight bytes never share a hash.
 
-            self.up, self.down = run(self.base), run(self.inverse)
+    A longer word is chained through the mixer, one over LONG bytes goes through BLAKE2. Two words share a hash by chance
+    alone, about once in 2**64 pairs; where ids hang on it, the caller compares bytes as well.
+    """
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-        n = len(data)
-        self._powers(n + 1)
-        with np.errstate(over="ignore"):
-            terms = self.codes[_LOWER[data] if lower else data]
-            terms *= self.up[:n]
-            sums = np.empty(n + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(terms, out=sums[1:])
-            return mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+    LONG = 64
 
+    def __init__(self, seed: int = 20_240_131):
+        self.seed = np.uint64(seed)
 
-def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each row's shingles; a row with fewer words has its whole sequence as one, or none."""
-    salts = mixed(np.arange(1, width + 1, dtype=np.uint64))
-    out = []
-    n = len(words)
-    with np.errstate(over="ignore"):
-        rolled = np.zeros(max(0, n - width + 1), np.uint64)
-        for k in range(width):
-            rolled = mixed(rolled + (words[k : n - width + 1 + k] ^ salts[k])) if len(rolled) else rolled
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            if b - a >= width:
-                out.append(np.unique(rolled[a : b - width + 1]))
-            elif b > a:
-                short = np.zeros(1, np.uint64)
-                for k in range(b - a):
-                    short = mixed(short + (words[a + k : a + k + 1] ^ salts[k]))
-                out.append(mixed(short ^ np.uint64(b - a)))
-            else:
-                out.append(np.zeros(0, np.uint64))
-    return out
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+        held = np.zeros(len(data) + 8, np.uint8)
+        held[: len(data)] = _LOWER[data] if lower else data
+        eight = np.ndarray(len(data) + 1, "<u8", held, strides=(1,))
+        size = ends - starts
+        out = mixed(size.astype(np.uint64) ^ self.seed)
+        at = np.flatnonzero(size <= self.LONG)
+        for k in range(0, self.LONG, 8):
+            at = at[size[at] > k] if k else at
+            if not len(at):
+                break
+            out[at] = mixed(out[at] ^ (eight[starts[at] + k] & _TAIL[np.minimum(size[at] - k, 8)]))
+        for i in np.flatnonzero(size > self.LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(held[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return out
 
 
 _SHARED: list[WordHasher] = []
 
 
 def word_hasher() -> WordHasher:
-    """The one hasher of a worker: its tables of powers are as long as a slice."""
+    """The one hasher of a worker."""
     if not _SHARED:
         _SHARED.append(WordHasher())
     return _SHARED[0]
 
 
-def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """(first row, last row, sorted distinct shingle hashes of each row), for runs of rows of bounded size."""
+def cuts(data: np.ndarray, safe: Callable[[int, int], np.ndarray] | None = None, most: int = SLICE_BYTES) -> list[int]:
+    """Bounds of segments of about `most` bytes, at places that safe(low, high) gives: cuts in front of bytes low to high - 1.
+
+    By default a cut may follow a white space. A segment without a safe place in it is longer.
+    """
+    if safe is None:
+        safe = lambda low, high: np.flatnonzero(_SPACE[data[low - 1 : high - 1]]) + low
+    out, n = [0], len(data)
+    while n - out[-1] > most:
+        low, high = out[-1] + most // 2 + 1, out[-1] + most
+        found = safe(low, high)
+        at = int(found[-1]) if len(found) else n
+        while not len(found) and high < n:  # look on, some bytes at a time
+            found = safe(high, min(high + most, n))
+            at = int(found[0]) if len(found) else n
+            high += most
+        out.append(at)
+    return out if out[-1] == n else [*out, n]
+
+
+def hashed_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, hashes of their words, offsets of the rows among these), for runs of rows of bounded size."""
     hasher = word_hasher()
     data, offsets = text_buffer(column)
     for a, b in slices(offsets):
-        part = data[offsets[a] : offsets[b]]
-        own = offsets[a : b + 1] - offsets[a]
-        starts, ends, at = word_bounds(part, own)
-        words = hasher(part, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        if len(part) > SLICE_BYTES:  # a single long row
+            found = []
+            bounds = cuts(part)
+            for x, y in zip(bounds, bounds[1:], strict=False):
+                starts, ends, _ = word_bounds(part[x:y], np.array([0, y - x]))
+                found.append(hasher(part[x:y], starts, ends, lower))
+            words = np.concatenate(found)
+            yield a, b, words, np.array([0, len(words)])
+        else:
+            starts, ends, at = word_bounds(part, own)
+            yield a, b, hasher(part, starts, ends, lower) if len(starts) else np.zeros(0, np.uint64), at
+
+
+def rolled(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words."""
+    salts = mixed(np.arange(1, width + 1, dtype=np.uint64))
+    n = max(0, len(words) - width + 1)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width if n else 0):
+            out = mixed(out + (words[k : n + k] ^ salts[k]))
+    return out
+
+
+def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each row's shingles; a row with fewer words has its whole sequence as one, or none."""
+    step = 1 << 18
+    if len(offsets) == 2 and len(words) > 2 * step:
+        return [np.unique(np.concatenate([np.unique(rolled(words[k : k + step + width - 1], width)) for k in range(0, len(words) - width + 1, step)]))]
+    out = []
+    runs = rolled(words, width)
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        if b - a >= width:
+            out.append(np.unique(runs[a : b - width + 1]))
+        elif b > a:
+            out.append(mixed(rolled(words[a:b], int(b - a)) ^ np.uint64(b - a)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, last row, sorted distinct shingle hashes of each row), for runs of rows of bounded size."""
+    for a, b, words, at in hashed_words(column):
         yield a, b, shingle_hashes(words, at, width)
 
 

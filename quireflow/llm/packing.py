@@ -9,6 +9,7 @@ the slot of its rank among pieces of its length.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,10 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_batches, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
+from .common import SLICE_BYTES, as_batches, cuts, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
 
-#: Units whose ids a worker remembers; beyond it starts anew.
-CACHED_UNITS = 500_000
 
 
 def minimum_bin_slack(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -94,56 +93,103 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(0x100 + others.index(b)) for b in range(256)]
 
 
+#: How a tokenizer file must cut texts for units to be encoded one by one.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_into_words(raw: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops white space, and sets letters, single digits and others apart."""
+    before = (raw.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    split, model, added = before[0], raw["model"], raw.get("added_tokens") or []
+    plain = all(not t[k] for t in added for k in ("normalized", "lstrip", "rstrip", "single_word"))
+    return (
+        raw.get("normalizer") == WORD_NORMALIZER
+        and len(before) == 2
+        and (split.get("type"), split.get("pattern"), split.get("invert")) == ("Split", {"Regex": WORD_SPLIT}, True)
+        and (before[1].get("type"), before[1].get("add_prefix_space"), before[1].get("use_regex")) == ("ByteLevel", False, False)
+        and (model.get("type"), model.get("dropout"), model.get("byte_fallback"), raw.get("truncation")) == ("BPE", None, False, None)
+        and plain
+        and not any(c.isspace() for t in added for c in t["content"])
+    )
+
+
+def distinct(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct unit is first, and which of these every unit equals, byte by byte."""
+    _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+    size, model = ends - starts, where[back]
+    same = bool((size == size[model]).all())
+    if same:
+        at = np.flatnonzero((size > 8) & (model != np.arange(len(model))))  # up to eight bytes, equal hashes and sizes mean equal bytes
+        until = np.concatenate([[0], np.cumsum(size[at])])
+        place = np.arange(until[-1]) + np.repeat(starts[at] - until[:-1], size[at])
+        same = bool((part[place] == part[place + np.repeat(starts[model[at]] - starts[at], size[at])]).all())
+    if same:
+        return where, back
+    raw, seen = part.tobytes(), {}
+    number = np.array([seen.setdefault(raw[x:y], len(seen)) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.unique(number, return_index=True)[1], number
+
+
 class Encoder:
-    """Token ids of texts by a word tokenizer: lower case, white space dropped, letters, single digits and others apart.
+    """Token ids of texts by a tokenizer file, as its own library gives them without added special tokens.
 
-    Texts are cut where that tokenizer cuts them for certain: at ASCII white space, and between decided classes of bytes.
-    Each distinct unit is encoded once. A unit of one class goes straight to the vocabulary; one with undecided bytes takes
-    the whole way through the tokenizer, whose rules then cut it further.
+    A file that cuts texts into words, as cuts_into_words() says, is read unit by unit: texts are cut where it cuts them for
+    certain, at ASCII white space and between decided classes of bytes, and each distinct unit is encoded once. A unit of one
+    class goes straight to the vocabulary; one with undecided bytes, or with the string of a special token, takes the whole way
+    through the tokenizer, whose rules then cut it further. Texts of any other file take the whole way as they are.
     """
 
-    cached = CACHED_UNITS
+    #: Bytes of units and ids that a worker remembers, about; beyond it starts anew.
+    cached = 96 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
         from tokenizers import Tokenizer
 
+        with open(path, "rb") as f:
+            raw = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.by_unit = cuts_into_words(raw)
+        self.special = [t["content"].encode() for t in raw.get("added_tokens") or []]
         self.symbols = byte_symbols()
         self.hasher = word_hasher()
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 20, np.uint32)
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
-        self.filled = 0
+        self.filled = self.held = 0
 
-    def _keep(self, key: int, ids: list[int]) -> None:
+    def _keep(self, raw: bytes, ids: list[int]) -> None:
         k = len(self.slot)
         while self.filled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         if k >= len(self.first):
             self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
         self.pool[self.filled : self.filled + len(ids)] = ids
-        self.first[k], self.size[k], self.slot[key] = self.filled, len(ids), k
+        self.first[k], self.size[k], self.slot[raw] = self.filled, len(ids), k
         self.filled += len(ids)
+        self.held += len(raw) + 4 * len(ids) + 160  # the last for the entry itself
 
-    def _learn(self, new: list[tuple[int, bytes, bool]]) -> None:
+    def _learn(self, new: list[tuple[bytes, bool]]) -> None:
         whole = []
         tokenize, symbols = self.tokenizer.model.tokenize, self.symbols
-        for key, raw, decided in new:
+        for raw, decided in new:
             if decided:
                 text = raw.decode().lower()
-                self._keep(key, [t.id for t in tokenize(text if text.isascii() else "".join([symbols[b] for b in text.encode()]))])
+                self._keep(raw, [t.id for t in tokenize(text if text.isascii() else "".join([symbols[b] for b in text.encode()]))])
             else:
-                whole.append((key, raw.decode()))
+                whole.append(raw)
         for a in range(0, len(whole), 4096):
             part = whole[a : a + 4096]
-            for (key, _), found in zip(part, self.tokenizer.encode_batch_fast([w for _, w in part], add_special_tokens=False), strict=True):
-                self._keep(key, found.ids)
+            for raw, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self._keep(raw, found.ids)
+
+    def hashed(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.hasher(part, starts, ends, lower=False)  # the strings of special tokens are told apart by case
 
     def units(self, part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the units, the rows' offsets among them, and which units are of one decided class."""
@@ -152,6 +198,12 @@ class Encoder:
         lead = np.flatnonzero(part[:-1] == 0xC3)  # U+00C0 to U+00FF are letters, but for the signs of times and division
         lead = lead[(part[lead + 1] != 0x97) & (part[lead + 1] != 0xB7)]
         kind[lead] = kind[lead + 1] = _LETTER
+        raw = part.tobytes()
+        for mark in self.special:
+            at = raw.find(mark)
+            while at >= 0:
+                kind[at : at + len(mark)] = 0
+                at = raw.find(mark, at + 1)
         cut = np.flatnonzero((kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))) + 1
         inside = np.zeros(len(part) + 1, bool)
         inside[starts] = inside[cut] = True
@@ -160,29 +212,45 @@ class Encoder:
         inside[ends] = inside[cut] = True
         # where rows or words meet without white space, a cut is both a start and an end already
         own_ends = np.flatnonzero(inside)
-        unsure = np.concatenate([[0], np.cumsum(kind == 0)])
+        unsure = np.concatenate([[0], np.cumsum(kind == 0, dtype=np.int32)])
         return own_starts, own_ends, np.searchsorted(own_starts, own), unsure[own_ends] == unsure[own_starts]
 
+    def bounds(self, part: np.ndarray) -> list[int]:
+        """Bounds of the segments of a long text that are encoded one after another."""
+        return cuts(part)
+
+    def encoded(self, part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a slice's rows one after another, and the offsets of the rows."""
+        starts, ends, at, decided = self.units(part, own) if len(part) else (np.zeros(0, np.int64),) * 4
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(own), np.int64)
+        where, back = distinct(part, starts, ends, self.hashed(part, starts, ends))
+        if self.held > self.cached:
+            self.clear()
+        raw = part.tobytes()
+        known = [raw[x:y] for x, y in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        if new := [(unit, bool(whole)) for unit, whole in zip(known, decided[where], strict=True) if unit not in self.slot]:
+            self._learn(new)
+        place = np.fromiter((self.slot[unit] for unit in known), np.int64, len(known))[back]
+        sizes, firsts = self.size[place], self.first[place]
+        until = np.concatenate([[0], np.cumsum(sizes)])
+        return self.pool[np.repeat(firsts - until[:-1], sizes) + np.arange(until[-1])], until[at]
+
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row, their ids one after another, n + 1 offsets of the rows)."""
         data, offsets = text_buffer(column)
         for a, b in slices(offsets):
             part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            starts, ends, at, decided = self.units(part, own) if len(part) else (np.zeros(0, np.int64),) * 4
-            if not len(starts):
-                yield a, b, np.zeros(0, np.uint32), np.zeros(b - a + 1, np.int64)
-                continue
-            keys, where, back = np.unique(self.hasher(part, starts, ends), return_index=True, return_inverse=True)
-            if len(self.slot) + len(keys) > self.cached:
-                self.clear()
-            raw, known = part.tobytes(), keys.tolist()
-            new = [(k, raw[starts[i] : ends[i]], decided[i]) for k, i in zip(known, where.tolist(), strict=True) if k not in self.slot]
-            if new:
-                self._learn(new)
-            place = np.fromiter((self.slot[k] for k in known), np.int64, len(known))[back]
-            sizes, firsts = self.size[place], self.first[place]
-            until = np.concatenate([[0], np.cumsum(sizes)])
-            yield a, b, self.pool[np.repeat(firsts - until[:-1], sizes) + np.arange(until[-1])], until[at]
+            if not self.by_unit:
+                texts = [part[x:y].tobytes().decode() for x, y in zip(own, own[1:], strict=False)]
+                found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                yield a, b, np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            elif b - a == 1 and len(part) > SLICE_BYTES:
+                bounds = self.bounds(part)
+                ids = np.concatenate([self.encoded(part[x:y], np.array([0, y - x]))[0] for x, y in zip(bounds, bounds[1:], strict=False)])
+                yield a, b, ids, np.array([0, len(ids)])
+            else:
+                yield a, b, *self.encoded(part, own)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -223,7 +291,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     A document is the ids of its text and `end_id`; null, empty and blank texts are that id alone. Only documents longer
     than the capacity are cut, into pieces of the capacity and a shorter last one. Repeated documents are packed as often
-    as they come. tokenizer is the path of a `tokenizers` file that drops white space. An empty table packs into nothing.
+    as they come, and a null id is kept. tokenizer is the path of a `tokenizers` file; strings of its special tokens in a text
+    count as these tokens. Columns other than the two named ones aren't read. An empty table packs into nothing.
     """
     short_batches(docs.sparkSession)
     cut = staged(pieces(docs, tokenizer, id_col, text_col, capacity, end_id, keep_ids), "pieces")
@@ -245,11 +314,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in held] + [pa.array(at["sequence"][k] + turn), pa.array(at["offset"][k] + copy * length)], names=[*held, "sequence_id", "offset"])
 
     kept = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    ranked = cut.join(before, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, (F.col("rank") + F.col("before")).alias("rank"))
+    # what came before grows with the tasks, so it is merged, not broadcast; a task's rows have many lengths, so no key is hot
+    ranked = cut.join(before.hint("merge"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, (F.col("rank") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(place, f"{kept}, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids) of pieces packed with keep_ids; a sequence has at most `capacity` ids, so its group is small."""
+    """(sequence_id, ids) of pieces packed with keep_ids; a sequence has at most `capacity` ids, so its group is small.
+
+    Null ids of documents and repeated documents are pieces like others; no pieces make no sequences.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(F.flatten(F.transform(ordered, lambda x: x.ids)).alias("ids"))

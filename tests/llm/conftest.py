@@ -23,3 +23,11 @@ def by_id(df) -> dict:
     found = {r["doc_id"]: r for r in rows}
     assert len(found) == len(rows)
     return found
+
+
+def twins(size: int) -> tuple[str, str]:
+    """A word of a and b of so many letters, and the one with both exchanged; polynomial hashes modulo 2**64 can't tell them apart."""
+    word, swap = "a", str.maketrans("ab", "ba")
+    while len(word) < size:
+        word += word.translate(swap)
+    return word, word.translate(swap)

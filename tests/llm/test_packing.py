@@ -8,12 +8,22 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quireflow.llm import packing
+from quireflow.llm import common, packing
 from quireflow.llm.queries import tokenizer_path
 
+from .conftest import twins
+
 PATH = tokenizer_path("word_bpe_49k.json")
 
 
+@pytest.fixture(scope="module")
+def fresh():
+    """The tokenizer as its file says, with nothing set."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return packing.Encoder(PATH)
@@ -26,19 +36,52 @@ def ids_of(encoder, texts):
     return out
 
 
-parts = st.sampled_from(["a", "Bé", "ß", "×", "'", "s", "'ll", "I'M", "1", "²", "٣", "!?", "<|endoftext|>", "  ", "\n", " ", "é", "中", "😀", "-", "_", "İ", "Σ", "\x85", "\x1c", "\x07", "word", "("])
+parts = st.sampled_from(["a", "Bé", "ß", "×", "'", "s", "'ll", "I'M", "1", "²", "٣", "!?", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "  ", "\n", " ", "é", "中", "😀", "-", "_", "İ", "Σ", "\x85", "\x1c", "\x07", "word", "("])
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.lists(parts, max_size=14).map("".join), min_size=1, max_size=5))
-def test_units_give_the_tokenizers_ids(encoder, texts):
-    assert ids_of(encoder, texts) == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+def test_units_give_the_tokenizers_ids(encoder, fresh, texts):
+    assert ids_of(encoder, texts) == [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+
 
+def test_strings_of_special_tokens_are_these_tokens(encoder, fresh):
+    assert ids_of(encoder, ["<|endoftext|> hi", "a<|endoftext|>b", "<|endof", "text|>"]) == [[49407, 1883], *(fresh.encode(t, add_special_tokens=False).ids for t in ("a<|endoftext|>b", "<|endof", "text|>"))]
 
-def test_cache_may_start_anew(encoder, monkeypatch):
+
+def test_cache_may_start_anew(encoder, fresh, monkeypatch):
     monkeypatch.setattr(encoder, "cached", 3)
     texts = ["one two three four", "five six one", None, ""]
-    assert ids_of(encoder, texts) == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(3):
+        assert ids_of(encoder, texts) == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("size", [256, 1024, 4096])
+def test_words_that_polynomial_hashes_confuse(encoder, fresh, size):
+    texts = [" ".join(twins(size)), *twins(size)]
+    assert ids_of(encoder, texts) == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_equal_hashes_of_different_units_do_no_harm(encoder, fresh, monkeypatch):
+    own = encoder.hashed
+    monkeypatch.setattr(encoder, "hashed", lambda part, starts, ends: np.where(ends - starts > 8, np.uint64(7), own(part, starts, ends)))
+    texts = ["one two six ten and thirteen of fourteen or fifteens", "ninety nine"]
+    assert ids_of(encoder, texts) == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_are_cut_inside(encoder, fresh, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_BYTES", 100)
+    monkeypatch.setattr(packing, "cuts", lambda part: common.cuts(part, most=100))
+    texts = ["don't stop <|endoftext|> now, 中文 " * 40, "x" * 5000, "short", " " * 500 + "end"]
+    assert [ids_of(encoder, [t])[0] for t in texts] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_another_tokenizer_takes_the_whole_way():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    own, texts = packing.Encoder(path), ["One  two\n12 <|endoftext|> é", "", None, "x"]
+    assert not own.by_unit and ids_of(own, texts) == [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
@@ -82,19 +125,19 @@ def check(found, texts, capacity, tokenizer):
     return bins
 
 
-def test_documents(spark, encoder):
+def test_documents(spark, fresh):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(6)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     found = packing.pack(docs, PATH).collect()
-    bins = check(found, texts, 2048, encoder.tokenizer)
+    bins = check(found, texts, 2048, fresh)
     assert len(bins) <= -(-sum(r["length"] for r in found) // 2048) + 1
 
 
-def test_edges_and_sequences(spark, edge, nothing, encoder):
+def test_edges_and_sequences(spark, edge, nothing, fresh):
     texts = {r["doc_id"]: r["text"] for r in edge.collect()}
     packed = packing.pack(edge, PATH, capacity=64, keep_ids=True)
     found = packed.collect()
-    check(found, texts, 64, encoder.tokenizer)
+    check(found, texts, 64, fresh)
     whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed).collect()}
     for r in found:
         assert whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"]
