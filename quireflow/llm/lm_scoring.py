@@ -4,318 +4,325 @@ Training reads every training text. Texts are cut into slices of about SLICE_TEX
 words, so what is shuffled is a row for each word of a slice, not for each token. Word counts are summed over all slices
 and joined back to them; a slice is then scored by table lookups.
 
-The log-bilinear model predicts a word's class from the two before it: s(w | g, h) = q_w . (c1 * r_h + c2 * r_g) + b_w. The
-classes are the CLASSES - 2 most frequent words, the rest, and the end, which also stands before a text. With so few the
-counts of all class triples are a bounded statistic of the whole corpus, and noise-contrastive estimation takes the exact
-expectation over them and over its noise. As the score is a sum over the two places, exp(s) summed over w is a product of
-two matrices, so the normaliser of every context comes from one batched product. A word in the rest shares that class's
-probability by its count.
-
-On that base every word that occurs LEAST times in the training texts, and the end, has a target and a context vector of
-its own, so the vocabulary grows with the corpus: log P(w | g, h) = log base(w | g, h) + q_w . (c1 * r_h + c2 * r_g). They
-are trained by sampled NCE in each slice, from the same start for a word in all slices, with noise from the slice's own
-tokens. A word's vectors are then averaged over its slices by its counts there, in a table that is sorted by word, and sent
-to the slices that have the word; no process holds the vocabulary. As usual with NCE the product isn't normalised again.
+Every word belongs to a class: the end, which also stands before a text, and each of the TOP most frequent words are classes
+of their own, all others share the hashed classes of their last ENDING bytes. The model is
+
+    P(w | g, h) = P(class of w | classes of g and h) * P(w | class of w)
+
+with g and h the two words before. The second factor is add-one smoothed counts within the class, over the whole vocabulary,
+which grows with the corpus; one more place in each class is for words that training never saw. The first is log-bilinear,
+s(k | g, h) = q_k . (c_1 * r_h + c_2 * r_g) + b_k, trained by noise-contrastive estimation over all training tokens: each
+task trains a copy on its slices from a common start, and the copies are averaged by their tokens, in a tree of fan-in FAN,
+ROUNDS times. As the score is a sum over the two places, exp(s) summed over k is a product of two matrices, so one batched
+product gives the normaliser of every context, and probabilities sum to one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_batches, mixed, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
+from .common import SLICE_BYTES, as_batches, cuts, lowered, mixed, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
 
 SLICE_TEXT = 16 << 20
-CLASSES, WIDTH, NOISE = 160, 32, 10
-STEPS, RATE, RIDGE, SEED = 150, 0.05, 1e-4, 11
-REST, END = 0, 1
+CLASSES, TOP, ENDING = 2048, 1023, 3
+WIDTH, NOISE, SHARED_NOISE, STEP_TOKENS, RATE, SEED = 32, 10, 64, 4096, 0.1, 11
+#: Rounds of training and averaging. A task of fewer than READ tokens reads them again, EPOCHS times at most.
+ROUNDS, READ, EPOCHS, FAN = 2, 1 << 19, 20, 64
+END = 0
 HELD_OUT_OF, HELD_OUT = 7, 2
-#: Least training count of a word with vectors; tokens of a step, noise words that a step's tokens share, and its rate. A
-#: slice of fewer than READ tokens is read again, EPOCHS times at most.
-LEAST, STEP_TOKENS, SHARED_NOISE, WORD_RATE, READ, EPOCHS = 5, 2048, 64, 0.1, 1 << 20, 20
-PLACES = np.array([1.0, 0.5], np.float32)  # c1 and c2 of the word vectors
-END_WORD = -1  # the end's key among word hashes
 
-_SLICE = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("words", pa.list_(pa.int64())), ("k", pa.list_(pa.int32()))])
-_SLICE_TYPES = "slice long, ids array<long>, train array<boolean>, ends array<int>, tokens array<int>, words array<long>, k array<int>"
+_SLICE = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("words", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int16())), ("k", pa.list_(pa.int32()))])
+_SLICE_TYPES = "slice long, ids array<long>, train array<boolean>, ends array<int>, tokens array<int>, words array<long>, kinds array<short>, k array<int>"
+
+
+def endings(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashed class of each word, by its last ENDING bytes in lower case."""
+    eight = np.ndarray(len(part) + 1, "<u8", np.concatenate([np.zeros(8, np.uint8), lowered(part)]), strides=(1,))[ends]
+    last = eight >> (np.uint64(64) - np.uint64(8) * np.minimum(ends - starts, ENDING).astype(np.uint64))
+    return (TOP + 1 + mixed(last + np.uint64(1)) % np.uint64(CLASSES - TOP - 1)).astype(np.int16)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, words of each row, hashes, hashed classes), for runs of rows, a long row segment by segment."""
+    hasher = word_hasher()
+    for a, b in slices(offsets):
+        part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        bounds = cuts(part) if b - a == 1 and len(part) > SLICE_BYTES else [0, len(part)]
+        size, hashes, kinds = np.zeros(b - a, np.int64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int16)]
+        for x, y in zip(bounds, bounds[1:], strict=False):
+            now = part[x:y]
+            starts, ends, at = word_bounds(now, own if len(bounds) == 2 else np.array([0, y - x]))
+            if len(starts):
+                size += np.diff(at)
+                hashes.append(hasher(now, starts, ends))
+                kinds.append(endings(now, starts, ends))
+        yield a, b, size, np.concatenate(hashes), np.concatenate(kinds)
 
 
 def sliced(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of _SLICE: ids of some texts, their tokens as places in the list of the slice's words, and training counts."""
+    """Rows of _SLICE: ids of some texts, their tokens as places in the list of the slice's words, hashed classes and training counts."""
 
-    def packed(number: int, ids: list, train: list, sizes: list, hashes: list) -> pa.RecordBatch:
+    def packed(number: int, ids: list, train: list, sizes: list, hashes: list, kinds: list) -> pa.RecordBatch:
         tokens = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        words, back = np.unique(tokens, return_inverse=True)
+        words, first, back = np.unique(tokens, return_index=True, return_inverse=True)
         size = np.concatenate([*sizes, np.zeros(0, np.int64)])
         learnt = np.repeat(np.array(train, bool), size)
         k = np.bincount(back[learnt], minlength=len(words))
-        values = [[number], [ids], [train], [np.cumsum(size).astype(np.int32)], [back.astype(np.int32)], [words.view(np.int64)], [k.astype(np.int32)]]
+        kind = np.concatenate([*kinds, np.zeros(0, np.int16)])[first]
+        values = [[number], [ids], [train], [np.cumsum(size).astype(np.int32)], [back.astype(np.int32)], [words.view(np.int64)], [kind], [k.astype(np.int32)]]
         return as_batches(dict(zip(_SLICE.names, values, strict=True)), _SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, number = word_hasher(), TaskContext.get().partitionId() << 32
-        ids, train, sizes, hashes, held = [], [], [], [], 0
+        number = TaskContext.get().partitionId() << 32
+        ids, train, sizes, hashes, kinds, held = [], [], [], [], [], 0
         for batch in batches:
             keys, learnt = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             data, offsets = text_buffer(batch.column(2))
-            for a, b in slices(offsets):
-                part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                starts, ends, at = word_bounds(part, own)
+            for a, b, size, found, kind in words_of(data, offsets):
                 ids += keys[a:b]
                 train += learnt[a:b]
-                sizes.append(np.diff(at))
-                hashes.append(hasher(part, starts, ends) if len(starts) else np.zeros(0, np.uint64))
-                held += len(part)
+                sizes.append(size)
+                hashes.append(found)
+                kinds.append(kind)
+                held += int(offsets[b] - offsets[a])
                 if held >= SLICE_TEXT or len(ids) >= 1 << 16:
-                    yield packed(number, ids, train, sizes, hashes)
-                    ids, train, sizes, hashes, held, number = [], [], [], [], 0, number + 1
+                    yield packed(number, ids, train, sizes, hashes, kinds)
+                    ids, train, sizes, hashes, kinds, held, number = [], [], [], [], [], 0, number + 1
         if ids:
-            yield packed(number, ids, train, sizes, hashes)
+            yield packed(number, ids, train, sizes, hashes, kinds)
 
     held_out = F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD_OUT_OF == HELD_OUT
     return docs.select(F.col(id_col).cast("long").alias("id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.col(text_col).alias("text")).mapInArrow(run, _SLICE_TYPES)
 
 
+@dataclass
+class Weights:
+    """What is trained: q and r by class, c of the two places, b by class, and the sums of squared slopes of each (AdaGrad)."""
+
+    q: np.ndarray
+    r: np.ndarray
+    c: np.ndarray
+    b: np.ndarray
+    held: list[np.ndarray]
+
+    @classmethod
+    def first(cls, share: np.ndarray) -> Weights:
+        rng = np.random.default_rng(SEED)
+        size = len(share)
+        q, r = (rng.normal(0, 0.1, (size, WIDTH)).astype(np.float32) for _ in range(2))
+        c = np.stack([np.ones(WIDTH), np.full(WIDTH, 0.5)]).astype(np.float32)
+        return cls(q, r, c, np.log(share).astype(np.float32), [np.full(x, v, np.float32) for x, v in (((size, WIDTH), 0.01), ((size, WIDTH), 0.01), ((2, WIDTH), 0.01), ((size,), 1.0))])
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.q, self.r, self.c, self.b, *self.held]
+
+    def to_bytes(self) -> bytes:
+        return b"".join(x.tobytes() for x in self.parts())
+
+    def from_bytes(self, raw: bytes) -> Weights:
+        """Weights of the shapes of these."""
+        flat, out, at = np.frombuffer(raw, np.float32), [], 0
+        for x in self.parts():
+            out.append(flat[at : at + x.size].reshape(x.shape).copy())
+            at += x.size
+        return Weights(*out[:4], out[4:])
+
+
+def tokens_before(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class before each token and the one before that; before a text stands the end."""
+    before = np.concatenate([[END], values[:-1]]).astype(values.dtype)
+    before[first] = END
+    earlier = np.concatenate([[END], before[:-1]]).astype(values.dtype)
+    earlier[first] = END
+    return before, earlier
+
+
+def train_nce(w: Weights, share: np.ndarray, tokens: np.ndarray, first: np.ndarray, learnt: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    """Train w in place on the classes of some texts: tokens of which `learnt` count, `first` the places of the texts' first ones.
+
+    A step's tokens share SHARED_NOISE noise classes, drawn by their share of the corpus, and each stands for NOISE /
+    SHARED_NOISE draws. All scores of a step are one product of matrices.
+    """
+    before, earlier = tokens_before(tokens, first)
+    at = np.flatnonzero(learnt)
+    drawn, log_k, weight = np.cumsum(share), np.log(NOISE * share).astype(np.float32), np.float32(NOISE / SHARED_NOISE)
+
+    def move(value: np.ndarray, held: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        to = rows[order][starts]
+        total = np.add.reduceat(slope[order], starts, axis=0)
+        held[to] += total * total
+        value[to] += RATE * total / np.sqrt(held[to])
+
+    for _ in range(epochs):
+        for k in range(0, len(at), STEP_TOKENS):
+            i = at[k : k + STEP_TOKENS]
+            j = np.searchsorted(drawn, rng.random(SHARED_NOISE) * drawn[-1])
+            word, h, g = (x[i].astype(np.int64) for x in (tokens, before, earlier))
+            near, far = w.r[h], w.r[g]
+            u = near * w.c[0] + far * w.c[1]
+            up = 1 / (1 + np.exp(np.einsum("ij,ij->i", u, w.q[word]) + w.b[word] - log_k[word]))
+            down = weight / (1 + np.exp(log_k[j] - w.b[j] - u @ w.q[j].T))
+            by_u = up[:, None] * w.q[word] - down @ w.q[j]
+            by_c = np.stack([(by_u * near).sum(axis=0), (by_u * far).sum(axis=0)])
+            rows = np.concatenate([word, j])
+            move(w.q, w.held[0], rows, np.concatenate([up[:, None] * u, -(down.T @ u)]))
+            move(w.b, w.held[3], rows, np.concatenate([up, -down.sum(axis=0)]))
+            move(w.r, w.held[1], np.concatenate([h, g]), np.concatenate([by_u * w.c[0], by_u * w.c[1]]))
+            w.held[2] += by_c * by_c
+            w.c += 0.1 * RATE * by_c / np.sqrt(w.held[2])
+
+
 @dataclass
 class Model:
-    """Class hashes (sorted) with their numbers, log tables of the two places, biases and normalisers, and corpus totals."""
+    """The TOP words' hashes (sorted) with their classes, trained weights, and what the corpus holds in all and by class."""
 
     hashes: np.ndarray
     numbers: np.ndarray
-    near: np.ndarray
-    far: np.ndarray
-    bias: np.ndarray
-    normaliser: np.ndarray
+    weights: Weights | None
+    open: np.ndarray  # classes that any word may belong to
     tokens: int
     distinct: int
-    rest_tokens: int
-    rest_words: int
-    end_count: int
-    log_share: np.ndarray
+    class_tokens: np.ndarray
+    class_words: np.ndarray
+
+    @property
+    def share(self) -> np.ndarray:
+        """Smoothed share of each class among the training tokens; nothing for classes without a word."""
+        held = np.where(self.open, self.class_tokens + 1.0, 1e-9)
+        return held / held.sum()
 
-    def classes(self, words: np.ndarray) -> np.ndarray:
+    def classes(self, words: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
-            return np.full(len(words), REST)
+            return kinds.astype(np.int32)
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.numbers[at], REST)
+        return np.where(self.hashes[at] == words, self.numbers[at], kinds).astype(np.int32)
+
+    def inside(self, c: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """log10 P(word | its class); each hashed class has one more place, for all words that training never saw."""
+        shared = np.log10((c + 1.0) / (self.class_tokens + self.class_words + 1.0)[kind])
+        return np.where(kind > TOP, shared, 0.0)
+
+
+class Tables:
+    """Log scores of all pairs of classes at the two places, and the normaliser of every context by one product of matrices."""
 
-    def gain(self, word: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        """Log ratio of each of the words' classes after each of the contexts to the class's share of the corpus."""
-        s = self.near[:, word][before] + self.far[:, word][earlier] + (self.bias - self.log_share)[word]
-        return s - self.normaliser[before, earlier][:, None]
+    def __init__(self, model: Model):
+        w = model.weights
+        self.b = np.where(model.open, w.b, np.float32(-1e4))
+        self.near, self.far = (w.r * w.c[0]) @ w.q.T, (w.r * w.c[1]) @ w.q.T
+        shift = self.near[:, model.open].max(axis=1, keepdims=True), self.far[:, model.open].max(axis=1, keepdims=True)
+        top = self.b.max()
+        left = np.exp(np.minimum(self.near - shift[0], 0))
+        right = np.exp(np.minimum(self.far - shift[1], 0)) * np.exp(self.b - top)
+        self.normaliser = np.log(left @ right.T) + shift[0] + shift[1].T + top
 
     def log10(self, word: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        s = self.near[before, word] + self.far[earlier, word] + self.bias[word]
-        return (s - self.normaliser[before, earlier]) / np.log(10)
+        """log10 P(class | the classes before and earlier)."""
+        s = self.near[before, word] + self.far[earlier, word] + self.b[word]
+        return (s - self.normaliser[before, earlier]).astype(np.float64) / np.log(10)
 
 
-def with_ends(values: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of a slice with an end after each text, and the number of the first token of each text."""
-    return np.insert(values, ends, end), np.concatenate([[0], (ends + np.arange(1, len(ends) + 1))[:-1]])
+_TABLES: dict[bytes, Tables] = {}
 
 
-def tokens_before(values: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The value before each token and the one before that; before a text stands the end."""
-    before = np.concatenate([[end], values[:-1]])
-    before[first] = end
-    earlier = np.concatenate([[end], before[:-1]])
-    earlier[first] = end
-    return before, earlier
+def tables(model: Model) -> Tables:
+    """A worker makes the tables of a model once."""
+    key = model.weights.to_bytes()
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = Tables(model)
+    return _TABLES[key]
 
 
-def contexts(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class before each token and the one before that; before a text stands the end."""
-    return tokens_before(classes, first, END)
+def averaged(parts: DataFrame, model: Model, number: int) -> Weights:
+    """Weights after a round: every task trains a copy on its slices, and copies are averaged, at most FAN in a group at a time."""
+    start, share = model.weights, model.share
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        w, rng, total = start.from_bytes(start.to_bytes()), np.random.default_rng([SEED, number, task]), 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                train, ends, local, words, kinds = (batch.column(j)[k].values.to_numpy(zero_copy_only=False) for j in range(5))
+                tokens, first = with_ends(model.classes(words.view(np.uint64), kinds)[local], ends, END)
+                learnt = np.repeat(train.astype(bool), np.diff(np.append(first, len(tokens))))
+                n = int(learnt.sum())
+                train_nce(w, share, tokens, first, learnt, min(EPOCHS, -(-READ // max(n, 1))), rng)
+                total += n
+        if total:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([task], pa.int64()), "n": pa.array([total], pa.int64()), "raw": pa.array([w.to_bytes()], pa.binary())})
+
+    def mean(key: tuple, rows: pa.Table) -> pa.Table:
+        n = np.array(rows["n"].to_pylist(), np.float64)
+        total = np.zeros(sum(x.size for x in start.parts()))
+        for share_of, raw in zip(n / n.sum(), rows["raw"], strict=True):
+            total += share_of * np.frombuffer(raw.as_py(), np.float32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "raw": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    types = "part long, n long, raw binary"
+    copies = staged(parts.select("train", "ends", "tokens", "words", "kinds").mapInArrow(run, types), "copies")
+    last = copies.agg(F.max("part")).first()[0]
+    while last:  # numbers of tasks get smaller by FAN each time
+        copies = staged(copies.groupBy(F.floor(F.col("part") / FAN).cast("long").alias("to")).applyInArrow(mean, types), "copies")
+        last //= FAN
+    found = copies.select("raw").first()
+    return start if found is None else start.from_bytes(bytes(found[0]))
 
-def train_nce(triples: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of the near and the far place (size x size) and biases, from counts of (earlier, before, word) triples.
 
-    NCE tells data from NOISE noise words a token, drawn by unigram shares; here both expectations are exact sums.
-    """
-    rng = np.random.default_rng(SEED)
-    seen = np.zeros(size**3, np.float32)
-    seen[triples] = counts
-    seen = seen.reshape(size, size, size)
-    total = float(seen.sum())
-    unigram = (seen.sum(axis=(0, 1), dtype=np.float64) + 1) / (total + size)
-    log_noise = np.log(NOISE * unigram).astype(np.float32)
-    seen /= max(total, 1.0)
-    noise = NOISE * seen.sum(axis=2)[:, :, None] * unigram[None, None, :].astype(np.float32)
-    value = {"q": rng.normal(0, 0.1, (size, WIDTH)), "r": rng.normal(0, 0.1, (size, WIDTH)), "c": np.stack([np.ones(WIDTH), np.full(WIDTH, 0.5)]), "b": np.log(unigram)}
-    m, v = ({k: np.zeros_like(x) for k, x in value.items()} for _ in range(2))
-    for step in range(1, STEPS + 1):
-        q, r, c, b = (value[k] for k in "qrcb")
-        near, far = (r * c[0]) @ q.T, (r * c[1]) @ q.T
-        s = far.astype(np.float32)[:, None, :] + (near + b).astype(np.float32)[None, :, :] - log_noise
-        p = 1 / (1 + np.exp(-s))
-        slope = noise * p - seen * (1 - p)  # of the loss, by the score of each triple
-        by_near, by_far, by_b = slope.sum(axis=0, dtype=np.float64), slope.sum(axis=1, dtype=np.float64), slope.sum(axis=(0, 1), dtype=np.float64)
-        grad = {"q": by_near.T @ (r * c[0]) + by_far.T @ (r * c[1]) + RIDGE / size * q, "r": (by_near @ q) * c[0] + (by_far @ q) * c[1] + RIDGE / size * r, "c": np.stack([((by_near @ q) * r).sum(axis=0), ((by_far @ q) * r).sum(axis=0)]), "b": by_b}
-        for k in value:
-            m[k] = 0.9 * m[k] + 0.1 * grad[k]
-            v[k] = 0.99 * v[k] + 0.01 * grad[k] ** 2
-            value[k] = value[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-10)
-    q, r, c, b = (value[k] for k in "qrcb")
-    return (r * c[0]) @ q.T, (r * c[1]) @ q.T, b
+def with_ends(values: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a slice with an end after each text, and the number of the first token of each text."""
+    ends = ends.astype(np.int64)
+    return np.insert(values, ends, end), np.concatenate([[0], (ends + np.arange(1, len(ends) + 1))[:-1]]).astype(np.int64)
 
 
 def learn(parts: DataFrame, counted: DataFrame) -> Model:
-    """The model from all slices and all word counts (word, c); what comes to the driver is bounded by CLASSES ** 3."""
+    """The model from all slices and all word counts (word, kind, c); what comes to the driver is bounded by CLASSES."""
     texts = parts.select(F.explode("train").alias("train")).filter("train").count()
-    tokens, distinct = (x or 0 for x in counted.filter("c > 0").agg(F.sum("c"), F.count(F.lit(1))).first())
-    top = counted.filter("c > 0").orderBy(F.col("c").desc(), "word").limit(CLASSES - 2).collect()
+    seen = counted.filter("c > 0")
+    by_class = {r["kind"]: (r["c"], r["n"]) for r in seen.groupBy("kind").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
+    top = seen.orderBy(F.col("c").desc(), "word").limit(TOP).collect()
+    class_tokens, class_words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for kind, (c, n) in by_class.items():
+        class_tokens[kind], class_words[kind] = c, n
+    tokens, distinct = int(class_tokens.sum()) + texts, int(class_words.sum()) + (texts > 0)
+    class_tokens[END], class_words[END] = texts, 1
+    for k, r in enumerate(top, 1):
+        class_tokens[k], class_words[k] = r["c"], 1
+        class_tokens[r["kind"]] -= r["c"]
+        class_words[r["kind"]] -= 1
+    known = np.ones(CLASSES, bool)
+    known[len(top) + 1 : TOP + 1] = False
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    blank = np.zeros((1, 1))
-    found = Model(hashes[order], order + 2, blank, blank, blank[0], blank, tokens + texts, distinct + (texts > 0), tokens - sum(r["c"] for r in top), distinct - len(top), texts, blank[0])
+    model = Model(hashes[order], order + 1, None, known, tokens, distinct, class_tokens, class_words)
+    model.weights = Weights.first(model.share)
+    for number in range(ROUNDS):
+        model.weights = averaged(parts, model, number)
+    model.weights.held = []
+    return model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(CLASSES**3, np.int64)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ends, local, words, train = (batch.column(j)[k].values.to_numpy(zero_copy_only=False) for j in range(4))
-                word, first = with_ends(found.classes(words.view(np.uint64))[local], ends.astype(np.int64), END)
-                before, earlier = contexts(word, first)
-                learnt = np.repeat(train.astype(bool), np.diff(np.append(first, len(word))))
-                held += np.bincount(((earlier * CLASSES + before) * CLASSES + word)[learnt], minlength=CLASSES**3)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_pydict({"triple": pa.array(at), "k": pa.array(held[at])})
-
-    sums = parts.select("ends", "tokens", "words", "train").mapInArrow(run, "triple long, k long").groupBy("triple").agg(F.sum("k").alias("k")).toArrow()
-    triples, counts = sums["triple"].to_numpy(), sums["k"].to_numpy()
-    order = np.argsort(triples)
-    near, far, bias = train_nce(triples[order], counts[order], CLASSES)
-    share = np.bincount(triples % CLASSES, counts, CLASSES) + 1
-    found.log_share = np.log(share / share.sum())
-    # classes without a word take no probability
-    bias[len(top) + 2 :] = -1e4
-    shift = near.max(axis=1, keepdims=True), far.max(axis=1, keepdims=True)
-    product = np.exp(near - shift[0]) @ (np.exp(far - shift[1]) * np.exp(bias - bias.max())).T
-    found.near, found.far, found.bias, found.normaliser = near, far, bias, np.log(product) + shift[0] + shift[1].T + bias.max()
-    return found
-
-
-def first_vectors(words: np.ndarray) -> np.ndarray:
-    """Context vectors that training starts from, made from the words' hashes, so they agree between slices."""
-    salts = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64))
-    return ((mixed(words[:, None] ^ salts[None, :]) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24) - np.float32(0.5)) * np.float32(0.5)
-
-
-def train_words(model: Model, keys: np.ndarray, own: np.ndarray, kinds: np.ndarray, tokens: np.ndarray, first: np.ndarray, learnt: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Target and context vectors of the words `keys` from one slice; row 0 belongs to all words without vectors and stays 0.
-
-    own and kinds give the row and the class of each word of the slice, the end last; tokens are places in them.
-    """
-    rng = np.random.default_rng([SEED, seed & 0xFFFFFFFFFFFF])
-    q = np.zeros((len(keys) + 1, WIDTH), np.float32)
-    r = np.concatenate([np.zeros((1, WIDTH), np.float32), first_vectors(keys)])
-    sums = [np.ones(len(q), np.float32), np.ones(len(q), np.float32)]
-    row, kind = own[tokens], kinds[tokens]
-    before, earlier = contexts(kind, first)
-    row_1, row_2 = tokens_before(row, first, own[-1])
-    at = np.flatnonzero(learnt)
-    log_k, weight = np.float32(np.log(NOISE)), np.float32(NOISE / SHARED_NOISE)
 
-    def move(value: np.ndarray, held: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        to = rows[order][starts]
-        total = np.add.reduceat(slope[order], starts, axis=0)
-        total[to == 0] = 0
-        held[to] += np.einsum("ij,ij->i", total, total) / WIDTH
-        value[to] += WORD_RATE * total / np.sqrt(held[to])[:, None]
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Model]:
+    """(slices, words with class and count, model) of a corpus."""
+    short_batches(docs.sparkSession)
+    parts = staged(sliced(docs, id_col, text_col), "slices")
+    each = parts.select(F.explode(F.arrays_zip("words", "kinds", "k")).alias("x"))
+    counted = staged(each.groupBy(F.col("x.words").alias("word")).agg(F.first("x.kinds").alias("kind"), F.sum("x.k").alias("c")), "counts")
+    return parts, counted, learn(parts, counted)
 
-    for _ in range(min(EPOCHS, -(-READ // max(len(at), 1)))):
-        for k in range(0, len(at), STEP_TOKENS):
-            i = at[k : k + STEP_TOKENS]
-            j = at[rng.integers(0, len(at), SHARED_NOISE)]
-            u = PLACES[0] * r[row_1[i]] + PLACES[1] * r[row_2[i]]
-            b, e = before[i], earlier[i]
-            seen = model.near[b, kind[i]] + model.far[e, kind[i]] + (model.bias - model.log_share)[kind[i]] - model.normaliser[b, e]
-            q_seen, q_noise = q[row[i]], q[row[j]]
-            up = 1 / (1 + np.exp(seen.astype(np.float32) + np.einsum("ij,ij->i", u, q_seen) - log_k))
-            down = weight / (1 + np.exp(log_k - model.gain(kind[j], b, e).astype(np.float32) - u @ q_noise.T))
-            by_u = up[:, None] * q_seen - down @ q_noise
-            move(q, sums[0], np.concatenate([row[i], row[j]]), np.concatenate([up[:, None] * u, -(down.T @ u)]))
-            move(r, sums[1], np.concatenate([row_1[i], row_2[i]]), np.concatenate([PLACES[0] * by_u, PLACES[1] * by_u]))
-    return q, r
-
-
-def as_binary(values: np.ndarray, has: np.ndarray) -> pa.Array:
-    """Rows of half floats as a binary column, empty where `has` is false; values has the rows where it is true."""
-    ends = np.concatenate([[0], np.cumsum(np.where(has, 2 * values.shape[1], 0))]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(ends), pa.py_buffer(values.astype(np.float16).tobytes())])
-
-
-def from_binary(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of as_binary aren't empty, and their values."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(offsets) else np.zeros(0, np.uint8)
-    return np.diff(offsets) > 0, data.view(np.float16).astype(np.float32).reshape(-1, 2 * WIDTH)
-
-
-_VECTOR = pa.schema([("word", pa.int64()), ("slice", pa.int64()), ("pos", pa.int32()), ("c", pa.int64()), ("k", pa.int32()), ("vectors", pa.binary())])
-_VECTOR_TYPES = "word long, slice long, pos int, c long, k int, vectors binary"
-
-
-def local_vectors(model: Model, part: pa.Table, known: pa.Table) -> pa.Table:
-    """Rows of _VECTOR for each word of each slice and the end; words without vectors, or not learnt from here, have none."""
-    out = []
-    row = part.combine_chunks()
-    for n in range(row.num_rows):
-        number = row["slice"][n].as_py()
-        train, ends, local, words, k = (row[name].chunk(0)[n].values.to_numpy(zero_copy_only=False) for name in ("train", "ends", "tokens", "words", "k"))
-        train = train.astype(bool)
-        c = np.zeros(len(words) + 1, np.int64)
-        c[known["pos"].to_numpy()] = known["c"].to_numpy()
-        c[-1], k = model.end_count, np.append(k, train.sum()).astype(np.int64)
-        has = (c >= LEAST) & (k > 0)
-        own = np.where(has, np.cumsum(has), 0)
-        tokens, first = with_ends(local, ends.astype(np.int64), len(words))
-        kinds = np.append(model.classes(words.view(np.uint64)), END)
-        learnt = np.repeat(train, np.diff(np.append(first, len(tokens))))
-        keys = np.append(words, END_WORD).astype(np.int64)
-        q, r = train_words(model, keys[has].view(np.uint64), own, kinds, tokens, first, learnt, number)
-        rows = [keys, np.full(len(keys), number), np.arange(len(keys), dtype=np.int32), c, k.astype(np.int32)]
-        out.append(pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows), as_binary(np.concatenate([q[1:], r[1:]], axis=1), has)], schema=_VECTOR))
-    return pa.Table.from_batches(out, _VECTOR)
-
-
-def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _VECTOR in order of word, with the mean of a word's vectors, weighted by k, in each of its rows."""
-    held = _VECTOR.empty_table()
-    for batch in chain(batches, [None]):
-        if batch is not None:
-            held = pa.concat_tables([held, pa.Table.from_arrays(batch.columns, schema=_VECTOR)])
-        word = held["word"].to_numpy()
-        cut = len(word) if batch is None or not len(word) else int(np.searchsorted(word, word[-1]))  # the last word may go on
-        if not cut:
-            continue
-        now, held = held.slice(0, cut).combine_chunks(), held.slice(cut)
-        group = np.cumsum(np.diff(word[:cut], prepend=word[0]) != 0)
-        has, values = from_binary(now["vectors"])
-        mean, filled = np.zeros((0, 2 * WIDTH), np.float32), np.zeros(cut, bool)
-        if has.any():
-            mine, k = group[has], now["k"].to_numpy()[has].astype(np.float32)
-            starts = np.flatnonzero(np.diff(mine, prepend=-1))
-            mean = np.add.reduceat(values * k[:, None], starts, axis=0) / np.add.reduceat(k, starts)[:, None]
-            place = np.full(group[-1] + 1, -1)
-            place[mine[starts]] = np.arange(len(starts))
-            filled = place[group] >= 0
-            mean = mean[place[group][filled]]
-        yield pa.RecordBatch.from_arrays([*(now[name].chunk(0) for name in _VECTOR.names[:-1]), as_binary(mean, filled)], schema=_VECTOR)
+
+def top_classes(spark: SparkSession, model: Model) -> DataFrame:
+    """(word, top) of the words that are classes of their own; TOP rows at most."""
+    return spark.createDataFrame([(int(np.uint64(w).view(np.int64)), int(k)) for w, k in zip(model.hashes, model.numbers, strict=True)], "word long, top int")
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,48 +331,38 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Texts whose crc32(id as text) modulo 7 is 2 are held out, all others are learnt from; a text's tokens are its words, A-Z
     in lower case, and one end. A null, empty or blank text has only the end. Ties among the most frequent words go to the
     smaller hash. Repeated rows are learnt as often as they come; an empty table gives no rows. A null id counts as
-    training. Only the two named columns are read. score, not base_score, depends a little on how texts fall into slices.
+    training. Only the two named columns are read. score, not base_score, depends a little on how texts fall into tasks.
     """
-    short_batches(docs.sparkSession)
-    parts = staged(sliced(docs, id_col, text_col), "slices")
-    counted = staged(parts.select(F.explode(F.arrays_zip("words", "k")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.k").alias("c")), "counts")
-    model = learn(parts, counted)
+    return scored_by(docs.sparkSession, *fitted(docs, id_col, text_col)).withColumnRenamed("id", id_col)
+
+
+def scored_by(spark: SparkSession, parts: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
+    """The rows of scored() for slices, with the counts and classes of their words joined back to them."""
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(part: pa.Table, known: pa.Table) -> pa.Table:
-        out = []
+        out, at = [], tables(model)
         row = part.combine_chunks()
         for k in range(row.num_rows):
-            ids, train, ends, local, words = (row[name].chunk(0)[k].values for name in ("ids", "train", "ends", "tokens", "words"))
-            ends, local, words = ends.to_numpy().astype(np.int64), local.to_numpy(), words.to_numpy().view(np.uint64)
-            c = np.zeros(len(words) + 1, np.int64)
-            c[known["pos"].to_numpy()] = known["c"].to_numpy()
-            c[-1] = model.end_count
-            has, values = from_binary(known["vectors"])
-            place = np.zeros(len(c), np.int64)
-            place[known["pos"].to_numpy()[has]] = np.arange(1, len(values) + 1)
-            values = np.concatenate([np.zeros((1, 2 * WIDTH), np.float32), values])
-            tokens, first = with_ends(local, ends, len(words))
-            kind = np.append(model.classes(words), END)[tokens]
-            before, earlier = contexts(kind, first)
+            ids, train, ends, local = (row[name].chunk(0)[k].values for name in ("ids", "train", "ends", "tokens"))
+            n = known.num_rows  # every word of the slice, at its place
+            place = known["pos"].to_numpy()
+            c, kinds = np.zeros(n + 1, np.int64), np.full(n + 1, END, np.int64)
+            c[place], kinds[place] = known["c"].to_numpy(), known["kind"].to_numpy()
+            c[-1] = model.class_tokens[END]
+            tokens, first = with_ends(local.to_numpy(), ends.to_numpy(), n)
+            kind = kinds[tokens]
+            before, earlier = tokens_before(kind, first)
             base = np.log10((c + 1) / (model.tokens + model.distinct + 1))[tokens]
-            inside = np.log10((c + 1) / (model.rest_tokens + model.rest_words + 1))
-            full = model.log10(kind, before, earlier) + np.where(kind == REST, inside[tokens], 0.0)
-            near, far = tokens_before(tokens, first, len(words))
-            for a in range(0, len(tokens), 1 << 16):
-                b = slice(a, a + (1 << 16))
-                u = PLACES[0] * values[place[near[b]], WIDTH:] + PLACES[1] * values[place[far[b]], WIDTH:]
-                full[b] += np.einsum("ij,ij->i", u, values[place[tokens[b]], :WIDTH]) / np.log(10)
+            full = at.log10(kind, before, earlier) + model.inside(c, kinds)[tokens]
             size = np.diff(np.append(first, len(tokens)))
             add = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
             values = [ids, pa.array(~train.to_numpy(zero_copy_only=False).astype(bool)), size, add((c[tokens] > 0).astype(np.int64)), np.full(len(size), model.tokens), add(base), add(full)]
             out.append(as_batches(dict(zip(schema.names, values, strict=True)), schema))
         return pa.Table.from_batches(out, schema)
 
-    places = parts.select("slice", F.posexplode("words").alias("pos", "word")).join(counted, "word").select(F.col("slice").alias("of"), "pos", "c")
-    body = parts.select("slice", "ids", "train", "ends", "tokens", "words")
+    kinds = counted.join(F.broadcast(top_classes(spark, model)), "word", "left").select("word", "c", F.coalesce("top", "kind").cast("short").alias("kind"))
+    places = parts.select("slice", F.posexplode("words").alias("pos", "word")).join(kinds, "word").select(F.col("slice").alias("of"), "pos", "c", "kind")
+    body = parts.select("slice", "ids", "train", "ends", "tokens")
     types = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    learning = parts.select("slice", "train", "ends", "tokens", "words", "k").groupBy("slice").cogroup(places.groupBy("of"))
-    local = learning.applyInArrow(lambda part, known: local_vectors(model, part, known), _VECTOR_TYPES)
-    means = local.repartition("word").sortWithinPartitions("word").mapInArrow(averaged, _VECTOR_TYPES).select(F.col("slice").alias("of"), "pos", "c", "vectors")
-    return body.groupBy("slice").cogroup(means.groupBy("of")).applyInArrow(run, types).withColumnRenamed("id", id_col)
+    return body.groupBy("slice").cogroup(places.groupBy("of")).applyInArrow(run, types)
