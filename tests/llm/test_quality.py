@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import random
+import string
 from collections import Counter
 
+import pyarrow as pa
+import pytest
 import zstandard
 
 from quireflow.llm import quality
@@ -40,21 +44,62 @@ def test_base_against_brute_force(spark, edge, nothing):
     assert quality.judged(nothing).collect() == []
 
 
-def test_bands():
-    import random
+@pytest.fixture(scope="module")
+def prose() -> bytes:
+    """Clean texts of one language, one after another."""
+    import duckdb
 
+    rows = duckdb.execute("SELECT DISTINCT text FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) WHERE quality = 1 AND lang = 'en' AND length(text) BETWEEN 400 AND 5000 ORDER BY 1").fetchall()
+    return "\n".join(r[0] for r in rows).encode()
+
+
+def planted(kind: str, size: int, seed: int) -> str:
+    """A text of about so many bytes that no base rule takes: words of a small template with a number, or random signs."""
+    rng = random.Random(seed)
+    if kind == "repetitive":
+        words = [f"alpha beta {k}" for k in rng.sample(range(10 * size), size // 12 + 1)] if size > 900 else [f"aa bb {k}" for k in rng.sample(range(900), size // 7)]
+    else:
+        words = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=rng.randint(2, 5))) for _ in range(size // 4 + 1)]
+    text = " ".join(words)[:size]
+    found = brute(text)
+    assert found["n_words"] >= 50 and 100 * found["n_repeat_words"] <= 50 * found["n_words"]
+    return text
+
+
+@pytest.mark.parametrize("size", [300, 700, 1500, 3000, 6000, 12_000, 30_000, 100_000, 1_500_000])
+def test_each_length_has_texts_that_only_the_bands_reject(size, prose):
+    compress = zstandard.ZstdCompressor(level=3).compress
+    for k in range(5):
+        assert quality.compression(planted("repetitive", size, k).encode(), compress)[-1]
+        assert quality.compression(planted("incompressible", size, k).encode(), compress)[-1]
+        assert not quality.compression(prose[k * 1000 : k * 1000 + size], compress)[-1]
+
+
+def test_chunks_decide_where_the_whole_passes():
     compress = zstandard.ZstdCompressor(level=3).compress
-    rng = random.Random(3)
-    vocabulary = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(3000)]
-    prose = " ".join(rng.choices(vocabulary, k=6000))
-    noise = bytes(rng.choices(range(256), k=30000))
-    assert not quality.compression(prose.encode(), compress)[-1]
-    assert quality.compression(noise, compress)[-1] and quality.compression(b"spam and eggs " * 3000, compress)[-1]
-    mixed = prose.encode()[:8192] + b"x" * 20000  # the whole might pass; most chunks don't
-    ratio, chunks, low, high, failed = quality.compression(mixed, compress)
-    assert (chunks, low, high, failed) == (6, 4, 0, True)
+    text = (planted("repetitive", 3000, 1) + " " + planted("incompressible", 5200, 2)).encode()
+    ratio, chunks, low, high, failed = quality.compression(text, compress, whole=((1, 0.0, 2.0),))
+    assert failed and chunks == 8 and low >= 2 and high >= 4
     assert quality.compression(b"", compress) == (0.0, 0, 0, 0, False)
-    assert quality.band(127, quality.WHOLE_BANDS) == quality.WHOLE_BANDS[0][1:] and quality.band(10**9, quality.WHOLE_BANDS) == quality.WHOLE_BANDS[-1][1:]
+    assert quality.compression(b"x" * 1500, compress)[1:4] == (1, 1, 0)
+    for bands in (quality.WHOLE_BANDS, quality.CHUNK_BANDS):
+        assert [tuple(float(x) for x in quality.band(n, bands)) for n in (1, 1 << 40)] == [bands[0][1:], bands[-1][1:]]
+        assert all(quality.band(n, bands)[0] == low for n, low, _ in bands)
+
+
+def test_long_texts_are_cut_inside(monkeypatch):
+    text = "a line of words and words\n" * 70_000 + "é" * 50_000 + "\n  \n one line\n one line " + "x y " * 50_000
+    own = quality.Measure()
+    (_, _, found), = own(pa.array([text]))
+    want = brute(text)
+    assert {k: list(found[k]) for k in want} == {k: [v] for k, v in want.items()}
+
+
+def test_labelled_bad_documents_that_only_the_bands_take(spark):
+    found = QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.1")
+    bad = found.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("quality = 0 AND NOT base_failed")
+    n, taken, by_chunks = bad.selectExpr("count(*)", "count_if(NOT kept)", "count_if(low_chunks + high_chunks > 0.25 * n_chunks)").first()
+    assert taken >= 0.5 * n and by_chunks >= 0.4 * n
 
 
 def test_labelled_clean_documents_stay(spark):
