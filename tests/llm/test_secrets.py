@@ -51,7 +51,7 @@ def test_windows(run, window, bits):
         counts = Counter(raw[k : k + window])
         if -sum(c / window * math.log2(c / window) for c in counts.values()) >= bits - 1e-9 / window:
             flagged |= set(range(k, k + window))
-    assert {i for a, b in secrets.entropy_spans(raw, window, bits) for i in range(a, b)} == flagged
+    assert {i for a, b in secrets.entropy_spans(raw, window, bits, allow=False) for i in range(a, b)} == flagged
 
 
 def test_method_and_allow_list():
@@ -61,6 +61,38 @@ def test_method_and_allow_list():
     assert found[4] == [("entropy_base64", 3, 3 + len(KEY))]
 
 
+def test_the_allow_list_judges_windows():
+    import random
+
+    rng = random.Random(7)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=40))
+    assert scan([letters])[0]  # no digit, but no words either
+    for text in (f"sample_{KEY}", f"/example/{KEY}", f"dummy-{KEY}/x", f"path/to/some/{KEY}", f"550e8400-e29b-41d4-a716-446655440000/{KEY}"):
+        (_, a, b), = scan([text])[0]
+        assert text[a:b].endswith(KEY[-20:]) or KEY in text[a:b]
+    for text in ("https/docs/getting-started/with_the_new_Library2/index", "GettingStartedWithTheNewLibraryOfCongress", "1234567890123456789012345", "THE_QUICK_BROWN_FOX_JUMPS_OVER", "key=exampleexampleexample", "x" * 60, "2024-01-15/10-20-30/report-final-v2"):
+        assert not [x for x in scan([text])[0] if x[0].startswith("entropy")], text
+
+
+def test_most_random_keys_are_found():
+    import random
+
+    rng = random.Random(11)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    keys = ["".join(rng.choices(signs, k=32)) for _ in range(500)]
+    assert sum(bool([x for x in found if x[0] == "entropy_base64"]) for found in scan(keys)) >= 495
+
+
+def test_long_texts_are_cut_inside(monkeypatch):
+    pieces = [f"password :  hunter22 x {KEY} é 中 a = b token =\n abcdef99 secret: 'abc_defg' ", "no more\tthan this\n", "é" * 50, "= : ", "deadbeef" * 4 + " "]
+    text = "".join(pieces[k % 5] for k in range(400))
+    whole = scan([text])[0]
+    monkeypatch.setattr(secrets, "SLICE_BYTES", 100)
+    monkeypatch.setattr(secrets, "cuts", lambda part, safe: common.cuts(part, safe, most=100))
+    (_, _, (found,)), = secrets.scanned(pa.array([text]))
+    assert [(secrets.KINDS[k], a, b) for a, k, b in found] == whole and len(whole) == 320
+
+
 def test_spans_do_not_cross_texts():
     assert scan(["deadbeef" * 2, "deadbeef" * 2]) == [[], []]
 
