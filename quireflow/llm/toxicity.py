@@ -1,8 +1,12 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features.
 
 P(grade >= k) = sigmoid(w . x - threshold_k), with one w for all thresholds, which rise with k. x has log2(1 + n) for each
-word and word beginning that a text holds n times. The labels only say toxic or not, so the grades of toxic rows are made from them: 2 for
-those that hold more features than the median toxic row, 1 for the others; 0 is not toxic.
+word and word beginning that a text holds n times. All features that tell something about the label, for or against it,
+take part, however many these are; the rows of the fit are what bounds them.
+
+Labels with a column `grade` (0 to 2) are fitted as they are. Labels that only say toxic or not are graded by a second
+reader that never saw them: the labelled rows are split in halves, each half gives a list of features that come with toxic
+rows, and a toxic row's grade is 2 if it holds more of the other half's list than the median toxic row does, else 1.
 """
 
 from __future__ import annotations
@@ -16,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batches, mixed, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
+from .common import SLICE_BYTES, as_batches, cuts, mixed, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
 
-#: The fit reads at most so many labelled rows, the first by a hash of their id, and keeps at most so many features.
-FIT_ROWS, FEATURES = 8192, 512
-#: A feature needs so many rows and such a share of toxic rows among its own. The share keeps out words that only tell the
-#: language in which toxic rows happen to be many. CHANCE: of all features that are looked at, so many may pass by chance.
-LEAST_ROWS, LEAST_SHARE, CHANCE = 5, 0.8, 0.1
+#: The fit reads at most so many labelled rows, the first by a hash of their id.
+FIT_ROWS = 8192
+#: A feature needs so many rows, and so many times the odds of the corpus, for toxic or against it; that keeps out words that
+#: only tell the language in which toxic rows happen to be many. CHANCE: of all features that are looked at, so many may pass by chance.
+LEAST_ROWS, ODDS_FOR, ODDS_AGAINST, CHANCE = 5, 32.0, 8.0, 0.1
 #: Beginnings of words that count as features, in bytes: words that share a root are often too rare one by one.
 PREFIX_BYTES = (4, 5, 6, 7)
 GRADES = 3
-STEPS, RATE, RIDGE = 400, 0.1, 1e-5
+STEPS, RATE, RIDGE = 400, 0.1, 1e-4
 
 _BREAKS = np.ones(128, bool)
 _BREAKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
@@ -35,7 +39,7 @@ _BREAKS = np.concatenate([_BREAKS, np.zeros(128, bool)])
 
 @dataclass
 class OrdinalModel:
-    """Sorted feature hashes, their shared weights, the thresholds between grades, and P(grade >= 1) from which a text is toxic."""
+    """Sorted hashes of features, their shared weights, the thresholds between grades, and P(grade >= 1) from which a text is toxic."""
 
     features: np.ndarray
     weights: np.ndarray
@@ -47,42 +51,88 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, row, feature hash) of each word and of the beginnings of longer words, repeats included."""
+def found_in(part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of each word of a slice's rows and of the beginnings of longer words, repeats included."""
+    starts, ends, at = word_bounds(part, own, _BREAKS)
+    row = np.repeat(np.arange(len(own) - 1, dtype=np.int64), np.diff(at))
+    if not len(starts):
+        return row, np.zeros(0, np.uint64)
     hasher = word_hasher()
+    rows, found = [row], [hasher(part, starts, ends)]
+    for n in PREFIX_BYTES:
+        long = ends - starts > n
+        rows.append(row[long])
+        found.append(mixed(hasher(part, starts[long], starts[long] + n) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    return np.concatenate(rows), np.concatenate(found)
+
+
+class Wanted:
+    """Finds the numbers of features in a sorted list; a table of 2**16 places rules most others out."""
+
+    def __init__(self, features: np.ndarray):
+        self.features = features
+        self.may = np.zeros(1 << 16, bool)
+        self.may[(features & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def __call__(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `found` that hold one of the features, and its number."""
+        at = np.flatnonzero(self.may[(found & np.uint64(0xFFFF)).astype(np.int64)])
+        if not len(at):
+            return at, at
+        number = np.minimum(np.searchsorted(self.features, found[at]), len(self.features) - 1)
+        same = self.features[number] == found[at]
+        return at[same], number[same]
+
+
+def features(column: pa.Array, wanted: Wanted | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, row, feature, times): how often each row has a feature, by row.
+
+    With `wanted`, only those features, and by their numbers.
+    """
     data, offsets = text_buffer(column)
     for a, b in slices(offsets):
         part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        starts, ends, at = word_bounds(part, own, _BREAKS)
-        row = np.repeat(np.arange(b - a), np.diff(at))
-        if not len(starts):
-            yield a, b, row, np.zeros(0, np.uint64)
-            continue
-        rows, found = [row], [hasher(part, starts, ends)]
-        for n in PREFIX_BYTES:
-            long = ends - starts > n
-            rows.append(row[long])
-            found.append(mixed(hasher(part, starts[long], starts[long] + n) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        yield a, b, np.concatenate(rows), np.concatenate(found)
+        bounds = cuts(part) if b - a == 1 and len(part) > SLICE_BYTES else [0, len(part)]
+        rows, found, counts = [], [], []
+        for x, y in zip(bounds, bounds[1:], strict=False):
+            row, feature = found_in(part[x:y], own if len(bounds) == 2 else np.array([0, y - x]))
+            if wanted is not None:
+                at, feature = wanted(feature)
+                row = row[at]
+            row, feature, times = summed(row, feature, np.ones(len(row), np.int64))
+            rows.append(row)
+            found.append(feature)
+            counts.append(times)
+        yield a, b, *(summed(*(np.concatenate(x) for x in (rows, found, counts))) if len(rows) > 1 else (rows[0], found[0], counts[0]))
+
+
+def summed(row: np.ndarray, feature: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of row and feature in order, and the sums of their times."""
+    order = np.lexsort((feature, row))
+    row, feature, times = row[order], feature[order], times[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (feature[1:] != feature[:-1])))[: len(row)]
+    return row[first], feature[first], np.add.reduceat(times, first) if len(first) else times
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, toxic, features, times) of the labelled rows to fit on; the sample has a fixed bound, so it may be broadcast."""
-    sample = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "toxic", "text")
+    """(id, label, half, features, times) of the labelled rows to fit on; the sample has a fixed bound, so it may be broadcast.
+
+    label is the grade if the labels have one, else 1 for toxic.
+    """
+    label = F.least(F.lit(GRADES - 1), F.col("grade").cast("int")) if "grade" in labels.columns else (F.col("toxic") > 0).cast("int")
+    own = labels.select(F.col(id_col).cast("long").alias("id"), label.alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
+    sample = own.groupBy("id").agg(F.greatest(F.lit(0), F.max("label")).alias("label")).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
+    half = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "label", half.alias("half"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, row, found in features(batch.column(2)):
-                order = np.lexsort((found, row))
-                row, found = row[order], found[order]
-                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (found[1:] != found[:-1])))[: len(row)]
-                ends = np.searchsorted(row[first], np.arange(b - a + 1)).astype(np.int32)
-                times = np.diff(np.append(first, len(row))).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (found[first].view(np.int64), times)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *lists], names=["id", "toxic", "features", "times"])
+            for a, b, row, found, times in features(batch.column(3)):
+                ends = pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (found.view(np.int64), times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:3]), *lists], names=["id", "label", "half", "features", "times"])
 
-    return chosen.mapInArrow(run, "id long, toxic int, features array<long>, times array<int>")
+    return chosen.mapInArrow(run, "id long, label int, half int, features array<long>, times array<int>")
 
 
 def amount(times: np.ndarray) -> np.ndarray:
@@ -120,65 +170,74 @@ def ordinal(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray
     return value[:size], value[size] + np.concatenate([[0], np.cumsum(np.exp(value[size + 1 :]))])
 
 
+def graded(toxic: np.ndarray, dose: np.ndarray) -> np.ndarray:
+    """0 for rows that aren't toxic, 2 for toxic ones with a larger dose than the median toxic row, 1 for the others."""
+    return np.where(toxic, 1 + (dose > np.median(dose[toxic])), 0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """A model from docs and labels (id_col, toxic). Without a toxic row among the labels nothing is toxic."""
+    """A model from docs and labels (id_col, and grade or toxic).
+
+    Labels without an id, a label or a document don't count; of repeated labels of an id the highest counts, and repeated
+    documents count as often as they come. Without a toxic row, or without any other, nothing is toxic.
+    """
     short_batches(docs.sparkSession)
     seen = staged(fit_rows(docs, labels, id_col, text_col), "labelled")
-    n, positive = (x or 0 for x in seen.agg(F.count(F.lit(1)), F.sum("toxic")).first())
+    toxic = (F.col("label") > 0).cast("int")
+    n, positive = (x or 0 for x in seen.agg(F.count(F.lit(1)), F.sum(toxic)).first())
     if not positive or positive == n:
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0] * (GRADES - 1)))
-    per = seen.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.sum("toxic").alias("t")).filter(F.col("k") >= LEAST_ROWS)
-    per = staged(per, "features")
+    each = seen.select(toxic.alias("toxic"), "half", F.explode("features").alias("feature"))
+    halves = [F.sum(F.when(F.col("half") == h, x)).alias(f"{c}{h}") for h in (0, 1) for c, x in (("k", F.lit(1)), ("t", F.col("toxic")))]
+    per = staged(each.groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.sum("toxic").alias("t"), *halves).filter(F.col("k") >= LEAST_ROWS), "features")
     base, share, looked = positive / n, F.col("t") / F.col("k"), per.count()
     entropy = lambda p, q: F.when(p > 0, p * F.ln(p / q)).otherwise(0.0)
-    bits = F.col("k") * (entropy(share, F.lit(base)) + entropy(1 - share, F.lit(1 - base)))  # bounds the binomial tail
-    told = per.filter((F.col("k") < n) & (F.col("t") >= F.greatest(F.lit(LEAST_SHARE), F.lit(base)) * F.col("k"))).withColumn("bits", bits)
-    top = told.filter(F.col("bits") >= math.log(max(looked, 1) / CHANCE)).orderBy(F.col("bits").desc(), "feature").limit(FEATURES).collect()
-    chosen = np.sort(np.array([r["feature"] for r in top], np.int64).view(np.uint64))
+    nats = F.col("k") * (entropy(share, F.lit(base)) + entropy(1 - share, F.lit(1 - base)))  # bounds the binomial tail on either side
+    odds = (F.col("t") + 0.5) / (F.col("k") - F.col("t") + 0.5) * ((n - positive) / positive)
+    told = ((odds >= ODDS_FOR) | (odds <= 1 / ODDS_AGAINST)) & (F.col("k") < n) & (nats >= math.log(max(looked, 1) / CHANCE))
+    comes = [F.coalesce(F.col(f"t{h}") > 0.5 * F.col(f"k{h}"), F.lit(False)) & (F.col(f"k{h}") >= LEAST_ROWS) for h in (0, 1)]
+    listed = per.select("feature", told.alias("told"), *[x.alias(f"comes{h}") for h, x in enumerate(comes)]).filter("told OR comes0 OR comes1").collect()  # no more than the features of FIT_ROWS rows
+    chosen, *by_half = (np.sort(np.array([r["feature"] for r in listed if r[name]], np.int64).view(np.uint64)) for name in ("told", "comes0", "comes1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, others = Wanted(chosen), [Wanted(x) for x in by_half]
         for batch in batches:
-            rows, times = [], []
-            for x, n in zip(batch.column(2), batch.column(3), strict=True):
-                own = np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                at = np.searchsorted(chosen, own)
-                hit = np.flatnonzero(chosen[np.minimum(at, len(chosen) - 1)] == own) if len(chosen) else np.zeros(0, np.int64)
-                rows.append(at[hit].tolist())
-                times.append(np.asarray(n.values.to_numpy(zero_copy_only=False))[hit].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=["id", "toxic", "held", "times"])
-
-    held = sorted(tuple(r) for r in seen.mapInArrow(run, "id long, toxic int, held array<int>, times array<int>").collect())  # FIT_ROWS rows of FEATURES numbers at most
-    rows, values = [np.array(r[2], np.int64) for r in held], [amount(np.array(r[3], float)) for r in held]
-    toxic = np.array([r[1] for r in held])
-    strength = np.array([len(r) for r in rows])
-    middle = np.median(strength[toxic > 0])
-    grades = np.where(toxic > 0, 1 + (strength > middle), 0)
+            rows, times, dose = [], [], []
+            for half, x, n in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                own, k = x.values.to_numpy(zero_copy_only=False).view(np.uint64), n.values.to_numpy(zero_copy_only=False)
+                at, number = wanted(own)
+                rows.append(number.tolist())
+                times.append(k[at].tolist())
+                dose.append(float(len(others[1 - half](own)[0])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dose), pa.array(rows, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=["id", "label", "dose", "held", "times"])
+
+    held = sorted(tuple(r) for r in seen.mapInArrow(run, "id long, label int, dose double, held array<int>, times array<int>").collect())  # FIT_ROWS rows
+    rows, values = [np.array(r[3], np.int64) for r in held], [amount(np.array(r[4], float)) for r in held]
+    label, dose = np.array([r[1] for r in held]), np.array([r[2] for r in held])
+    grades = label if "grade" in labels.columns else graded(label > 0, dose)
     weights, thresholds = ordinal(rows, values, grades, len(chosen))
     model = OrdinalModel(chosen, weights, thresholds)
-    model.toxic_from = best_cut(model.at_least(np.array([weights[r] @ v for r, v in zip(rows, values, strict=True)]))[:, 0], toxic > 0)
+    model.toxic_from = best_cut(model.at_least(np.array([weights[r] @ v for r, v in zip(rows, values, strict=True)]))[:, 0], grades > 0, float(model.at_least(np.zeros(1))[0, 0]))
     return model
 
 
-def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut, midway in log odds between two values of p, with the best F1 on the rows of the fit; of equal ones the highest."""
+def best_cut(p: np.ndarray, toxic: np.ndarray, least: float = 0.0) -> float:
+    """The cut over `least`, midway in log odds between two values of p, with the best F0.5 on the rows of the fit; of equal ones the highest.
+
+    With the chance of a text without any feature as `least`, no text is toxic for what it doesn't hold.
+    """
     odds = np.unique(np.round(np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6))), 4))
     cuts = np.append(1 / (1 + np.exp(-(odds[1:] + odds[:-1]) / 2)), 0.5)
-    said = np.array([2 * (toxic & (p >= c)).sum() / ((p >= c).sum() + toxic.sum()) for c in cuts])
+    cuts = np.append(cuts[cuts > least], max(0.5, least + 1e-6))
+    said = np.array([1.25 * (toxic & (p >= c)).sum() / ((p >= c).sum() + 0.25 * toxic.sum()) for c in cuts])  # a clean text lost is worse than a toxic one kept
     return float(cuts[said >= said.max() - 1e-12].max())
 
 
 def scores(model: OrdinalModel, column: pa.Array) -> np.ndarray:
     """w . x of each row."""
-    out = []
-    size = len(model.features)
-    for a, b, row, found in features(column):
-        if size:
-            k = np.minimum(np.searchsorted(model.features, found), size - 1)
-            hit = model.features[k] == found
-            pair, times = np.unique(row[hit] * size + k[hit], return_counts=True)
-            out.append(np.bincount(pair // size, model.weights[pair % size] * amount(times), minlength=b - a))
-        else:
-            out.append(np.zeros(b - a))
+    out, wanted = [], Wanted(model.features)
+    for a, b, row, number, times in features(column, wanted):
+        out.append(np.bincount(row, model.weights[number.astype(np.int64)] * amount(times), minlength=b - a))
     return np.concatenate([*out, np.zeros(0)])
 
 
@@ -201,7 +260,11 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that the model doesn't find toxic."""
+    """The rows of docs, with all their columns, that the model doesn't find toxic.
+
+    Null, empty and blank texts stay, repeated rows stay or go together, nulls in other columns make no difference, and an
+    empty table stays empty.
+    """
     short_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quireflow.llm import toxicity
 
-from .conftest import by_id
+from .conftest import by_id, twins
 
 
 def test_held_out_accuracy(spark):
@@ -22,6 +22,61 @@ def test_held_out_accuracy(spark):
     assert found[found.truth > 0].severity.mean() > found[found.truth == 0].severity.mean() + 0.5
 
 
+def test_severity_against_brute_force(spark):
+    """Each text's features, their weights and both thresholds, term by term."""
+    import math
+    import re
+    from collections import Counter
+
+    from quireflow.llm import common
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    more = spark.createDataFrame([(90_001, " ".join(twins(1024))), (90_002, None), (90_003, "Scum idiot " * 200_000)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(more)
+    model = toxicity.fit(docs, labels)
+    assert (model.weights > 0).any() and len(model.features) > 5
+    weight, hasher = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True)), common.word_hasher()
+
+    def place(word: bytes, beginning: bool) -> int:
+        data = np.frombuffer(word, np.uint8)
+        h = hasher(data, np.array([0]), np.array([len(data)]))
+        return int((common.mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) if beginning else h)[0])
+
+    memo: dict = {}
+    texts = {d["doc_id"]: d["text"] for d in docs.collect()}
+    for i, r in by_id(toxicity.severity(docs, model)).items():
+        text = texts[i]
+        held: Counter = Counter()
+        for word, n in Counter(re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())).items():
+            for part, beginning in [(word, False), *((word[:k], True) for k in toxicity.PREFIX_BYTES if len(word) > k)]:
+                key = memo.get((part, beginning))
+                key = memo[part, beginning] = place(part, beginning) if key is None else key
+                if key in weight:
+                    held[key] += n
+        score = sum(weight[k] * math.log2(1 + n) for k, n in held.items())
+        p = [1 / (1 + math.exp(-min(40, max(-40, score - t)))) for t in model.thresholds]
+        assert abs(r["severity"] - sum(p)) < 2e-6 and abs(r["p_toxic"] - p[0]) < 2e-6 and r["grade"] == sum(x >= 0.5 for x in p)
+
+
+def test_features_speak_for_both_sides(spark):
+    rows = [(k, ("kind " if k % 2 else "vile ") + "word " * (k % 7)) for k in range(200)]
+    labels = [(k, 1 - k % 2, int(k % 4 > 1)) for k in range(200)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int"))
+    assert (model.weights > 0).any() and (model.weights < 0).any()
+
+
+def test_grades():
+    assert toxicity.graded(np.array([False, True, True, True]), np.array([0.9, 0.1, 0.2, 0.3])).tolist() == [0, 1, 1, 2]
+
+
+def test_labels_may_bring_grades(spark):
+    texts = ["calm words", "rude words", "vile words"]
+    docs = spark.createDataFrame([(k, texts[k % 3] + f" {k}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 3 + (5 if k % 3 == 2 else 0)) for k in range(300)], "doc_id long, grade int")
+    found = by_id(toxicity.severity(docs, toxicity.fit(docs, labels)))
+    assert all(found[k]["severity"] < found[k + 1]["severity"] for k in range(0, 300, 3)) and not found[0]["toxic"] and found[1]["toxic"]
+
+
 def test_edges(spark, edge, nothing):
     labels = spark.createDataFrame([(k, int(k in (3, 4))) for k in range(12)] + [(3, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(edge, labels)
