@@ -2,7 +2,9 @@
 
 A page is cut at block tags into flat blocks. A block's features are its words and link density, those of the blocks before
 and after it, and where it stands: in a region that its tag or its class names as furniture, in one named as the article, or
-on a page that names an article elsewhere. A CART tree, trained on the table below, says which blocks are main text.
+on a page that names an article elsewhere. A CART tree, trained on the table below, says which blocks are main text. It asks
+for link density and words first; what stands around decides between blocks that read alike, such as a paragraph and a
+reader's comment. A class names furniture only if all its parts do, so side-effects, legal-history or note-form don't.
 """
 
 from __future__ import annotations
@@ -93,6 +95,169 @@ LABELLED = """
 15 1.0 12 1.0 14 1.0 0 0 0 0  0
 30 0.8 4 1.0 5 1.0 0 0 0 0  0
 2 0.0 1 1.0 1 1.0 0 0 0 0  0
+1 1.0 1 1.0 1 1.0 0 0 0 0  0
+1 1.0 1 1.0 1 1.0 1 0 0 0  0
+1 1.0 1 1.0 1 1.0 0 0 1 0  0
+2 1.0 1 1.0 2 1.0 0 0 0 0  0
+2 1.0 1 1.0 2 1.0 1 0 0 0  0
+2 1.0 1 1.0 2 1.0 0 0 1 0  0
+1 1.0 0 0.0 2 1.0 0 0 0 0  0
+1 1.0 0 0.0 2 1.0 1 0 0 0  0
+1 1.0 0 0.0 2 1.0 0 0 1 0  0
+3 1.0 2 1.0 1 1.0 0 0 0 0  0
+3 1.0 2 1.0 1 1.0 1 0 0 0  0
+3 1.0 2 1.0 1 1.0 0 0 1 0  0
+2 1.0 3 1.0 0 0.0 0 0 0 0  0
+2 1.0 3 1.0 0 0.0 1 0 0 0  0
+2 1.0 3 1.0 0 0.0 0 0 1 0  0
+4 1.0 3 1.0 2 1.0 0 0 0 0  0
+4 1.0 3 1.0 2 1.0 1 0 0 0  0
+4 1.0 3 1.0 2 1.0 0 0 1 0  0
+1 1.0 2 1.0 60 0.0 0 0 0 0  0
+1 1.0 2 1.0 60 0.0 1 0 0 0  0
+1 1.0 2 1.0 60 0.0 0 0 1 0  0
+5 1.0 4 1.0 6 1.0 0 0 0 0  0
+5 1.0 4 1.0 6 1.0 1 0 0 0  0
+5 1.0 4 1.0 6 1.0 0 0 1 0  0
+2 1.0 0 0.0 1 1.0 0 0 0 0  0
+2 1.0 0 0.0 1 1.0 1 0 0 0  0
+2 1.0 0 0.0 1 1.0 0 0 1 0  0
+6 1.0 5 1.0 4 1.0 0 0 0 0  0
+6 1.0 5 1.0 4 1.0 1 0 0 0  0
+6 1.0 5 1.0 4 1.0 0 0 1 0  0
+3 1.0 1 1.0 40 0.0 0 0 0 0  0
+3 1.0 1 1.0 40 0.0 1 0 0 0  0
+3 1.0 1 1.0 40 0.0 0 0 1 0  0
+8 1.0 7 1.0 9 1.0 0 0 0 0  0
+8 1.0 7 1.0 9 1.0 1 0 0 0  0
+8 1.0 7 1.0 9 1.0 0 0 1 0  0
+14 0.8 12 0.9 10 0.8 0 0 0 0  0
+14 0.8 12 0.9 10 0.8 1 0 1 0  0
+20 0.7 6 1.0 8 1.0 0 0 0 0  0
+20 0.7 6 1.0 8 1.0 1 0 1 0  0
+9 0.7 3 1.0 50 0.0 0 0 0 0  0
+9 0.7 3 1.0 50 0.0 1 0 1 0  0
+16 0.9 70 0.0 12 0.9 0 0 0 0  0
+16 0.9 70 0.0 12 0.9 1 0 1 0  0
+5 0.0 60 0.0 45 0.0 0 0 0 0  1
+9 0.0 80 0.0 70 0.0 0 0 0 0  1
+12 0.0 55 0.1 30 0.0 0 0 0 0  1
+3 0.0 40 0.0 65 0.0 0 0 0 1  1
+5 0.0 2 1.0 3 1.0 0 0 0 0  0
+8 0.0 1 1.0 1 1.0 0 0 0 0  0
+6 0.0 0 0.0 1 1.0 0 0 0 0  0
+4 0.0 3 1.0 0 0.0 0 0 0 0  0
+10 0.0 4 1.0 2 1.0 0 0 0 0  0
+75 0.3 60 0.1 50 0.2 0 0 0 0  1
+30 0.3 45 0.0 60 0.1 0 0 0 0  1
+110 0.2 2 1.0 70 0.0 0 0 0 0  1
+50 0.0 70 0.2 1 1.0 0 0 0 0  1
+3 0.0 2 1.0 60 0.0 0 0 0 0  1
+2 0.0 60 0.0 62 0.0 0 0 0 0  1
+6 0.0 2 1.0 45 0.0 0 0 0 0  1
+2 0.0 45 0.0 70 0.0 0 0 0 0  1
+4 0.0 1 1.0 80 0.0 0 0 0 0  1
+3 0.0 2 1.0 2 1.0 0 0 0 0  0
+3 0.0 2 1.0 60 0.0 0 1 1 0  1
+3 0.0 2 1.0 60 0.0 1 0 1 0  0
+3 0.0 2 1.0 60 0.0 0 0 1 0  0
+3 0.0 2 1.0 60 0.0 1 1 1 0  0
+3 0.0 2 1.0 60 0.0 1 0 0 0  0
+2 0.0 60 0.0 62 0.0 0 1 1 0  1
+2 0.0 60 0.0 62 0.0 1 0 1 0  0
+2 0.0 60 0.0 62 0.0 0 0 1 0  0
+2 0.0 60 0.0 62 0.0 1 1 1 0  0
+2 0.0 60 0.0 62 0.0 1 0 0 0  0
+6 0.0 2 1.0 45 0.0 0 1 1 0  1
+6 0.0 2 1.0 45 0.0 1 0 1 0  0
+6 0.0 2 1.0 45 0.0 0 0 1 0  0
+6 0.0 2 1.0 45 0.0 1 1 1 0  0
+6 0.0 2 1.0 45 0.0 1 0 0 0  0
+12 0.0 55 0.1 30 0.0 0 1 1 0  1
+12 0.0 55 0.1 30 0.0 1 0 1 0  0
+12 0.0 55 0.1 30 0.0 0 0 1 0  0
+12 0.0 55 0.1 30 0.0 1 1 1 0  0
+12 0.0 55 0.1 30 0.0 1 0 0 0  0
+5 0.0 2 1.0 3 1.0 0 1 1 0  1
+5 0.0 2 1.0 3 1.0 1 0 1 0  0
+5 0.0 2 1.0 3 1.0 0 0 1 0  0
+5 0.0 2 1.0 3 1.0 1 1 1 0  0
+5 0.0 2 1.0 3 1.0 1 0 0 0  0
+4 0.0 3 1.0 0 0.0 0 1 1 0  1
+4 0.0 3 1.0 0 0.0 1 0 1 0  0
+4 0.0 3 1.0 0 0.0 0 0 1 0  0
+4 0.0 3 1.0 0 0.0 1 1 1 0  0
+4 0.0 3 1.0 0 0.0 1 0 0 0  0
+75 0.3 60 0.1 50 0.2 0 1 1 0  1
+75 0.3 60 0.1 50 0.2 1 0 1 0  0
+75 0.3 60 0.1 50 0.2 0 0 1 0  0
+75 0.3 60 0.1 50 0.2 1 1 1 0  0
+75 0.3 60 0.1 50 0.2 1 0 0 0  0
+50 0.0 70 0.2 1 1.0 0 1 1 0  1
+50 0.0 70 0.2 1 1.0 1 0 1 0  0
+50 0.0 70 0.2 1 1.0 0 0 1 0  0
+50 0.0 70 0.2 1 1.0 1 1 1 0  0
+50 0.0 70 0.2 1 1.0 1 0 0 0  0
+60 0.0 0 0.0 0 0.0 0 1 1 0  1
+60 0.0 0 0.0 0 0.0 1 0 1 0  0
+60 0.0 0 0.0 0 0.0 0 0 1 0  0
+60 0.0 0 0.0 0 0.0 1 1 1 0  0
+60 0.0 0 0.0 0 0.0 1 0 0 0  0
+2 0.0 30 0.0 0 0.0 0 1 1 0  1
+2 0.0 30 0.0 0 0.0 1 0 1 0  0
+2 0.0 30 0.0 0 0.0 0 0 1 0  0
+2 0.0 30 0.0 0 0.0 1 1 1 0  0
+2 0.0 30 0.0 0 0.0 1 0 0 0  0
+90 0.0 12 0.0 5 0.0 0 1 1 0  1
+90 0.0 12 0.0 5 0.0 1 0 1 0  0
+90 0.0 12 0.0 5 0.0 0 0 1 0  0
+90 0.0 12 0.0 5 0.0 1 1 1 0  0
+90 0.0 12 0.0 5 0.0 1 0 0 0  0
+1 0.0 5 0.0 3 0.0 0 1 1 0  1
+1 0.0 5 0.0 3 0.0 1 0 1 0  0
+1 0.0 5 0.0 3 0.0 0 0 1 0  0
+1 0.0 5 0.0 3 0.0 1 1 1 0  0
+1 0.0 5 0.0 3 0.0 1 0 0 0  0
+2 1.0 3 1.0 1 1.0 0 0 0 0  0
+2 1.0 3 1.0 1 1.0 0 0 0 1  0
+2 1.0 3 1.0 1 1.0 1 0 0 0  0
+2 1.0 3 1.0 1 1.0 1 0 1 0  0
+2 1.0 3 1.0 1 1.0 0 0 1 0  0
+1 1.0 2 1.0 4 1.0 0 0 0 0  0
+1 1.0 2 1.0 4 1.0 0 0 0 1  0
+1 1.0 2 1.0 4 1.0 1 0 0 0  0
+1 1.0 2 1.0 4 1.0 1 0 1 0  0
+1 1.0 2 1.0 4 1.0 0 0 1 0  0
+3 1.0 1 1.0 30 0.0 0 0 0 0  0
+3 1.0 1 1.0 30 0.0 0 0 0 1  0
+3 1.0 1 1.0 30 0.0 1 0 0 0  0
+3 1.0 1 1.0 30 0.0 1 0 1 0  0
+3 1.0 1 1.0 30 0.0 0 0 1 0  0
+2 1.0 0 0.0 2 1.0 0 0 0 0  0
+2 1.0 0 0.0 2 1.0 0 0 0 1  0
+2 1.0 0 0.0 2 1.0 1 0 0 0  0
+2 1.0 0 0.0 2 1.0 1 0 1 0  0
+2 1.0 0 0.0 2 1.0 0 0 1 0  0
+4 1.0 5 1.0 3 1.0 0 0 0 0  0
+4 1.0 5 1.0 3 1.0 0 0 0 1  0
+4 1.0 5 1.0 3 1.0 1 0 0 0  0
+4 1.0 5 1.0 3 1.0 1 0 1 0  0
+4 1.0 5 1.0 3 1.0 0 0 1 0  0
+7 0.9 6 1.0 8 1.0 0 0 0 0  0
+7 0.9 6 1.0 8 1.0 0 0 0 1  0
+7 0.9 6 1.0 8 1.0 1 0 0 0  0
+7 0.9 6 1.0 8 1.0 1 0 1 0  0
+7 0.9 6 1.0 8 1.0 0 0 1 0  0
+1 1.0 1 1.0 0 0.0 0 0 0 0  0
+1 1.0 1 1.0 0 0.0 0 0 0 1  0
+1 1.0 1 1.0 0 0.0 1 0 0 0  0
+1 1.0 1 1.0 0 0.0 1 0 1 0  0
+1 1.0 1 1.0 0 0.0 0 0 1 0  0
+5 0.8 3 1.0 2 1.0 0 0 0 0  0
+5 0.8 3 1.0 2 1.0 0 0 0 1  0
+5 0.8 3 1.0 2 1.0 1 0 0 0  0
+5 0.8 3 1.0 2 1.0 1 0 1 0  0
+5 0.8 3 1.0 2 1.0 0 0 1 0  0
 """
 
 #: Elements without text of the page, by tag. Their content up to the closing tag isn't even read as markup.
@@ -106,10 +271,11 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that close themselves at the next block, so they are no regions.
 LEAVES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 option tr td th thead tbody tfoot a b i em strong u s small sub sup font code abbr cite q mark label".split())
-#: Words of a class, an id or a role that name furniture, or the article.
+#: Words of a class, an id or a role that name furniture, and words that may stand beside them without saying anything.
 FURNITURE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promoted promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side sidepanel aside footer foot masthead topbar siteheader pageheader cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search searchbox share sharing social related recommended recommendations trending comment comments commentlist replies reply respond disqus discussion widget widgets toolbar pagination pager skip skiplink copyright legal disclaimer complementary contentinfo form hidden".split()
+    "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promoted promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidepanel aside footer masthead topbar siteheader pageheader cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup login searchbox share sharing social related recommended recommendations trending comment comments commentlist replies respond disqus widget widgets toolbar pagination pager skiplink copyright disclaimer complementary contentinfo hidden".split()
 )
+NEUTRAL = frozenset("site page main primary secondary top bottom left right header head foot side inner outer wrapper wrap container holder box bar area section block list item items group row col column slot banner button buttons link links post posts article articles user reader new your the block text title form search alert notification overlay legal policy js widget js to and of us more follow".split())
 #: A class such as has-sidebar says what else is on the page, not what the element is.
 ABOUT = frozenset(["has", "with", "no", "without", "is", "not"])
 ARTICLE_NAMES = frozenset("article articlebody articletext content maincontent main story post postbody postcontent entry entrycontent".split())
@@ -120,17 +286,26 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-def names(attributes: str) -> set[str]:
-    """Lower-case words of the naming attributes: each name as a whole without its marks, and its parts."""
-    found = set()
+def names(attributes: str) -> list[set[str]]:
+    """For each naming attribute's names, its lower-case parts; a name that says what else there is has none."""
+    found = []
     for m in _NAMES.finditer(attributes):
         for name in html.unescape(m[1] or m[2] or m[3] or "").split():
             parts = {x.lower() for x in _PARTS.findall(name)}
-            if not parts & ABOUT:
-                found |= parts | {re.sub(r"[^a-z]", "", name.lower())}
+            if parts and not parts & ABOUT:
+                found.append(parts)
     return found
 
 
+def names_furniture(parts: set[str]) -> bool:
+    """Whether a name says furniture and nothing else."""
+    return bool(parts & FURNITURE_NAMES) and parts <= FURNITURE_NAMES | NEUTRAL
+
+
+def names_article(parts: set[str]) -> bool:
+    return bool(parts & ARTICLE_NAMES or "".join(sorted(parts, key=len)) in ARTICLE_NAMES)
+
+
 @dataclass
 class Block:
     text: str
@@ -213,9 +388,10 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in VOID:
             continue
-        own = names(attributes) if attributes and not closing and name not in ("html", "body") else set()
-        bad = not closing and (name in FURNITURE_TAGS or bool(own & FURNITURE_NAMES) or bool(attributes and _HIDDEN.search(attributes)))
-        if not closing and not article and (name == "header" or "header" in own and not own & ARTICLE_NAMES):
+        own = names(attributes) if attributes and not closing and name not in ("html", "body") else []
+        bad = not closing and (name in FURNITURE_TAGS or any(map(names_furniture, own)) or bool(attributes and _HIDDEN.search(attributes)))
+        main = name in ARTICLE_TAGS or any(map(names_article, own))
+        if not closing and not article and (name == "header" or not main and any("header" in x and x <= FURNITURE_NAMES | NEUTRAL for x in own)):
             bad = True  # the page's header; an article's own has its title
         if name in LEAVES:
             leaf_furniture = leaf_furniture or (bad and name in BLOCK_TAGS)
@@ -234,7 +410,7 @@ def blocks(page: str) -> list[Block]:
             mute += bad  # furniture inside a line is left out without breaking it
             continue
         furniture += bad
-        article += not bad and (name in ARTICLE_TAGS or bool(own & ARTICLE_NAMES))
+        article += not bad and main
     flush()
     return out
 

@@ -47,6 +47,41 @@ def test_without_an_article_long_blocks_count():
     assert html_text.main_text(page, TREE) == "\n".join([prose.strip()] * 2)
 
 
+PROSE = "Plain words that go on for a while so that nobody takes them for a menu, in one sentence or more. " * 3
+
+
+@pytest.mark.parametrize("kind", ["side-effects", "legal-history", "note-form", "social-contract-theory", "footnote-text", "banner-of-the-king", "menuet"])
+def test_names_that_only_sound_like_furniture(kind):
+    page = f"<body><nav><a href=/>Home</a></nav><article><p>{PROSE}</p><section class='{kind}' id='{kind}'><h2>Head</h2><p>{PROSE}</p></section></article></body>"
+    assert html_text.main_text(page, TREE) == "\n".join([PROSE.strip(), "Head", PROSE.strip()])
+
+
+@pytest.mark.parametrize("kind", ["site-footer", "cookie-banner", "ad-slot", "related-posts", "share-buttons", "newsletter-signup", "comment-list", "user-comments", "sidebar-left", "SocialLinks"])
+def test_names_of_furniture(kind):
+    page = f"<body><article><p>{PROSE}</p><div class='{kind}'><p>{PROSE}</p></div></article></body>"
+    assert html_text.main_text(page, TREE) == PROSE.strip()
+
+
+def test_pages_that_name_nothing_are_told_by_words_and_links():
+    menu = "".join(f"<div><a href=/{k}>Item {k}</a></div>" for k in range(8))
+    page = f"<body><div>{menu}</div><div>Where to go</div><div>{menu}</div><div>A short heading</div><div>{PROSE}</div><div>And then?</div><div>{PROSE} <a href=x>see more</a></div><div>{menu}</div><div><a href=/a>About us all</a> | <a href=/b>Write to us now</a></div></body>"
+    assert html_text.main_text(page, TREE).split("\n") == ["A short heading", PROSE.strip(), "And then?", f"{PROSE}see more".replace("  ", " ")]
+
+
+def test_the_tree_asks_for_links_and_words_first():
+    assert html_text.FEATURES[TREE.feature] == "links"
+    used = set()
+
+    def walk(node):
+        if node.feature >= 0:
+            used.add(html_text.FEATURES[node.feature])
+            walk(node.left)
+            walk(node.right)
+
+    walk(TREE)
+    assert {"links", "furniture", "article"} <= used and used & {"words", "words_before", "links_before", "words_after", "links_after"}, used
+
+
 def test_tree_fits_its_table():
     import numpy as np
 
