@@ -30,7 +30,8 @@ from .common import as_batches, fresh_path, short_batches
 
 WIDTH = 64
 #: An archive is closed, and the next one begun, at so many bytes; the least range that one task reads; about the most ranges.
-ARCHIVE_BYTES, RANGE_BYTES, RANGES = 256 << 20, 8 << 20, 50_000
+#: A range reads its archive's whole directory, so an archive has two ranges, not many.
+ARCHIVE_BYTES, RANGE_BYTES, RANGES = 64 << 20, 32 << 20, 50_000
 #: Payload bytes in a batch that goes to Spark.
 BATCH_BYTES = 4 << 20
 RETRIES, WAIT_S = 3, 0.05
@@ -49,38 +50,55 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH) - len(raw))
 
 
+#: Rows of samples that are filtered and compressed at once, so a long payload isn't held several times.
+ROWS_AT_ONCE = 1 << 14
+
+
 def to_image(raw: bytes) -> bytes:
     """A grey PNG whose samples are the padded payload; a text chunk has the unpadded length."""
-    rows = np.frombuffer(padded(raw), np.uint8).reshape(-1, WIDTH)
-    filtered = np.zeros((len(rows), WIDTH + 1), np.uint8)
-    filtered[:, 1:] = rows
+    size = max(1, -(-len(raw) // WIDTH))
+    view, deflate, data = memoryview(raw), zlib.compressobj(1), []
+    for first in range(0, size, ROWS_AT_ONCE):
+        n = min(ROWS_AT_ONCE, size - first)
+        part = np.frombuffer(view[first * WIDTH : (first + n) * WIDTH], np.uint8)
+        rows = np.zeros((n, WIDTH + 1), np.uint8)
+        rows[:, 1:] = np.pad(part, (0, n * WIDTH - len(part))).reshape(n, WIDTH)
+        data.append(deflate.compress(rows.tobytes()))
+    data.append(deflate.flush())
 
     def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        return b"".join((struct.pack(">I", len(body)), kind, body, struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))))
 
-    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return _SIGNATURE + chunk(b"IHDR", head) + chunk(b"tEXt", b"Length\0%d" % len(raw)) + chunk(b"IDAT", zlib.compress(filtered.tobytes(), 1)) + chunk(b"IEND", b"")
+    head = struct.pack(">IIBBBBB", WIDTH, size, 8, 0, 0, 0, 0)
+    return b"".join((_SIGNATURE, chunk(b"IHDR", head), chunk(b"tEXt", b"Length\0%d" % len(raw)), chunk(b"IDAT", b"".join(data)), chunk(b"IEND", b"")))
 
 
 def from_image(image: bytes) -> tuple[bytes, int]:
     """The padded payload and the unpadded length of an image that to_image() made."""
     if image[:8] != _SIGNATURE:
         raise ValueError("not a PNG image")
-    at, data, length = 8, [], 0
+    at, length, view = 8, 0, memoryview(image)
+    inflate, held, out = zlib.decompressobj(), b"", []
     while at < len(image):
         size, kind = struct.unpack_from(">I4s", image, at)
-        body = image[at + 8 : at + 8 + size]
-        if zlib.crc32(kind + body) != struct.unpack_from(">I", image, at + 8 + size)[0]:
+        body = view[at + 8 : at + 8 + size]
+        if zlib.crc32(body, zlib.crc32(kind)) != struct.unpack_from(">I", image, at + 8 + size)[0]:
             raise ValueError(f"chunk {kind!r} is damaged")
         if kind == b"tEXt":
-            length = int(body.partition(b"\0")[2])
+            length = int(bytes(body).partition(b"\0")[2])
         elif kind == b"IDAT":
-            data.append(body)
+            for k in range(0, len(body), 1 << 20):
+                held += inflate.decompress(body[k : k + (1 << 20)])
+                n = len(held) // (WIDTH + 1)
+                rows = np.frombuffer(held, np.uint8, n * (WIDTH + 1)).reshape(n, WIDTH + 1)
+                if rows[:, 0].any():
+                    raise ValueError("a row filter that the writer never uses")
+                out.append(rows[:, 1:].tobytes())
+                held = held[n * (WIDTH + 1) :]
         at += size + 12
-    rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(-1, WIDTH + 1)
-    if rows[:, 0].any():
-        raise ValueError("a row filter that the writer never uses")
-    return rows[:, 1:].tobytes(), length
+    if held or not inflate.eof:
+        raise ValueError("the image ends inside a row")
+    return b"".join(out), length
 
 
 def feature(payload: bytes) -> str:

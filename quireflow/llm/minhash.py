@@ -1,6 +1,6 @@
 """Near-duplicate documents by circulant MinHash.
 
-Two permutations of a universe of 2**20 make the whole signature: the first one scatters shingle hashes, the second
+Two permutations of a universe of 2**22 make the whole signature: the first one scatters shingle hashes, the second
 one, shifted circularly by k, gives coordinate k. So the K coordinates of a shingle are K neighbours in one table,
 and a document's signature is the elementwise minimum of such runs.
 
@@ -9,8 +9,8 @@ The flow, where no step holds a group's rows together or emits its pairs:
 1. Equal shingle sets collapse to their smallest doc_id, by a fingerprint of 128 bits.
 2. Signatures are cut into bands; a bucket's members are linked to its smallest member once both full sets confirm it.
 3. Buckets that still hold several components go on. In a bucket of at most SMALL members, pairs across components
-   are compared. Larger buckets that overlap form clusters, whose rows are dealt into blocks of about BLOCK documents;
-   block pairs are compared by products of 0/1 matrices. Pairs within one component need no comparison, they are linked.
+   are compared. Larger buckets that overlap form clusters, whose rows are dealt into blocks of about BLOCK documents
+   or BLOCK_SHINGLES shingles, whichever is less; block pairs are compared by products of 0/1 matrices. Pairs within one component need no comparison, they are linked.
 4. Components again, then every copy takes its representative's.
 """
 
@@ -29,8 +29,8 @@ from .components import components
 
 #: Bands and coordinates in each: a pair of similarity 0.8 shares no band with a probability of 3e-6.
 BANDS, ROWS = 32, 5
-UNIVERSE_BITS = 20
-SMALL, BLOCK = 32, 256
+UNIVERSE_BITS = 22
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 256, 1 << 18
 #: Columns of the 0/1 matrices that are multiplied at once.
 COLUMNS = 1 << 14
 
@@ -132,7 +132,9 @@ def block_links(part: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each document; links need `100 * intersection >= percent * union`.
 
-    ids must be unique integers. A null, empty or blank text has no shingles, is linked with nothing and is kept; a text
+    ids are integers. Rows that repeat an id with the same text are one document that comes out as often; with different
+    texts under one id, a link of either joins the id's component, and kept tells of each row whether its own component is
+    the id. A null, empty or blank text has no shingles, is linked with nothing and is kept; a text
     of fewer words than `width` has its whole word sequence as its one shingle. Ties and repeated texts go to the smallest
     id. A row without an id is never kept; its component is that of an equal text with one, or null. An empty table gives an
     empty result. Further columns of docs, whatever their names, are not read.
@@ -158,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = staged(confirmed(pairs, texts, width, percent), "links")
     large = open_keys.filter(F.col("held") > SMALL).select("key", "hub")
     if not large.isEmpty():
-        inside = staged(placed.join(large, "key").select("id", "hub", "comp").distinct(), "inside")
+        inside = staged(placed.join(large, "key").select("id", "n", "hub", "comp").distinct(), "inside")
         more = more.union(staged(in_blocks(inside, texts, width, percent), "links"))
     last = components(links.union(more))
     homes = reps.join(last.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
@@ -168,17 +170,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def in_blocks(inside: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links across components in clusters of overlapping large buckets: inside has (id, hub, comp).
+    """Links across components in clusters of overlapping large buckets: inside has (id, n, hub, comp).
 
     A cluster's largest component is its main one; main blocks are not compared with each other. The other documents
     are a query set that is compared with all rows, block by block.
     """
     cluster = components(inside, "id", "hub").select(F.col("v").alias("id"), F.col("comp").alias("cluster"))
-    rows = staged(inside.select("id", "comp").distinct().join(cluster, "id"), "clusters")
-    sizes = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("cluster").agg(F.max_by("comp", "k").alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k_all"))
-    blocks = lambda k: F.ceil(k / BLOCK).cast("int")
-    at = rows.join(main, "cluster").withColumn("is_main", F.col("comp") == F.col("main")).withColumn("n_main", blocks(F.col("k_main"))).withColumn("n_rest", blocks(F.col("k_all") - F.col("k_main")))
+    rows = staged(inside.select("id", "n", "comp").distinct().join(cluster, "id"), "clusters")
+    sizes = rows.groupBy("cluster", "comp").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("k"))  # in blocks
+    main = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k_all"))
+    blocks = lambda k: F.ceil(k).cast("int")
+    at = rows.join(main, "cluster").withColumn("is_main", F.col("comp") == F.col("main")).withColumn("n_main", blocks(F.col("k_main"))).withColumn("n_rest", F.greatest(F.lit(1), blocks(F.col("k_all") - F.col("k_main"))))
     at = at.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int") + F.when(F.col("is_main"), F.col("n_rest")).otherwise(F.lit(0)))
     all_blocks, rest = F.sequence(F.lit(0), F.col("n_main") + F.col("n_rest") - 1), F.sequence(F.lit(0), F.col("n_rest") - 1)
     dealt = at.select("id", "comp", "cluster", "block", F.explode(F.when(F.col("is_main"), rest).otherwise(all_blocks)).alias("other"))

@@ -9,7 +9,7 @@ import pytest
 from quireflow.llm import common, minhash
 from quireflow.llm.components import components
 
-from .conftest import by_id
+from .conftest import by_id, twins
 
 
 def sets_of(text: str | None, width: int) -> frozenset:
@@ -64,12 +64,33 @@ def test_against_brute_force(spark, n, words, width):
 def test_large_buckets_go_through_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 3)
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
     texts = corpus(150, 70, 5)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = by_id(minhash.near_duplicates(df, width=2))
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == brute(texts, 2, 80)
 
 
+@pytest.mark.parametrize("size", [256, 1024, 4096])
+def test_words_that_polynomial_hashes_confuse(spark, size):
+    df = spark.createDataFrame(list(enumerate(twins(size), 1)), "doc_id long, text string")
+    assert {i: (r["component_id"], r["kept"]) for i, r in by_id(minhash.near_duplicates(df, width=2)).items()} == {1: (1, True), 2: (2, True)}
+
+
+def test_repeated_ids(spark):
+    rows = [(5, "a b c d"), (5, "a b c d"), (3, "x y z"), (3, "p q r"), (4, "p q r"), (None, "a b c d"), (None, "m n")]
+    found = sorted((tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()), key=str)
+    assert found == sorted([(5, 3, 5, True), (5, 3, 5, True), (3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False), (None, 3, 5, False), (None, 1, None, False)], key=str)
+
+
+def test_long_texts_are_cut_inside(monkeypatch):
+    text = " ".join(f"w{k % 70_001}" for k in range(600_000))
+    (_, _, (cut,)), = common.shingle_sets(pa.array([text]), 3)
+    monkeypatch.setattr(common, "SLICE_BYTES", 1 << 30)
+    whole = [s for _, _, s in common.shingle_sets(pa.array([text, "x"]), 3)][0]
+    assert len(text) > 1 << 20 and (cut == whole[0]).all()
+
+
 def test_edges(spark, edge, nothing):
     found = by_id(minhash.near_duplicates(edge, width=2))
     assert [found[k]["n_shingles"] for k in range(7)] == [0, 0, 0, 1, 1, 1, 1]
