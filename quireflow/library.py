@@ -12,6 +12,7 @@ from . import logs
 from .config import Config
 from .functions import text as T
 from .operators import analysis as A
+from .operators import chapters as C
 from .operators import chunking as K
 from .operators import embedding as E
 from .operators import retrieval as R
@@ -37,11 +38,23 @@ class Library:
     def __init__(self, spark: SparkSession, config: Config | None = None, embedder: E.Embedder | None = None, analyzer: A.Analyzer | None = None):
         self.spark, self.config = spark, config or Config()
         self.embedder = embedder or E.HashingEmbedder(self.config.embedding.dimension)
-        self.analyzer = analyzer or A.WordAnalyzer()
+        self.analyzer = analyzer or self.models()
         self.collection = S.Collection(spark, f"{self.config.storage.path}/points")
         self.progress_path = f"{self.config.storage.path}/progress"
         self.analyses_path = f"{self.config.storage.path}/analyses"
 
+    def models(self) -> A.Analyzer:
+        """The analyzer of the settings: chat models where they have an address, else the one that needs no model."""
+        ask = lambda m: A.ChatAnalyzer(m.base_url, m.model, m.max_tokens, m.temperature, m.timeout) if m.base_url else A.WordAnalyzer()
+        return A.Committee(ask(self.config.llm), ask(self.config.vlm))
+
+    def enabled(self, agents: tuple[str, ...]) -> tuple[str, ...]:
+        """Those of the agents that the settings leave on; an unknown name there is an error."""
+        on = self.config.agents.enabled
+        if unknown := set(on) - {*A.BOOK_AGENTS, *A.CHAPTER_AGENTS}:
+            raise ValueError(f"unknown agents {sorted(unknown)}")
+        return tuple(a for a in agents if on.get(a, True))
+
     def progress(self) -> DataFrame:
         try:
             return self.spark.read.schema(PROGRESS).parquet(self.progress_path)
@@ -50,11 +63,13 @@ class Library:
                 raise
             return self.spark.createDataFrame([], PROGRESS)
 
-    def parsed(self, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(books, chapters, failures) of files with path, content, book_id and document_type."""
+    def read(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """EPUB and PDF files (path, content, book_id, document_type) as their readers give them, each file opened once."""
         keys = found.select("path", "book_id")
-        by_epub = epub.read(found.filter("document_type = 'epub'")).join(keys, "path")
-        by_pdf = pdf.read(found.filter("document_type = 'pdf'")).join(keys, "path")
+        return tuple(self.answers(reader.read(found.filter(F.col("document_type") == kind)).join(keys, "path")) for kind, reader in (("epub", epub), ("pdf", pdf)))
+
+    def parsed(self, by_epub: DataFrame, by_pdf: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(books, chapters, contents, failures) of what read() gives."""
         failed = by_epub.filter("status = 'failed'").select("path", "error").unionByName(by_pdf.filter("status = 'failed'").select("path", "error"))
         epubs, pdfs = by_epub.filter("status = 'completed'"), by_pdf.filter("status = 'completed'")
         pages = pdfs.select("book_id", F.explode("pages").alias("p")).select("book_id", "p.page", "p.text")
@@ -63,7 +78,8 @@ class Library:
         meta = epub.metadata(epubs).unionByName(pdf.metadata(pdfs), allowMissingColumns=True)
         raw = chapters.groupBy("book_id").agg(T.ordered_concat(F.col("number"), F.col("content"), "\n\n").alias("raw_text"))
         books = meta.join(raw, "book_id", "left").withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
-        return books.withColumn("word_count", T.word_count(F.col("raw_text"))), chapters, failed
+        entries = epub.contents(epubs).select("book_id", "seq", "level", "title").unionByName(pdf.contents(pdfs).select("book_id", "seq", "level", "title"))
+        return books.withColumn("word_count", T.word_count(F.col("raw_text"))), chapters, entries, failed
 
     def answers(self, calls: DataFrame) -> DataFrame:
         """Answers from a table of their own: a model is asked once, however often its answer is read."""
@@ -71,24 +87,26 @@ class Library:
         calls.write.parquet(path)
         return self.spark.read.schema(calls.schema).parquet(path)
 
-    def images(self, found: DataFrame) -> DataFrame:
+    def images(self, by_epub: DataFrame, by_pdf: DataFrame) -> DataFrame:
         """Images of parsed files, as found by the readers; none unless the settings have a vision model enabled."""
         fields = ("book_id", "ord", "filename", "content_type", "width", "height", "page_number", "base64_data")
-        keys = found.select("path", "book_id")
-        read = lambda kind, reader: reader.images(reader.read(found.filter(F.col("document_type") == kind)).join(keys, "path").filter("status = 'completed'"))
-        each = read("epub", epub).select(*fields).unionByName(read("pdf", pdf).select(*fields))
+        done = lambda df: df.filter("status = 'completed'")
+        each = epub.images(done(by_epub)).select(*fields).unionByName(pdf.images(done(by_pdf)).select(*fields))
         return each if self.config.vlm.enabled else each.limit(0)
 
     def asked(self, calls: DataFrame) -> DataFrame:
         return self.answers(A.answered(calls, self.analyzer, attempts=self.config.llm.attempts))
 
-    def analysed(self, books: DataFrame, chapters: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(analysis rows, bibliographies, failures) of books: image calls, the agents of books, then those of chapters."""
-        described = A.image_descriptions(images, self.asked(A.image_calls(images)))
-        rows = A.normalised(self.asked(A.windows(books, chapters)))
-        by_chapter = A.normalised(self.asked(A.chapter_windows(chapters, books=books)))
-        found = A.merged_bibliography(A.form(rows, "bibliography"), books)
-        return A.assembled(books, rows, by_chapter, described), found, A.broken_books(by_chapter)
+    def analysed(self, books: DataFrame, chapters: DataFrame, toc: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(analysis rows, bibliographies, image descriptions, failures): image calls, the agents of books, then those of chapters."""
+        described = self.answers(A.image_descriptions(images, self.asked(A.image_calls(images))))
+        tags = tuple(self.config.agents.predefined_tags) or A.DEFAULT_TAGS
+        of_books, of_chapters = self.enabled(A.BOOK_AGENTS), self.enabled(A.CHAPTER_AGENTS)
+        none = self.spark.createDataFrame([], f"book_id string, number int, title string, {A.ANSWERS}")
+        rows = A.normalised(self.asked(A.windows(books, chapters, of_books, toc, tags)) if of_books else none)
+        by_chapter = A.normalised(self.asked(A.chapter_windows(chapters, of_chapters, books)) if of_chapters else none)
+        said = books.select("book_id").join(A.form(rows, "bibliography"), "book_id", "left")
+        return A.assembled(books, rows, by_chapter, described), A.merged_bibliography(said, books), described, A.broken_books(by_chapter)
 
     def analyses(self) -> DataFrame:
         """The last analysis of each book: what all agents said."""
@@ -96,11 +114,13 @@ class Library:
         fields = [c for c in stored.columns if c not in ("book_id", "at")]
         return stored.groupBy("book_id").agg(F.max_by(F.struct(*fields), "at").alias("x")).select("book_id", "x.*")
 
-    def points(self, books: DataFrame, chapters: DataFrame, analysis: DataFrame, found: DataFrame) -> DataFrame:
-        """Chunk and book points of parsed and analysed books, embedded."""
+    def points(self, books: DataFrame, chapters: DataFrame, analysis: DataFrame, found: DataFrame, described: DataFrame) -> DataFrame:
+        """Chunk and book points of parsed and analysed books, embedded; chunks have what is seen on the images of their pages."""
         how = self.config.chunking
         payload = found.select("book_id", "title", "authors").join(A.payload(analysis), "book_id")
-        chunks = K.chunk_books(books, chapters, how.preserve_structure, min_tokens=how.min_tokens, max_tokens=how.max_tokens, overlap=how.overlap, compat=how.compat)
+        chunks = K.chunk_books(books, chapters, how.preserve_structure, how.strategy, min_tokens=how.min_tokens, max_tokens=how.max_tokens, overlap=how.overlap, compat=how.compat)
+        if self.config.vlm.enabled:
+            chunks = C.with_images(chunks, described, ["book_id"], "chapter_number").drop("images", "n_images")
         own = E.embed_chunks(chunks.drop("position", "n_raw"), self.embedder, batch_size=self.config.embedding.batch_size)
         cards = S.book_card(payload).withColumn("embedding", E.embed(F.col("card"), self.embedder)).drop("card")
         return S.points(own, cards)
@@ -110,15 +130,16 @@ class Library:
         rows = files.identified(files.dispatched(found)).filter("document_type IS NOT NULL").persist()
         try:
             with logs.timed("ingest"):
-                books, chapters, failed = self.parsed(rows)
+                read = self.read(rows)
+                books, chapters, toc, failed = self.parsed(*read)
                 stored = books.count()
                 if stored:
-                    analysis, found, broken = self.analysed(books, chapters, self.images(rows))
+                    analysis, found, described, broken = self.analysed(books, chapters, toc, self.images(*read))
                     failed = failed.unionByName(broken.join(rows.select("path", "book_id"), "book_id").select("path", "error"))
                     whole = lambda df: df.join(broken, "book_id", "left_anti")
                     stored = whole(books).count()
                     whole(analysis).withColumn("at", F.current_timestamp()).write.mode("append").parquet(self.analyses_path)
-                    self.collection.upsert(self.points(whole(books), whole(chapters), whole(analysis), whole(found)))
+                    self.collection.upsert(self.points(whole(books), whole(chapters), whole(analysis), whole(found), described))
                 done = rows.select("path").join(failed, "path", "left").select("path", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error", F.current_timestamp().cast("timestamp_ntz").alias("at"))
                 done.write.mode("append").parquet(self.progress_path)
                 errors = {r["path"]: r["error"] for r in failed.collect()}  # one short row for each broken file of the batch

@@ -24,7 +24,15 @@ from ..functions import text as T
 BOOK_AGENTS = ("bibliography", "genre_tags", "overview", "themes")
 CHAPTER_AGENTS = ("technical_concepts", "key_quotes", "chapter_summary")
 IMAGE_AGENTS = ("describe", "ocr", "classify")
-#: How much each agent reads: chapters of a book (0: all) and characters of each; without chapters, characters of the whole.
+#: The tags that a library offers where the settings name none.
+DEFAULT_TAGS = (
+    "Information Security", "Python", "AI/Machine Learning", "Web Development", "Systems Programming", "Networking", "Databases", "DevOps", "Cryptography", "Reverse Engineering", "Game Development", "Mobile Development",
+    "Cloud Computing", "Data Science", "Software Engineering", "Linux/Unix", "Hardware", "Electronics", "Robotics", "Mathematics", "Science", "Business", "Design", "Writing",
+)
+#: How many contents items each agent sees, and how many chapters are listed for the overview.
+CONTENTS = {"genre_tags": 20, "overview": 30, "themes": 25}
+LISTED_CHAPTERS = 20
+#: Fixed values, how much each agent reads: chapters of a book (0: all) and characters of each; without chapters, characters of the whole.
 WINDOWS = {"bibliography": (2, 5000), "genre_tags": (3, 8000), "overview": (5, 8000), "themes": (5, 8000), "technical_concepts": (8, 12000), "key_quotes": (10, 12000), "chapter_summary": (0, 15000)}
 WHOLE_CHARS = 40000
 ATTEMPTS, LEAST_WAIT_S, MOST_WAIT_S = 3, 2.0, 30.0
@@ -37,10 +45,41 @@ class Analyzer(Protocol):
     def analyze(self, agent: str, text: str) -> str: ...
 
 
+class ChatAnalyzer:
+    """Asks a chat model behind an HTTP interface with /chat/completions; images go as data URIs.
+
+    What an agent is asked for is in prompts, by name; an agent without one is asked with its name.
+    """
+
+    def __init__(self, base_url: str, model: str, max_tokens: int = 4096, temperature: float = 0.3, timeout: float = 120.0, prompts: dict[str, str] | None = None, key: str = ""):
+        self.base_url, self.model, self.max_tokens, self.temperature, self.timeout, self.prompts, self.key = base_url.rstrip("/"), model, max_tokens, temperature, timeout, prompts or {}, key
+
+    def analyze(self, agent: str, text: str) -> str:
+        from urllib.request import Request, urlopen
+
+        content: object = [{"type": "image_url", "image_url": {"url": text}}] if agent in IMAGE_AGENTS else text
+        messages = [{"role": "system", "content": self.prompts.get(agent, f"You are the agent {agent}. Answer with one JSON object.")}, {"role": "user", "content": content}]
+        body = {"model": self.model, "messages": messages, "max_tokens": self.max_tokens, "temperature": self.temperature}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        with urlopen(Request(f"{self.base_url}/chat/completions", json.dumps(body).encode(), headers), timeout=self.timeout) as reply:
+            return json.load(reply)["choices"][0]["message"]["content"] or ""
+
+
+class Committee:
+    """Two analyzers as one: the second one looks at images."""
+
+    def __init__(self, text: Analyzer, images: Analyzer):
+        self.text, self.images = text, images
+
+    def analyze(self, agent: str, text: str) -> str:
+        return (self.images if agent in IMAGE_AGENTS else self.text).analyze(agent, text)
+
+
 class WordAnalyzer:
-    """A deterministic analyzer without a model: frequent long words, first sentences."""
+    """A deterministic analyzer without a model: frequent long words, first sentences. Of a book it reads the sample."""
 
     def analyze(self, agent: str, text: str) -> str:
+        text = text.partition("Sample:\n")[2] if agent in BOOK_AGENTS and "Sample:\n" in text else text
         words = [w.lower() for w in re.findall(r"[^\W\d_]{5,}", text)]
         top = [w for w, _ in sorted(Counter(words).items(), key=lambda x: (-x[1], x[0]))[:12]]
         sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
@@ -59,21 +98,48 @@ class WordAnalyzer:
         return json.dumps(forms.get(agent, {"text": first}))
 
 
-def windows(books: DataFrame, chapters: DataFrame, agents: tuple[str, ...] = BOOK_AGENTS) -> DataFrame:
-    """(book_id, agent, input) for agents that read a book: its first chapters, or its text where it has none.
+def windows(books: DataFrame, chapters: DataFrame, agents: tuple[str, ...] = BOOK_AGENTS, toc: DataFrame | None = None, tags: tuple[str, ...] = DEFAULT_TAGS) -> DataFrame:
+    """(book_id, agent, input) for agents that read a book: what is known of it, and its first chapters, or its text where it has none.
 
-    A book's first chapters are taken by rank before they are joined, so no more text is gathered than an agent reads.
+    One pass over the chapters serves all agents: a chapter is ranked in its book once, and goes to those that read so far.
+    books has raw_text, which is read of books without chapters only, and what it has of title, word_count and metadata.
+    toc has (book_id, seq, level, title), levels from 0. An agent that isn't in WINDOWS is an error.
     """
-    out = None
+    if unknown := set(agents) - set(WINDOWS):
+        raise ValueError(f"unknown agents {sorted(unknown)}")
+    most = max(LISTED_CHAPTERS, *(WINDOWS[a][0] for a in agents))
+    words = F.col("word_count") if "word_count" in chapters.columns else T.word_count(F.col("content"))
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy("number"))
-    ranked = chapters.select("book_id", "number", "title", "content").withColumn("rank", rank)
-    for agent in agents:
-        n, limit = WINDOWS[agent]
-        head = ranked.filter(F.col("rank") <= n).select("book_id", F.struct("number", "title", T.clip(F.col("content"), limit).alias("content")).alias("c"))
-        sample = head.groupBy("book_id").agg(T.chapter_sample(F.array_sort(F.collect_list("c")), n, limit + 3).alias("sample"))
-        one = books.select("book_id", F.substring("raw_text", 1, WHOLE_CHARS).alias("whole")).join(sample, "book_id", "left").select("book_id", F.lit(agent).alias("agent"), F.coalesce("sample", "whole").alias("input"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    first = chapters.select("book_id", "number", "title", "content", words.alias("words")).withColumn("rank", rank).filter(F.col("rank") <= most)
+    reads = F.explode(F.array(*[F.struct(F.lit(a).alias("agent"), F.lit(WINDOWS[a][0]).alias("n"), F.lit(WINDOWS[a][1]).alias("limit")) for a in agents]))
+    own = first.withColumn("read", reads).withColumn("agent", F.col("read.agent"))
+    piece = F.when(F.col("rank") <= F.col("read.n"), F.concat(F.lit("## "), "title", F.lit("\n\n"), F.when(F.length("content") <= F.col("read.limit"), F.col("content")).otherwise(F.concat(F.substring(F.col("content"), F.lit(1), F.col("read.limit")), F.lit("...")))))
+    line = F.when(F.col("agent") == "overview", T.chapter_line(F.col("title"), F.col("words")))
+    sample = own.withColumn("piece", piece).withColumn("line", line).groupBy("book_id", "agent").agg(T.ordered_concat(F.col("number"), F.col("piece"), "\n\n---\n\n").alias("sample"), T.ordered_concat(F.col("number"), F.col("line"), "\n").alias("chapter_list"))
+    every = F.explode(F.array(*[F.lit(a) for a in agents])).alias("agent")
+    known = [c for c in ("title", "word_count", "authors", "publisher", "date", "language", "isbn", "isbn13", "description", "subjects") if c in books.columns]
+    bare = books.join(chapters.select("book_id").distinct(), "book_id", "left_anti").select("book_id", F.substring("raw_text", 1, WHOLE_CHARS).alias("whole"))
+    found = books.select("book_id", *known, every).join(sample, ["book_id", "agent"], "left").join(bare, "book_id", "left")
+    if toc is not None:
+        items = toc.select("book_id", "seq", "level", "title").withColumn("rank", F.row_number().over(Window.partitionBy("book_id").orderBy("seq"))).filter(F.col("rank") <= max(CONTENTS.values()))
+        listed_items = items.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("rank", "level", F.col("title").alias("item")))).alias("toc"))
+        found = found.join(listed_items, "book_id", "left")
+    else:
+        found = found.withColumn("toc", F.lit(None).cast("array<struct<rank: int, level: int, item: string>>"))
+    upto = F.create_map(*[F.lit(x) for pair in CONTENTS.items() for x in pair])
+    entries = F.transform(F.slice(F.col("toc"), F.lit(1), F.coalesce(F.try_element_at(upto, F.col("agent")), F.lit(1))), lambda e: F.struct(e.level.alias("level"), F.nullif(e["item"], F.lit("")).alias("title")))
+    contents = F.when(F.col("agent") == "overview", T.toc_lines(entries, True)).otherwise(T.toc_lines(entries))
+    told = lambda c: F.array_join(c, ", ") if dict(found.dtypes).get(c, "").startswith("array") else F.col(c).cast("string")
+    parts = {
+        "Title": F.when(F.col("agent") != "bibliography", F.coalesce(told("title"), F.lit("Unknown"))) if "title" in known else F.lit(None).cast("string"),
+        "Words": F.when(F.col("agent") == "overview", F.coalesce(told("word_count"), F.lit("Unknown"))) if "word_count" in known else F.lit(None).cast("string"),
+        "Metadata": F.when(F.col("agent") == "bibliography", T.metadata_lines({c: told(c) for c in known if c != "word_count"})),
+        "Tags": F.when(F.col("agent") == "genre_tags", F.lit(", ".join(tags))),
+        "Contents": F.when(F.col("agent").isin(*CONTENTS), F.coalesce(F.nullif(contents, F.lit("")), F.lit("Not available"))),
+        "Chapters": F.when(F.col("agent") == "overview", F.coalesce(F.nullif("chapter_list", F.lit("")), F.lit("Not available"))),
+        "Sample": F.coalesce("sample", "whole", F.lit("")),
+    }
+    return found.select("book_id", "agent", F.concat_ws("\n\n", *[F.concat(F.lit(f"{name}:\n"), c) for name, c in parts.items()]).alias("input"))
 
 
 def chapter_windows(chapters: DataFrame, agents: tuple[str, ...] = CHAPTER_AGENTS, books: DataFrame | None = None) -> DataFrame:

@@ -32,10 +32,28 @@ def errors(progress: DataFrame) -> DataFrame:
     return progress.filter("status = 'failed'").select("path", "error")
 
 
+def numbered(files: DataFrame, lead: int = 256) -> DataFrame:
+    """Files with their place in the order of discovery, from 1.
+
+    A file's rank is taken among the files whose names fall into the same range, and what comes before a range is summed over
+    the ranges. The ranges are cut at names of a sample, `lead` of them, which bounds what is broadcast; only the ranges' sizes hang on
+    the sample, not the places.
+    """
+    name = F.struct(F.lower("file_name").alias("name"), "path")
+    keyed = files.withColumn("_name", name)
+    bounds = sorted({r["_name"]["name"] for r in keyed.filter(F.pmod(F.xxhash64("path"), F.greatest(F.lit(1), F.lit(files.count() // (8 * lead)))) == 0).select("_name").limit(16 * lead).collect()})
+    edges = F.array(*[F.lit(x) for x in bounds[:: max(1, len(bounds) // lead)]]) if bounds else F.array().cast("array<string>")
+    keyed = keyed.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col("_name.name"))))
+    sizes = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy("_name.name", "path")))
+    return ranked.join(F.broadcast(before), "_range").withColumn("place", F.col("_rank") + F.col("_before")).drop("_name", "_range", "_n", "_before", "_rank")
+
+
 def positions(files: DataFrame) -> DataFrame:
-    """Files with their mark [i/n] in the order of discovery; the list of a run is what one driver works off."""
-    at = F.row_number().over(Window.orderBy(F.lower("file_name"), "path"))
-    return files.withColumn("mark", F.format_string("[%d/%d]", at, F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))))
+    """Files with their mark [i/n] in the order of discovery."""
+    total = files.count()
+    return numbered(files).withColumn("mark", F.format_string("[%d/%d]", "place", F.lit(total))).drop("place")
 
 
 def summary(progress: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -9,8 +9,8 @@ from ..functions import text as T
 
 
 def numbered(chapters: DataFrame, book: list[str], order: str, least_chars: int = 0) -> DataFrame:
-    """Chapters of at least so many characters once stripped, numbered from 1 within their book by `order`."""
-    kept = chapters.filter(F.length(T.strip(F.col("content"))) >= least_chars)
+    """Chapters of at least so many characters once stripped, numbered from 1 within their book by `order`; those without content go."""
+    kept = chapters.filter(F.length(T.strip(F.col("content"))) >= least_chars) if least_chars else chapters.filter(F.col("content").isNotNull())
     return kept.withColumn("number", F.row_number().over(Window.partitionBy(*book).orderBy(order)))
 
 
@@ -79,7 +79,7 @@ def with_images(rows: DataFrame, images: DataFrame, book: list[str], chapter: st
     """
     keys = [*book, chapter]
     lines = image_lines(rows.select(*keys, "start_page", "end_page").distinct(), images, keys)
-    return rows.join(lines, keys, "left").withColumn("content", F.when(F.col("images").isNotNull(), F.concat("content", F.lit("\n\nImages:\n"), "images")).otherwise(F.col("content"))).withColumn("n_images", F.coalesce("n_images", F.lit(0)))
+    return rows.join(lines, keys, "left").withColumn("content", F.when(F.col("images").isNotNull(), F.concat("content", F.lit("\n\n[Image Context]\n"), "images")).otherwise(F.col("content"))).withColumn("n_images", F.coalesce("n_images", F.lit(0)))
 
 
 def image_summary(images: DataFrame, book: list[str]) -> DataFrame:

@@ -119,13 +119,24 @@ def indexed(chunks: DataFrame, book: list[str], chapter: str) -> DataFrame:
     )
 
 
-def chunk_books(books: DataFrame, chapters: DataFrame, preserve_structure: bool = True, **how) -> DataFrame:
-    """Chunks by chapter where a book has any and structure counts, else of its whole text; indexed over the book."""
+def chunk_books(books: DataFrame, chapters: DataFrame, preserve_structure: bool = True, strategy: str = "recursive", **how) -> DataFrame:
+    """Chunks by chapter where a book has any and structure counts, else of its whole text; indexed over the book.
+
+    The strategy is recursive, or fixed for windows of the middle size that overlap by its share; both drop short chunks.
+    """
+    if strategy not in ("recursive", "fixed"):
+        raise ValueError(f"unknown strategy {strategy}")
     own = chapters.select("book_id", F.col("number").alias("chapter_number"), F.col("title").alias("chapter_title"), F.nullif("start_page", F.lit(0)).alias("start_page"), F.nullif("end_page", F.lit(0)).alias("end_page"), F.lit("chapter").alias("source_type"), "content")
     whole = books.select("book_id", F.lit(0).alias("chapter_number"), F.lit(None).cast("string").alias("chapter_title"), F.lit(None).cast("int").alias("start_page"), F.lit(None).cast("int").alias("end_page"), F.lit("full_document").alias("source_type"), F.col("raw_text").alias("content"))
     texts = own.unionByName(whole.join(chapters.select("book_id").distinct(), "book_id", "left_anti")) if preserve_structure else whole
     keys = ["book_id", "chapter_number", "chapter_title", "start_page", "end_page", "source_type"]
-    return indexed(recursive(texts, keys, **how), ["book_id"], "chapter_number")
+    if strategy == "fixed":
+        low, high, overlap = how.get("min_tokens", 500), how.get("max_tokens", 2000), how.get("overlap", 0.2)
+        chars = 2 * (low + high)  # four characters to a token
+        chunks = fixed(texts, keys, chars=chars, step=max(1, chars - int(chars * overlap)), min_tokens=low)
+    else:
+        chunks = recursive(texts, keys, **how)
+    return indexed(chunks, ["book_id"], "chapter_number")
 
 
 def statistics(chunks: DataFrame) -> DataFrame:

@@ -115,11 +115,18 @@ def bibliography_merge(t: Tables) -> DataFrame:
     return A.merged_bibliography(found, meta).select(F.col("book_id").alias("c_custkey"), "title", "publisher", "publication_year", F.array_join("authors", "|").alias("authors"))
 
 
-@query("analysis_assemble_left_defaults", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, CASE WHEN l.doc_id IS NULL THEN '' WHEN l.toxic = 1 THEN 'expert' ELSE 'intermediate' END AS difficulty_level FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query(
+    "analysis_assemble_left_defaults",
+    """SELECT d.doc_id AS book_id, CASE WHEN l.doc_id IS NULL OR l.quality = 0 THEN '' ELSE 'g' || l.quality END AS genres, CASE WHEN l.doc_id IS NULL THEN '' WHEN l.quality = 0 THEN 'intermediate' WHEN l.toxic = 1 THEN 'expert' ELSE 'intermediate' END AS difficulty_level,
+    CASE WHEN l.doc_id IS NULL OR l.toxic = 0 THEN '' ELSE 'told of ' || d.doc_id END AS summary FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+)
 def assemble_defaults(t: Tables) -> DataFrame:
-    status = F.when(F.col("quality").isNull(), "exception").otherwise("ok")
-    level = M.defaulted(F.when(F.col("toxic") == 1, "expert"), status, "intermediate")
-    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), level.alias("difficulty_level"))
+    """Labelled documents have answers: without JSON where the quality is 0, and no overview where nothing is toxic."""
+    genre = F.when(F.col("quality") == 0, "no JSON").otherwise(F.to_json(F.struct(F.array(F.concat(F.lit("g"), F.col("quality").cast("string"))).alias("genres"), F.when(F.col("toxic") == 1, "expert").alias("difficulty_level"))))
+    told = F.to_json(F.struct(F.concat(F.lit("told of "), F.col("doc_id").cast("string")).alias("summary")))
+    own = t.labels.select(F.col("doc_id").alias("book_id"), F.explode(F.array(F.struct(F.lit("genre_tags").alias("agent"), genre.alias("answer")), F.struct(F.lit("overview").alias("agent"), F.when(F.col("toxic") == 1, told).alias("answer")))).alias("x")).select("book_id", "x.*")
+    rows = A.normalised(own.withColumn("status", F.when(F.col("answer").isNull(), "exception").otherwise("ok")))
+    return A.assembled(t.documents.select(F.col("doc_id").alias("book_id")), rows).select("book_id", *joined("genres"), "difficulty_level", "summary")
 
 
 @query("ocr_and_class", "SELECT vec_id, CASE WHEN label = 0 THEN '' ELSE 'text ' || vec_id END AS ocr_text, CASE WHEN label = 1 THEN 'unknown' ELSE 'chart' || label END AS image_type FROM embeddings")

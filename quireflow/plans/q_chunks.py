@@ -68,7 +68,7 @@ def chunk_by_chapter(t: Tables) -> DataFrame:
     "chunk_with_images",
     f"WITH {CHAPTERS}, {RAW}, c AS (SELECT *, (number - 1) * 2 + 1 AS s, (number - 1) * 2 + 2 AS e FROM chunks), img AS (SELECT split_part(url, '/', 4) AS lang, 'src' || (page_id % 20) AS source, page_id AS ord, page_id % 12 AS p, '[PHOTO] ' || url AS line FROM pages), "
     "l AS (SELECT c.doc_id, count(i.ord) AS n_images, string_agg(i.line, chr(10) || chr(10) ORDER BY i.p, i.ord) AS images FROM (SELECT DISTINCT lang, source, doc_id, s, e FROM c) c JOIN img i ON i.lang = c.lang AND i.source = c.source AND i.p <> 0 AND i.p BETWEEN c.s AND c.e GROUP BY c.doc_id) "
-    "SELECT c.doc_id, c.k::INT AS position, coalesce(l.n_images, 0) AS n_images, sha256(c.content || CASE WHEN l.images IS NULL THEN '' ELSE chr(10) || chr(10) || 'Images:' || chr(10) || l.images END) AS content_sha256 FROM c LEFT JOIN l ON l.doc_id = c.doc_id",
+    "SELECT c.doc_id, c.k::INT AS position, coalesce(l.n_images, 0) AS n_images, sha256(c.content || CASE WHEN l.images IS NULL THEN '' ELSE chr(10) || chr(10) || '[Image Context]' || chr(10) || l.images END) AS content_sha256 FROM c LEFT JOIN l ON l.doc_id = c.doc_id",
 )
 def chunk_with_images(t: Tables) -> DataFrame:
     from ..operators import chapters as C

@@ -13,11 +13,11 @@ KINDS = {".epub": "epub", ".pdf": "pdf"}
 def discover(spark: SparkSession, folder: str, recursive: bool = True, content: bool = False) -> DataFrame:
     """Supported files of a folder in the order of their lower-cased names; extensions in either case.
 
-    Contents are only read if asked for. A folder that isn't there is an error.
+    Contents are only read if asked for, and then files come in any order: bytes aren't sorted. A folder that isn't there is an error.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{[eE][pP][uU][bB],[pP][dD][fF]}").load(folder)
     names = found.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), T.extension(F.col("path")).alias("ext"), "length", *["content"] * content)
-    return names.orderBy(F.lower("file_name"), "path")
+    return names if content else names.orderBy(F.lower("file_name"), "path")
 
 
 def identified(files: DataFrame) -> DataFrame:

@@ -143,3 +143,84 @@ def test_a_book_without_chapters_is_read_as_a_whole(spark):
     none = spark.createDataFrame([], "book_id string, number int, title string, content string")
     found = {(r["agent"], r["input"]) for r in A.chapter_windows(none, books=books).collect()}
     assert found == {("technical_concepts", "bare text"), ("key_quotes", "bare text")}
+
+
+def test_what_agents_read(spark):
+    books = spark.createDataFrame([("a", "Sea", "all text", 12, ["Ann"], "1999-01-01"), ("b", None, "bare text", 2, None, None)], "book_id string, title string, raw_text string, word_count long, authors array<string>, date string")
+    chapters = spark.createDataFrame([("a", k, f"C{k}", ("x" * 6000 if k == 1 else f"text {k}"), 10 * k) for k in range(1, 24)], "book_id string, number int, title string, content string, word_count long")
+    toc = spark.createDataFrame([("a", k, k % 2, f"T{k}" if k else None) for k in range(40)], "book_id string, seq int, level int, title string")
+    found = {(r["book_id"], r["agent"]): r["input"] for r in A.windows(books, chapters, toc=toc, tags=("One", "Two")).collect()}
+    assert len(found) == 8
+    line = lambda k: f"{'  ' * (k % 2)}- {f'T{k}' if k else 'Unknown'}"
+    flat = lambda n: "\n".join(line(k).strip() for k in range(n))
+    heads = lambda n, limit: "\n\n---\n\n".join(f"## C{k}\n\n" + ("x" * min(limit, 6000) + "..." * (limit < 6000) if k == 1 else f"text {k}") for k in range(1, n + 1))
+    assert found["a", "bibliography"] == f"Metadata:\ntitle: Sea\nauthors: Ann\ndate: 1999-01-01\n\nSample:\n{heads(2, 5000)}"
+    assert found["a", "genre_tags"] == f"Title:\nSea\n\nTags:\nOne, Two\n\nContents:\n{flat(20)}\n\nSample:\n{heads(3, 8000)}"
+    assert found["a", "themes"] == f"Title:\nSea\n\nContents:\n{flat(25)}\n\nSample:\n{heads(5, 8000)}"
+    listed = "\n".join(f"- C{k} ({10 * k} words)" for k in range(1, 21))
+    assert found["a", "overview"] == "Title:\nSea\n\nWords:\n12\n\nContents:\n" + "\n".join(line(k) for k in range(30)) + f"\n\nChapters:\n{listed}\n\nSample:\n{heads(5, 8000)}"
+    assert found["b", "overview"] == "Title:\nUnknown\n\nWords:\n2\n\nContents:\nNot available\n\nChapters:\nNot available\n\nSample:\nbare text"
+    assert found["b", "bibliography"] == "Metadata:\nNo metadata available\n\nSample:\nbare text"
+    with pytest.raises(ValueError, match="unknown agents"):
+        A.windows(books, chapters, ("poet",))
+
+
+def test_settings_do_something(spark, folder, tmp_path):
+    config = Config()
+    config.storage.path, config.llm.attempts, config.chunking.strategy, config.chunking.min_tokens, config.chunking.max_tokens = str(tmp_path / "s"), 1, "fixed", 5, 15
+    config.agents.enabled = {"chapter_summary": False, "key_quotes": False, "themes": False}
+    library = Library(spark, config, analyzer=Talker())
+    assert library.ingest_directory(str(folder)).stored == 2  # the summary that fails a book isn't asked for
+    rows = library.analyses().collect()
+    assert all(r["chapter_summaries"] == [] and r["key_quotes"] == [] and [c["term"] for c in r["technical_concepts"]] == ["whale"] for r in rows)
+    lengths = [len(r["content"]) for r in library.collection.read().filter("NOT is_metadata").select("content").collect()]
+    assert max(lengths) <= 40 and len(lengths) > 20
+    config.chunking.strategy = "none"
+    with pytest.raises(ValueError, match="unknown strategy"):
+        library.ingest_book(str(folder / "B.epub"))
+    config.agents.enabled = {"poet": True}
+    with pytest.raises(ValueError, match="unknown agents"):
+        library.enabled(A.BOOK_AGENTS)
+
+
+def test_images_come_into_the_chunks_of_their_pages(spark, tmp_path):
+    config = Config()
+    config.storage.path, config.vlm.enabled, config.chunking.min_tokens, config.chunking.max_tokens = str(tmp_path / "s"), True, 1, 50
+    library = Library(spark, config)
+    books = spark.createDataFrame([("b", "Book", ["Ann"], "one\n\ntwo")], "book_id string, title string, authors array<string>, raw_text string")
+    chapters = spark.createDataFrame([("b", 1, "C1", 1, 3, "one"), ("b", 2, "C2", 4, 5, "two")], "book_id string, number int, title string, start_page int, end_page int, content string")
+    described = spark.createDataFrame([("b", 0, "chart", "bars", "", 2), ("b", 1, "photo", "cat", "", None)], "book_id string, ord int, image_type string, description string, ocr_text string, page_number int")
+    analysis = A.assembled(books, spark.createDataFrame([], f"book_id string, {A.ANSWERS}, json variant"))
+    stored = library.points(books, chapters, analysis, books, described).filter("NOT is_metadata").orderBy("chapter_number").collect()
+    assert [r["content"] for r in stored] == ["one\n\n[Image Context]\n[CHART] bars", "two"]
+
+
+def test_chat_model(tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Model(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps({"choices": [{"message": {"content": '{"genres": ["sea"]}'}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    address = f"http://127.0.0.1:{server.server_port}/v1"
+    chat = A.Committee(A.ChatAnalyzer(address, "m", 7, 0.5, 5, {"genre_tags": "be brief"}, "k"), A.ChatAnalyzer(address + "/", "eyes"))
+    assert chat.analyze("genre_tags", "a book") == '{"genres": ["sea"]}'
+    chat.analyze("describe", "data:image/png;base64,AA==")
+    server.shutdown()
+    (path, key, body), (_, _, image) = seen
+    assert (path, key) == ("/v1/chat/completions", "Bearer k")
+    assert body == {"model": "m", "messages": [{"role": "system", "content": "be brief"}, {"role": "user", "content": "a book"}], "max_tokens": 7, "temperature": 0.5}
+    assert image["model"] == "eyes" and image["messages"][1]["content"] == [{"type": "image_url", "image_url": {"url": "data:image/png;base64,AA=="}}]

@@ -160,7 +160,7 @@ def test_images_of_chapters(spark):
     images = spark.createDataFrame([("b", 0, 2, "photo", "cat", ""), ("b", 1, 1, "chart", "bars", "x" * 600), ("b", 2, 0, "photo", "zero", ""), ("b", 3, None, "photo", "null", ""), ("b", 4, 9, "photo", "out", "")], "book_id string, ord int, page_number int, image_type string, description string, ocr_text string")
     rows = C.with_images(chapters, images, ["book_id"]).orderBy("number").collect()
     assert [r["n_images"] for r in rows] == [2, 0, 0]
-    assert rows[0]["content"] == "one\n\nImages:\n[CHART] bars\nText: " + "x" * 500 + "\n\n[PHOTO] cat" and rows[1]["content"] == "two"
+    assert rows[0]["content"] == "one\n\n[Image Context]\n[CHART] bars\nText: " + "x" * 500 + "\n\n[PHOTO] cat" and rows[1]["content"] == "two"
 
 
 def test_concepts(spark):
