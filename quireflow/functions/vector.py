@@ -18,9 +18,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in [-1, 1]; 0 if either vector is all zeros."""
-    scale = norm(a) * norm(b)
+def cosine(a: Column, b: Column, norm_b: Column | None = None) -> Column:
+    """Cosine similarity in [-1, 1]; 0 if either vector is all zeros. A norm of b that is known needn't be taken for each row."""
+    scale = norm(a) * (norm(b) if norm_b is None else norm_b)
     return F.when(scale == 0, F.lit(0.0)).otherwise(dot(a, b) / scale)
 
 

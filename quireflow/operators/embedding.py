@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -34,9 +35,11 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension), np.float32)
         for i, text in enumerate(texts):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                out[i, h % self.dimension] += 1 if h & 0x80000000 else -1
+            held = Counter(text.lower().split())
+            if held:
+                h = np.fromiter((zlib.crc32(word.encode()) for word in held), np.int64, len(held))
+                n = np.fromiter(held.values(), np.float64, len(held))
+                out[i] = np.bincount(h % self.dimension, np.where(h >> 31, n, -n), self.dimension)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 

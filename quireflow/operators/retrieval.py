@@ -6,6 +6,8 @@ import re
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,11 @@ from ..functions.vector import cosine, query_vector
 
 def scored(points: DataFrame, query: list[float] | Column, filters: dict | None = None, vector: str = "embedding") -> DataFrame:
     """The points that match the filters, with their cosine similarity to the query as `score`."""
-    target = query_vector(query) if isinstance(query, (list, tuple)) else query
-    return matching(points, filters).withColumn("score", cosine(F.col(vector), target))
+    if isinstance(query, (list, tuple)):
+        score = cosine(F.col(vector), query_vector(query), F.lit(float(np.sqrt(sum(x * x for x in map(float, query))))))
+    else:
+        score = cosine(F.col(vector), query)
+    return matching(points, filters).withColumn("score", score)
 
 
 def top_k(points: DataFrame, query: list[float] | Column, k: int = 10, filters: dict | None = None, key: str = "chunk_index", vector: str = "embedding") -> DataFrame:
@@ -25,6 +30,43 @@ def top_k(points: DataFrame, query: list[float] | Column, k: int = 10, filters:
     return scored(points, query, filters, vector).orderBy(F.col("score").desc(), key).limit(k)
 
 
+#: Rows of a block of points and of a block of questions that are multiplied at once.
+POINTS_AT_ONCE, QUESTIONS_AT_ONCE = 1 << 16, 1 << 10
+
+
+def top_k_each(points: DataFrame, questions: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(question, key, score, rank): the k best points of every question (question, vector), ties by key, for long tables of both.
+
+    Both tables are dealt into blocks; every block of points meets every block of questions as one product of matrices, and
+    only the k best of a question leave a pair of blocks. Keys are integers; rows without a vector count on neither side.
+    """
+    n_points, n_questions = (max(1, -(-df.count() // most)) for df, most in ((points, POINTS_AT_ONCE), (questions, QUESTIONS_AT_ONCE)))
+    dealt = lambda df, name, n: F.pmod(F.xxhash64(df[name]), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = points.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), dealt(points, key, n_points).alias("p_block")).withColumn("q_block", every(n_questions))
+    q = questions.filter(F.col(vector).isNotNull()).select(F.col("question").cast("long").alias("question"), F.col(vector).cast("array<double>").alias("w"), dealt(questions, "question", n_questions).alias("q_block")).withColumn("p_block", every(n_points))
+
+    def unit(rows: pa.Table, name: str) -> np.ndarray:
+        flat = rows[name].combine_chunks()
+        values = flat.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        size = np.linalg.norm(values, axis=1, keepdims=True)
+        return np.divide(values, size, out=np.zeros_like(values), where=size > 0)
+
+    def best(p: pa.Table, q: pa.Table) -> pa.Table:
+        if not p.num_rows or not q.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (("question", pa.int64()), ("key", pa.int64()), ("score", pa.float64()))})
+        keys, asked = p["key"].to_numpy(), q["question"].to_numpy()
+        order = np.argsort(keys, kind="stable")  # of equal scores the smaller key is first
+        score = unit(q, "w") @ unit(p, "v")[order].T
+        n = min(k, len(keys))
+        place = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :n]
+        return pa.table({"question": np.repeat(asked, n), "key": keys[order][place].ravel(), "score": np.take_along_axis(score, place, axis=1).ravel()})
+
+    found = p.groupBy("p_block", "q_block").cogroup(q.groupBy("p_block", "q_block")).applyInArrow(best, "question long, key long, score double")
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.round("score", 12).desc(), "key"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("key", key)
+
+
 def books_only(points: DataFrame) -> DataFrame:
     return points.filter("is_metadata")
 

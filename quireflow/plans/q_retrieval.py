@@ -42,6 +42,13 @@ def vec_topk(t: Tables) -> DataFrame:
     return rounded(R.top_k(t.embeddings, asked(t), 10, None, "vec_id"), "label")
 
 
+@query("vec_topk_each", f"WITH s AS (SELECT q.vec_id AS question, e.vec_id, {RAW} AS raw FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) SELECT question, vec_id, round(raw, 6) AS score, (row_number() OVER (PARTITION BY question ORDER BY round(raw, 12) DESC, vec_id))::INT AS rank FROM s QUALIFY rank <= 10")
+def vec_topk_each(t: Tables) -> DataFrame:
+    """The ten best of all points for every point whose id is divisible by 50."""
+    questions = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question"), "embedding")
+    return R.top_k_each(t.embeddings, questions, 10).withColumn("score", F.round("score", 6))
+
+
 @query("vec_books_only", f"WITH {POINTS}, {QUERY} SELECT e.vec_id, e.label, {COS} AS score FROM points e, q WHERE is_metadata ORDER BY {RAW} DESC, e.vec_id LIMIT 10")
 def vec_books_only(t: Tables) -> DataFrame:
     return rounded(R.top_k(R.books_only(points(t)), asked(t), 10, None, "vec_id"), "label")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections import Counter
+from html.parser import HTMLParser
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
+from quireflow.operators.analysis import WordAnalyzer
 from quireflow.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -38,7 +45,113 @@ def test_oracle(spark, duck, name):
     assert len(got) or name == "vec_threshold_match"
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def rows_of(spark, table: str) -> list:
+    return spark.read.parquet(f"{FOLDER}/{table}.parquet").collect()
+
+
+def vector(text: str, size: int = 64) -> np.ndarray:
+    """Signed word hashes, scaled to length 1."""
+    out = np.zeros(size)
+    for word, n in Counter((text or "").lower().split()).items():
+        h = zlib.crc32(word.encode())
+        out[h % size] += n if h >> 31 else -n
+    return out / np.linalg.norm(out) if out.any() else out
+
+
+def test_embed_documents(spark):
+    want = {r["doc_id"]: vector(r["text"]) for r in rows_of(spark, "documents")}
+    found = {r["doc_id"]: r["embedding"] for r in QUERIES["embed_documents"](spark, FOLDER).collect()}
+    assert set(found) == set(want) and all(np.allclose(found[i], want[i], atol=1e-6) for i in want)
+
+
+def test_semantic_search_text(spark):
+    question = vector(min(rows_of(spark, "benchmark"), key=lambda r: r["item_id"])["text"])
+    texts = {r["doc_id"]: r["text"] for r in rows_of(spark, "documents")}
+    best = sorted(texts, key=lambda i: (-round(float(vector(texts[i]) @ question), 6), i))[:5]
+    found = QUERIES["semantic_search_text"](spark, FOLDER).collect()
+    assert [round(r["score"], 4) for r in found] == [round(float(vector(texts[i]) @ question), 4) for i in best] and [r["doc_id"] for r in found] == best
+    assert all(r["content_preview"] == texts[r["doc_id"]][:100] + "..." for r in found)
+
+
+class Plain(HTMLParser):
+    """Text pieces by the standard parser: each stripped, without scripts and styles."""
+
+    def __init__(self, page: str):
+        super().__init__()
+        self.pieces, self.mute = [], 0
+        self.feed(page or "")
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.mute += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.mute -= tag in ("script", "style") and self.mute > 0
+
+    def handle_data(self, data):
+        if not self.mute and data.strip():
+            self.pieces.append(data.strip())
+
+
+def test_html_text(spark):
+    want = {r["page_id"]: "\n".join(Plain(r["html"]).pieces) for r in rows_of(spark, "pages")}
+    assert {r["page_id"]: r["text"] for r in QUERIES["html_text"](spark, FOLDER).collect()} == want
+
+
+def test_web_hits(spark):
+    words = {w.lower() for w in min(rows_of(spark, "benchmark"), key=lambda r: r["item_id"])["text"].split()}
+    texts = {r["url"]: "\n".join(Plain(r["html"]).pieces) for r in rows_of(spark, "pages")}
+    held = {u: sum(w in t.lower() for w in words) for u, t in texts.items()}
+    best = [u for u in sorted(texts, key=lambda u: (-held[u], u)) if held[u]][:5]
+    assert [(r["url"], r["snippet"]) for r in QUERIES["web_hits"](spark, FOLDER).collect()] == [(u, texts[u][:200]) for u in best]
+
+
+def chapters_of(spark) -> dict[str, list[tuple[int, str]]]:
+    books: dict = {}
+    for r in sorted(rows_of(spark, "documents"), key=lambda r: r["doc_id"]):
+        own = books.setdefault(f"{r['lang']}/{r['source']}", [])
+        own.append((len(own) + 1, r["text"]))
+    return books
+
+
+def test_analyze_chapters(spark):
+    """Concepts of the first eight chapters of each book, by the analyzer itself, reduced to distinct terms."""
+    want = {}
+    for book, chapters in chapters_of(spark).items():
+        best: dict = {}
+        for number, text in chapters[:8]:
+            for k, c in enumerate(json.loads(WordAnalyzer().analyze("technical_concepts", text[:12000]))["concepts"]):
+                term = c["term"].strip().lower()
+                first, _, held = best.get(term, ((number, k), 0, None))
+                if held is None or len(c["definition"]) > len(held):
+                    held = c["definition"]
+                best[term] = (first, 0, held)
+        for at, (term, x) in enumerate(sorted(best.items(), key=lambda y: y[1][0])[:30], 1):
+            want[book, at] = (term, x[2])
+    found = {(r["book_id"], r["ord"]): (r["term"].lower(), r["definition"]) for r in QUERIES["analyze_chapters"](spark, FOLDER).collect()}
+    assert found == want
+
+
+def test_analyze_books(spark):
+    books = chapters_of(spark)
+    found = {r["book_id"]: r for r in QUERIES["analyze_books"](spark, FOLDER).collect()}
+    assert set(found) == set(books)
+    clip = lambda text, n: text if len(text) <= n else text[:n] + "..."
+    for book, chapters in books.items():
+        r, sample = found[book], lambda n, limit: "\n\n---\n\n".join(f"## Chapter {k}\n\n{clip(text, limit)}" for k, text in chapters[:n])  # noqa: B023
+        genre, whole, themes = (json.loads(WordAnalyzer().analyze(agent, sample(n, 8000))) for agent, n in (("genre_tags", 3), ("overview", 5), ("themes", 5)))
+        assert (r["genres"], r["tags"], r["summary"], r["main_topics"]) == (genre["genres"][:3], genre["tags"][:10], whole["summary"], whole["main_topics"][:10])
+        assert r["themes"] == [x["name"] for x in themes["primary_themes"]]
+        quotes = [(q["text"], f"Chapter {k}") for k, text in chapters[:10] for q in json.loads(WordAnalyzer().analyze("key_quotes", text[:12000]))["quotes"] if q["text"]]
+        assert [(q["text"], q["chapter"]) for q in r["key_quotes"]] == quotes[:15]
+        assert [(x["number"], x["summary"]) for x in r["chapter_summaries"]] == [(k, json.loads(WordAnalyzer().analyze("chapter_summary", text[:15000]))["summary"]) for k, text in chapters]
+        assert len(r["technical_concepts"]) <= 30
+
+
+CHECKED = {"embed_documents", "semantic_search_text", "html_text", "web_hits", "analyze_chapters", "analyze_books"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - CHECKED))
 def test_without_sql_there_are_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
