@@ -306,7 +306,7 @@ def names_article(parts: set[str]) -> bool:
     return bool(parts & ARTICLE_NAMES or "".join(sorted(parts, key=len)) in ARTICLE_NAMES)
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     words: int
