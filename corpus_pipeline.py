@@ -1,4 +1,9 @@
-"""From documents to training sequences: five stages, each one written as Parquet and read again by the next."""
+"""From documents to training sequences: five stages, each one written as Parquet and read again by the next.
+
+Every row of documents is a document of its own, also one without an id and one that repeats another's id or all of its
+columns. A null text counts as empty; texts are read whole; an empty table goes through as an empty table. The first four
+stages give back all columns they got, whatever their names, in the same order.
+"""
 
 from __future__ import annotations
 
@@ -18,19 +23,26 @@ ROW = "__row"
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go; the model is fitted on the labelled ones."""
+    """Toxic documents go; the model is fitted on the labelled ones among docs.
+
+    Null, empty and blank texts aren't toxic. Repeated rows stay or go together. Without labels nothing goes.
+    """
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break a base rule or whose compression is out of its band go."""
+    """Documents that break a base rule or whose compression is out of its band go.
+
+    Null, empty and blank texts have too few words and go. Repeated rows stay or go together, whatever their ids.
+    """
     return quality.passing(docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays, the one with the smallest doc_id, a null last; of equal ids any one.
 
-    Rows are told apart by a key of their own, so rows without an id and repeated rows are documents like others.
+    Rows are told apart by a key of their own, so rows without an id and repeated rows are documents like others; of rows that
+    repeat a text one stays. Texts without a word are duplicates of nothing, and all stay.
     """
     keyed = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
     found = minhash.near_duplicates(keyed, id_col=ROW, width=5, percent=80).join(keyed.select(ROW, "doc_id"), ROW)
@@ -39,12 +51,12 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span that the secret scan finds is replaced by a mark, and n_chars follows the text."""
+    """Every span that the secret scan finds is replaced by a mark, and n_chars follows the text (null for a null text)."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its place in a sequence."""
+    """The pieces of all documents, each with its place in a sequence; a null id is kept, a text without tokens is its end alone."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), capacity=CAPACITY)
 
 
