@@ -2,7 +2,8 @@
 
 Training reads every training text. Texts are cut into slices of about SLICE_TEXT bytes, each with its own list of distinct
 words, so what is shuffled is a row for each word of a slice, not for each token. Word counts are summed over all slices
-and joined back to them; a slice is then scored by table lookups.
+and joined back to them once; what is left of a slice are the classes of its tokens and each text's sums that need no model.
+Training and scoring run over those, without a shuffle.
 
 Every word belongs to a class: the end, which also stands before a text, and each of the TOP most frequent words are classes
 of their own, all others share the hashed classes of their last ENDING bytes. The model is
@@ -11,9 +12,9 @@ of their own, all others share the hashed classes of their last ENDING bytes. Th
 
 with g and h the two words before. The second factor is add-one smoothed counts within the class, over the whole vocabulary,
 which grows with the corpus; one more place in each class is for words that training never saw. The first is log-bilinear,
-s(k | g, h) = q_k . (c_1 * r_h + c_2 * r_g) + b_k, trained by noise-contrastive estimation over all training tokens: each
-task trains a copy on its slices from a common start, and the copies are averaged by their tokens, in a tree of fan-in FAN,
-ROUNDS times. As the score is a sum over the two places, exp(s) summed over k is a product of two matrices, so one batched
+s(k | g, h) = q_k . (c_1 * r_h + c_2 * r_g) + b_k, trained by noise-contrastive estimation over all training tokens: in
+each of the ROUNDS, every task trains a copy on its slices, from the average of the round before, and the copies are averaged
+by their tokens, in a tree of fan-in FAN. As the score is a sum over the two places, exp(s) summed over k is a product of two matrices, so one batched
 product gives the normaliser of every context, and probabilities sum to one.
 """
 
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, as_batches, cuts, lowered, mixed, short_batches, slices, staged, text_buffer, word_bounds, word_hasher
@@ -33,13 +34,20 @@ from .common import SLICE_BYTES, as_batches, cuts, lowered, mixed, short_batches
 SLICE_TEXT = 16 << 20
 CLASSES, TOP, ENDING = 2048, 1023, 3
 WIDTH, NOISE, SHARED_NOISE, STEP_TOKENS, RATE, SEED = 32, 10, 64, 4096, 0.1, 11
-#: Rounds of training and averaging. A task of fewer than READ tokens reads them again, EPOCHS times at most.
-ROUNDS, READ, EPOCHS, FAN = 2, 1 << 19, 20, 16
+#: Rounds of training and averaging: the first one reads all slices, the second one every other. A slice of fewer than READ
+#: tokens is read again, EPOCHS times at most.
+ROUNDS, READ, EPOCHS, FAN = (1, 2), 1 << 19, 20, 16
 END = 0
 HELD_OUT_OF, HELD_OUT = 7, 2
 
-_SLICE = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("words", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int16())), ("k", pa.list_(pa.int32()))])
-_SLICE_TYPES = "slice long, ids array<long>, train array<boolean>, ends array<int>, tokens array<int>, words array<long>, kinds array<short>, k array<int>"
+#: A row of a slice is one of its words with its hashed class and training count, or some of its texts with their tokens.
+_SLICE = pa.schema([("slice", pa.int64()), ("pos", pa.int32()), ("word", pa.int64()), ("kind", pa.int16()), ("k", pa.int32()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
+_SLICE_TYPES = "slice long, pos int, word long, kind short, k int, ids array<long>, train array<boolean>, ends array<int>, tokens array<int>"
+#: Texts with the classes of their tokens, the ends among them, and what is summed over a text without the model.
+_CLASSED = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("size", pa.list_(pa.int32())), ("known", pa.list_(pa.int32())), ("base", pa.list_(pa.float64())), ("inside", pa.list_(pa.float64())), ("kinds", pa.list_(pa.int16()))])
+_CLASSED_TYPES = "slice long, ids array<long>, train array<boolean>, size array<int>, known array<int>, base array<double>, inside array<double>, kinds array<short>"
+#: Tokens in a row of texts; a longer text is a row alone.
+ROW_TOKENS = 1 << 17
 
 
 def endings(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -67,17 +75,27 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int,
 
 
 def sliced(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of _SLICE: ids of some texts, their tokens as places in the list of the slice's words, hashed classes and training counts."""
+    """Rows of _SLICE: the distinct words of each slice, and its texts with their tokens as places among these."""
 
-    def packed(number: int, ids: list, train: list, sizes: list, hashes: list, kinds: list) -> pa.RecordBatch:
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SLICE], schema=_SLICE)
+
+    def packed(number: int, ids: list, train: list, sizes: list, hashes: list, kinds: list) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         words, first, back = np.unique(tokens, return_index=True, return_inverse=True)
         size = np.concatenate([*sizes, np.zeros(0, np.int64)])
-        learnt = np.repeat(np.array(train, bool), size)
-        k = np.bincount(back[learnt], minlength=len(words))
-        kind = np.concatenate([*kinds, np.zeros(0, np.int16)])[first]
-        values = [[number], [ids], [train], [np.cumsum(size).astype(np.int32)], [back.astype(np.int32)], [words.view(np.int64)], [kind], [k.astype(np.int32)]]
-        return as_batches(dict(zip(_SLICE.names, values, strict=True)), _SLICE)
+        k = np.bincount(back[np.repeat(np.array(train, bool), size)], minlength=len(words)).astype(np.int32)
+        kind, place, back = np.concatenate([*kinds, np.zeros(0, np.int16)])[first], np.arange(len(words), dtype=np.int32), back.astype(np.int32)
+        for a in range(0, len(words), 1 << 16):
+            b = slice(a, a + (1 << 16))
+            n = len(place[b])
+            yield rows(n, slice=np.full(n, number), pos=place[b], word=words[b].view(np.int64), kind=kind[b], k=k[b])
+        until = np.concatenate([[0], np.cumsum(size)])
+        x = 0
+        while x < len(ids):
+            y = max(x + 1, int(np.searchsorted(until, until[x] + ROW_TOKENS, side="right")) - 1)
+            yield rows(1, slice=[number], ids=[ids[x:y]], train=[train[x:y]], ends=[(until[x + 1 : y + 1] - until[x]).astype(np.int32)], tokens=[back[until[x] : until[y]]])
+            x = y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -93,10 +111,10 @@ def sliced(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 kinds.append(kind)
                 held += int(offsets[b] - offsets[a])
                 if held >= SLICE_TEXT or len(ids) >= 1 << 16:
-                    yield packed(number, ids, train, sizes, hashes, kinds)
+                    yield from packed(number, ids, train, sizes, hashes, kinds)
                     ids, train, sizes, hashes, kinds, held, number = [], [], [], [], [], 0, number + 1
         if ids:
-            yield packed(number, ids, train, sizes, hashes, kinds)
+            yield from packed(number, ids, train, sizes, hashes, kinds)
 
     held_out = F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD_OUT_OF == HELD_OUT
     return docs.select(F.col(id_col).cast("long").alias("id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.col(text_col).alias("text")).mapInArrow(run, _SLICE_TYPES)
@@ -188,10 +206,8 @@ def train_nce(w: Weights, share: np.ndarray, tokens: np.ndarray, first: np.ndarr
 
 @dataclass
 class Model:
-    """The TOP words' hashes (sorted) with their classes, trained weights, and what the corpus holds in all and by class."""
+    """Trained weights, and what the corpus holds in all and by class."""
 
-    hashes: np.ndarray
-    numbers: np.ndarray
     weights: Weights | None
     open: np.ndarray  # classes that any word may belong to
     tokens: int
@@ -205,12 +221,6 @@ class Model:
         held = np.where(self.open, self.class_tokens + 1.0, 1e-9)
         return held / held.sum()
 
-    def classes(self, words: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return kinds.astype(np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.numbers[at], kinds).astype(np.int32)
-
     def inside(self, c: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """log10 P(word | its class); each hashed class has one more place, for all words that training never saw."""
         shared = np.log10((c + 1.0) / (self.class_tokens + self.class_words + 1.0)[kind])
@@ -248,21 +258,35 @@ def tables(model: Model) -> Tables:
     return _TABLES[key]
 
 
-def averaged(parts: DataFrame, model: Model, number: int) -> Weights:
-    """Weights after a round: every task trains a copy on its slices, and copies are averaged, at most FAN in a group at a time."""
+def averaged(texts: DataFrame, model: Model, number: int) -> Weights:
+    """Weights after a round: every task trains a copy on its slices of the round, and copies are averaged, at most FAN in a group at a time."""
     start, share = model.weights, model.share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         w, rng, total = start.from_bytes(start.to_bytes()), np.random.default_rng([SEED, number, task]), 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def train() -> int:
+            if not held:
+                return 0
+            kinds, size, learnt = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            learnt = np.repeat(learnt, size)
+            n = int(learnt.sum())
+            train_nce(w, share, kinds, np.cumsum(size) - size, learnt, min(EPOCHS, -(-READ // max(n, 1))), rng)
+            return n
+
         for batch in batches:
             for k in range(batch.num_rows):
-                train, ends, local, words, kinds = (batch.column(j)[k].values.to_numpy(zero_copy_only=False) for j in range(5))
-                tokens, first = with_ends(model.classes(words.view(np.uint64), kinds)[local], ends, END)
-                learnt = np.repeat(train.astype(bool), np.diff(np.append(first, len(tokens))))
-                n = int(learnt.sum())
-                train_nce(w, share, tokens, first, learnt, min(EPOCHS, -(-READ // max(n, 1))), rng)
-                total += n
+                at = batch.column(0)[k].as_py()
+                if ((at >> 32) + at) % ROUNDS[number]:
+                    continue
+                learnt, size, kinds = (batch.column(j)[k].values.to_numpy(zero_copy_only=False) for j in range(1, 4))
+                held.append((kinds.copy(), size.astype(np.int64), learnt.astype(bool)))
+                if sum(len(x[0]) for x in held) >= READ:
+                    total += train()
+        total += train()
         if total:
             yield pa.RecordBatch.from_pydict({"part": pa.array([task], pa.int64()), "n": pa.array([total], pa.int64()), "raw": pa.array([w.to_bytes()], pa.binary())})
 
@@ -274,8 +298,8 @@ def averaged(parts: DataFrame, model: Model, number: int) -> Weights:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "raw": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     types = "part long, n long, raw binary"
-    copies = staged(parts.select("train", "ends", "tokens", "words", "kinds").mapInArrow(run, types), "copies")
-    last = copies.agg(F.max("part")).first()[0]
+    copies = staged(texts.select("slice", "train", "size", "kinds").mapInArrow(run, types), "copies")
+    last = copies.agg(F.max("part")).first()[0]  # null if no slice of the round had anything to learn from
     while last:  # numbers of tasks get smaller by FAN each time
         copies = staged(copies.groupBy(F.floor(F.col("part") / FAN).cast("long").alias("to")).applyInArrow(mean, types), "copies")
         last //= FAN
@@ -289,8 +313,11 @@ def with_ends(values: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarra
     return np.insert(values, ends, end), np.concatenate([[0], (ends + np.arange(1, len(ends) + 1))[:-1]]).astype(np.int64)
 
 
-def learn(parts: DataFrame, counted: DataFrame) -> Model:
-    """The model from all slices and all word counts (word, kind, c); what comes to the driver is bounded by CLASSES."""
+def totals(parts: DataFrame, counted: DataFrame) -> tuple[Model, DataFrame]:
+    """A model with first weights, and (word, top) of the words that are classes of their own.
+
+    From all slices and all word counts (word, kind, c); what comes to the driver is bounded by CLASSES.
+    """
     texts = parts.select(F.explode("train").alias("train")).filter("train").count()
     seen = counted.filter("c > 0")
     by_class = {r["kind"]: (r["c"], r["n"]) for r in seen.groupBy("kind").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
@@ -306,28 +333,50 @@ def learn(parts: DataFrame, counted: DataFrame) -> Model:
         class_words[r["kind"]] -= 1
     known = np.ones(CLASSES, bool)
     known[len(top) + 1 : TOP + 1] = False
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    model = Model(hashes[order], order + 1, None, known, tokens, distinct, class_tokens, class_words)
+    model = Model(None, known, tokens, distinct, class_tokens, class_words)
     model.weights = Weights.first(model.share)
-    for number in range(ROUNDS):
-        model.weights = averaged(parts, model, number)
-    model.weights.held = []
-    return model
+    own = parts.sparkSession.createDataFrame([(r["word"], k) for k, r in enumerate(top, 1)], "word long, top int")
+    return model, own
 
 
-def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Model]:
-    """(slices, words with class and count, model) of a corpus."""
-    short_batches(docs.sparkSession)
-    parts = staged(sliced(docs, id_col, text_col), "slices")
-    each = parts.select(F.explode(F.arrays_zip("words", "kinds", "k")).alias("x"))
-    counted = staged(each.groupBy(F.col("x.words").alias("word")).agg(F.first("x.kinds").alias("kind"), F.sum("x.k").alias("c")), "counts")
-    return parts, counted, learn(parts, counted)
+def classed(parts: DataFrame, counted: DataFrame, model: Model, own: DataFrame) -> DataFrame:
+    """Rows of _CLASSED: the counts and classes of a slice's words are joined back to it, by its number."""
+    all_tokens, all_words, end_count = model.tokens, model.distinct, int(model.class_tokens[END])
+
+    def run(part: pa.Table, known: pa.Table) -> pa.Table:
+        n = known.num_rows  # every word of the slice, at its place
+        place = known["pos"].to_numpy()
+        c, kinds = np.zeros(n + 1, np.int64), np.full(n + 1, END, np.int16)
+        c[place], kinds[place] = known["c"].to_numpy(), known["kind"].to_numpy()
+        c[-1] = end_count
+        base, inside = np.log10((c + 1) / (all_tokens + all_words + 1)), model.inside(c, kinds)
+        out = []
+        for row in range(part.num_rows):
+            number, ids, train, ends, local = (part[name][row] for name in ("slice", "ids", "train", "ends", "tokens"))
+            tokens, first = with_ends(local.values.to_numpy(zero_copy_only=False), ends.values.to_numpy(zero_copy_only=False), n)
+            add = lambda x: np.add.reduceat(x[tokens], first)  # noqa: B023, E731
+            size = np.diff(np.append(first, len(tokens))).astype(np.int32)
+            values = [[number.as_py()], [ids.values], [train.values], [size], [add((c > 0).astype(np.int32))], [add(base)], [add(inside)], [kinds[tokens]]]
+            out.append(as_batches(dict(zip(_CLASSED.names, values, strict=True)), _CLASSED))
+        return pa.Table.from_batches(out, _CLASSED)
+
+    kinds = counted.join(F.broadcast(own), "word", "left").select("word", "c", F.coalesce("top", "kind").cast("short").alias("kind"))
+    places = parts.filter("word IS NOT NULL").select(F.col("slice").alias("of"), "pos", "word").join(kinds, "word").select("of", "pos", "c", "kind")
+    body = parts.filter("tokens IS NOT NULL").select("slice", "ids", "train", "ends", "tokens")
+    return body.groupBy("slice").cogroup(places.groupBy("of")).applyInArrow(run, _CLASSED_TYPES)
 
 
-def top_classes(spark: SparkSession, model: Model) -> DataFrame:
-    """(word, top) of the words that are classes of their own; TOP rows at most."""
-    return spark.createDataFrame([(int(np.uint64(w).view(np.int64)), int(k)) for w, k in zip(model.hashes, model.numbers, strict=True)], "word long, top int")
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Model]:
+    """(word counts, texts by class, model) of a corpus."""
+    short_batches(docs.sparkSession)
+    parts = staged(sliced(docs, id_col, text_col), "slices", "zstd")
+    counted = staged(parts.filter("word IS NOT NULL").groupBy("word").agg(F.first("kind").alias("kind"), F.sum("k").alias("c")), "counts", "zstd")
+    model, own = totals(parts, counted)
+    texts = staged(classed(parts, counted, model, own), "classed", "zstd")
+    for number in range(len(ROUNDS)):
+        model.weights = averaged(texts, model, number)
+    model.weights.held = []
+    return counted, texts, model
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,36 +387,25 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     smaller hash. Repeated rows are learnt as often as they come; an empty table gives no rows. A null id counts as
     training. Only the two named columns are read. score, not base_score, depends a little on how texts fall into tasks.
     """
-    return scored_by(docs.sparkSession, *fitted(docs, id_col, text_col)).withColumnRenamed("id", id_col)
+    _, texts, model = fitted(docs, id_col, text_col)
+    return scored_by(texts, model).withColumnRenamed("id", id_col)
 
 
-def scored_by(spark: SparkSession, parts: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
-    """The rows of scored() for slices, with the counts and classes of their words joined back to them."""
+def scored_by(texts: DataFrame, model: Model) -> DataFrame:
+    """The rows of scored() for texts by class."""
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(part: pa.Table, known: pa.Table) -> pa.Table:
-        out, at = [], tables(model)
-        row = part.combine_chunks()
-        for k in range(row.num_rows):
-            ids, train, ends, local = (row[name].chunk(0)[k].values for name in ("ids", "train", "ends", "tokens"))
-            n = known.num_rows  # every word of the slice, at its place
-            place = known["pos"].to_numpy()
-            c, kinds = np.zeros(n + 1, np.int64), np.full(n + 1, END, np.int64)
-            c[place], kinds[place] = known["c"].to_numpy(), known["kind"].to_numpy()
-            c[-1] = model.class_tokens[END]
-            tokens, first = with_ends(local.to_numpy(), ends.to_numpy(), n)
-            kind = kinds[tokens]
-            before, earlier = tokens_before(kind, first)
-            base = np.log10((c + 1) / (model.tokens + model.distinct + 1))[tokens]
-            full = at.log10(kind, before, earlier) + model.inside(c, kinds)[tokens]
-            size = np.diff(np.append(first, len(tokens)))
-            add = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
-            values = [ids, pa.array(~train.to_numpy(zero_copy_only=False).astype(bool)), size, add((c[tokens] > 0).astype(np.int64)), np.full(len(size), model.tokens), add(base), add(full)]
-            out.append(as_batches(dict(zip(schema.names, values, strict=True)), schema))
-        return pa.Table.from_batches(out, schema)
-
-    kinds = counted.join(F.broadcast(top_classes(spark, model)), "word", "left").select("word", "c", F.coalesce("top", "kind").cast("short").alias("kind"))
-    places = parts.select("slice", F.posexplode("words").alias("pos", "word")).join(kinds, "word").select(F.col("slice").alias("of"), "pos", "c", "kind")
-    body = parts.select("slice", "ids", "train", "ends", "tokens")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = tables(model)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, train, size, known, base, inside, kinds = (batch.column(j)[k].values for j in range(7))
+                size, kind = size.to_numpy().astype(np.int64), kinds.to_numpy()
+                first = np.cumsum(size) - size
+                before, earlier = tokens_before(kind, first)
+                full = np.add.reduceat(at.log10(kind, before, earlier), first) + inside.to_numpy()
+                values = [ids, pa.array(~train.to_numpy(zero_copy_only=False).astype(bool)), size, known, np.full(len(size), model.tokens), base, full]
+                yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
+
     types = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return body.groupBy("slice").cogroup(places.groupBy("of")).applyInArrow(run, types)
+    return texts.select("ids", "train", "size", "known", "base", "inside", "kinds").mapInArrow(run, types)

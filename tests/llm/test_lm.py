@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quireflow.llm import common, lm_scoring
 
@@ -50,8 +51,8 @@ def test_score_against_brute_force(spark):
     """Each token's probability term by term: scores of all classes, their sum, and the counts within the class."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).union(spark.createDataFrame([(10_001, " ".join(twins(1024))), (10_002, None)], "doc_id long, text string"))
     rows = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
-    parts, counted, model = lm_scoring.fitted(docs)
-    found = by_id(lm_scoring.scored_by(spark, parts, counted, model).withColumnRenamed("id", "doc_id"))
+    counted, texts, model = lm_scoring.fitted(docs)
+    found = by_id(lm_scoring.scored_by(texts, model).withColumnRenamed("id", "doc_id"))
     tokens = {i: [w.translate(bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())) for w in re.split(rb"[\x20\x09-\x0d]+", t) if w] for i, t in rows.items()}
     counts = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
     hasher = common.WordHasher(word_hasher_seed())
@@ -62,7 +63,8 @@ def test_score_against_brute_force(spark):
 
     words = {w: hashed(w) for t in tokens.values() for w in t}
     assert len({h for h, _ in words.values()}) == len(words)
-    own = {h: k for h, k in zip(model.hashes.tolist(), model.numbers.tolist(), strict=True)}
+    most = counted.filter("c > 0").orderBy(F.col("c").desc(), "word").limit(lm_scoring.TOP).collect()
+    own = {int(np.int64(r["word"]).view(np.uint64)): k for k, r in enumerate(most, 1)}
     kind = {w: own.get(int(h), int(k)) for w, (h, k) in words.items()}
     assert set(own) <= {int(h) for h, _ in words.values()} and min(counts[w] for w in words if int(words[w][0]) in own) >= max((counts[w] for w in words if int(words[w][0]) not in own), default=0)
     members = {}
@@ -100,7 +102,7 @@ def test_model_is_normalised_and_learns_order():
     share = np.bincount(tokens, minlength=size) / len(tokens)
     w = lm_scoring.Weights.first(share)
     lm_scoring.train_nce(w, share, tokens, np.array([0]), np.ones(len(tokens), bool), 20, rng)
-    model = lm_scoring.Model(np.zeros(0, np.uint64), np.zeros(0), w, np.ones(size, bool), 0, 0, np.zeros(size), np.zeros(size))
+    model = lm_scoring.Model(w, np.ones(size, bool), 0, 0, np.zeros(size), np.zeros(size))
     table = lm_scoring.Tables(model)
     every = np.arange(size)
     p = 10 ** np.array([[table.log10(every, np.full(size, h), np.full(size, g)) for g in range(size)] for h in range(size)])
