@@ -13,6 +13,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,26 @@ def distinct(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.
     return np.unique(number, return_index=True)[1], number
 
 
+class Pool:
+    """Lists of numbers one after another, by the number of the list."""
+
+    def __init__(self, kind: type):
+        self.values, self.filled, self.count = np.zeros(1 << 16, kind), 0, 0
+        self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        n, total = len(sizes), len(values)
+        while self.filled + total > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        while self.count + n > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        self.values[self.filled : self.filled + total] = values
+        self.first[self.count : self.count + n] = self.filled + np.cumsum(sizes) - sizes
+        self.size[self.count : self.count + n] = sizes
+        self.filled += total
+        self.count += n
+
+
 class Encoder:
     """Token ids of texts by a tokenizer file, as its own library gives them without added special tokens.
 
@@ -157,36 +178,60 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.pool = np.zeros(1 << 20, np.uint32)
-        self.first = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.filled = self.held = 0
-
-    def _keep(self, raw: bytes, ids: list[int]) -> None:
-        k = len(self.slot)
-        while self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if k >= len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        self.pool[self.filled : self.filled + len(ids)] = ids
-        self.first[k], self.size[k], self.slot[raw] = self.filled, len(ids), k
-        self.filled += len(ids)
-        self.held += len(raw) + 4 * len(ids) + 160  # the last for the entry itself
-
-    def _learn(self, new: list[tuple[bytes, bool]]) -> None:
-        whole = []
-        tokenize, symbols = self.tokenizer.model.tokenize, self.symbols
-        for raw, decided in new:
-            if decided:
-                text = raw.decode().lower()
-                self._keep(raw, [t.id for t in tokenize(text if text.isascii() else "".join([symbols[b] for b in text.encode()]))])
-            else:
-                whole.append(raw)
-        for a in range(0, len(whole), 4096):
-            part = whole[a : a + 4096]
-            for raw, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self._keep(raw, found.ids)
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and the units that have them
+        self.ids, self.raw = Pool(np.uint32), Pool(np.uint8)
+
+    @property
+    def held(self) -> int:
+        return 4 * self.ids.filled + self.raw.filled + 64 * self.ids.count
+
+    def _find(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of units that are remembered, compared byte by byte; -1 for others."""
+        out = np.full(len(starts), -1)
+        if not len(self.keys):
+            return out
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == hashes)
+        number, size = self.numbers[at[hit]], (ends - starts)[hit]
+        same = self.raw.size[number] == size
+        hit, number, size = hit[same], number[same], size[same]
+        if len(hit):
+            until = np.cumsum(size) - size
+            step = np.arange(until[-1] + size[-1])
+            equal = part[step + np.repeat(starts[hit] - until, size)] == self.raw.values[step + np.repeat(self.raw.first[number] - until, size)]
+            same = np.logical_and.reduceat(equal, until)
+            out[hit[same]] = number[same]
+        return out
+
+    def _keep(self, units: list[bytes], found: list[list[int]]) -> None:
+        """Append units and their ids."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.ids.extend(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        self.raw.extend(np.frombuffer(b"".join(units), np.uint8), np.fromiter(map(len, units), np.int64, len(units)))
+
+    def _remember(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Make units findable; of units that share a hash the first one is."""
+        hashes, first = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.keys, hashes)
+        new = np.append(self.keys, np.uint64(0))[at] != hashes if len(self.keys) else np.ones(len(hashes), bool)
+        new |= at == len(self.keys)
+        self.keys = np.insert(self.keys, at[new], hashes[new])
+        self.numbers = np.insert(self.numbers, at[new], numbers[first][new])
+
+    def _learn(self, units: list[bytes], decided: np.ndarray) -> np.ndarray:
+        """Encode units and append them; the places among `units` in the order in which they were appended."""
+        plain, whole = np.flatnonzero(decided), np.flatnonzero(~decided)
+        tokenize, symbols, found = self.tokenizer.model.tokenize, self.symbols, []
+        own = [units[k] for k in plain.tolist()]
+        for raw in own:
+            text = raw.decode().lower()
+            found.append([t.id for t in tokenize(text if text.isascii() else "".join([symbols[b] for b in text.encode()]))])
+        self._keep(own, found)
+        other = [units[k] for k in whole.tolist()]
+        for a in range(0, len(other), 4096):
+            part = other[a : a + 4096]
+            self._keep(part, [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)])
+        return np.concatenate([plain, whole])
 
     def hashed(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return self.hasher(part, starts, ends, lower=False)  # the strings of special tokens are told apart by case
@@ -224,17 +269,22 @@ class Encoder:
         starts, ends, at, decided = self.units(part, own) if len(part) else (np.zeros(0, np.int64),) * 4
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(own), np.int64)
-        where, back = distinct(part, starts, ends, self.hashed(part, starts, ends))
+        hashes = self.hashed(part, starts, ends)
+        where, back = distinct(part, starts, ends, hashes)
         if self.held > self.cached:
             self.clear()
-        raw = part.tobytes()
-        known = [raw[x:y] for x, y in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-        if new := [(unit, bool(whole)) for unit, whole in zip(known, decided[where], strict=True) if unit not in self.slot]:
-            self._learn(new)
-        place = np.fromiter((self.slot[unit] for unit in known), np.int64, len(known))[back]
-        sizes, firsts = self.size[place], self.first[place]
+        first, last, key = starts[where], ends[where], hashes[where]
+        number = self._find(part, first, last, key)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            raw, before = part.tobytes(), self.ids.count
+            order = new[self._learn([raw[x:y] for x, y in zip(first[new].tolist(), last[new].tolist(), strict=True)], decided[where[new]])]
+            number[order] = np.arange(before, before + len(order))
+            self._remember(key[order], number[order])
+        place = number[back]
+        sizes, firsts = self.ids.size[place], self.ids.first[place]
         until = np.concatenate([[0], np.cumsum(sizes)])
-        return self.pool[np.repeat(firsts - until[:-1], sizes) + np.arange(until[-1])], until[at]
+        return self.ids.values[np.repeat(firsts - until[:-1], sizes) + np.arange(until[-1])], until[at]
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row, their ids one after another, n + 1 offsets of the rows)."""

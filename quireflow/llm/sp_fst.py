@@ -255,7 +255,7 @@ class Transducer:
 class PieceEncoder(Encoder):
     """Ids of many texts; each distinct unit is composed and searched once. A unit at the beginning of a text starts with BEGIN."""
 
-    cached = 240 << 20  # a search costs more than a place in memory
+    cached = 128 << 20  # a search costs more than a place in memory
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -286,11 +286,13 @@ class PieceEncoder(Encoder):
     def bounds(self, part: np.ndarray) -> list[int]:
         return cuts(part, lambda low, high: self.borders(part[low - 1 : high]) + low - 1)
 
-    def _learn(self, new: list[tuple[bytes, bool]]) -> None:
-        machine = self.machine
-        for raw, _ in new:
+    def _learn(self, units: list[bytes], decided: np.ndarray) -> np.ndarray:
+        machine, found = self.machine, []
+        for raw in units:
             begins = raw[0] == BEGIN
-            self._keep(raw, machine.path(machine.normaliser.compose(raw[begins:].decode(), begins))[1])
+            found.append(machine.path(machine.normaliser.compose(raw[begins:].decode(), begins))[1])
+        self._keep(units, found)
+        return np.arange(len(units))
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """As the Encoder's; every text that isn't empty gets the byte BEGIN in front."""
