@@ -41,7 +41,7 @@ class Library:
         self.analyzer = analyzer or self.models()
         self.collection = S.Collection(spark, f"{self.config.storage.path}/points")
         self.progress_path = f"{self.config.storage.path}/progress"
-        self.analyses_path = f"{self.config.storage.path}/analyses"
+        self.analyses_path, self.contents_path = f"{self.config.storage.path}/analyses", f"{self.config.storage.path}/contents"
 
     def models(self) -> A.Analyzer:
         """The analyzer of the settings: chat models where they have an address, else the one that needs no model."""
@@ -114,6 +114,11 @@ class Library:
         fields = [c for c in stored.columns if c not in ("book_id", "at")]
         return stored.groupBy("book_id").agg(F.max_by(F.struct(*fields), "at").alias("x")).select("book_id", "x.*")
 
+    def contents(self, book_id: str) -> DataFrame:
+        """(seq, level, title) of a book's contents as they were last read."""
+        own = self.spark.read.parquet(self.contents_path).filter(F.col("book_id") == book_id)
+        return own.groupBy("seq").agg(F.max_by(F.struct("level", "title", "at"), "at").alias("x")).select("seq", "x.level", "x.title").orderBy("seq")
+
     def points(self, books: DataFrame, chapters: DataFrame, analysis: DataFrame, found: DataFrame, described: DataFrame) -> DataFrame:
         """Chunk and book points of parsed and analysed books, embedded; chunks have what is seen on the images of their pages."""
         how = self.config.chunking
@@ -138,6 +143,7 @@ class Library:
                     failed = failed.unionByName(broken.join(rows.select("path", "book_id"), "book_id").select("path", "error"))
                     whole = lambda df: df.join(broken, "book_id", "left_anti")
                     stored = whole(books).count()
+                    whole(toc).withColumn("at", F.current_timestamp()).write.mode("append").parquet(self.contents_path)
                     whole(analysis).withColumn("at", F.current_timestamp()).write.mode("append").parquet(self.analyses_path)
                     self.collection.upsert(self.points(whole(books), whole(chapters), whole(analysis), whole(found), described))
                 done = rows.select("path").join(failed, "path", "left").select("path", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error", F.current_timestamp().cast("timestamp_ntz").alias("at"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..schema import CHECKOUTS
 
 LOAN_DAYS = 14
 #: The words that ask for a recommendation, and the ways to name a book to talk about, tried in this order.
@@ -132,6 +133,39 @@ def latest(checkouts: DataFrame, order: list[str], keys: tuple[str, ...] = ("boo
     return checkouts.withColumn("_last", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter("_last = 1").drop("_last")
 
 
+class Ledger:
+    """Loans as events that are only appended: a loan's state is its last event, so an update is one more row."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, events: DataFrame) -> None:
+        """Add events (the columns of CHECKOUTS that there are, and `at`, when it happened)."""
+        wanted = self.spark.createDataFrame([], f"{CHECKOUTS}, at timestamp_ntz").schema
+        held = [(F.col(f.name) if f.name in events.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
+        events.select(*held).write.mode("append").parquet(self.path)
+
+    def events(self) -> DataFrame:
+        return self.spark.read.schema(f"{CHECKOUTS}, at timestamp_ntz").parquet(self.path)
+
+    def check_out(self, book_id: str, user_id: str, now, source: str = "library") -> None:
+        """A loan from now on, for LOAN_DAYS."""
+        row = self.spark.createDataFrame([(book_id, user_id, now, "active", source, now)], "book_id string, user_id string, checkout_time timestamp_ntz, status string, source string, at timestamp_ntz")
+        self.append(row.withColumn("expiry_time", F.col("checkout_time") + F.expr(f"INTERVAL {LOAN_DAYS} DAYS")))
+
+    def give_back(self, book_id: str, user_id: str, now) -> int:
+        """Return a user's active loan of a book, and how many there were (0 or 1)."""
+        held = self.state(F.lit(now).cast("timestamp_ntz")).filter((F.col("book_id") == book_id) & (F.col("user_id") == user_id) & (F.col("status") == "active"))
+        rows = held.withColumns({"status": F.lit("returned"), "return_time": F.lit(now).cast("timestamp_ntz"), "at": F.lit(now).cast("timestamp_ntz")}).toArrow()
+        if rows.num_rows:  # the loan of one user
+            self.append(self.spark.createDataFrame(rows))
+        return rows.num_rows
+
+    def state(self, now: Column) -> DataFrame:
+        """Each book's and user's last state, loans past their expiry as returned by themselves."""
+        return auto_returned(latest(self.events(), ["at"]), now)
+
+
 def titled(checkouts: DataFrame, books: DataFrame) -> DataFrame:
     return checkouts.join(books.select("book_id", "title"), "book_id", "left").withColumn("title", F.coalesce("title", F.lit("Unknown Book")))
 

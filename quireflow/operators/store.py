@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -53,11 +56,15 @@ def lookup(stored: DataFrame, book_id) -> DataFrame:
 
 
 class Collection:
-    """A collection as a Parquet folder, partitioned by row kind, each version in a folder of its own.
+    """A collection as Parquet folders: books fall into BUCKETS by a hash, and a version says which folder holds each bucket.
 
-    A write makes the next version whole before it counts, so readers and a failed write never see half of it.
+    A write makes the next version: the buckets it touches are written into a folder of its own, all others stay where they
+    are, and the version counts once its manifest is there. So readers and a failed write never see half of it, and the cost
+    of an upsert or a delete is that of the buckets of its books.
     """
 
+    BUCKETS = 256
+
     def __init__(self, spark: SparkSession, path: str, schema: str = POINTS):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
@@ -66,42 +73,80 @@ class Collection:
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> int:
-        """The newest version that was written to its end, or 0."""
+    def versions(self) -> list[int]:
+        """The versions that were written to their end, in order."""
         fs, path = self._fs()
         if not fs.exists(path(self.path)):
-            return 0
+            return []
         names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=0)
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/manifest.json")))
 
-    def read(self) -> DataFrame:
-        version = self.version()
+    def version(self) -> int:
+        return max(self.versions(), default=0)
+
+    def manifest(self, version: int) -> dict[int, int]:
+        """The version that holds each bucket, as of a version; empty buckets have none."""
         if not version:
+            return {}
+        raw = self.spark.read.text(f"{self.path}/v{version}/manifest.json", wholetext=True).first()[0]
+        return {int(k): v for k, v in json.loads(raw).items()}
+
+    def read(self, buckets: set[int] | None = None) -> DataFrame:
+        """All points of the newest version, or those of some buckets."""
+        held = {b: v for b, v in self.manifest(self.version()).items() if buckets is None or b in buckets}
+        if not held:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}")
-
-    def write(self, rows: DataFrame) -> None:
-        columns = self.read().schema
-        held = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns]
-        rows.select(*held).write.mode("overwrite").partitionBy("is_metadata").parquet(f"{self.path}/v{self.version() + 1}")
+        columns = self.spark.createDataFrame([], self.schema).columns
+        parts = []
+        for v in sorted(set(held.values())):  # BUCKETS versions at most
+            folders = [f"{self.path}/v{v}/bucket={b}" for b, own in sorted(held.items()) if own == v]
+            parts.append(self.spark.read.schema(f"{self.schema}, bucket int").option("basePath", f"{self.path}/v{v}").parquet(*folders).select(*columns))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("book_id"), F.lit(self.BUCKETS)).cast("int")
+
+    def _write(self, rows: DataFrame, touched: set[int]) -> None:
+        """Make the next version: rows are all that the touched buckets hold from now on."""
+        last = self.version()
+        fs, path = self._fs()
+        schema = self.spark.createDataFrame([], self.schema).schema
+        columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        here = f"{self.path}/v{last + 1}"
+        rows.select(*columns, self._bucket().alias("bucket")).repartition("bucket", "is_metadata", F.pmod(F.xxhash64("chunk_index"), F.lit(8))).sortWithinPartitions("bucket", "is_metadata", "book_id", "chunk_index").write.mode("overwrite").partitionBy("bucket", "is_metadata").parquet(here)
+        full = {int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(path(here)) if s.getPath().getName().startswith("bucket=")}
+        held = {b: v for b, v in self.manifest(last).items() if b not in touched} | dict.fromkeys(full, last + 1)
+        out = fs.create(path(f"{here}/manifest.json"), True)
+        out.write(bytearray(json.dumps(held).encode()))
+        out.close()
+
+    def _buckets(self, rows: DataFrame) -> set[int]:
+        return {r["bucket"] for r in rows.select(self._bucket().alias("bucket")).distinct().collect()}  # BUCKETS numbers at most
 
     def upsert(self, fresh: DataFrame) -> None:
-        self.write(replaced(self.read(), fresh))
+        """Add points; those of books that come again are replaced."""
+        touched = self._buckets(fresh)
+        self._write(replaced(self.read(touched), fresh), touched)
 
     def delete(self, book_id: str) -> int:
         """Remove a book's points and return how many there were."""
-        stored = self.read()
+        touched = self._buckets(self.spark.createDataFrame([(book_id,)], "book_id string"))
+        stored = self.read(touched)
         gone = stored.filter(F.col("book_id") == book_id).count()
         if gone:
-            self.write(without_books(stored, [book_id]))
+            self._write(without_books(stored, [book_id]), touched)
         return gone
 
     def vacuum(self, keep: int = 2) -> None:
-        """Remove all versions but the newest ones."""
+        """Remove old versions but for the newest ones and the folders that these still read."""
         fs, path = self._fs()
-        for number in range(1, self.version() - keep + 1):
-            fs.delete(path(f"{self.path}/v{number}"), True)
+        found = self.versions()
+        kept = set(found[-keep:]) | {v for number in found[-keep:] for v in self.manifest(number).values()}
+        for number in found:
+            if number not in kept:
+                fs.delete(path(f"{self.path}/v{number}"), True)
+            elif number not in found[-keep:]:
+                fs.delete(path(f"{self.path}/v{number}/manifest.json"), False)  # its buckets are read, but it is no version any more
 
 
 def content_preview(stored: DataFrame, n: int = 200) -> DataFrame:

@@ -222,6 +222,19 @@ def test_intents(spark):
     assert value(spark, S.title_asked(F.lit("Please focus on The Sea "), lambda t: F.lit(True))) == "the sea" and value(spark, S.chapter_asked(F.lit("Read chapter 12"))) == 12
 
 
+def test_ledger(spark, tmp_path):
+    ledger, at = S.Ledger(spark, str(tmp_path / "loans")), lambda d: dt.datetime(2024, 3, d, 12)
+    ledger.check_out("b", "u", at(1))
+    ledger.check_out("b", "v", at(2))
+    ledger.check_out("c", "u", at(9))
+    assert ledger.give_back("b", "u", at(5)) == 1 and ledger.give_back("b", "u", at(6)) == 0 and ledger.give_back("x", "u", at(6)) == 0
+    state = lambda d: {(r["book_id"], r["user_id"]): (r["status"], r["return_time"]) for r in ledger.state(F.lit(at(d)).cast("timestamp_ntz")).collect()}
+    assert state(10) == {("b", "u"): ("returned", at(5)), ("b", "v"): ("active", None), ("c", "u"): ("active", None)}
+    assert state(20) == {("b", "u"): ("returned", at(5)), ("b", "v"): ("auto-returned", at(20)), ("c", "u"): ("active", None)}
+    ledger.check_out("b", "u", at(21))
+    assert state(22)["b", "u"] == ("active", None) and ledger.events().count() == 5
+
+
 def test_web_gate(spark):
     rows = [("old tale", 0.9, False), ("old tale", 0.4, True), ("old tale", None, True), ("the LATEST tale", 0.9, True), ("how to read", 0.9, True), ("trending today online", 0.9, False), (None, 0.9, False)]
     df = spark.createDataFrame(rows, "m string, best double, want boolean")
