@@ -40,7 +40,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path, compression=codec)
