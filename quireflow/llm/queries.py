@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, lm_scoring, media, minhash, packing, quality, secrets, sp_fst, toxicity
+from . import chat, html_text, lm_scoring, media, minhash, packing, quality, sales, secrets, sp_fst, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,28 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_extraction")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op13_sale_enrichment",
+    """WITH RECURSIVE crc(i, k, c) AS (SELECT i::BIGINT, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+    tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+    changes AS MATERIALIZED (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL),
+    v AS MATERIALIZED (SELECT change_id, client_id, seq, op, valid_at, floor(100 * balance + 0.5)::BIGINT AS cents,
+        least(7, floor((date_diff('day', DATE '1970-01-01', valid_at::DATE) + xor(list_reduce(list_prepend(4294967295, list_transform(string_split(change_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 4 - 19723) * 8 / 152))::BIGINT AS batch FROM changes, tab),
+    s AS MATERIALIZED (SELECT sale_id, client_id, sold_at, least(7, floor((date_diff('day', DATE '1970-01-01', arrived_at::DATE) - 19723) * 8 / 152))::BIGINT AS batch FROM sales),
+    ms AS (SELECT batch, max(sold_at) AS m FROM s GROUP BY batch), mv AS (SELECT batch, max(valid_at) AS m FROM v GROUP BY batch),
+    marks AS MATERIALIZED (SELECT b, wc, CASE WHEN ws IS NOT NULL AND wc IS NOT NULL THEN least(ws, wc) END AS h FROM (SELECT b, (SELECT max(m) FROM ms WHERE batch < b) - INTERVAL 12 HOUR AS ws, (SELECT max(m) FROM mv WHERE batch < b) - INTERVAL 12 HOUR AS wc FROM range(9) r(b))),
+    late AS (SELECT change_id, batch FROM v JOIN marks ON b = batch WHERE valid_at < wc),
+    own AS MATERIALIZED (SELECT v.* FROM v JOIN marks ON b = batch WHERE (wc IS NULL OR valid_at >= wc) AND client_id IS NOT NULL),
+    emitted AS MATERIALIZED (SELECT s.*, coalesce((SELECT min(b) FROM marks WHERE b >= batch AND b < 8 AND (sold_at IS NULL OR sold_at < h)), 8)::BIGINT AS at_batch FROM s),
+    state AS MATERIALIZED (SELECT client_id, m.b, count(*) FILTER (batch = m.b OR p.h IS NULL OR valid_at > p.h) + max(CASE WHEN batch < m.b AND valid_at <= p.h THEN 1 ELSE 0 END) AS n_held, max(valid_at) FILTER (batch < m.b AND valid_at <= p.h) AS anchor
+        FROM own JOIN marks m ON batch <= m.b LEFT JOIN marks p ON p.b = m.b - 1 GROUP BY client_id, m.b),
+    last AS MATERIALIZED (SELECT client_id, valid_at, arg_max((change_id, cents, op), (seq, change_id)) AS x FROM own GROUP BY client_id, valid_at),
+    sold AS (SELECT e.sale_id, e.client_id, e.sold_at, e.at_batch, l.valid_at, l.x FROM emitted e ASOF LEFT JOIN last l ON e.client_id = l.client_id AND e.sold_at >= l.valid_at)
+    SELECT 'late' AS rec, change_id AS id, batch, NULL::BIGINT AS n_held, NULL::BIGINT AS change_id, NULL::BIGINT AS balance_cents, NULL::VARCHAR AS op FROM late
+    UNION ALL SELECT 'sale', sale_id, at_batch, coalesce(n_held, 0)::BIGINT, CASE WHEN ok THEN x[1] END, CASE WHEN ok THEN x[2] END, CASE WHEN ok THEN x[3] END
+    FROM (SELECT sold.*, state.n_held, sold.valid_at IS NOT NULL AND (state.anchor IS NULL OR sold.valid_at >= state.anchor) AS ok FROM sold LEFT JOIN state ON state.client_id = sold.client_id AND state.b = sold.at_batch)""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales.enriched(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
