@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, lm_scoring, media, minhash, packing, quality, sales, secrets, sp_fst, toxicity
+from . import chat, html_text, lm_scoring, media, minhash, packing, quality, resampling, sales, secrets, sp_fst, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales.enriched(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
+
+
+@query(
+    "op11_importance_resampling",
+    """WITH RECURSIVE crc(i, k, c) AS (SELECT i::BIGINT, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+    tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+    d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    own AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY r, w),
+    goal AS MATERIALIZED (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+    vocabulary AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM own UNION SELECT w FROM goal)),
+    bucket AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS b FROM vocabulary, tab),
+    ss AS (SELECT b, sum(n)::BIGINT AS s FROM own JOIN bucket USING (w) GROUP BY b), tt AS (SELECT b, count(*) AS t FROM goal JOIN bucket USING (w) GROUP BY b),
+    gain AS MATERIALIZED (SELECT i AS b, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM ss) + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM tt), 0) + 10000)::DOUBLE)))::BIGINT AS g
+        FROM range(10000) r(i) LEFT JOIN ss ON ss.b = i LEFT JOIN tt ON tt.b = i),
+    weight AS (SELECT r, floor(sum(n * g)::DOUBLE / sum(n))::BIGINT AS weight FROM own JOIN bucket USING (w) JOIN gain USING (b) GROUP BY r),
+    scored AS (SELECT d.r, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN weight ON weight.r = d.r),
+    drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features, r) AS rank FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM scored WHERE n_features >= 20) // 10 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (r)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
