@@ -15,12 +15,14 @@ NONE = S.NONE
 RESULT = ("rec", "id", "batch", "n_held", "change_id", "balance_cents", "op")
 CUT_SALES = "client long, known boolean, at long, id long, key string, span int"
 CUT_CHANGES = "client long, at long, seq long, id long, op string, cents long, key string, span int"
-#: What the stream needs of its state store: one that keeps maps, bounded memory, and no versions beyond the last few.
+#: What the stream needs of its state store: one that keeps maps, bounded memory, no versions beyond the last few, and stores
+#: that are closed with their task, since every start opens new ones.
 STREAM = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
