@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -34,17 +35,8 @@ def top_k(points: DataFrame, query: list[float] | Column, k: int = 10, filters:
 POINTS_AT_ONCE, QUESTIONS_AT_ONCE = 1 << 16, 1 << 10
 
 
-def top_k_each(points: DataFrame, questions: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(question, key, score, rank): the k best points of every question (question, vector), ties by key, for long tables of both.
-
-    Both tables are dealt into blocks; every block of points meets every block of questions as one product of matrices, and
-    only the k best of a question leave a pair of blocks. Keys are integers; rows without a vector count on neither side.
-    """
-    n_points, n_questions = (max(1, -(-df.count() // most)) for df, most in ((points, POINTS_AT_ONCE), (questions, QUESTIONS_AT_ONCE)))
-    dealt = lambda df, name, n: F.pmod(F.xxhash64(df[name]), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    p = points.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), dealt(points, key, n_points).alias("p_block")).withColumn("q_block", every(n_questions))
-    q = questions.filter(F.col(vector).isNotNull()).select(F.col("question").cast("long").alias("question"), F.col(vector).cast("array<double>").alias("w"), dealt(questions, "question", n_questions).alias("q_block")).withColumn("p_block", every(n_points))
+def best_of_blocks(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The function of a pair of blocks, points (key, v) and questions (question, w): the k best points of each question."""
 
     def unit(rows: pa.Table, name: str) -> np.ndarray:
         flat = rows[name].combine_chunks()
@@ -57,12 +49,37 @@ def top_k_each(points: DataFrame, questions: DataFrame, k: int = 10, key: str =
             return pa.table({n: pa.array([], t) for n, t in (("question", pa.int64()), ("key", pa.int64()), ("score", pa.float64()))})
         keys, asked = p["key"].to_numpy(), q["question"].to_numpy()
         order = np.argsort(keys, kind="stable")  # of equal scores the smaller key is first
+        keys = keys[order]
         score = unit(q, "w") @ unit(p, "v")[order].T
         n = min(k, len(keys))
-        place = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :n]
-        return pa.table({"question": np.repeat(asked, n), "key": keys[order][place].ravel(), "score": np.take_along_axis(score, place, axis=1).ravel()})
+        near = np.round(score, 12)
+        # whatever is as good as the n-th best counts, then ties go by key
+        least = -np.partition(-near, n - 1, axis=1)[:, n - 1 : n]
+        out = {"question": [], "key": [], "score": []}
+        for i in range(len(asked)):
+            fit = np.flatnonzero(near[i] >= least[i])
+            fit = fit[np.argsort(-near[i, fit], kind="stable")[:n]]
+            out["question"].append(np.full(n, asked[i]))
+            out["key"].append(keys[fit])
+            out["score"].append(score[i, fit])
+        return pa.table({c: np.concatenate(v) for c, v in out.items()})
+
+    return best
+
+
+def top_k_each(points: DataFrame, questions: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(question, key, score, rank): the k best points of every question (question, vector), ties by key, for long tables of both.
+
+    Both tables are dealt into blocks; every block of points meets every block of questions as one product of matrices, and
+    only the k best of a question leave a pair of blocks. Keys are integers; rows without a vector count on neither side.
+    """
+    n_points, n_questions = (max(1, -(-df.count() // most)) for df, most in ((points, POINTS_AT_ONCE), (questions, QUESTIONS_AT_ONCE)))
+    dealt = lambda df, name, n: F.pmod(F.xxhash64(df[name]), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = points.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), dealt(points, key, n_points).alias("p_block")).withColumn("q_block", every(n_questions))
+    q = questions.filter(F.col(vector).isNotNull()).select(F.col("question").cast("long").alias("question"), F.col(vector).cast("array<double>").alias("w"), dealt(questions, "question", n_questions).alias("q_block")).withColumn("p_block", every(n_points))
 
-    found = p.groupBy("p_block", "q_block").cogroup(q.groupBy("p_block", "q_block")).applyInArrow(best, "question long, key long, score double")
+    found = p.groupBy("p_block", "q_block").cogroup(q.groupBy("p_block", "q_block")).applyInArrow(best_of_blocks(k), "question long, key long, score double")
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.round("score", 12).desc(), "key"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("key", key)
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..functions.filters import matching
+from ..operators import ann as ANN
 from ..operators import embedding as E
 from ..operators import retrieval as R
+from ..staging import fresh_path
 from .registry import Tables, query
 
 COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -49,6 +51,35 @@ def vec_topk_each(t: Tables) -> DataFrame:
     return R.top_k_each(t.embeddings, questions, 10).withColumn("score", F.round("score", 6))
 
 
+EACH = f"WITH s AS (SELECT q.vec_id AS question, e.vec_id, {RAW} AS raw FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q), n AS (SELECT question, vec_id, round(raw, 6) AS score, (row_number() OVER (PARTITION BY question ORDER BY round(raw, 12) DESC, vec_id))::INT AS rank FROM s)"
+
+
+def indexed(t: Tables) -> tuple[ANN.VectorIndex, DataFrame]:
+    """An index of all embeddings, and every one whose id is divisible by 50 as a question."""
+    index = ANN.VectorIndex(t.spark, fresh_path(t.spark, "vectors")).build(t.embeddings)
+    return index, t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question"), "embedding")
+
+
+@query("ann_exact_each", EACH + " SELECT * FROM n WHERE rank <= 10")
+def ann_exact(t: Tables) -> DataFrame:
+    """Through the index with all cells probed: what an exact search gives."""
+    index, questions = indexed(t)
+    return index.search_each(questions, 10, probes=ANN.CELLS).withColumn("score", F.round("score", 6))
+
+
+@query("ann_filtered_each", EACH.replace("FROM embeddings e,", "FROM (SELECT * FROM embeddings WHERE label IN (1, 3, 5)) e,") + " SELECT * FROM n WHERE rank <= 5")
+def ann_filtered(t: Tables) -> DataFrame:
+    index, questions = indexed(t)
+    return index.search_each(questions, 5, {"label": [1, 3, 5]}, probes=ANN.CELLS).withColumn("score", F.round("score", 6))
+
+
+@query("ann_topk_each")
+def ann_topk(t: Tables) -> DataFrame:
+    """The usual number of cells; recall is measured in the tests."""
+    index, questions = indexed(t)
+    return index.search_each(questions, 10).withColumn("score", F.round("score", 6))
+
+
 @query("vec_books_only", f"WITH {POINTS}, {QUERY} SELECT e.vec_id, e.label, {COS} AS score FROM points e, q WHERE is_metadata ORDER BY {RAW} DESC, e.vec_id LIMIT 10")
 def vec_books_only(t: Tables) -> DataFrame:
     return rounded(R.top_k(R.books_only(points(t)), asked(t), 10, None, "vec_id"), "label")
