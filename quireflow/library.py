@@ -166,15 +166,21 @@ class Library:
         return self.ingest_files(found)
 
     def search(self, query: str, k: int = 10, filters: dict | None = None, books: bool = False) -> DataFrame:
-        stored = self.collection.read()
+        """The k best points that match the filters, ties by book and chunk; files without the wanted books or tags aren't opened."""
+        listed = lambda name: None if not filters or filters.get(name) is None else filters[name] if isinstance(filters[name], list) else [filters[name]]
+        stored = self.collection.read(listed("book_id"), listed("tags"))
         own = R.books_only(stored) if books else stored
-        return R.results(R.top_k(own, E.embed_query(query, self.embedder), k, filters, "chunk_index"))
+        return R.results(R.top_k(own, E.embed_query(query, self.embedder), k, filters, ("book_id", "chunk_index")))
 
     def list_books(self, limit: int = 1000) -> DataFrame:
         return S.book_list(self.collection.read(), limit)
 
-    def chapter(self, book_id: str, offset: int = 0, limit: int = 100) -> DataFrame:
-        return S.scroll(self.collection.read(), book_id, limit, offset)
+    def chapter(self, book_id: str, offset: int = 0, limit: int = 100, chapter: int | None = None) -> DataFrame:
+        """A book's chunks in order, or those of one chapter; only the book's files are opened."""
+        return S.scroll(self.collection.read([book_id]), book_id, limit, offset, chapter)
+
+    def lookup(self, book_id: str) -> DataFrame:
+        return S.lookup(self.collection.read([book_id]), book_id)
 
     def delete_book(self, book_id: str) -> int:
         return self.collection.delete(book_id)

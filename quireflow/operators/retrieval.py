@@ -26,9 +26,10 @@ def scored(points: DataFrame, query: list[float] | Column, filters: dict | None
     return matching(points, filters).withColumn("score", score)
 
 
-def top_k(points: DataFrame, query: list[float] | Column, k: int = 10, filters: dict | None = None, key: str = "chunk_index", vector: str = "embedding") -> DataFrame:
+def top_k(points: DataFrame, query: list[float] | Column, k: int = 10, filters: dict | None = None, key: str | tuple[str, ...] = "chunk_index", vector: str = "embedding") -> DataFrame:
     """The k best points of those that match, best first; ties by key. Each partition keeps k rows, and only those meet."""
-    return scored(points, query, filters, vector).orderBy(F.col("score").desc(), key).limit(k)
+    ties = [key] if isinstance(key, str) else key
+    return scored(points, query, filters, vector).orderBy(F.col("score").desc(), *ties).limit(k)
 
 
 #: Rows of a block of points and of a block of questions that are multiplied at once.

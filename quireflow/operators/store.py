@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import POINTS
+from ..staging import files_of, read_text, write_new
 
 
 def book_card(analysis: DataFrame) -> DataFrame:
@@ -55,98 +57,181 @@ def lookup(stored: DataFrame, book_id) -> DataFrame:
     return stored.filter((F.col("book_id") == book_id) & F.col("is_metadata"))
 
 
+#: Bits of a file's Bloom filter of tags, as words of 64, and how many each tag sets.
+BLOOM_WORDS, BLOOM_HASHES = 16, 3
+TOUCHED, FILES = "book_id string", "file string, points bigint, low string, high string, " + ", ".join(f"w{k} bigint" for k in range(BLOOM_WORDS))
+
+
+def _bits(value: Column) -> list[tuple[Column, Column]]:
+    """(word, bit in it) of a value for each hash."""
+    at = [F.pmod(F.xxhash64(value, F.lit(k)), F.lit(64 * BLOOM_WORDS)) for k in range(BLOOM_HASHES)]
+    return [(F.floor(x / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (x % 64).cast("int"))) for x in at]
+
+
+def _may_hold(value: str) -> Column:
+    """Whether a file's Bloom filter may hold a value."""
+    found = F.lit(True)
+    for word, bit in _bits(F.lit(value)):
+        held = F.element_at(F.array(*[f"w{k}" for k in range(BLOOM_WORDS)]), word + 1)
+        found = found & (held.bitwiseAND(bit) != 0)
+    return found
+
+
+class Conflict(RuntimeError):
+    """Other writers were first, again and again."""
+
+
 class Collection:
-    """A collection as Parquet folders: books fall into BUCKETS by a hash, and a version says which folder holds each bucket.
+    """A collection of points under a path, merged when it is read.
 
-    A write makes the next version: the buckets it touches are written into a folder of its own, all others stay where they
-    are, and the version counts once its manifest is there. So readers and a failed write never see half of it, and the cost
-    of an upsert or a delete is that of the buckets of its books.
+    A write adds a delta: a folder of new points, the books that it touches, and what its files hold (bounds of book_id, and a
+    Bloom filter of tags). It changes nothing that is there, so it costs what its books cost. A point counts if no later delta
+    touched its book. The newest file of `log` lists the deltas that make the collection; a commit writes the next one under a
+    number that must be free, and a writer that lost the race takes the number after it. Compaction folds deltas into one.
     """
 
-    BUCKETS = 256
+    #: Deltas that are folded into one when there are more, and attempts of a commit.
+    COMPACT, ATTEMPTS = 32, 20
 
     def __init__(self, spark: SparkSession, path: str, schema: str = POINTS):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
     def versions(self) -> list[int]:
-        """The versions that were written to their end, in order."""
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
+        fs, path = files_of(self.spark, self.path)
+        if not fs.exists(path(f"{self.path}/log")):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/manifest.json")))
+        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/log"))]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
     def version(self) -> int:
         return max(self.versions(), default=0)
 
-    def manifest(self, version: int) -> dict[int, int]:
-        """The version that holds each bucket, as of a version; empty buckets have none."""
-        if not version:
-            return {}
-        raw = self.spark.read.text(f"{self.path}/v{version}/manifest.json", wholetext=True).first()[0]
-        return {int(k): v for k, v in json.loads(raw).items()}
-
-    def read(self, buckets: set[int] | None = None) -> DataFrame:
-        """All points of the newest version, or those of some buckets."""
-        held = {b: v for b, v in self.manifest(self.version()).items() if buckets is None or b in buckets}
-        if not held:
-            return self.spark.createDataFrame([], self.schema)
-        columns = self.spark.createDataFrame([], self.schema).columns
-        parts = []
-        for v in sorted(set(held.values())):  # BUCKETS versions at most
-            folders = [f"{self.path}/v{v}/bucket={b}" for b, own in sorted(held.items()) if own == v]
-            parts.append(self.spark.read.schema(f"{self.schema}, bucket int").option("basePath", f"{self.path}/v{v}").parquet(*folders).select(*columns))
-        return reduce(DataFrame.unionByName, parts)
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("book_id"), F.lit(self.BUCKETS)).cast("int")
-
-    def _write(self, rows: DataFrame, touched: set[int]) -> None:
-        """Make the next version: rows are all that the touched buckets hold from now on."""
-        last = self.version()
-        fs, path = self._fs()
+    def deltas(self, version: int | None = None) -> dict[str, int]:
+        """The deltas of a version by name, each with the version that brought it: COMPACT of them, or a few more."""
+        number = self.version() if version is None else version
+        return json.loads(read_text(self.spark, f"{self.path}/log/{number:020d}.json")) if number else {}
+
+    def _commit(self, name: str, folds: set[str] = frozenset()) -> int:
+        """Make a delta count, instead of those that it folds; the version it came with."""
+        for _ in range(self.ATTEMPTS):
+            last = self.version()
+            held = self.deltas(last)
+            if not folds <= held.keys():
+                raise Conflict("another compaction was first")
+            # what is folded is as old as its newest part; a delta that came meanwhile stays newer
+            own = max((held[f] for f in folds), default=last + 1)
+            new = {k: v for k, v in held.items() if k not in folds} | {name: own}
+            if write_new(self.spark, f"{self.path}/log/{last + 1:020d}.json", json.dumps(new)):
+                return last + 1
+        raise Conflict(f"no free version of {self.path} after {self.ATTEMPTS} attempts")
+
+    def _write(self, name: str, rows: DataFrame) -> None:
+        """A delta's points, sorted so that a file holds a run of books, and what its files hold."""
         schema = self.spark.createDataFrame([], self.schema).schema
         columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
-        here = f"{self.path}/v{last + 1}"
-        rows.select(*columns, self._bucket().alias("bucket")).repartition("bucket", "is_metadata", F.pmod(F.xxhash64("chunk_index"), F.lit(8))).sortWithinPartitions("bucket", "is_metadata", "book_id", "chunk_index").write.mode("overwrite").partitionBy("bucket", "is_metadata").parquet(here)
-        full = {int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(path(here)) if s.getPath().getName().startswith("bucket=")}
-        held = {b: v for b, v in self.manifest(last).items() if b not in touched} | dict.fromkeys(full, last + 1)
-        out = fs.create(path(f"{here}/manifest.json"), True)
-        out.write(bytearray(json.dumps(held).encode()))
-        out.close()
-
-    def _buckets(self, rows: DataFrame) -> set[int]:
-        return {r["bucket"] for r in rows.select(self._bucket().alias("bucket")).distinct().collect()}  # BUCKETS numbers at most
-
-    def upsert(self, fresh: DataFrame) -> None:
-        """Add points; those of books that come again are replaced."""
-        touched = self._buckets(fresh)
-        self._write(replaced(self.read(touched), fresh), touched)
+        order = ["book_id", "is_metadata", "chunk_index"]
+        here = f"{self.path}/data/{name}"
+        rows.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(here)
+        stored = self.spark.read.schema(schema).parquet(here).select("book_id", "tags" if "tags" in schema.names else F.lit(None).cast("array<string>").alias("tags"), F.col("_metadata.file_name").alias("file"))
+        tagged = stored.select("file", "book_id", F.posexplode_outer("tags").alias("n", "tag")).withColumn("first", F.coalesce(F.col("n"), F.lit(0)) == 0)
+        bits = [F.bit_or(F.coalesce(reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col("tag").isNotNull() & (word == k), bit).otherwise(F.lit(0).cast("long")) for word, bit in _bits(F.col("tag"))]), F.lit(0).cast("long"))).alias(f"w{k}") for k in range(BLOOM_WORDS)]
+        tagged.groupBy("file").agg(F.count_if("first").alias("points"), F.min("book_id").alias("low"), F.max("book_id").alias("high"), *bits).coalesce(1).write.parquet(f"{self.path}/files/{name}")
+
+    def _touch(self, name: str, books: DataFrame) -> None:
+        books.select(F.col("book_id").cast("string").alias("book_id")).distinct().write.parquet(f"{self.path}/touched/{name}")
+
+    def files(self, books: list[str] | None = None, tags: list[str] | None = None, held: dict[str, int] | None = None) -> DataFrame:
+        """(file, points, low, high, delta) of the files that may hold points of any of the books, with any of the tags."""
+        names = list(self.deltas() if held is None else held)
+        if not names:
+            return self.spark.createDataFrame([], f"{FILES}, delta string").select("file", "points", "low", "high", "delta")
+        rows = self.spark.read.schema(FILES).parquet(*[f"{self.path}/files/{n}" for n in names]).withColumn("delta", F.element_at(F.split("_metadata.file_path", "/"), -2))
+        if books is not None:
+            rows = rows.filter(reduce(lambda x, y: x | y, [(F.col("low") <= b) & (F.col("high") >= b) for b in books], F.lit(False)))
+        if tags is not None:
+            rows = rows.filter(reduce(lambda x, y: x | y, [_may_hold(t) for t in tags], F.lit(False)))
+        return rows.select("file", "points", "low", "high", "delta")
+
+    def read(self, books: list[str] | None = None, tags: list[str] | None = None, held: dict[str, int] | None = None) -> DataFrame:
+        """All points, or those of some books, or with any of some tags: other files aren't opened.
+
+        held are the deltas of a version, by default the newest. The list of files is the driver's, as it is in every scan.
+        """
+        held = self.deltas() if held is None else held
+        schema = self.spark.createDataFrame([], self.schema).schema
+        if books is None and tags is None:
+            places = [f"{self.path}/data/{n}" for n in held]
+        else:
+            places = [f"{self.path}/data/{r['delta']}/{r['file']}" for r in self.files(books, tags, held).select("delta", "file").collect()]
+        if not places:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*places)
+        if books is not None:
+            rows = rows.filter(F.col("book_id").isin(*books))
+        if tags is not None:
+            rows = rows.filter(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
+        if len(held) == 1:
+            return rows
+        age = F.create_map(*[x for n, v in held.items() for x in (F.lit(n), F.lit(v))])  # COMPACT entries, or a few more
+        name = lambda back: F.element_at(F.split(F.col("_metadata.file_path"), "/"), back)
+        last = self.touched(held, age).groupBy("book_id").agg(F.max("_version").alias("_last"))
+        if books is not None:
+            last = last.filter(F.col("book_id").isin(*books))
+        aged = rows.withColumn("_version", F.element_at(age, name(-2)))
+        return aged.join(last, "book_id", "left").filter(F.col("_last").isNull() | (F.col("_version") >= F.col("_last"))).select(*schema.names)
+
+    def touched(self, held: dict[str, int], age: Column) -> DataFrame:
+        """(book_id, _version): the books that each delta replaced or removed."""
+        rows = self.spark.read.schema(TOUCHED).parquet(*[f"{self.path}/touched/{n}" for n in held])
+        return rows.withColumn("_version", F.element_at(age, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
+
+    def upsert(self, fresh: DataFrame) -> int:
+        """Add points; those of books that come again are replaced. Returns the version."""
+        name = uuid.uuid4().hex
+        self._write(name, fresh)
+        self._touch(name, self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{name}"))
+        version = self._commit(name)
+        if len(self.deltas(version)) > self.COMPACT:
+            self.compact()
+        return version
 
     def delete(self, book_id: str) -> int:
         """Remove a book's points and return how many there were."""
-        touched = self._buckets(self.spark.createDataFrame([(book_id,)], "book_id string"))
-        stored = self.read(touched)
-        gone = stored.filter(F.col("book_id") == book_id).count()
+        gone = self.read([book_id]).count()
         if gone:
-            self._write(without_books(stored, [book_id]), touched)
+            name = uuid.uuid4().hex
+            book = self.spark.createDataFrame([(book_id,)], TOUCHED)
+            self._write(name, self.spark.createDataFrame([], self.schema))
+            self._touch(name, book)
+            self._commit(name)
         return gone
 
+    def compact(self) -> bool:
+        """Fold all deltas into one; False if another compaction was first. Writes meanwhile are kept."""
+        held = self.deltas()
+        if len(held) < 2:
+            return False
+        name = uuid.uuid4().hex
+        self._write(name, self.read(held=held))
+        self._touch(name, self.spark.createDataFrame([], TOUCHED))
+        try:
+            self._commit(name, set(held))
+        except Conflict:
+            return False
+        return True
+
     def vacuum(self, keep: int = 2) -> None:
-        """Remove old versions but for the newest ones and the folders that these still read."""
-        fs, path = self._fs()
+        """Remove old versions but for the newest ones, and the deltas that only they had. Not while a write is under way."""
+        fs, path = files_of(self.spark, self.path)
         found = self.versions()
-        kept = set(found[-keep:]) | {v for number in found[-keep:] for v in self.manifest(number).values()}
-        for number in found:
-            if number not in kept:
-                fs.delete(path(f"{self.path}/v{number}"), True)
-            elif number not in found[-keep:]:
-                fs.delete(path(f"{self.path}/v{number}/manifest.json"), False)  # its buckets are read, but it is no version any more
+        kept = {n for v in found[-keep:] for n in self.deltas(v)}
+        for kind in ("data", "touched", "files"):
+            if fs.exists(path(f"{self.path}/{kind}")):
+                for s in fs.listStatus(path(f"{self.path}/{kind}")):
+                    if s.getPath().getName() not in kept:
+                        fs.delete(s.getPath(), True)
+        for v in found[:-keep]:
+            fs.delete(path(f"{self.path}/log/{v:020d}.json"), False)
 
 
 def content_preview(stored: DataFrame, n: int = 200) -> DataFrame:

@@ -225,27 +225,3 @@ def test_chat_model(tmp_path):
     assert (path, key) == ("/v1/chat/completions", "Bearer k")
     assert body == {"model": "m", "messages": [{"role": "system", "content": "be brief"}, {"role": "user", "content": "a book"}], "max_tokens": 7, "temperature": 0.5}
     assert image["model"] == "eyes" and image["messages"][1]["content"] == [{"type": "image_url", "image_url": {"url": "data:image/png;base64,AA=="}}]
-
-
-def test_a_write_touches_the_buckets_of_its_books(spark, tmp_path):
-    from quireflow.operators.store import Collection
-
-    store = Collection(spark, str(tmp_path / "points"))
-    rows = lambda books, n: spark.createDataFrame([(b, k, f"{b}{k}", False) for b in books for k in range(n)], "book_id string, chunk_index int, content string, is_metadata boolean")
-    held = lambda: {r["book_id"]: r["n"] for r in store.read().groupBy("book_id").count().withColumnRenamed("count", "n").collect()}
-    assert store.read().count() == 0 and store.delete("a") == 0 and store.version() == 0
-    store.upsert(rows("abcdefgh", 3))
-    first = store.manifest(1)
-    store.upsert(rows("a", 5))
-    second = store.manifest(2)
-    assert held() == dict.fromkeys("bcdefgh", 3) | {"a": 5}
-    assert sum(v == 2 for v in second.values()) == 1 and {b: v for b, v in second.items() if v == 1}.items() <= first.items()
-    assert len(list((tmp_path / "points" / "v2").glob("bucket=*"))) == 1
-    assert store.delete("b") == 3 and held() == dict.fromkeys("cdefgh", 3) | {"a": 5}
-    (tmp_path / "points" / "v4").mkdir()  # a write that failed has no manifest
-    assert store.version() == 3
-    for _ in range(3):
-        store.upsert(rows("c", 4))
-    store.vacuum(1)
-    assert held() == dict.fromkeys("defgh", 3) | {"a": 5, "c": 4} and store.versions() == [6]
-    assert {p.name for p in (tmp_path / "points").iterdir()} <= {"v1", "v2", "v3", "v6"} and not (tmp_path / "points" / "v5").exists()
