@@ -123,7 +123,9 @@ def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     own = labels.select(F.col(id_col).cast("long").alias("id"), label.alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
     sample = own.groupBy("id").agg(F.greatest(F.lit(0), F.max("label")).alias("label")).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
     half = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int")
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "label", half.alias("half"), "text")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    # an id may come a million times: one of its texts, the first by hash, stands for it
+    chosen = found.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("id", "label", half.alias("half"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,8 +180,8 @@ def graded(toxic: np.ndarray, dose: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """A model from docs and labels (id_col, and grade or toxic).
 
-    Labels without an id, a label or a document don't count; of repeated labels of an id the highest counts, and repeated
-    documents count as often as they come. Without a toxic row, or without any other, nothing is toxic.
+    Labels without an id, a label or a document don't count; of repeated labels of an id the highest counts, and of repeated
+    documents of an id one, so there are no more rows than FIT_ROWS. Without a toxic row, or without any other, nothing is toxic.
     """
     short_batches(docs.sparkSession)
     seen = staged(fit_rows(docs, labels, id_col, text_col), "labelled")

@@ -103,3 +103,12 @@ def test_ordinal_fit_shares_weights():
 @pytest.mark.parametrize("p", [[0.1, 0.2, 0.8, 0.9]])
 def test_cut(p):
     assert toxicity.best_cut(np.array(p), np.array([False, False, True, True])) == pytest.approx(0.5)
+
+
+def test_an_id_that_comes_very_often_is_one_row(spark):
+    from pyspark.sql import functions as F
+
+    own = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "you vile rotten thing").otherwise("a calm and kind day").alias("text"))
+    docs = own.unionByName(spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a calm and kind day").alias("text")))
+    labels = own.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))
+    assert toxicity.fit_rows(docs, labels, "doc_id", "text").count() == 40
