@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 def remaining(files: DataFrame, progress: DataFrame, max_files: int = 0, retry_failed: bool = False) -> DataFrame:
     """Files not yet done, in the order of their lower-cased names.
@@ -32,28 +34,34 @@ def errors(progress: DataFrame) -> DataFrame:
     return progress.filter("status = 'failed'").select("path", "error")
 
 
-def numbered(files: DataFrame, lead: int = 256) -> DataFrame:
-    """Files with their place in the order of discovery, from 1.
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with their place in an order, from 1, where no task holds more than its range of it.
 
-    A file's rank is taken among the files whose names fall into the same range, and what comes before a range is summed over
-    the ranges. The ranges are cut at names of a sample, `lead` of them, which bounds what is broadcast; only the ranges' sizes hang on
-    the sample, not the places.
+    Rows are dealt into ranges of the whole order, sorted there and written down; what comes before a range is the sum of the
+    sizes of those before it, a number for each range. As the order may have many columns, rows that agree in the first ones
+    still fall into many ranges; only rows that agree in all of it stay together.
     """
-    name = F.struct(F.lower("file_name").alias("name"), "path")
-    keyed = files.withColumn("_name", name)
-    bounds = sorted({r["_name"]["name"] for r in keyed.filter(F.pmod(F.xxhash64("path"), F.greatest(F.lit(1), F.lit(files.count() // (8 * lead)))) == 0).select("_name").limit(16 * lead).collect()})
-    edges = F.array(*[F.lit(x) for x in bounds[:: max(1, len(bounds) // lead)]]) if bounds else F.array().cast("array<string>")
-    keyed = keyed.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col("_name.name"))))
-    sizes = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy("_name.name", "path")))
-    return ranked.join(F.broadcast(before), "_range").withColumn("place", F.col("_rank") + F.col("_before")).drop("_name", "_range", "_n", "_before", "_rank")
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    held = staged(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_own", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1), "places")
+    before, total = [], 0
+    for r in held.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect():  # a row for each range
+        before.append((r["_range"], total))
+        total += r["n"]
+    starts = spark.createDataFrame(before, "_range int, _before long")
+    return held.join(F.broadcast(starts), "_range").withColumn("place", F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """Files with their place in the order of discovery, from 1: lower-cased name, then path. Many files may have one name."""
+    return placed(files, [F.lower("file_name"), F.col("path")])
 
 
 def positions(files: DataFrame) -> DataFrame:
     """Files with their mark [i/n] in the order of discovery."""
-    total = files.count()
-    return numbered(files).withColumn("mark", F.format_string("[%d/%d]", "place", F.lit(total))).drop("place")
+    found = numbered(files)
+    return found.withColumn("mark", F.format_string("[%d/%d]", "place", F.lit(found.count()))).drop("place")
 
 
 def summary(progress: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -25,6 +25,22 @@ def raw_text(chapters: DataFrame, book: list[str]) -> DataFrame:
     return chapters.groupBy(*book).agg(T.ordered_concat(F.col("number"), F.col("content"), "\n\n").alias("raw_text")).withColumn("word_count", T.word_count(F.col("raw_text")))
 
 
+def raw_parts(chapters: DataFrame, book: list[str], separator: int = 2) -> DataFrame:
+    """(book, number, start, content, n_chars, word_count): a book's text in parts, for books that are larger than a task.
+
+    start is where a chapter begins in the text of the whole book, its chapters in order with `separator` characters in
+    between; n_chars and word_count are those of the whole text. They are sums over a row for each chapter, so no list and
+    no window holds a text. Words don't reach over the blank line between chapters.
+    """
+    sizes = chapters.select(*book, "number", F.length("content").alias("_chars"), T.word_count(F.col("content")).alias("_words"))
+    whole, earlier = Window.partitionBy(*book), Window.partitionBy(*book).orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        *book, "number", F.coalesce(F.sum(F.col("_chars") + separator).over(earlier), F.lit(0)).cast("long").alias("start"),
+        (F.sum(F.col("_chars") + separator).over(whole) - separator).cast("long").alias("n_chars"), F.sum("_words").over(whole).cast("long").alias("word_count"),
+    )
+    return chapters.select(*book, "number", "content").join(starts, [*book, "number"]).select(*book, "number", "start", "content", "n_chars", "word_count")
+
+
 def page_ranges(toc: DataFrame, books: DataFrame, book: list[str]) -> DataFrame:
     """Contents entries with end_page: the page before the next entry of any level, or the book's last page.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import staged
 
 #: The separators, strongest first.
 SEPARATORS = ("\n\n\n", "\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
@@ -38,7 +39,10 @@ def cut(text: str, separator: str) -> list[str]:
 
 
 def merge(pieces: list[str], size: int, overlap: int, length: Callable[[str], int]) -> Iterator[str]:
-    """Chunks of consecutive pieces up to the size; each begins with the pieces of the one before that fit the overlap."""
+    """Chunks of consecutive pieces up to the size; each begins with the pieces of the one before that fit the overlap.
+
+    When pieces drop out of the overlap follows the rule of a public text splitter that the reference calls, so that cuts agree.
+    """
     held: list[tuple[str, int]] = []
     total = 0
     for piece in pieces:
@@ -109,14 +113,22 @@ def fixed(texts: DataFrame, keys: list[str], text: str = "content", chars: int =
 
 
 def indexed(chunks: DataFrame, book: list[str], chapter: str) -> DataFrame:
-    """local_index and total_chunks within a chapter, chunk_index and total_document_chunks within the whole book."""
-    own, all_ = Window.partitionBy(*book, chapter), Window.partitionBy(*book)
-    return (
-        chunks.withColumn("local_index", F.row_number().over(own.orderBy("position")) - 1)
-        .withColumn("total_chunks", F.count(F.lit(1)).over(own))
-        .withColumn("chunk_index", F.row_number().over(all_.orderBy(chapter, "position")) - 1)
-        .withColumn("total_document_chunks", F.count(F.lit(1)).over(all_))
-    )
+    """local_index and total_chunks within a chapter, chunk_index and total_document_chunks within the whole book.
+
+    A chapter's chunks are counted, the counts are summed over the chapters of the book, and a chunk's place is its own in
+    the chapter plus what comes before the chapter. So a window holds the chunks of a chapter or a book's chapters, never
+    a book's chunks. chunks is read twice; stage it where it costs much.
+    """
+    keys = [*book, chapter]
+    counts = chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_chunks"))
+    whole = Window.partitionBy(*book)
+    before = F.coalesce(F.sum("total_chunks").over(whole.orderBy(chapter).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.withColumn("_before", before).withColumn("total_document_chunks", F.sum("total_chunks").over(whole))
+    same = [chunks[k].eqNullSafe(places[k]) for k in keys]
+    own = chunks.join(places, same).drop(*[places[k] for k in keys])
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy("position")) - 1
+    placed = own.withColumn("local_index", local).withColumn("chunk_index", (F.col("local_index") + F.col("_before")).cast("int"))
+    return placed.select(*chunks.columns, "local_index", "total_chunks", "chunk_index", "total_document_chunks")
 
 
 def chunk_books(books: DataFrame, chapters: DataFrame, preserve_structure: bool = True, strategy: str = "recursive", **how) -> DataFrame:
@@ -136,7 +148,7 @@ def chunk_books(books: DataFrame, chapters: DataFrame, preserve_structure: bool
         chunks = fixed(texts, keys, chars=chars, step=max(1, chars - int(chars * overlap)), min_tokens=low)
     else:
         chunks = recursive(texts, keys, **how)
-    return indexed(chunks, ["book_id"], "chapter_number")
+    return indexed(staged(chunks, "chunks"), ["book_id"], "chapter_number")
 
 
 def statistics(chunks: DataFrame) -> DataFrame:

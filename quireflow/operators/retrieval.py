@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -142,6 +143,31 @@ def page(books: DataFrame, number: int, size: int, by: str = "title", key: str =
     return books.orderBy(by, key).offset((number - 1) * size).limit(size)
 
 
+@dataclass
+class Page:
+    """Rows of a page, how many the whole list has, and the place of the last row, from which the next page goes on."""
+
+    rows: DataFrame
+    total: int
+    last: tuple | None
+
+
+def page_after(books: DataFrame, size: int, after: tuple | None = None, by: str = "title", key: str = "book_id") -> Page:
+    """The page behind a place (by, key) in a total order, nulls first; the first one without a place.
+
+    Rows up to the place are left out, not sorted and counted as with an offset, so a late page costs what the first does. The
+    total is counted while the page is found.
+    """
+    seen = Observation()
+    listed = books.observe(seen, F.count(F.lit(1)).alias("total"))
+    if after is not None:
+        place = F.struct(*[F.lit(v).cast(books.schema[c].dataType).alias(c) for c, v in zip((by, key), after, strict=True)])
+        listed = listed.filter(F.struct(by, key) > place)
+    found = listed.orderBy(by, key).limit(size).toArrow()  # `size` rows
+    last = tuple(found[c][-1].as_py() for c in (by, key)) if found.num_rows else None
+    return Page(books.sparkSession.createDataFrame(found, books.schema), seen.get["total"], last)
+
+
 #: What a message holds that asks for more than a library has.
 WEB_WORDS = ("latest", "recent", "news", "current", "2024", "2025", "what is", "how to", "tutorial", "guide")
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import CHECKOUTS
+from .commits import CommitLog, Conflict, drop_all_but
 
 LOAN_DAYS = 14
 #: The words that ask for a recommendation, and the ways to name a book to talk about, tried in this order.
@@ -27,6 +30,8 @@ INTENTS = (
     ("help", r"help"),
     ("recommend", "|".join(RECOMMEND)),
 )
+#: What a reader is told when a chapter comes in parts.
+PART_OF, MORE = " (Part 1 of %d)", '\n\n_Say "continue" for the next part._'
 READ = r"^read\s+chapter\s+(\d+)"
 RETURN = r"return\s+([^\n]+)"
 
@@ -100,8 +105,8 @@ def read_chapter(chunks: DataFrame, keys: list[str]) -> DataFrame:
 def chapter_reply(chapters: DataFrame) -> DataFrame:
     """Adds `reply` and `pending`: the first part of a chapter (with parts and title) under its heading, and the parts that wait."""
     many = F.size("parts") > 1
-    heading = F.concat(F.lit("*"), F.col("title"), F.lit("*"), F.when(many, F.concat(F.lit(" (Part 1 of "), F.size("parts").cast("string"), F.lit(")"))).otherwise(F.lit("")), F.lit("\n\n"))
-    more = F.when(many, F.lit('\n\n_Say "continue" for the next part._')).otherwise(F.lit(""))
+    heading = F.concat(F.lit("*"), F.col("title"), F.lit("*"), F.when(many, F.format_string(PART_OF, F.size("parts"))).otherwise(F.lit("")), F.lit("\n\n"))
+    more = F.when(many, F.lit(MORE)).otherwise(F.lit(""))
     return chapters.withColumn("reply", F.concat(heading, F.element_at("parts", 1), more)).withColumn("pending", F.when(many, F.slice(F.col("parts"), F.lit(2), F.size("parts") - 1)).otherwise(F.array().cast("array<string>")))
 
 
@@ -110,6 +115,39 @@ def continued(states: DataFrame) -> DataFrame:
     return states.withColumn("reply", F.try_element_at("pending", F.lit(1))).withColumn("pending", F.when(F.size("pending") > 1, F.slice(F.col("pending"), F.lit(2), F.size("pending") - 1)).otherwise(F.array().cast("array<string>")))
 
 
+#: Seconds without a message after which a thread's waiting parts are gone.
+PATIENCE = 3600
+
+
+def reading_states(events: DataFrame, patience: int = PATIENCE) -> DataFrame:
+    """Batch form of reading on: (thread, seq, mode, book_id, history_length, source, part, waiting) after each event.
+
+    events has (thread, seq, at, focus_book, leave, n_parts, more): n_parts says of a message that it brings a chapter in so
+    many parts, more that it asks for the next part. A chapter gives its first part, and its others wait; `more` gives the
+    next one, or nothing where none waits. Another chapter, a move to a book or back, and `patience` seconds without a
+    message clear what waits. source is the event whose chapter the reply is from and part its number from 1, both null
+    without a reply. The windows hold numbers only; texts are joined by (thread, source, part).
+    """
+    at = Window.partitionBy("thread").orderBy("seq")
+    states = thread_states(events, "thread", "seq")
+    idle = F.coalesce(F.timestamp_diff("SECOND", F.lag("at").over(at), F.col("at")) > patience, F.lit(False))
+    moved = F.col("focus_book").isNotNull() | F.coalesce(F.col("leave"), F.lit(False))
+    brings, asks = F.col("n_parts").isNotNull(), F.coalesce(F.col("more"), F.lit(False))
+    runs = states.withColumn("_run", F.sum((idle | moved | brings).cast("int")).over(at))
+    own = Window.partitionBy("thread", "_run").orderBy("seq")
+    first = lambda c: F.first(c).over(own)
+    asked = runs.withColumn("_source", first(F.when(F.col("n_parts").isNotNull(), F.col("seq")))).withColumn("_n", F.coalesce(first("n_parts"), F.lit(0)))
+    asked = asked.withColumn("_part", 1 + F.sum((asks & ~brings).cast("int")).over(own))
+    gives = (brings | asks) & (F.col("_part") <= F.col("_n"))
+    waiting = F.greatest(F.col("_n") - F.col("_part"), F.lit(0)).cast("int")
+    return asked.select("thread", "seq", "mode", "book_id", "history_length", F.when(gives, F.col("_source")).alias("source"), F.when(gives, F.col("_part")).cast("int").alias("part"), waiting.alias("waiting"))
+
+
+def with_replies(states: DataFrame, parts: DataFrame) -> DataFrame:
+    """States with `reply`, the text of their part; parts has (thread, source, part, text)."""
+    return states.join(parts.withColumnRenamed("text", "reply"), ["thread", "source", "part"], "left")
+
+
 def loans(checkouts: DataFrame, now: Column) -> DataFrame:
     """Loans with expiry (LOAN_DAYS after checkout if null) and whole days left, rounded down: below 0 once overdue."""
     due = F.coalesce("expiry_time", F.col("checkout_time") + F.expr(f"INTERVAL {LOAN_DAYS} DAYS"))
@@ -134,36 +172,113 @@ def latest(checkouts: DataFrame, order: list[str], keys: tuple[str, ...] = ("boo
 
 
 class Ledger:
-    """Loans as events that are only appended: a loan's state is its last event, so an update is one more row."""
+    """Loans as events that are only appended, each with a number; a loan's state is its last event.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    `log` lists the newest snapshot of all states and the batches of events since, so a state reads these alone. A batch
+    counts once its commit is there, and its events' numbers follow from the commit's. An event that hangs on the state,
+    such as a return, is checked again if another commit came first.
+    """
 
-    def append(self, events: DataFrame) -> None:
-        """Add events (the columns of CHECKOUTS that there are, and `at`, when it happened)."""
-        wanted = self.spark.createDataFrame([], f"{CHECKOUTS}, at timestamp_ntz").schema
-        held = [(F.col(f.name) if f.name in events.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
-        events.select(*held).write.mode("append").parquet(self.path)
+    #: Batches after which a snapshot is taken.
+    TAIL = 32
+    EVENT = f"{CHECKOUTS}, at timestamp_ntz"
 
-    def events(self) -> DataFrame:
-        return self.spark.read.schema(f"{CHECKOUTS}, at timestamp_ntz").parquet(self.path)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.log = CommitLog(spark, f"{self.path}/log")
 
-    def check_out(self, book_id: str, user_id: str, now, source: str = "library") -> None:
+    def _stage(self, events: DataFrame) -> str:
+        """Write a batch aside, its events in the order of `at`, then of all they say; those of a loan get ranks in the batch."""
+        wanted = self.spark.createDataFrame([], self.EVENT).schema
+        held = [(F.col(f.name) if f.name in events.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
+        own = Window.partitionBy("book_id", "user_id").orderBy("at", *[c for c in wanted.names if c != "at"])
+        name = uuid.uuid4().hex
+        events.select(*held).withColumn("place", F.row_number().over(own)).write.parquet(f"{self.path}/events/{name}")
+        return name
+
+    def _commit(self, name: str, check: Callable[[int], bool] | None = None) -> int:
+        """Make a batch count, and take a snapshot if there are many; 0 if check(the version before) says no."""
+
+        def change(number: int, held: dict) -> dict:
+            if check is not None and not check(number - 1):
+                raise Conflict("the state has changed")
+            return {"snapshot": held.get("snapshot"), "tail": held.get("tail", {}) | {name: number}}
+
+        number = self.log.commit(change)
+        if len(self.log.state(number)["tail"]) > self.TAIL:
+            self.snapshot()
+        return number
+
+    def append(self, events: DataFrame) -> int:
+        """Add events (the columns of CHECKOUTS that there are, and `at`, when it happened); the number of their commit."""
+        return self._commit(self._stage(events))
+
+    def events(self, version: int | None = None) -> DataFrame:
+        """The events since the newest snapshot, and its states, with `seq`: the number of each."""
+        held = self.log.state(version)
+        schema = f"{self.EVENT}, place long, seq long"
+        parts = [self.spark.createDataFrame([], schema)]
+        if held.get("snapshot"):
+            parts.append(self.spark.read.schema(schema).parquet(f"{self.path}/snapshots/{held['snapshot']}"))
+        if tail := held.get("tail"):
+            age = F.create_map(*[x for n, v in tail.items() for x in (F.lit(n), F.lit(v))])  # TAIL entries, or a few more
+            rows = self.spark.read.schema(f"{self.EVENT}, place long").parquet(*[f"{self.path}/events/{n}" for n in tail])
+            number = F.element_at(age, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).cast("long")
+            parts.append(rows.withColumn("seq", number * (1 << 32) + F.col("place")))
+        return reduce(DataFrame.unionByName, parts)
+
+    def last(self, version: int | None = None) -> DataFrame:
+        """The last event of each book and user."""
+        rows = self.events(version)
+        fields = [c for c in rows.columns if c not in ("book_id", "user_id")]
+        return rows.groupBy("book_id", "user_id").agg(F.max_by(F.struct(*fields), "seq").alias("x")).select("book_id", "user_id", "x.*")
+
+    def snapshot(self) -> None:
+        """Fold the events so far into a table of states; events that come meanwhile stay in the tail."""
+        version = self.log.version()
+        held, name = self.log.state(version), uuid.uuid4().hex
+        self.last(version).write.parquet(f"{self.path}/snapshots/{name}")
+
+        def change(number: int, now: dict) -> dict:
+            if now["snapshot"] != held["snapshot"]:
+                raise Conflict("another snapshot was first")
+            return {"snapshot": name, "tail": {n: v for n, v in now["tail"].items() if n not in held["tail"]}}
+
+        try:
+            self.log.commit(change)
+        except Conflict:
+            return
+
+    def check_out(self, book_id: str, user_id: str, now, source: str = "library") -> int:
         """A loan from now on, for LOAN_DAYS."""
         row = self.spark.createDataFrame([(book_id, user_id, now, "active", source, now)], "book_id string, user_id string, checkout_time timestamp_ntz, status string, source string, at timestamp_ntz")
-        self.append(row.withColumn("expiry_time", F.col("checkout_time") + F.expr(f"INTERVAL {LOAN_DAYS} DAYS")))
+        return self.append(row.withColumn("expiry_time", F.col("checkout_time") + F.expr(f"INTERVAL {LOAN_DAYS} DAYS")))
 
     def give_back(self, book_id: str, user_id: str, now) -> int:
-        """Return a user's active loan of a book, and how many there were (0 or 1)."""
-        held = self.state(F.lit(now).cast("timestamp_ntz")).filter((F.col("book_id") == book_id) & (F.col("user_id") == user_id) & (F.col("status") == "active"))
-        rows = held.withColumns({"status": F.lit("returned"), "return_time": F.lit(now).cast("timestamp_ntz"), "at": F.lit(now).cast("timestamp_ntz")}).toArrow()
-        if rows.num_rows:  # the loan of one user
-            self.append(self.spark.createDataFrame(rows))
-        return rows.num_rows
-
-    def state(self, now: Column) -> DataFrame:
+        """Return a user's active loan of a book, and how many there were (0 or 1). Of two returns at once one finds none."""
+        when = F.lit(now).cast("timestamp_ntz")
+        mine = (F.col("book_id") == book_id) & (F.col("user_id") == user_id) & (F.col("status") == "active")
+        active_in = lambda version: self.state(when, version).filter(mine)
+        rows = active_in(self.log.version()).withColumns({"status": F.lit("returned"), "return_time": when, "at": when}).toArrow()
+        if not rows.num_rows:  # the loan of one user
+            return 0
+        try:
+            self._commit(self._stage(self.spark.createDataFrame(rows)), lambda version: not active_in(version).isEmpty())
+        except Conflict:
+            return 0
+        return 1
+
+    def state(self, now: Column, version: int | None = None) -> DataFrame:
         """Each book's and user's last state, loans past their expiry as returned by themselves."""
-        return auto_returned(latest(self.events(), ["at"]), now)
+        return auto_returned(self.last(version).drop("place", "seq"), now)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove old commits but for the newest ones, and what only they had. Not while a write is under way."""
+        found = self.log.versions()
+        states = [self.log.state(v) for v in found[-keep:]]
+        drop_all_but(self.spark, f"{self.path}/events", {n for s in states for n in s["tail"]})
+        drop_all_but(self.spark, f"{self.path}/snapshots", {s["snapshot"] for s in states if s["snapshot"]})
+        self.log.drop(found[:-keep])
 
 
 def titled(checkouts: DataFrame, books: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from functools import reduce
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import POINTS
-from ..staging import files_of, read_text, write_new
+from .commits import CommitLog, Conflict, drop_all_but
 
 
 def book_card(analysis: DataFrame) -> DataFrame:
@@ -77,10 +76,6 @@ def _may_hold(value: str) -> Column:
     return found
 
 
-class Conflict(RuntimeError):
-    """Other writers were first, again and again."""
-
-
 class Collection:
     """A collection of points under a path, merged when it is read.
 
@@ -90,40 +85,34 @@ class Collection:
     number that must be free, and a writer that lost the race takes the number after it. Compaction folds deltas into one.
     """
 
-    #: Deltas that are folded into one when there are more, and attempts of a commit.
-    COMPACT, ATTEMPTS = 32, 20
+    #: Deltas that are folded into one when there are more.
+    COMPACT = 32
 
     def __init__(self, spark: SparkSession, path: str, schema: str = POINTS):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.log = CommitLog(spark, f"{self.path}/log")
 
     def versions(self) -> list[int]:
-        fs, path = files_of(self.spark, self.path)
-        if not fs.exists(path(f"{self.path}/log")):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/log"))]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+        return self.log.versions()
 
     def version(self) -> int:
-        return max(self.versions(), default=0)
+        return self.log.version()
 
     def deltas(self, version: int | None = None) -> dict[str, int]:
         """The deltas of a version by name, each with the version that brought it: COMPACT of them, or a few more."""
-        number = self.version() if version is None else version
-        return json.loads(read_text(self.spark, f"{self.path}/log/{number:020d}.json")) if number else {}
+        return self.log.state(version)
 
     def _commit(self, name: str, folds: set[str] = frozenset()) -> int:
         """Make a delta count, instead of those that it folds; the version it came with."""
-        for _ in range(self.ATTEMPTS):
-            last = self.version()
-            held = self.deltas(last)
+
+        def change(number: int, held: dict) -> dict:
             if not folds <= held.keys():
                 raise Conflict("another compaction was first")
             # what is folded is as old as its newest part; a delta that came meanwhile stays newer
-            own = max((held[f] for f in folds), default=last + 1)
-            new = {k: v for k, v in held.items() if k not in folds} | {name: own}
-            if write_new(self.spark, f"{self.path}/log/{last + 1:020d}.json", json.dumps(new)):
-                return last + 1
-        raise Conflict(f"no free version of {self.path} after {self.ATTEMPTS} attempts")
+            own = max((held[f] for f in folds), default=number)
+            return {k: v for k, v in held.items() if k not in folds} | {name: own}
+
+        return self.log.commit(change)
 
     def _write(self, name: str, rows: DataFrame) -> None:
         """A delta's points, sorted so that a file holds a run of books, and what its files hold."""
@@ -222,16 +211,11 @@ class Collection:
 
     def vacuum(self, keep: int = 2) -> None:
         """Remove old versions but for the newest ones, and the deltas that only they had. Not while a write is under way."""
-        fs, path = files_of(self.spark, self.path)
         found = self.versions()
         kept = {n for v in found[-keep:] for n in self.deltas(v)}
         for kind in ("data", "touched", "files"):
-            if fs.exists(path(f"{self.path}/{kind}")):
-                for s in fs.listStatus(path(f"{self.path}/{kind}")):
-                    if s.getPath().getName() not in kept:
-                        fs.delete(s.getPath(), True)
-        for v in found[:-keep]:
-            fs.delete(path(f"{self.path}/log/{v:020d}.json"), False)
+            drop_all_but(self.spark, f"{self.path}/{kind}", kept)
+        self.log.drop(found[:-keep])
 
 
 def content_preview(stored: DataFrame, n: int = 200) -> DataFrame:

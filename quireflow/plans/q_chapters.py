@@ -33,6 +33,12 @@ def book_raw_text(t: Tables) -> DataFrame:
     return C.raw_text(chapters(t), BOOK).select(*BOOK, F.sha2("raw_text", 256).alias("raw_sha256"), F.length("raw_text").cast("long").alias("n_chars"), "word_count")
 
 
+@query("book_raw_parts", "WITH " + CHAPTERS + r", n AS (SELECT *, coalesce(sum(length(content) + 2) OVER (PARTITION BY lang, source ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM chapters), b AS (SELECT lang, source, string_agg(content, chr(10) || chr(10) ORDER BY number) AS raw_text FROM chapters GROUP BY lang, source) SELECT lang, source, number, start, sha256(raw_text[start + 1:start + length(content)]) AS part_sha256, length(raw_text)::BIGINT AS n_chars, len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda x: x <> ''))::BIGINT AS word_count FROM n JOIN b USING (lang, source)")
+def book_raw_parts(t: Tables) -> DataFrame:
+    """Every chapter where it stands in its book, and the counts of the whole book, without putting the book together."""
+    return C.raw_parts(chapters(t), BOOK).select(*BOOK, "number", "start", F.sha2("content", 256).alias("part_sha256"), "n_chars", "word_count")
+
+
 #: Pages are a book's documents; every third one begins a contents entry, of levels 1, 2 and 3 in turn.
 TOC = (
     CHAPTERS.replace("chapters AS", "pages_ AS").replace("AS number", "AS page")

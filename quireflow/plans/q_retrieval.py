@@ -9,6 +9,7 @@ from ..functions import vector as V
 from ..functions.filters import matching
 from ..operators import ann as ANN
 from ..operators import embedding as E
+from ..operators import keywords as KW
 from ..operators import retrieval as R
 from ..staging import fresh_path
 from .registry import Tables, query
@@ -157,6 +158,31 @@ def hybrid(t: Tables) -> DataFrame:
     return rounded(R.hybrid(named, asked(t), ["7"], key="vec_id"))
 
 
+BM25 = r"""d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+    tf AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM d), p AS MATERIALIZED (SELECT term, doc_id, length, count(*) AS tf FROM tf GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    q AS (SELECT item_id AS question, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM benchmark), qt AS (SELECT question, term, count(*) AS times FROM q GROUP BY ALL),
+    s AS (SELECT question, doc_id, sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)))) AS raw FROM qt JOIN df USING (term) JOIN p USING (term), st GROUP BY ALL),
+    best AS (SELECT question, doc_id, round(raw, 6) AS score, (row_number() OVER (PARTITION BY question ORDER BY round(raw, 9) DESC, doc_id))::INT AS rank FROM s QUALIFY rank <= 10)"""
+
+
+def keywords(t: Tables) -> tuple[KW.KeywordIndex, DataFrame]:
+    """An index of all documents, and all benchmark items as questions."""
+    index = KW.KeywordIndex(t.spark, fresh_path(t.spark, "words")).build(t.documents)
+    return index, t.benchmark.select(F.col("item_id").alias("question"), "text")
+
+
+@query("keyword_topk_each", f"WITH {BM25} SELECT * FROM best")
+def keyword_topk(t: Tables) -> DataFrame:
+    index, questions = keywords(t)
+    return index.search_each(questions, 10).withColumn("score", F.round("score", 6))
+
+
+@query("keyword_terms", f"WITH {BM25} SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 9) AS idf FROM df, st")
+def keyword_terms(t: Tables) -> DataFrame:
+    """The index's vocabulary: in how many documents a word is, and what it weighs."""
+    return keywords(t)[0].terms().select("term", "df", F.round("idf", 9).alias("idf"))
+
+
 TAGGED = "tagged AS (SELECT p_partkey, p_size, p_brand, string_split(p_name, ' ') AS tags FROM part)"
 
 

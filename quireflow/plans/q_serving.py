@@ -177,6 +177,85 @@ def read_chapter_reply(t: Tables) -> DataFrame:
     return V.continued(first).select("doc_id", "reply_sha256", "waiting", F.sha2("reply", 256).alias("next_sha256"), F.size("pending").alias("still_waiting"))
 
 
+READING = """e AS (SELECT conv_id AS thread, turn AS seq, turn * 600 + CASE WHEN turn > 6 THEN 7200 ELSE 0 END AS sec, CASE WHEN turn % 7 = 5 AND conv_id % 3 = 0 THEN 'b' || conv_id END AS focus_book, turn % 7 = 6 AND conv_id % 3 = 1 AS leave,
+        CASE WHEN turn % 7 IN (0, 4) THEN greatest(1, (length(text) + 39) // 40)::INT END AS n_parts, turn % 7 IN (1, 2, 3, 5, 6) AS more, text FROM conversations),
+    m AS (SELECT *, focus_book IS NOT NULL OR leave AS moved, coalesce(sec - lag(sec) OVER w > 3600, false) AS idle FROM e WINDOW w AS (PARTITION BY thread ORDER BY seq)),
+    r AS (SELECT *, sum((idle OR moved OR n_parts IS NOT NULL)::INT) OVER w AS run, sum(moved::INT) OVER w AS book_run FROM m WINDOW w AS (PARTITION BY thread ORDER BY seq)),
+    p AS (SELECT *, first(focus_book) OVER b AS book_id, row_number() OVER b AS history_length, first(n_parts) OVER o AS n, first(text) OVER o AS source, 1 + sum((more AND n_parts IS NULL)::INT) OVER o AS part FROM r WINDOW b AS (PARTITION BY thread, book_run ORDER BY seq), o AS (PARTITION BY thread, run ORDER BY seq))
+    SELECT thread, seq, CASE WHEN book_id IS NULL THEN 'global' ELSE 'book' END AS mode, book_id, history_length::INT AS history_length, CASE WHEN (more OR n_parts IS NOT NULL) AND part <= n THEN source[(40 * (part - 1) + 1)::BIGINT:(40 * part)::BIGINT] END AS reply, greatest(coalesce(n, 0) - part, 0)::INT AS waiting FROM p"""
+
+
+def reading_events(t: Tables) -> DataFrame:
+    """Conversations as threads that read: some turns bring a chapter in parts of 40 characters, some ask for more, some move."""
+    turn, other = F.col("turn") % 7, F.col("conv_id") % 3
+    n = F.greatest(F.lit(1), F.floor((F.length("text") + 39) / 40)).cast("int")
+    parts = F.when(turn.isin(0, 4), F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(F.col("text"), 40 * (k - 1) + 1, F.lit(40))))
+    seconds = F.col("turn") * 600 + F.when(F.col("turn") > 6, 7200).otherwise(0)
+    return t.conversations.select(
+        F.col("conv_id").cast("string").alias("thread"), F.col("turn").cast("long").alias("seq"), F.timestamp_seconds(1_704_067_200 + seconds).alias("at"),
+        F.when((turn == 5) & (other == 0), F.concat(F.lit("b"), F.col("conv_id").cast("string"))).alias("focus_book"), ((turn == 6) & (other == 1)).alias("leave"), parts.alias("parts"), turn.isin(1, 2, 3, 5, 6).alias("more"),
+    )
+
+
+@query("thread_reading", f"WITH {READING}")
+def thread_reading(t: Tables) -> DataFrame:
+    """What every thread gets to read, and how many parts wait, after each message."""
+    events = reading_events(t)
+    parts = events.filter("parts IS NOT NULL").select("thread", F.col("seq").alias("source"), F.posexplode("parts").alias("part", "text")).withColumn("part", F.col("part") + 1)
+    states = V.reading_states(events.withColumn("n_parts", F.size(F.col("parts"))).withColumn("n_parts", F.when(F.col("parts").isNotNull(), F.col("n_parts"))).drop("parts"))
+    return V.with_replies(states, parts).select(F.col("thread").cast("long").alias("thread"), "seq", "mode", "book_id", "history_length", "reply", "waiting")
+
+
+@query("thread_reading_stream", f"WITH {READING}")
+def thread_reading_stream(t: Tables) -> DataFrame:
+    """The same through the stateful stream, fed in two batches of turns that run on one checkpoint."""
+    from ..staging import fresh_path
+    from ..streaming.run import ROCKSDB, append_all, settings
+    from ..streaming.threads import READING as SCHEMA
+    from ..streaming.threads import reading_stream
+
+    home = fresh_path(t.spark, "threads")
+    events = reading_events(t)
+    with settings(t.spark, ROCKSDB):
+        for part in (events.filter("seq < 3"), events.filter("seq >= 3")):
+            part.write.mode("append").parquet(f"{home}/events")
+            append_all(reading_stream(t.spark.readStream.schema(events.schema).parquet(f"{home}/events"), late="30 days"), home)
+    return t.spark.read.schema(SCHEMA).parquet(f"{home}/out").withColumn("thread", F.col("thread").cast("long"))
+
+
+@query("chat_events_stream", "SELECT (row_number() OVER (ORDER BY turn % 2, turn, conv_id::VARCHAR, role, text) - 1)::BIGINT AS seq, conv_id AS thread, turn, role, text FROM conversations")
+def chat_events_stream(t: Tables) -> DataFrame:
+    """Conversations through the chat source: even turns are published and read, then odd ones, from one checkpoint."""
+    from ..staging import fresh_path
+    from ..streaming.chat_source import SCHEMA, chat_events, publish
+    from ..streaming.run import append_all
+
+    home = fresh_path(t.spark, "chat")
+    events = t.conversations.withColumnRenamed("conv_id", "thread")
+    for rest in (0, 1):
+        publish(events.filter(F.col("turn") % 2 == rest), f"{home}/log", 10_000)
+        append_all(chat_events(t.spark, f"{home}/log"), home)
+    return t.spark.read.schema(SCHEMA).parquet(f"{home}/out").withColumn("thread", F.col("thread").cast("long"))
+
+
+@query(
+    "ledger_state",
+    f"""WITH {LOANS}, a AS (SELECT book_id, user_id, 0 AS part, checkout_time AS tm, status FROM loans WHERE o_orderkey % 2 = 0 UNION ALL SELECT book_id, user_id, 1, checkout_time, 'active' FROM loans WHERE o_orderkey % 2 = 1),
+    last AS (SELECT book_id::VARCHAR AS book_id, user_id::VARCHAR AS user_id, arg_max((status, tm), (part, tm, CASE status WHEN 'active' THEN 0 WHEN 'auto-returned' THEN 1 ELSE 2 END)) AS x FROM a GROUP BY book_id, user_id)
+    SELECT book_id, user_id, CASE WHEN x[1] = 'active' AND x[2] + INTERVAL 14 DAYS < TIMESTAMP '{NOW}' THEN 'auto-returned' ELSE x[1] END AS status, CASE WHEN x[1] = 'active' AND x[2] + INTERVAL 14 DAYS < TIMESTAMP '{NOW}' THEN TIMESTAMP '{NOW}' END AS return_time FROM last""",
+)
+def ledger_state(t: Tables) -> DataFrame:
+    """The state of a ledger after two batches of events with a snapshot in between: a loan's last event counts."""
+    from ..staging import fresh_path
+
+    ledger = V.Ledger(t.spark, fresh_path(t.spark, "ledger"))
+    own = loans(t).select("o_orderkey", F.col("book_id").cast("string").alias("book_id"), F.col("user_id").cast("string").alias("user_id"), "checkout_time", "expiry_time", "status", F.col("checkout_time").alias("at"))
+    ledger.append(own.filter("o_orderkey % 2 = 0"))
+    ledger.snapshot()
+    ledger.append(own.filter("o_orderkey % 2 = 1").withColumn("status", F.lit("active")))
+    return ledger.state(now()).select("book_id", "user_id", "status", "return_time")
+
+
 @query(
     "chat_with_book",
     "WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), p AS (SELECT *, vec_id = min(vec_id) OVER (PARTITION BY label) AS is_metadata FROM embeddings), h AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM p e, q WHERE e.label = 3 AND NOT e.is_metadata ORDER BY score DESC, e.vec_id LIMIT 5), n AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS n FROM h), "

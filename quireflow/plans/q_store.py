@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import batch as B
 from ..operators import retrieval as R
 from ..operators import store as S
+from ..staging import fresh_path
 from .q_retrieval import POINTS, points
 from .registry import Tables, query
 
@@ -35,6 +36,27 @@ def points_delete(t: Tables) -> DataFrame:
     return S.without_books(stored(t), [0, 9]).select("book_id", "chunk_index")
 
 
+@query("collection_writes", "SELECT label::VARCHAR AS book_id, vec_id::INT AS chunk_index, CASE WHEN label = 2 THEN 'second' ELSE 'first' END AS content FROM embeddings WHERE label <> 4 AND (label <> 2 OR vec_id % 2 = 0) UNION ALL SELECT '4', vec_id::INT, 'back' FROM embeddings WHERE label = 4 AND vec_id % 3 = 0")
+def collection_writes(t: Tables) -> DataFrame:
+    """A collection after a series of writes: all points, one book replaced, one deleted, compacted, and the deleted one written again."""
+    held = S.Collection(t.spark, fresh_path(t.spark, "collection"))
+    rows = lambda df, said: df.select(F.col("label").cast("string").alias("book_id"), F.col("vec_id").cast("int").alias("chunk_index"), F.lit(said).alias("content"), F.lit(False).alias("is_metadata"))
+    held.upsert(rows(t.embeddings, "first"))
+    held.upsert(rows(t.embeddings.filter("label = 2 AND vec_id % 2 = 0"), "second"))
+    held.delete("4")
+    held.compact()
+    held.upsert(rows(t.embeddings.filter("label = 4 AND vec_id % 3 = 0"), "back"))
+    return held.read().select("book_id", "chunk_index", "content")
+
+
+@query("collection_lookup", "SELECT vec_id::INT AS chunk_index FROM embeddings WHERE label = 3 AND vec_id % 2 = 1 ORDER BY vec_id LIMIT 20 OFFSET 10")
+def collection_lookup(t: Tables) -> DataFrame:
+    """A page of one chapter of a book: only files that may hold the book are opened."""
+    held = S.Collection(t.spark, fresh_path(t.spark, "collection"))
+    held.upsert(t.embeddings.select(F.col("label").cast("string").alias("book_id"), F.col("vec_id").cast("int").alias("chunk_index"), (F.col("vec_id") % 2).cast("int").alias("chapter_number"), F.lit(False).alias("is_metadata")))
+    return S.scroll(held.read(["3"]), "3", 20, 10, chapter=1).select("chunk_index")
+
+
 @query("point_lookup", f"WITH {POINTS} SELECT label AS book_id, vec_id AS chunk_index, 'Book ' || label AS title FROM points WHERE is_metadata AND label = 4")
 def point_lookup(t: Tables) -> DataFrame:
     return S.lookup(stored(t), 4).select("book_id", "chunk_index", "title")
@@ -52,6 +74,15 @@ def books_page(t: Tables) -> DataFrame:
     return R.page(t.customer.select("c_custkey", "c_name"), 3, 20, "c_name", "c_custkey")
 
 
+@query("books_page_after", "SELECT c_custkey, c_name, (SELECT count(*) FROM customer) AS total FROM customer ORDER BY c_name, c_custkey LIMIT 20 OFFSET 40")
+def books_page_after(t: Tables) -> DataFrame:
+    """The third page, each found from where the one before ended, with the total."""
+    books, page = t.customer.select("c_custkey", "c_name"), None
+    for _ in range(3):
+        page = R.page_after(books, 20, page and page.last, "c_name", "c_custkey")
+    return page.rows.withColumn("total", F.lit(page.total).cast("long"))
+
+
 @query("page_total", "SELECT c_mktsegment, count(*) AS total FROM customer GROUP BY c_mktsegment")
 def page_total(t: Tables) -> DataFrame:
     return t.customer.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("total"))

@@ -235,6 +235,37 @@ def test_ledger(spark, tmp_path):
     assert state(22)["b", "u"] == ("active", None) and ledger.events().count() == 5
 
 
+def test_ledger_is_empty_ties_and_races(spark, tmp_path, monkeypatch):
+    from quireflow.operators import commits
+
+    ledger, at = S.Ledger(spark, str(tmp_path / "loans")), dt.datetime(2024, 3, 1, 12)
+    status = lambda: {(r["book_id"], r["user_id"]): r["status"] for r in ledger.state(F.lit(at).cast("timestamp_ntz")).collect()}
+    assert ledger.give_back("b", "u", at) == 0 and status() == {} and ledger.events().count() == 0
+    ledger.check_out("b", "u", at)
+    assert ledger.give_back("b", "u", at) == 1 and status() == {("b", "u"): "returned"}  # the same moment: the later event counts
+    ledger.check_out("b", "u", at)
+    assert status() == {("b", "u"): "active"}
+    other, real, done = S.Ledger(spark, ledger.path), commits.write_new, []
+
+    def late(*a):
+        if not done:
+            done.append(1)
+            assert other.give_back("b", "u", at) == 1  # between this writer's look and its commit
+        return real(*a)
+
+    monkeypatch.setattr(commits, "write_new", late)
+    assert ledger.give_back("b", "u", at) == 0 and ledger.events().filter("status = 'returned'").count() == 2
+    monkeypatch.setattr(commits, "write_new", real)
+    monkeypatch.setattr(S.Ledger, "TAIL", 2)
+    for k in range(5):
+        ledger.check_out("c", f"u{k}", at)
+    held = ledger.log.state()
+    assert held["snapshot"] and len(held["tail"]) <= 3 and ledger.events().count() < 9
+    assert status() == {("b", "u"): "returned"} | {("c", f"u{k}"): "active" for k in range(5)}
+    ledger.vacuum(1)
+    assert len(status()) == 6 and len(ledger.log.versions()) == 1
+
+
 def test_web_gate(spark):
     rows = [("old tale", 0.9, False), ("old tale", 0.4, True), ("old tale", None, True), ("the LATEST tale", 0.9, True), ("how to read", 0.9, True), ("trending today online", 0.9, False), (None, 0.9, False)]
     df = spark.createDataFrame(rows, "m string, best double, want boolean")

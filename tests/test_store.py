@@ -4,6 +4,7 @@ import threading
 
 import pytest
 
+from quireflow.operators import commits
 from quireflow.operators import store as S
 from quireflow.operators.store import Collection
 
@@ -50,7 +51,7 @@ def test_a_write_that_failed_is_not_there(spark, store):
 
 def test_two_writers_at_once(spark, store, monkeypatch):
     store.upsert(rows(spark, "ab", 2))
-    other, real = Collection(spark, store.path), S.write_new
+    other, real = Collection(spark, store.path), commits.write_new
 
     def late(spark_, path, text):
         if threading.current_thread() is threading.main_thread() and not late.done:
@@ -59,20 +60,20 @@ def test_two_writers_at_once(spark, store, monkeypatch):
         return real(spark_, path, text)
 
     late.done = False
-    monkeypatch.setattr(S, "write_new", late)
+    monkeypatch.setattr(commits, "write_new", late)
     assert store.upsert(rows(spark, "b", 5)) == 3
     assert held(store) == {"a": 7, "b": 5} and store.versions() == [1, 2, 3]
     late.done = False
     assert store.compact()  # a write comes in between
     assert held(store) == {"a": 7, "b": 5}
-    monkeypatch.setattr(S, "write_new", real)
+    monkeypatch.setattr(commits, "write_new", real)
     both = [threading.Thread(target=Collection(spark, store.path).upsert, args=(rows(spark, b, 3),)) for b in "cdef"]
     for t in both:
         t.start()
     for t in both:
         t.join()
     assert held(store) == {"a": 7, "b": 5} | dict.fromkeys("cdef", 3)
-    monkeypatch.setattr(S, "write_new", lambda *_: False)
+    monkeypatch.setattr(commits, "write_new", lambda *_: False)
     with pytest.raises(S.Conflict):
         store.upsert(rows(spark, "x", 1))
 
