@@ -1,7 +1,7 @@
 """Documents linked by the Jaccard similarity of their n-gram sets: a self-join by prefixes, without missing a link.
 
 Every set is put into one order, rare n-grams first. Two sets that are alike share an n-gram among the first few of each
-(the prefix), so only those are joined on. Rarity is a count over 2**20 hash buckets of all n-grams: the order needs to be
+(the prefix), so only those are joined on. Rarity is a count over 2**18 hash buckets of all n-grams: the order needs to be
 one and the same for all sets, it needn't be exact.
 
 1. Equal sets collapse to their smallest id, by a fingerprint of 128 bits.
@@ -28,7 +28,7 @@ from .common import mixed, shingle_sets, short_batches, staged
 from .components import components
 from .minhash import confirmed, in_blocks
 
-COUNT_BITS = 20
+COUNT_BITS = 18
 #: Members of a bucket whose pairs are compared one by one.
 SMALL = 32
 #: Parts of a suffix whose sizes are compared; a pair differs at least by what these do.
@@ -149,13 +149,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     earlier = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)  # a prefix is a part of one text
     alive = at.join(shared, "key").withColumn("live", F.count(F.lit(1)).over(earlier))
     fit = staged(alive.filter(F.col("live") + F.col("n") - F.col("pos") >= F.ceil(F.col("n") * percent / 100)), "alive")
-    hubs = fit.groupBy("key").agg(F.min(F.struct("id", "n", "pos", "live", "parts")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("key", "hub")
-    members = staged(fit.join(hubs, "key").select("key", F.struct("id", "n", "pos", "live", "parts").alias("own"), "hub"), "members")
+    hubs = fit.groupBy("key").agg(F.min(F.struct("id", "n", "pos", "live", "parts")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    members = staged(fit.join(hubs, "key").select("key", F.struct("id", "n", "pos", "live", "parts").alias("own"), "hub", "held"), "members")
     stars = staged(members.filter((F.col("own.id") != F.col("hub.id")) & possible("own", "hub", percent)).select(F.col("hub.id").alias("a"), F.col("own.id").alias("b")).distinct(), "stars")
-    texts = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members.select("own.id").distinct(), "id", "left_semi"), "texts")
-    links = staged(confirmed(stars, texts, width, percent), "links")
+    all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    of = lambda ids: staged(all_texts.join(ids.distinct(), "id", "left_semi"), "texts")
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    links = staged(confirmed(stars, of(ends(stars)), width, percent), "links")
     first = components(links)
-    placed = members.select("key", "own", F.col("own.id").alias("id")).join(first.select(F.col("v").alias("id"), "comp"), "id", "left").select("key", "own", F.coalesce("comp", "id").alias("comp"))
+    # a bucket of two holds no pair but the one with its smallest member
+    placed = members.filter("held > 2").select("key", "own", F.col("own.id").alias("id")).join(first.select(F.col("v").alias("id"), "comp"), "id", "left").select("key", "own", F.coalesce("comp", "id").alias("comp"))
     # a set meets those of its own band of sizes and of the next one
     step = band(F.col("own.n"), percent)
     banded = staged(placed.withColumn("band", F.explode(F.array(step, step - 1))), "placed")
@@ -163,12 +166,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     few = banded.join(mixed_up.filter(F.col("held") <= SMALL).select("key", "band"), ["key", "band"], "left_semi")
     one, two = (few.select("key", "band", F.col("own").alias(x), F.col("comp").alias(f"c{x}")) for x in ("p", "q"))
     across = one.join(two, ["key", "band"]).filter((F.col("p.id") < F.col("q.id")) & (F.col("cp") != F.col("cq")) & possible("p", "q", percent))
-    pairs = across.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = staged(confirmed(pairs, texts, width, percent), "links")
+    pairs = staged(across.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = staged(confirmed(pairs, of(ends(pairs)), width, percent), "links")
     large = mixed_up.filter(F.col("held") > SMALL).select("key", "band", "hub")
     if not large.isEmpty():
         inside = staged(banded.join(large, ["key", "band"]).select("own.id", "own.n", "hub", "comp").distinct(), "inside")
-        more = more.union(staged(in_blocks(inside, texts, width, percent), "links"))
+        more = more.union(staged(in_blocks(inside, of(inside.select("id")), width, percent), "links"))
     last = components(links.union(more))
     homes = reps.join(last.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
     named = marked.select("id", "n", "f1", "f2").join(homes, ["f1", "f2"], "left")
