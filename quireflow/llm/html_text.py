@@ -2,9 +2,9 @@
 
 A page is cut at block tags into flat blocks. A block's features are its words and link density, those of the blocks before
 and after it, and where it stands: in a region that its tag or its class names as furniture, in one named as the article, or
-on a page that names an article elsewhere. A CART tree, trained on the table below, says which blocks are main text. It asks
-for link density and words first; what stands around decides between blocks that read alike, such as a paragraph and a
-reader's comment. A class names furniture only if all its parts do, so side-effects, legal-history or note-form don't.
+on a page that names an article elsewhere. A CART tree, trained on the table below, says which blocks are main text. Where a
+page names its regions, these decide, since a reader's comment or a notice reads like a paragraph; where it doesn't, words
+and links do. A class names furniture only if all its parts do, so side-effects, legal-history or note-form don't.
 """
 
 from __future__ import annotations
@@ -95,50 +95,21 @@ LABELLED = """
 15 1.0 12 1.0 14 1.0 0 0 0 0  0
 30 0.8 4 1.0 5 1.0 0 0 0 0  0
 2 0.0 1 1.0 1 1.0 0 0 0 0  0
-1 1.0 1 1.0 1 1.0 0 0 0 0  0
-1 1.0 1 1.0 1 1.0 1 0 0 0  0
-1 1.0 1 1.0 1 1.0 0 0 1 0  0
 2 1.0 1 1.0 2 1.0 0 0 0 0  0
-2 1.0 1 1.0 2 1.0 1 0 0 0  0
-2 1.0 1 1.0 2 1.0 0 0 1 0  0
 1 1.0 0 0.0 2 1.0 0 0 0 0  0
-1 1.0 0 0.0 2 1.0 1 0 0 0  0
-1 1.0 0 0.0 2 1.0 0 0 1 0  0
 3 1.0 2 1.0 1 1.0 0 0 0 0  0
-3 1.0 2 1.0 1 1.0 1 0 0 0  0
-3 1.0 2 1.0 1 1.0 0 0 1 0  0
 2 1.0 3 1.0 0 0.0 0 0 0 0  0
-2 1.0 3 1.0 0 0.0 1 0 0 0  0
-2 1.0 3 1.0 0 0.0 0 0 1 0  0
 4 1.0 3 1.0 2 1.0 0 0 0 0  0
-4 1.0 3 1.0 2 1.0 1 0 0 0  0
-4 1.0 3 1.0 2 1.0 0 0 1 0  0
 1 1.0 2 1.0 60 0.0 0 0 0 0  0
-1 1.0 2 1.0 60 0.0 1 0 0 0  0
-1 1.0 2 1.0 60 0.0 0 0 1 0  0
 5 1.0 4 1.0 6 1.0 0 0 0 0  0
-5 1.0 4 1.0 6 1.0 1 0 0 0  0
-5 1.0 4 1.0 6 1.0 0 0 1 0  0
 2 1.0 0 0.0 1 1.0 0 0 0 0  0
-2 1.0 0 0.0 1 1.0 1 0 0 0  0
-2 1.0 0 0.0 1 1.0 0 0 1 0  0
 6 1.0 5 1.0 4 1.0 0 0 0 0  0
-6 1.0 5 1.0 4 1.0 1 0 0 0  0
-6 1.0 5 1.0 4 1.0 0 0 1 0  0
 3 1.0 1 1.0 40 0.0 0 0 0 0  0
-3 1.0 1 1.0 40 0.0 1 0 0 0  0
-3 1.0 1 1.0 40 0.0 0 0 1 0  0
 8 1.0 7 1.0 9 1.0 0 0 0 0  0
-8 1.0 7 1.0 9 1.0 1 0 0 0  0
-8 1.0 7 1.0 9 1.0 0 0 1 0  0
 14 0.8 12 0.9 10 0.8 0 0 0 0  0
-14 0.8 12 0.9 10 0.8 1 0 1 0  0
 20 0.7 6 1.0 8 1.0 0 0 0 0  0
-20 0.7 6 1.0 8 1.0 1 0 1 0  0
 9 0.7 3 1.0 50 0.0 0 0 0 0  0
-9 0.7 3 1.0 50 0.0 1 0 1 0  0
 16 0.9 70 0.0 12 0.9 0 0 0 0  0
-16 0.9 70 0.0 12 0.9 1 0 1 0  0
 5 0.0 60 0.0 45 0.0 0 0 0 0  1
 9 0.0 80 0.0 70 0.0 0 0 0 0  1
 12 0.0 55 0.1 30 0.0 0 0 0 0  1
@@ -158,106 +129,22 @@ LABELLED = """
 2 0.0 45 0.0 70 0.0 0 0 0 0  1
 4 0.0 1 1.0 80 0.0 0 0 0 0  1
 3 0.0 2 1.0 2 1.0 0 0 0 0  0
-3 0.0 2 1.0 60 0.0 0 1 1 0  1
-3 0.0 2 1.0 60 0.0 1 0 1 0  0
-3 0.0 2 1.0 60 0.0 0 0 1 0  0
-3 0.0 2 1.0 60 0.0 1 1 1 0  0
-3 0.0 2 1.0 60 0.0 1 0 0 0  0
-2 0.0 60 0.0 62 0.0 0 1 1 0  1
-2 0.0 60 0.0 62 0.0 1 0 1 0  0
-2 0.0 60 0.0 62 0.0 0 0 1 0  0
-2 0.0 60 0.0 62 0.0 1 1 1 0  0
-2 0.0 60 0.0 62 0.0 1 0 0 0  0
-6 0.0 2 1.0 45 0.0 0 1 1 0  1
-6 0.0 2 1.0 45 0.0 1 0 1 0  0
-6 0.0 2 1.0 45 0.0 0 0 1 0  0
-6 0.0 2 1.0 45 0.0 1 1 1 0  0
-6 0.0 2 1.0 45 0.0 1 0 0 0  0
-12 0.0 55 0.1 30 0.0 0 1 1 0  1
-12 0.0 55 0.1 30 0.0 1 0 1 0  0
-12 0.0 55 0.1 30 0.0 0 0 1 0  0
-12 0.0 55 0.1 30 0.0 1 1 1 0  0
-12 0.0 55 0.1 30 0.0 1 0 0 0  0
-5 0.0 2 1.0 3 1.0 0 1 1 0  1
-5 0.0 2 1.0 3 1.0 1 0 1 0  0
-5 0.0 2 1.0 3 1.0 0 0 1 0  0
-5 0.0 2 1.0 3 1.0 1 1 1 0  0
-5 0.0 2 1.0 3 1.0 1 0 0 0  0
-4 0.0 3 1.0 0 0.0 0 1 1 0  1
-4 0.0 3 1.0 0 0.0 1 0 1 0  0
-4 0.0 3 1.0 0 0.0 0 0 1 0  0
-4 0.0 3 1.0 0 0.0 1 1 1 0  0
-4 0.0 3 1.0 0 0.0 1 0 0 0  0
-75 0.3 60 0.1 50 0.2 0 1 1 0  1
-75 0.3 60 0.1 50 0.2 1 0 1 0  0
-75 0.3 60 0.1 50 0.2 0 0 1 0  0
-75 0.3 60 0.1 50 0.2 1 1 1 0  0
-75 0.3 60 0.1 50 0.2 1 0 0 0  0
-50 0.0 70 0.2 1 1.0 0 1 1 0  1
-50 0.0 70 0.2 1 1.0 1 0 1 0  0
-50 0.0 70 0.2 1 1.0 0 0 1 0  0
-50 0.0 70 0.2 1 1.0 1 1 1 0  0
-50 0.0 70 0.2 1 1.0 1 0 0 0  0
-60 0.0 0 0.0 0 0.0 0 1 1 0  1
-60 0.0 0 0.0 0 0.0 1 0 1 0  0
-60 0.0 0 0.0 0 0.0 0 0 1 0  0
-60 0.0 0 0.0 0 0.0 1 1 1 0  0
-60 0.0 0 0.0 0 0.0 1 0 0 0  0
-2 0.0 30 0.0 0 0.0 0 1 1 0  1
-2 0.0 30 0.0 0 0.0 1 0 1 0  0
-2 0.0 30 0.0 0 0.0 0 0 1 0  0
-2 0.0 30 0.0 0 0.0 1 1 1 0  0
-2 0.0 30 0.0 0 0.0 1 0 0 0  0
-90 0.0 12 0.0 5 0.0 0 1 1 0  1
-90 0.0 12 0.0 5 0.0 1 0 1 0  0
-90 0.0 12 0.0 5 0.0 0 0 1 0  0
-90 0.0 12 0.0 5 0.0 1 1 1 0  0
-90 0.0 12 0.0 5 0.0 1 0 0 0  0
-1 0.0 5 0.0 3 0.0 0 1 1 0  1
-1 0.0 5 0.0 3 0.0 1 0 1 0  0
-1 0.0 5 0.0 3 0.0 0 0 1 0  0
-1 0.0 5 0.0 3 0.0 1 1 1 0  0
-1 0.0 5 0.0 3 0.0 1 0 0 0  0
-2 1.0 3 1.0 1 1.0 0 0 0 0  0
-2 1.0 3 1.0 1 1.0 0 0 0 1  0
-2 1.0 3 1.0 1 1.0 1 0 0 0  0
-2 1.0 3 1.0 1 1.0 1 0 1 0  0
-2 1.0 3 1.0 1 1.0 0 0 1 0  0
-1 1.0 2 1.0 4 1.0 0 0 0 0  0
-1 1.0 2 1.0 4 1.0 0 0 0 1  0
-1 1.0 2 1.0 4 1.0 1 0 0 0  0
-1 1.0 2 1.0 4 1.0 1 0 1 0  0
-1 1.0 2 1.0 4 1.0 0 0 1 0  0
-3 1.0 1 1.0 30 0.0 0 0 0 0  0
-3 1.0 1 1.0 30 0.0 0 0 0 1  0
-3 1.0 1 1.0 30 0.0 1 0 0 0  0
-3 1.0 1 1.0 30 0.0 1 0 1 0  0
-3 1.0 1 1.0 30 0.0 0 0 1 0  0
-2 1.0 0 0.0 2 1.0 0 0 0 0  0
-2 1.0 0 0.0 2 1.0 0 0 0 1  0
-2 1.0 0 0.0 2 1.0 1 0 0 0  0
-2 1.0 0 0.0 2 1.0 1 0 1 0  0
-2 1.0 0 0.0 2 1.0 0 0 1 0  0
-4 1.0 5 1.0 3 1.0 0 0 0 0  0
-4 1.0 5 1.0 3 1.0 0 0 0 1  0
-4 1.0 5 1.0 3 1.0 1 0 0 0  0
-4 1.0 5 1.0 3 1.0 1 0 1 0  0
-4 1.0 5 1.0 3 1.0 0 0 1 0  0
-7 0.9 6 1.0 8 1.0 0 0 0 0  0
-7 0.9 6 1.0 8 1.0 0 0 0 1  0
-7 0.9 6 1.0 8 1.0 1 0 0 0  0
-7 0.9 6 1.0 8 1.0 1 0 1 0  0
-7 0.9 6 1.0 8 1.0 0 0 1 0  0
-1 1.0 1 1.0 0 0.0 0 0 0 0  0
-1 1.0 1 1.0 0 0.0 0 0 0 1  0
-1 1.0 1 1.0 0 0.0 1 0 0 0  0
-1 1.0 1 1.0 0 0.0 1 0 1 0  0
-1 1.0 1 1.0 0 0.0 0 0 1 0  0
-5 0.8 3 1.0 2 1.0 0 0 0 0  0
-5 0.8 3 1.0 2 1.0 0 0 0 1  0
-5 0.8 3 1.0 2 1.0 1 0 0 0  0
-5 0.8 3 1.0 2 1.0 1 0 1 0  0
-5 0.8 3 1.0 2 1.0 0 0 1 0  0
+2 1.0 60 0.0 70 0.0 0 1 1 1  1
+2 1.0 60 0.0 80 0.0 0 1 1 0  1
+1 1.0 1 1.0 1 1.0 0 1 1 0  1
+1 1.0 40 0.0 1 1.0 0 1 1 0  1
+3 1.0 80 0.0 90 0.1 0 1 1 0  1
+3 1.0 40 0.0 2 1.0 1 1 1 0  0
+12 0.0 60 0.0 3 1.0 1 1 1 0  0
+60 0.0 50 0.0 4 1.0 1 1 1 0  0
+25 0.0 60 0.0 2 1.0 0 0 0 0  1
+30 0.0 45 0.0 1 1.0 0 0 0 0  1
+60 0.1 50 0.0 2 1.0 0 1 1 0  1
+45 0.2 30 0.0 3 1.0 0 1 1 0  1
+80 0.3 70 0.0 1 1.0 0 1 1 0  1
+25 0.0 60 0.0 1 1.0 0 0 1 0  0
+60 0.0 60 0.0 3 1.0 0 0 1 0  0
+40 0.1 20 0.0 2 1.0 0 0 1 0  0
 """
 
 #: Elements without text of the page, by tag. Their content up to the closing tag isn't even read as markup.

@@ -34,9 +34,9 @@ from .common import SLICE_BYTES, as_batches, cuts, lowered, mixed, short_batches
 SLICE_TEXT = 16 << 20
 CLASSES, TOP, ENDING = 2048, 1023, 3
 WIDTH, NOISE, SHARED_NOISE, STEP_TOKENS, RATE, SEED = 32, 10, 64, 4096, 0.1, 11
-#: Rounds of training and averaging: the first one reads all slices, the second one every other. A slice of fewer than READ
-#: tokens is read again, EPOCHS times at most.
-ROUNDS, READ, EPOCHS, FAN = (1, 2), 1 << 19, 20, 16
+#: Rounds of training and averaging: the first one reads all slices, the second one every other. A round passes once over its
+#: tokens at any size of the corpus or of a task's share; READ tokens are held at a time.
+ROUNDS, READ, FAN = (1, 2), 1 << 19, 16
 END = 0
 HELD_OUT_OF, HELD_OUT = 7, 2
 
@@ -162,8 +162,8 @@ def tokens_before(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     return before, earlier
 
 
-def train_nce(w: Weights, share: np.ndarray, tokens: np.ndarray, first: np.ndarray, learnt: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
-    """Train w in place on the classes of some texts: tokens of which `learnt` count, `first` the places of the texts' first ones.
+def train_nce(w: Weights, share: np.ndarray, tokens: np.ndarray, first: np.ndarray, learnt: np.ndarray, rng: np.random.Generator) -> None:
+    """Train w in place, in one pass, on the classes of some texts: tokens of which `learnt` count, `first` the places of the texts' first ones.
 
     A step's tokens share SHARED_NOISE noise classes, drawn by their share of the corpus, and each stands for NOISE /
     SHARED_NOISE draws. All scores of a step are one product of matrices.
@@ -185,23 +185,22 @@ def train_nce(w: Weights, share: np.ndarray, tokens: np.ndarray, first: np.ndarr
         held[to] += total * total
         value[to] += RATE * total / np.sqrt(held[to])
 
-    for _ in range(epochs):
-        for k in range(0, len(at), STEP_TOKENS):
-            i = at[k : k + STEP_TOKENS]
-            j = np.searchsorted(drawn, rng.random(SHARED_NOISE) * drawn[-1]).astype(np.int16)
-            word, h, g = (x[i] for x in (tokens, before, earlier))
-            near, far = w.r[h], w.r[g]
-            u = near * w.c[0] + far * w.c[1]
-            up = 1 / (1 + np.exp(np.einsum("ij,ij->i", u, w.q[word]) + w.b[word] - log_k[word]))
-            down = weight / (1 + np.exp(log_k[j] - w.b[j] - u @ w.q[j].T))
-            by_u = up[:, None] * w.q[word] - down @ w.q[j]
-            by_c = np.stack([(by_u * near).sum(axis=0), (by_u * far).sum(axis=0)])
-            rows = grouped(np.concatenate([word, j]))
-            move(w.q, w.held[0], rows, np.concatenate([up[:, None] * u, -(down.T @ u)]))
-            move(w.b, w.held[3], rows, np.concatenate([up, -down.sum(axis=0)]))
-            move(w.r, w.held[1], grouped(np.concatenate([h, g])), np.concatenate([by_u * w.c[0], by_u * w.c[1]]))
-            w.held[2] += by_c * by_c
-            w.c += 0.1 * RATE * by_c / np.sqrt(w.held[2])
+    for k in range(0, len(at), STEP_TOKENS):
+        i = at[k : k + STEP_TOKENS]
+        j = np.searchsorted(drawn, rng.random(SHARED_NOISE) * drawn[-1]).astype(np.int16)
+        word, h, g = (x[i] for x in (tokens, before, earlier))
+        near, far = w.r[h], w.r[g]
+        u = near * w.c[0] + far * w.c[1]
+        up = 1 / (1 + np.exp(np.einsum("ij,ij->i", u, w.q[word]) + w.b[word] - log_k[word]))
+        down = weight / (1 + np.exp(log_k[j] - w.b[j] - u @ w.q[j].T))
+        by_u = up[:, None] * w.q[word] - down @ w.q[j]
+        by_c = np.stack([(by_u * near).sum(axis=0), (by_u * far).sum(axis=0)])
+        rows = grouped(np.concatenate([word, j]))
+        move(w.q, w.held[0], rows, np.concatenate([up[:, None] * u, -(down.T @ u)]))
+        move(w.b, w.held[3], rows, np.concatenate([up, -down.sum(axis=0)]))
+        move(w.r, w.held[1], grouped(np.concatenate([h, g])), np.concatenate([by_u * w.c[0], by_u * w.c[1]]))
+        w.held[2] += by_c * by_c
+        w.c += 0.1 * RATE * by_c / np.sqrt(w.held[2])
 
 
 @dataclass
@@ -274,7 +273,7 @@ def averaged(texts: DataFrame, model: Model, number: int) -> Weights:
             held.clear()
             learnt = np.repeat(learnt, size)
             n = int(learnt.sum())
-            train_nce(w, share, kinds, np.cumsum(size) - size, learnt, min(EPOCHS, -(-READ // max(n, 1))), rng)
+            train_nce(w, share, kinds, np.cumsum(size) - size, learnt, rng)
             return n
 
         for batch in batches:

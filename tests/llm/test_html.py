@@ -68,18 +68,23 @@ def test_pages_that_name_nothing_are_told_by_words_and_links():
     assert html_text.main_text(page, TREE).split("\n") == ["A short heading", PROSE.strip(), "And then?", f"{PROSE}see more".replace("  ", " ")]
 
 
-def test_the_tree_asks_for_links_and_words_first():
-    assert html_text.FEATURES[TREE.feature] == "links"
-    used = set()
-
-    def walk(node):
-        if node.feature >= 0:
-            used.add(html_text.FEATURES[node.feature])
-            walk(node.left)
-            walk(node.right)
-
-    walk(TREE)
-    assert {"links", "furniture", "article"} <= used and used & {"words", "words_before", "links_before", "words_after", "links_after"}, used
+@pytest.mark.parametrize("block", ["<h2><a href=/x>Early life</a></h2>", "<p><a href=/x>Smith 1990</a></p>", "<ul><li><a href=/x>Paris</a></li><li><a href=/y>Rome</a></li></ul>"])
+def test_short_linked_blocks_of_an_article_stay(block):
+    page = f"<body><nav><a href=/>Home</a></nav><article><h1>Head</h1><p>{PROSE}</p>{block}<p>{PROSE}</p>{block}</article><footer><a href=/a>About</a></footer></body>"
+    own = [x for x in re.sub(r"<[^>]*>", "\n", block).split("\n") if x]
+    assert html_text.main_text(page, TREE).split("\n") == ["Head", PROSE.strip(), *own, PROSE.strip(), *own]
+
+
+def test_long_blocks_with_links_stay_in_an_article_and_go_beside_it():
+    linked = f"{PROSE}see <a href=/y>the first of them</a> and <a href=/z>the second one</a>"
+    cite = "<p><a href=/x>Smith 1990</a></p>"
+    page = f"<body><article><h1>Head</h1><p>{linked}</p>{cite}</article><div><p>{PROSE}</p><p><a href=/u>Ann</a></p></div></body>"
+    assert html_text.main_text(page, TREE).split("\n") == ["Head", re.sub(r"<[^>]*>", "", linked), "Smith 1990"]
+
+
+def test_furniture_in_an_article_goes_whatever_follows():
+    page = f"<body><article><p>{PROSE}</p><div class=related-posts><p>{PROSE}</p></div><p><a href=/x>Smith 1990</a></p></article></body>"
+    assert html_text.main_text(page, TREE).split("\n") == [PROSE.strip(), "Smith 1990"]
 
 
 def test_tree_fits_its_table():
