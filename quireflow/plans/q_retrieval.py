@@ -11,7 +11,7 @@ from ..operators import ann as ANN
 from ..operators import embedding as E
 from ..operators import keywords as KW
 from ..operators import retrieval as R
-from ..staging import fresh_path
+from ..staging import fresh_path, staged
 from .registry import Tables, query
 
 COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -221,8 +221,10 @@ def embed_documents(t: Tables) -> DataFrame:
 
 @query("semantic_search_text")
 def semantic_search(t: Tables) -> DataFrame:
-    """From a question in words to passages: both are embedded the same way."""
+    """From every benchmark item as a question in words to passages: all are embedded the same way, the documents once."""
     model = E.HashingEmbedder(64)
-    rows = E.embed_chunks(t.documents.select("doc_id", F.col("text").alias("content")), model)
-    question = t.benchmark.orderBy("item_id").first()["text"]
-    return R.passages(R.top_k(rows, E.embed_query(question, model), 5, key="doc_id")).select("doc_id", F.round("score", 5).alias("score"), "content_preview")
+    rows = staged(E.embed_chunks(t.documents.select("doc_id", F.col("text").alias("content")), model).select("doc_id", "embedding"), "embedded")
+    questions = t.benchmark.select(F.col("item_id").alias("question"), E.embed(F.col("text"), model).alias("embedding"))
+    best = R.top_k_each(rows, questions, 5, key="doc_id")
+    found = best.join(t.documents.select("doc_id", F.col("text").alias("content")), "doc_id")
+    return R.passages(found).select("question", "rank", "doc_id", F.round("score", 5).alias("score"), "content_preview")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import batch as B
 from ..operators import retrieval as R
 from ..operators import store as S
-from ..staging import fresh_path
+from ..staging import fresh_path, staged
 from .q_retrieval import POINTS, points
 from .registry import Tables, query
 
@@ -162,9 +162,9 @@ def batch_summary(t: Tables) -> DataFrame:
 
 @query("web_hits")
 def web_hits(t: Tables) -> DataFrame:
-    """The five pages that hold most words of a question."""
+    """For every benchmark item as a question, the five pages that answer it best by their words."""
     from ..sources import markup
     from ..sources.web import TableSearch
 
-    pages = t.pages.select(markup.html_title(F.col("html")).alias("title"), "url", markup.html_to_text(F.col("html")).alias("text"))
-    return TableSearch(pages).search(t.benchmark.orderBy("item_id").first()["text"])
+    pages = staged(t.pages.select("page_id", markup.html_title(F.col("html")).alias("title"), "url", markup.html_to_text(F.col("html")).alias("text")), "pages")
+    return TableSearch(pages).search_each(t.benchmark.select(F.col("item_id").alias("question"), "text"))

@@ -7,6 +7,9 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.keywords import KeywordIndex
+from ..staging import fresh_path
+
 HIT = "title string, url string, snippet string, source string"
 HITS = 5
 
@@ -18,13 +21,20 @@ class WebSearch(Protocol):
 
 
 class TableSearch:
-    """A search over a table (title, url, text): rows with most of the query's words first, ties by url."""
+    """A search over a table (page_id, title, url, text): BM25 over whole words, ties by page_id. The index is built once, at the first question."""
 
     def __init__(self, pages: DataFrame, source: str = "table"):
         self.pages, self.source = pages, source
+        self._index: KeywordIndex | None = None
+
+    def search_each(self, questions: DataFrame) -> DataFrame:
+        """(question, rank, title, url, snippet, source) for a table of questions (question, text)."""
+        spark = self.pages.sparkSession
+        if self._index is None:
+            self._index = KeywordIndex(spark, fresh_path(spark, "web"), "page_id").build(self.pages)
+        best = self._index.search_each(questions, HITS)
+        return best.join(self.pages, "page_id").select("question", "rank", "title", "url", F.substring("text", 1, 200).alias("snippet"), F.lit(self.source).alias("source"))
 
     def search(self, query: str) -> DataFrame:
-        words = sorted({w.lower() for w in query.split()})
-        found = sum((F.contains(F.lower("text"), F.lit(w)).cast("int") for w in words), F.lit(0))
-        best = self.pages.withColumn("held", found).filter("held > 0").orderBy(F.col("held").desc(), "url").limit(HITS)
-        return best.select("title", "url", F.substring("text", 1, 200).alias("snippet"), F.lit(self.source).alias("source"))
+        asked = self.pages.sparkSession.createDataFrame([(0, query)], "question long, text string")
+        return self.search_each(asked).orderBy("rank").drop("question", "rank")

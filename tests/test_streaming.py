@@ -65,3 +65,54 @@ def test_windows(spark, tmp_path):
     parts = [[{"at": at(1, 5), "k": "a"}, {"at": at(1, 50), "k": "a"}], [{"at": at(9, 0), "k": "a"}], [{"at": at(9, 1), "k": "a"}], [{"at": at(1, 1), "k": "a"}, {"at": at(9, 30), "k": "b"}]]
     rows = stream(spark, tmp_path / "in", "at timestamp, k string", parts, "windows", lambda df: threads.event_windows(df, "at", ["k"]))
     assert [(r["window"]["start"].hour, r["events"]) for r in rows] == [(1, 2)]  # the late event is dropped, open windows wait
+
+
+def test_chat_events_are_neither_lost_nor_repeated(spark, tmp_path):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    from quireflow.streaming import chat_source as C
+
+    log, seen, broken = str(tmp_path / "log"), [], [True]
+    rows = lambda low, high: spark.createDataFrame([(f"t{k % 3}", k, "user", f"m{k}") for k in range(low, high)], "thread string, turn long, role string, text string")
+
+    def take(batch, number):
+        got = [(r["seq"], r["text"]) for r in batch.collect()]
+        if broken[0] and got and number == 1:
+            raise ValueError("lost")
+        seen.extend(got)
+
+    def run():
+        C.chat_events(spark, log).writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(60)
+
+    assert C.publish(rows(0, 10), log, segment=4) == 10
+    run()
+    assert sorted(seen) == [(k, f"m{k}") for k in range(10)]
+    C.publish(rows(10, 13), log)
+    with pytest.raises(StreamingQueryException):
+        run()
+    C.publish(rows(13, 15), log)
+    broken[0] = False
+    run()
+    run()
+    assert sorted(seen) == [(k, f"m{k}") for k in range(15)]
+    assert 10 <= C.committed(spark, log) <= 15 and C.trim(spark, log) >= 1
+    C.publish(rows(15, 16), log)
+    run()
+    assert sorted(seen) == [(k, f"m{k}") for k in range(16)]
+
+
+def test_a_reader_waits_and_forgets(spark, tmp_path):
+    from quireflow.streaming.run import ROCKSDB, settings
+
+    at = lambda m: dt.datetime(2024, 1, 1, 12, m % 60).replace(hour=12 + m // 60).isoformat()
+    event = lambda seq, minute, **more: {"thread": "t", "seq": seq, "at": at(minute), "leave": False, "more": False} | more
+    parts = [
+        [event(0, 0, parts=["a", "b", "c", "d"]), event(1, 1, more=True)],
+        [event(2, 2), event(3, 3, more=True), event(4, 4, focus_book="x"), event(5, 5, more=True)],
+        [event(6, 6, parts=["e", "f"]), event(7, 80, more=True), event(8, 81, parts=["g"]), event(9, 82, leave=True)],
+    ]
+    with settings(spark, ROCKSDB):
+        rows = stream(spark, tmp_path / "in", "thread string, seq long, at timestamp, focus_book string, leave boolean, parts array<string>, more boolean", parts, "reader", lambda df: threads.reading_stream(df, late="1 day"))
+    got = [(r["seq"], r["reply"], r["waiting"], r["mode"], r["history_length"]) for r in sorted(rows, key=lambda r: r["seq"])]
+    assert got == [(0, "a", 3, "global", 1), (1, "b", 2, "global", 2), (2, None, 2, "global", 3), (3, "c", 1, "global", 4), (4, None, 0, "book", 1), (5, None, 0, "book", 2), (6, "e", 1, "book", 3), (7, None, 0, "book", 4), (8, "g", 0, "book", 5), (9, None, 0, "global", 1)]
