@@ -1,8 +1,10 @@
 """Documents linked by the Jaccard similarity of their n-gram sets: a self-join by prefixes, without missing a link.
 
 Every set is put into one order, rare n-grams first. Two sets that are alike share an n-gram among the first few of each
-(the prefix), so only those are joined on. Rarity is a count over 2**18 hash buckets of all n-grams: the order needs to be
-one and the same for all sets, it needn't be exact.
+(the prefix), so only those are joined on. Rarity is a count over 2**24 hash buckets of all n-grams: the order needs to be
+one and the same for all sets, it needn't be exact. A bucket's count is never below that of its n-grams, so what comes
+first is rare indeed, as long as there are few n-grams to a bucket; with more of them results stay whole, but more
+candidates are looked at.
 
 1. Equal sets collapse to their smallest id, by a fingerprint of 128 bits.
 2. The other ones give a row for each n-gram of their prefix. One that no other prefix holds is dead: it goes, and where
@@ -28,7 +30,8 @@ from .common import mixed, shingle_sets, short_batches, staged
 from .components import components
 from .minhash import confirmed, in_blocks
 
-COUNT_BITS = 18
+#: Bits of a counter's number, and those of them that say which part of the counters it is in. Counts end at 255.
+COUNT_BITS, PART_BITS = 24, 8
 #: Members of a bucket whose pairs are compared one by one.
 SMALL = 32
 #: Parts of a suffix whose sizes are compared; a pair differs at least by what these do.
@@ -45,21 +48,40 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """How often n-grams of each hash bucket come, over all documents: 2**COUNT_BITS numbers."""
+    """How often n-grams of each hash bucket come, over all documents: 2**COUNT_BITS bytes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
+    A task sends its counters in parts, places and counts of those that aren't 0; a part is summed as its rows stream by.
+    """
+    inside = 1 << (COUNT_BITS - PART_BITS)
+    types = "part int, places binary, counts binary"
+
+    def rows(part: int, counts: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(counts)
+        least = np.minimum(counts[at], 255).astype(np.uint8)
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "places": [at.astype(np.uint16).tobytes()], "counts": [least.tobytes()]})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.uint32)
         for batch in batches:
             for _, _, sets in shingle_sets(batch.column(0), width):
                 np.add.at(total, bucket_of(np.concatenate(sets)), 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["bucket", "n"])
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = staged(rows, "frequencies").toArrow()  # a row for each bucket
-    out = np.zeros(1 << COUNT_BITS, np.int64)
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return out
+        for part in range(1 << PART_BITS):
+            yield rows(part, total[part * inside : (part + 1) * inside])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = held.setdefault(part, np.zeros(inside, np.int64))
+                total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint8)
+        for part, total in held.items():
+            yield rows(part, total)
+
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, types).repartition("part").mapInArrow(add, types)
+    out = np.zeros((1 << PART_BITS, inside), np.uint8)
+    for r in staged(parts, "frequencies").collect():  # 2**PART_BITS rows, as many bytes as counters or a few times more
+        out[r["part"], np.frombuffer(r["places"], np.uint16)] = np.frombuffer(r["counts"], np.uint8)
+    return out.reshape(-1)
 
 
 def ordered(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -3,12 +3,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quireflow.llm import jaccard_join as J
 from quireflow.llm import minhash
-from quireflow.llm.common import mixed
+from quireflow.llm.common import mixed, shingle_sets
 
 from .conftest import by_id
 from .test_minhash import brute, corpus
@@ -38,7 +39,7 @@ def test_large_buckets_go_through_blocks(spark, monkeypatch):
 def test_filters_let_every_link_through(spark):
     """Pairs of sets that are alike: they share an n-gram of both prefixes, and there no filter holds them back."""
     rng = np.random.default_rng(3)
-    counts = rng.integers(0, 5, 1 << J.COUNT_BITS)
+    counts = rng.integers(0, 5, 1 << J.COUNT_BITS).astype(np.uint8)
     rows = []
     for k in range(300):
         n = int(rng.integers(1, 200))
@@ -62,6 +63,16 @@ def test_filters_let_every_link_through(spark):
     assert df.filter("p.n > 0").select(J.band(F.col("p.n"), 90).alias("b")).filter("b < 0").count() == 0
 
 
+def test_frequencies_are_sums_over_all_tasks(spark):
+    rows = [(" ".join(f"w{j}" for j in range(k % 40)),) for k in range(300)]
+    found = J.frequencies(spark.createDataFrame(rows, "text string").repartition(5), "text", 3)
+    want = np.zeros(1 << J.COUNT_BITS, np.int64)
+    for (text,) in rows:
+        for _, _, sets in shingle_sets(pa.array([text]), 3):
+            np.add.at(want, J.bucket_of(sets[0]), 1)
+    assert (found == np.minimum(want, 255)).all() and found.max() == 255
+
+
 def test_suffix_parts_count_what_follows():
     tokens = mixed(np.arange(40, dtype=np.uint64))
     parts = J.suffix_parts(tokens, 5).view(np.uint8).reshape(5, 8)
