@@ -17,6 +17,7 @@ from .operators import chunking as K
 from .operators import embedding as E
 from .operators import retrieval as R
 from .operators import store as S
+from .operators.ann import VectorIndex
 from .operators.batch import remaining
 from .schema import PROGRESS
 from .sources import epub, files, pdf
@@ -41,6 +42,7 @@ class Library:
         self.analyzer = analyzer or self.models()
         self.collection = S.Collection(spark, f"{self.config.storage.path}/points")
         self.progress_path = f"{self.config.storage.path}/progress"
+        self.removed_path = f"{self.config.storage.path}/removed"
         self.analyses_path, self.contents_path = f"{self.config.storage.path}/analyses", f"{self.config.storage.path}/contents"
 
     def models(self) -> A.Analyzer:
@@ -108,16 +110,28 @@ class Library:
         said = books.select("book_id").join(A.form(rows, "bibliography"), "book_id", "left")
         return A.assembled(books, rows, by_chapter, described), A.merged_bibliography(said, books), described, A.broken_books(by_chapter)
 
+    def since_removal(self, rows: DataFrame) -> DataFrame:
+        """Rows (book_id, at) that are newer than the book's removal."""
+        try:
+            removed = self.spark.read.schema("book_id string, at timestamp").parquet(self.removed_path)
+        except Exception as e:  # nothing was removed yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return rows
+        last = removed.groupBy("book_id").agg(F.max("at").alias("removed_at"))
+        return rows.join(last, "book_id", "left").filter(F.col("removed_at").isNull() | (F.col("at") > F.col("removed_at"))).drop("removed_at")
+
     def analyses(self) -> DataFrame:
         """The last analysis of each book: what all agents said."""
-        stored = self.spark.read.parquet(self.analyses_path)
+        stored = self.since_removal(self.spark.read.parquet(self.analyses_path))
         fields = [c for c in stored.columns if c not in ("book_id", "at")]
         return stored.groupBy("book_id").agg(F.max_by(F.struct(*fields), "at").alias("x")).select("book_id", "x.*")
 
     def contents(self, book_id: str) -> DataFrame:
         """(seq, level, title) of a book's contents as they were last read."""
-        own = self.spark.read.parquet(self.contents_path).filter(F.col("book_id") == book_id)
-        return own.groupBy("seq").agg(F.max_by(F.struct("level", "title", "at"), "at").alias("x")).select("seq", "x.level", "x.title").orderBy("seq")
+        own = self.since_removal(self.spark.read.parquet(self.contents_path).filter(F.col("book_id") == book_id))
+        last = own.agg(F.max("at").alias("last"))  # one row: entries of an earlier reading don't count, whatever their number
+        return own.join(F.broadcast(last), F.col("at") == F.col("last")).select("seq", "level", "title").orderBy("seq")
 
     def points(self, books: DataFrame, chapters: DataFrame, analysis: DataFrame, found: DataFrame, described: DataFrame) -> DataFrame:
         """Chunk and book points of parsed and analysed books, embedded; chunks have what is seen on the images of their pages."""
@@ -165,8 +179,13 @@ class Library:
         found = self.spark.read.format("binaryFile").load(path).select("path", "content")
         return self.ingest_files(found)
 
-    def search(self, query: str, k: int = 10, filters: dict | None = None, books: bool = False) -> DataFrame:
-        """The k best points that match the filters, ties by book and chunk; files without the wanted books or tags aren't opened."""
+    def search(self, query: str, k: int = 10, filters: dict | None = None, books: bool = False, approximate: bool = False) -> DataFrame:
+        """The k best points that match the filters, ties by book and chunk; files without the wanted books or tags aren't opened.
+
+        An approximate search reads the cells of the vector index that are nearest to the query, if there is an index.
+        """
+        if approximate and (index := self.vectors()).exists():
+            return R.results(index.search(E.embed_query(query, self.embedder), k, (filters or {}) | ({"is_metadata": True} if books else {})))
         listed = lambda name: None if not filters or filters.get(name) is None else filters[name] if isinstance(filters[name], list) else [filters[name]]
         stored = self.collection.read(listed("book_id"), listed("tags"))
         own = R.books_only(stored) if books else stored
@@ -183,7 +202,20 @@ class Library:
         return S.lookup(self.collection.read([book_id]), book_id)
 
     def delete_book(self, book_id: str) -> int:
-        return self.collection.delete(book_id)
+        """Remove a book's points, and what was read and said of it; how many points there were."""
+        gone = self.collection.delete(book_id)
+        if gone:
+            self.spark.createDataFrame([(book_id,)], "book_id string").withColumn("at", F.current_timestamp()).write.mode("append").parquet(self.removed_path)
+        return gone
+
+    def vectors(self) -> VectorIndex:
+        """The vector index of the collection as it is; it may not be built."""
+        return VectorIndex(self.spark, f"{self.config.storage.path}/vectors/{self.collection.version():020d}", ("book_id", "chunk_index"))
+
+    def build_index(self) -> None:
+        """Index the vectors of the collection as it is. A later write makes search exact again, until the next build."""
+        if not self.vectors().exists():
+            self.vectors().build(self.collection.read())
 
     def statistics(self) -> DataFrame:
         return S.info(self.collection.read())

@@ -221,7 +221,18 @@ def bibliography(v: Column, status: Column) -> dict[str, Column]:
     return {"title": F.coalesce(M.text_at(v, "title"), F.lit("Unknown")), "authors": M.list_at(v, "authors"), "subjects": M.list_at(v, "subjects")} | {k: M.text_at(v, k) for k in text} | numbers
 
 
-FORMS = {"genre_tags": genre_tags, "overview": overview, "themes": themes, "chapter_summary": chapter_summary, "bibliography": bibliography}
+def key_quotes(v: Column, status: Column) -> dict[str, Column]:
+    """The quotes of one answer that have a text, as a list; `quotes` puts those of a book together."""
+    return {"quotes": F.filter(M.structs_at(v, "quotes", QUOTE), lambda q: F.coalesce(q.text, F.lit("")) != "")}
+
+
+def technical_concepts(v: Column, status: Column) -> dict[str, Column]:
+    """The concepts of one answer as a list; `concept_rows` has those of a book."""
+    return {"concepts": M.structs_at(v, "concepts", CONCEPT)}
+
+
+QUOTE, CONCEPT = "text: string, context: string, significance: string", "term: string, definition: string, category: string, importance: string"
+FORMS = {f.__name__: f for f in (genre_tags, overview, themes, chapter_summary, bibliography, key_quotes, technical_concepts)}
 
 
 def form(rows: DataFrame, agent: str, keys: tuple[str, ...] = ("book_id",)) -> DataFrame:
@@ -233,14 +244,14 @@ def form(rows: DataFrame, agent: str, keys: tuple[str, ...] = ("book_id",)) -> D
 
 def quotes(rows: DataFrame) -> DataFrame:
     """(book_id, ord, text, context, significance, chapter): quotes with a text, in chapter order, QUOTES of a book at most."""
-    each = rows.filter("agent = 'key_quotes'").select("book_id", "number", F.col("title").alias("chapter"), F.posexplode(M.structs_at(F.col("json"), "quotes", "text: string, context: string, significance: string")).alias("pos", "q"))
+    each = rows.filter("agent = 'key_quotes'").select("book_id", "number", F.col("title").alias("chapter"), F.posexplode(M.structs_at(F.col("json"), "quotes", QUOTE)).alias("pos", "q"))
     held = each.filter(F.coalesce(F.col("q.text"), F.lit("")) != "").withColumn("ord", F.row_number().over(Window.partitionBy("book_id").orderBy("number", "pos")))
     return held.filter(F.col("ord") <= M.QUOTES).select("book_id", "ord", "q.text", "q.context", "q.significance", "chapter")
 
 
 def concept_rows(rows: DataFrame) -> DataFrame:
     """(book_id, pos, term, definition, category, importance) of all answers, pos in chapter order."""
-    each = rows.filter("agent = 'technical_concepts'").select("book_id", "number", F.posexplode(M.structs_at(F.col("json"), "concepts", "term: string, definition: string, category: string, importance: string")).alias("k", "c"))
+    each = rows.filter("agent = 'technical_concepts'").select("book_id", "number", F.posexplode(M.structs_at(F.col("json"), "concepts", CONCEPT)).alias("k", "c"))
     filled = {"definition": "", "category": "general", "importance": "supporting"}
     return each.select("book_id", F.struct("number", "k").alias("pos"), "c.term", *[F.coalesce(F.col(f"c.{n}"), F.lit(d)).alias(n) for n, d in filled.items()])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import matching
-from ..staging import read_text, write_new
+from ..staging import files_of, read_text, write_new
 from .retrieval import POINTS_AT_ONCE, QUESTIONS_AT_ONCE, best_of_blocks, top_k
 
 #: Rows that centroids are fitted on at most, cells at most, and rounds of the fit.
@@ -101,8 +101,11 @@ def celled(points: DataFrame, centroids: np.ndarray, probes: int, vector: str =
 class VectorIndex:
     """An inverted file under a path: `points`, partitioned by cell, and `index.json` with centroids and sizes of cells."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "vec_id", vector: str = "embedding"):
-        self.spark, self.path, self.key, self.vector = spark, path.rstrip("/"), key, vector
+    def __init__(self, spark: SparkSession, path: str, key: str | tuple[str, ...] = "vec_id", vector: str = "embedding"):
+        """key has one column or more; for a table of questions it must be one of integers."""
+        self.spark, self.path, self.vector = spark, path.rstrip("/"), vector
+        self.keys = (key,) if isinstance(key, str) else tuple(key)
+        self.key = self.keys[0]
         self._held: dict | None = None
 
     def build(self, points: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE, recall: float = RECALL) -> VectorIndex:
@@ -114,11 +117,11 @@ class VectorIndex:
         full = points.filter(F.col(self.vector).isNotNull())
         n = full.count()
         share = min(1.0, 1.2 * sample_rows / max(1, n))
-        drawn = full.filter(F.pmod(F.xxhash64(self.key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(self.vector).limit(sample_rows).toArrow()
+        drawn = full.filter(F.pmod(F.xxhash64(*self.keys), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(self.vector).limit(sample_rows).toArrow()
         sample = rows_of(drawn[self.vector].combine_chunks()) if drawn.num_rows else np.zeros((0, 1))
         centroids = fit(sample, cells or min(CELLS, max(1, math.isqrt(n)))) if len(sample) else np.zeros((0, 1))
         if n:
-            celled(points, centroids, 1, self.vector).repartition("cell", F.pmod(F.xxhash64(self.key), F.lit(8))).sortWithinPartitions("cell").write.partitionBy("cell").parquet(f"{self.path}/points")
+            celled(points, centroids, 1, self.vector).repartition("cell", F.pmod(F.xxhash64(*self.keys), F.lit(8))).sortWithinPartitions("cell").write.partitionBy("cell").parquet(f"{self.path}/points")
             counts = {str(r["cell"]): r["n"] for r in self.spark.read.parquet(f"{self.path}/points").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # CELLS rows at most
         else:
             counts = {}
@@ -128,6 +131,10 @@ class VectorIndex:
             raise FileExistsError(f"{self.path} holds an index already")
         return self
 
+    def exists(self) -> bool:
+        fs, path = files_of(self.spark, self.path)
+        return fs.exists(path(f"{self.path}/index.json"))
+
     def held(self) -> dict:
         if self._held is None:
             found = json.loads(read_text(self.spark, f"{self.path}/index.json"))
@@ -151,9 +158,9 @@ class VectorIndex:
         """The k best points that match the filters, of the cells nearest to the query; ties by key."""
         centroids = self.held()["centroids"]
         if not len(centroids):
-            return top_k(self.points(), query, k, filters, self.key, self.vector).drop("cell")
+            return top_k(self.points(), query, k, filters, self.keys, self.vector).drop("cell")
         cells = nearest(np.asarray([query], np.float64), centroids, self.probes(probes))[0].tolist()
-        return top_k(self.points(cells), query, k, filters, self.key, self.vector).drop("cell")
+        return top_k(self.points(cells), query, k, filters, self.keys, self.vector).drop("cell")
 
     def search_each(self, questions: DataFrame, k: int = 10, filters: dict | None = None, probes: int | None = None) -> DataFrame:
         """(question, key, score, rank) for a table of questions (question, vector): each goes to its nearest cells only.

@@ -86,9 +86,21 @@ def test_library_round(spark, folder, tmp_path, capsys):
     before = sorted(map(str, library.collection.read().drop("embedding").collect()))
     assert library.ingest_book(str(folder / "B.epub")).stored == 1
     assert sorted(map(str, library.collection.read().drop("embedding").collect())) == before  # replaced, not repeated
+    exact = library.search("whale voyage ship", 5).collect()
+    assert library.search("whale voyage ship", 5, approximate=True).collect() == exact  # no index yet
+    library.build_index()
+    library.build_index()
+    index = library.vectors()
+    assert index.exists() and index.points().count() == library.collection.read().count()
+    near = library.search("whale voyage ship", 5, approximate=True).collect()
+    assert near[0] == exact[0] and len(near) <= 5 and library.search("voyage", books=True, approximate=True).count() <= 2
     book_id = library.list_books().first()["book_id"]
+    first = library.chapter(book_id, limit=1).first()["chapter_number"]
+    assert library.lookup(book_id).count() == 1 and library.chapter(book_id, chapter=first).count() >= 1 and library.chapter(book_id, chapter=999).count() == 0
+    said = library.analyses().count()
     assert library.delete_book(book_id) > 1 and library.delete_book(book_id) == 0
-    assert library.statistics().first()["total_books"] == 1
+    assert library.statistics().first()["total_books"] == 1 and not library.vectors().exists()
+    assert library.analyses().count() == said - 1 and library.contents(book_id).count() == 0
     path = tmp_path / "config.yaml"
     config.to_yaml(path)
     assert cli.main(["--config", str(path), "search", "castle", "--json", "-n", "1"], spark) == 0
