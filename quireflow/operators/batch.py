@@ -53,14 +53,17 @@ def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
     return held.join(F.broadcast(starts), "_range").withColumn("place", F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """Files with their place in the order of discovery, from 1: lower-cased name, then path. Many files may have one name."""
-    return placed(files, [F.lower("file_name"), F.col("path")])
+def numbered(files: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Files with their place in the order of discovery, from 1: lower-cased name, then path, nulls last, then the columns of ties.
+
+    Many files may have one name; without ties, the order of rows that share a path too is open.
+    """
+    return placed(files, [F.lower("file_name").asc_nulls_last(), F.col("path").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ties]])
 
 
-def positions(files: DataFrame) -> DataFrame:
+def positions(files: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """Files with their mark [i/n] in the order of discovery."""
-    found = numbered(files)
+    found = numbered(files, ties)
     return found.withColumn("mark", F.format_string("[%d/%d]", "place", F.lit(found.count()))).drop("place")
 
 

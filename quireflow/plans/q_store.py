@@ -150,7 +150,8 @@ def batch_errors(t: Tables) -> DataFrame:
 
 @query("batch_positions", "SELECT page_id, '[' || row_number() OVER (ORDER BY lower(url), url) || '/' || count(*) OVER () || ']' AS mark FROM pages")
 def batch_positions(t: Tables) -> DataFrame:
-    return B.positions(t.pages.select("page_id", F.col("url").alias("path"), F.col("url").alias("file_name"))).select("page_id", "mark")
+    """The mark of every page in the order of urls; pages of one url, whose order the SQL leaves open, go by page_id."""
+    return B.positions(t.pages.select("page_id", F.col("url").alias("path"), F.col("url").alias("file_name")), ("page_id",)).select("page_id", "mark")
 
 
 @query("batch_summary", "SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS successful, count(*) FILTER (event_type = 'error') AS failed, date_diff('second', min(date_trunc('second', ts)), max(date_trunc('second', ts))) AS seconds, coalesce(string_agg('File' || lpad(event_id::VARCHAR, 9, '0') || '.epub', '|' ORDER BY event_id) FILTER (event_type = 'error'), '') AS failed_files FROM events GROUP BY user_id")

@@ -61,3 +61,10 @@ def test_files_of_one_name_are_numbered_by_many_tasks(spark):
     dealt = files.repartitionByRange(4, F.lower("file_name"), F.col("path")).groupBy(F.spark_partition_id()).count()
     assert dealt.count() > 1 and dealt.agg(F.max("count")).first()[0] < 700
     assert B.numbered(files.limit(0)).count() == 0 and B.positions(files.limit(3)).agg(F.max("mark")).first()[0] == "[3/3]"
+
+
+def test_files_without_a_name_are_last_and_equal_paths_go_by_their_key(spark):
+    rows = [(5, None), (9, "b"), (2, "B"), (7, "a"), (1, "b"), (4, "b"), (3, None)]
+    files = spark.createDataFrame(rows, "id long, path string").withColumn("file_name", F.col("path")).repartition(3)
+    want = [7, 2, 1, 4, 9, 3, 5]
+    assert {r["id"]: r["mark"] for r in B.positions(files, ("id",)).collect()} == {i: f"[{k}/7]" for k, i in enumerate(want, 1)}
