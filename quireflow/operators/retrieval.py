@@ -33,8 +33,8 @@ def top_k(points: DataFrame, query: list[float] | Column, k: int = 10, filters:
     return scored(points, query, filters, vector).orderBy(F.col("score").desc(), *ties).limit(k)
 
 
-#: Rows of a block of points and of a block of questions that are multiplied at once.
-POINTS_AT_ONCE, QUESTIONS_AT_ONCE = 1 << 16, 1 << 10
+#: Rows of a block of points and of a block of questions that meet in one task, and scores that are held at once there.
+POINTS_AT_ONCE, QUESTIONS_AT_ONCE, SCORES_AT_ONCE = 1 << 14, 1 << 12, 1 << 21
 
 
 def best_of_blocks(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -42,28 +42,29 @@ def best_of_blocks(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
     def unit(rows: pa.Table, name: str) -> np.ndarray:
         flat = rows[name].combine_chunks()
-        values = flat.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        values = flat.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1).astype(np.float64)
         size = np.linalg.norm(values, axis=1, keepdims=True)
         return np.divide(values, size, out=np.zeros_like(values), where=size > 0)
 
     def best(p: pa.Table, q: pa.Table) -> pa.Table:
         if not p.num_rows or not q.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("question", pa.int64()), ("key", pa.int64()), ("score", pa.float64()))})
+        p = p.sort_by("key")  # of equal scores the smaller key is first
         keys, asked = p["key"].to_numpy(), q["question"].to_numpy()
-        order = np.argsort(keys, kind="stable")  # of equal scores the smaller key is first
-        keys = keys[order]
-        score = unit(q, "w") @ unit(p, "v")[order].T
-        n = min(k, len(keys))
-        near = np.round(score, 12)
-        # whatever is as good as the n-th best counts, then ties go by key
-        least = -np.partition(-near, n - 1, axis=1)[:, n - 1 : n]
+        points, questions = unit(p, "v").T, unit(q, "w")
+        n, step = min(k, len(keys)), max(1, SCORES_AT_ONCE // len(keys))
         out = {"question": [], "key": [], "score": []}
-        for i in range(len(asked)):
-            fit = np.flatnonzero(near[i] >= least[i])
-            fit = fit[np.argsort(-near[i, fit], kind="stable")[:n]]
-            out["question"].append(np.full(n, asked[i]))
-            out["key"].append(keys[fit])
-            out["score"].append(score[i, fit])
+        for first in range(0, len(asked), step):
+            score = questions[first : first + step] @ points
+            near = np.round(score, 12)
+            # whatever is as good as the n-th best counts, then ties go by key
+            least = np.partition(near, len(keys) - n, axis=1)[:, len(keys) - n]
+            for i in range(len(near)):
+                fit = np.flatnonzero(near[i] >= least[i])
+                fit = fit[np.argsort(-near[i, fit], kind="stable")[:n]]
+                out["question"].append(np.full(n, asked[first + i]))
+                out["key"].append(keys[fit])
+                out["score"].append(score[i, fit])
         return pa.table({c: np.concatenate(v) for c, v in out.items()})
 
     return best
@@ -72,14 +73,15 @@ def best_of_blocks(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def top_k_each(points: DataFrame, questions: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(question, key, score, rank): the k best points of every question (question, vector), ties by key, for long tables of both.
 
-    Both tables are dealt into blocks; every block of points meets every block of questions as one product of matrices, and
-    only the k best of a question leave a pair of blocks. Keys are integers; rows without a vector count on neither side.
+    Both tables are dealt into blocks of bounded size; every block of points meets every block of questions as products of
+    matrices, a slice of the questions at a time, and only the k best of a question leave a pair of blocks. So a task's memory
+    doesn't grow with the tables. Keys are integers; rows without a vector count on neither side.
     """
     n_points, n_questions = (max(1, -(-df.count() // most)) for df, most in ((points, POINTS_AT_ONCE), (questions, QUESTIONS_AT_ONCE)))
     dealt = lambda df, name, n: F.pmod(F.xxhash64(df[name]), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    p = points.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), dealt(points, key, n_points).alias("p_block")).withColumn("q_block", every(n_questions))
-    q = questions.filter(F.col(vector).isNotNull()).select(F.col("question").cast("long").alias("question"), F.col(vector).cast("array<double>").alias("w"), dealt(questions, "question", n_questions).alias("q_block")).withColumn("p_block", every(n_points))
+    p = points.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"), dealt(points, key, n_points).alias("p_block")).withColumn("q_block", every(n_questions))
+    q = questions.filter(F.col(vector).isNotNull()).select(F.col("question").cast("long").alias("question"), F.col(vector).alias("w"), dealt(questions, "question", n_questions).alias("q_block")).withColumn("p_block", every(n_points))
 
     found = p.groupBy("p_block", "q_block").cogroup(q.groupBy("p_block", "q_block")).applyInArrow(best_of_blocks(k), "question long, key long, score double")
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.round("score", 12).desc(), "key"))

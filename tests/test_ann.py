@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +70,19 @@ def test_fit_uses_all_centroids():
     found = A.fit(x, 3, seed=5)
     assert sorted(np.abs(found).argmax(axis=1).tolist()) == [0, 1, 2]
     assert len(A.fit(x[:2], 9)) == 2
+
+
+def test_a_pair_of_blocks_holds_few_scores_at_once():
+    rng = np.random.default_rng(3)
+    side = lambda n, key, vector: pa.table({key: pa.array(rng.permutation(n)), vector: pa.array(list(rng.integers(-2, 3, (n, 4)).astype(np.float32)))})
+    p, q = side(4000, "key", "v"), side(3000, "question", "w")
+    tracemalloc.start()
+    found = R.best_of_blocks(3)(p, q)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 << 20 and R.POINTS_AT_ONCE * 8 <= R.SCORES_AT_ONCE  # all scores are 96 MB, and were held three times
+    v = np.array(p["v"].to_pylist(), float)[np.argsort(p["key"].to_numpy())]
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+    for i in (0, 1500, 2999):
+        near = np.round(v @ (np.array(q["w"][i].as_py(), float) / max(1e-30, np.linalg.norm(q["w"][i].as_py()))), 12)
+        assert found["key"].to_pylist()[3 * i : 3 * i + 3] == np.argsort(-near, kind="stable")[:3].tolist()
