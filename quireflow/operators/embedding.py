@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import short_batches
+
 
 class Embedder(Protocol):
     """Makes vectors of one dimension. It travels to the workers, so heavy state belongs into load()."""
@@ -59,6 +61,7 @@ def embed(text: Column, embedder: Embedder, batch_size: int = 32) -> Column:
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder, text: str = "content", batch_size: int = 32) -> DataFrame:
+    short_batches(chunks.sparkSession)
     return chunks.withColumn("embedding", embed(F.col(text), embedder, batch_size))
 
 
