@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..staging import staged
+from ..staging import short_batches, staged
 
 #: The separators, strongest first.
 SEPARATORS = ("\n\n\n", "\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
+#: Chunks leave a worker when it holds so many, or so many characters of them.
+CHUNKS_AT_ONCE, CHARS_AT_ONCE = 4096, 1 << 20
 
 
 def estimate(text: str) -> int:
@@ -78,29 +80,45 @@ def split(text: str, size: int, overlap: int, length: Callable[[str], int] = est
     return out + list(merge(run, size, overlap, length))
 
 
-def recursive(texts: DataFrame, keys: list[str], text: str = "content", min_tokens: int = 500, max_tokens: int = 2000, overlap: float = 0.2, compat: bool = True) -> DataFrame:
-    """(keys, position, n_raw, content, token_count): every chunk of every text that isn't blank.
+def cutter(keys: list[str], size: int, overlap: int, length: Callable[[str], int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of batches (keys, text) that gives (keys, position, n_raw, content), a bounded number of chunks at once."""
 
-    Chunks under min_tokens go, unless they are the last of their text; position counts from 0 before that filter.
-    """
-    size, shared = sizes(min_tokens, max_tokens, overlap, compat)
-    length = estimate if compat else lambda s: -(-len(s) // 4)
-    fields = {f.name: f.dataType.simpleString() for f in texts.select(*keys).schema}
+    def made(batch: pa.RecordBatch, row: list[int], place: list[int], total: list[int], found: list[str]) -> pa.RecordBatch:
+        taken = [c.take(pa.array(row, pa.int32())) for c in batch.columns[: len(keys)]]
+        return pa.RecordBatch.from_arrays([*taken, pa.array(place, pa.int32()), pa.array(total, pa.int32()), pa.array(found, pa.string())], names=[*keys, "position", "n_raw", "content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, place, total, found = [], [], [], []
-            for i, body in enumerate(batch.column(len(keys)).to_pylist()):
-                chunks = split(body, size, shared, length) if body and body.strip() else []
+            row, place, total, found, held = [], [], [], [], 0
+            for i, body in enumerate(batch.column(len(keys))):
+                text = body.as_py()
+                chunks = split(text, size, overlap, length) if text and text.strip() else []
                 row += [i] * len(chunks)
                 place += range(len(chunks))
                 total += [len(chunks)] * len(chunks)
                 found += chunks
-            taken = [c.take(pa.array(row, pa.int32())) for c in batch.columns[: len(keys)]]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(place, pa.int32()), pa.array(total, pa.int32()), pa.array(found, pa.string())], names=[*keys, "position", "n_raw", "content"])
+                held += sum(map(len, chunks))
+                if held >= CHARS_AT_ONCE or len(row) >= CHUNKS_AT_ONCE:
+                    yield made(batch, row, place, total, found)
+                    row, place, total, found, held = [], [], [], [], 0
+            yield made(batch, row, place, total, found)
+
+    return run
+
+
+def recursive(texts: DataFrame, keys: list[str], text: str = "content", min_tokens: int = 500, max_tokens: int = 2000, overlap: float = 0.2, compat: bool = True) -> DataFrame:
+    """(keys, position, n_raw, content, token_count): every chunk of every text that isn't blank.
+
+    Chunks under min_tokens go, unless they are the last of their text; position counts from 0 before that filter. A worker
+    holds a short batch of texts and the chunks of some of them, or of one longer text.
+    """
+    short_batches(texts.sparkSession)
+    size, shared = sizes(min_tokens, max_tokens, overlap, compat)
+    length = estimate if compat else lambda s: -(-len(s) // 4)
+    fields = {f.name: f.dataType.simpleString() for f in texts.select(*keys).schema}
 
     types = ", ".join(f"`{k}` {t}" for k, t in fields.items())
-    chunks = texts.select(*keys, F.col(text).alias("content")).mapInArrow(run, f"{types}, position int, n_raw int, content string")
+    chunks = texts.select(*keys, F.col(text).alias("content")).mapInArrow(cutter(keys, size, shared, length), f"{types}, position int, n_raw int, content string")
     return chunks.withColumn("token_count", T.token_estimate(F.col("content"))).filter((F.col("token_count") >= min_tokens) | (F.col("position") == F.col("n_raw") - 1))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -328,3 +329,21 @@ def test_plans(spark, capsys):
     S.last_messages(spark.read.parquet(f"{folder}/conversations.parquet"), "conv_id", "turn").select("conv_id", "turn").explain("formatted")
     plan = capsys.readouterr().out
     assert "ReadSchema: struct<conv_id:bigint,turn:bigint>" in plan and "WindowGroupLimit" in plan
+
+
+def test_chunks_leave_a_worker_in_bounded_batches(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(3000)) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(202)), pa.array([*texts, None, " "])], names=["id", "text"])
+    size, shared = K.sizes(20, 80, 0.2, True)
+    found = list(K.cutter(["id"], size, shared, K.estimate)(iter([batch])))
+    assert len(found) > 2 and max(b.nbytes for b in found) < 2 * K.CHARS_AT_ONCE
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [(r["id"], r["position"], r["n_raw"], r["content"]) for r in rows] == [(i, k, len(c), x) for i, t in enumerate(texts) for c in [K.split(t, size, shared)] for k, x in enumerate(c)]
+
+
+def test_workers_get_short_batches_of_texts(spark):
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([(1, "a b")], "id long, content string")
+    for make in (lambda: K.recursive(rows, ["id"]), lambda: E.embed_chunks(rows, E.HashingEmbedder(8))):
+        spark.conf.set(name, "10000")
+        make()
+        assert int(spark.conf.get(name)) <= 512
