@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import batch as B
 from ..operators import retrieval as R
 from ..operators import store as S
-from ..staging import fresh_path, staged
+from ..staging import fresh_path, short_batches, staged
 from .q_retrieval import POINTS, points
 from .registry import Tables, query
 
@@ -167,5 +167,7 @@ def web_hits(t: Tables) -> DataFrame:
     from ..sources import markup
     from ..sources.web import TableSearch
 
-    pages = staged(t.pages.select("page_id", markup.html_title(F.col("html")).alias("title"), "url", markup.html_to_text(F.col("html")).alias("text")), "pages")
+    short_batches(t.spark)
+    read = t.pages.select("page_id", "url", markup.html_parts(F.col("html")).alias("parts"))
+    pages = staged(read.select("page_id", "parts.title", "url", "parts.text"), "pages")
     return TableSearch(pages).search_each(t.benchmark.select(F.col("item_id").alias("question"), "text"))

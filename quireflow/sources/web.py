@@ -33,7 +33,8 @@ class TableSearch:
         if self._index is None:
             self._index = KeywordIndex(spark, fresh_path(spark, "web"), "page_id").build(self.pages)
         best = self._index.search_each(questions, HITS)
-        return best.join(self.pages, "page_id").select("question", "rank", "title", "url", F.substring("text", 1, 200).alias("snippet"), F.lit(self.source).alias("source"))
+        shown = self.pages.select("page_id", "title", "url", F.substring("text", 1, 200).alias("snippet"))  # cut before rows move
+        return best.join(shown, "page_id").select("question", "rank", "title", "url", "snippet", F.lit(self.source).alias("source"))
 
     def search(self, query: str) -> DataFrame:
         asked = self.pages.sparkSession.createDataFrame([(0, query)], "question long, text string")
