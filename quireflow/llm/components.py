@@ -25,3 +25,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = step.select("v", "comp")
         if step.filter("fell").isEmpty():
             return labels
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(v, comp) of found (v, comp) after further links (a, b): only links between different components of it go round again.
+
+    As a component's label is its smallest vertex, the smallest label that it reaches is the smallest vertex.
+    """
+    one, two = found.select(F.col("v").alias("a"), F.col("comp").alias("ca")), found.select(F.col("v").alias("b"), F.col("comp").alias("cb"))
+    ends = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    between = staged(ends.filter("a <> b").distinct(), "links")
+    if between.isEmpty():
+        return found
+    more = components(between).select(F.col("v").alias("comp"), F.col("comp").alias("low"))
+    fresh = more.select(F.col("comp").alias("v")).join(found, "v", "left_anti").select("v", F.col("v").alias("comp"))
+    return staged(found.unionByName(fresh).join(more, "comp", "left").select("v", F.coalesce("low", "comp").alias("comp")), "labels")

@@ -7,7 +7,8 @@ and a document's signature is the elementwise minimum of such runs.
 The flow, where no step holds a group's rows together or emits its pairs:
 
 1. Equal shingle sets collapse to their smallest doc_id, by a fingerprint of 128 bits.
-2. Signatures are cut into bands; a bucket's members are linked to its smallest member once both full sets confirm it.
+2. Signatures are cut into bands; a bucket's members are linked to its smallest member once both full sets confirm it. A
+   document is first held against the smallest of its buckets' smallest members, then only against those it isn't linked to yet.
 3. Buckets that still hold several components go on. In a bucket of at most SMALL members, pairs across components
    are compared. Larger buckets that overlap form clusters, whose rows are dealt into blocks of about BLOCK documents
    or BLOCK_SHINGLES shingles, whichever is less; block pairs are compared by products of 0/1 matrices. Pairs within one component need no comparison, they are linked.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mixed, shingle_sets, short_batches, staged
-from .components import components
+from .components import components, extended
 
 #: Bands and coordinates in each: a pair of similarity 0.8 shares no band with a probability of 3e-6.
 BANDS, ROWS = 32, 5
@@ -106,8 +107,32 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sides aren't in one component of found (v, comp); the others are linked already."""
+    one, two = found.select(F.col("v").alias("a"), F.col("comp").alias("ca")), found.select(F.col("v").alias("b"), F.col("comp").alias("cb"))
+    return pairs.join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of pairs that hold together what all pairs do, one less than the members of each component at most."""
+    home: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while home.setdefault(x, x) != x:
+            home[x] = x = home[home[x]]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            home[max(x, y)] = min(x, y)
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
 def block_links(part: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
-    """Links across components between the two sides of a pair of blocks (side 0 with 1), or within side 0 if there is no other."""
+    """Links across components in a pair of blocks or in one block: of all that hold, as many as keep the same components."""
     sets = [s for _, _, found in shingle_sets(pa.array(part["text"], pa.string()), width) for s in found]
     sizes = np.array([len(s) for s in sets], np.int64)
     _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -126,6 +151,8 @@ def block_links(part: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     ids, comp = part["id"].to_numpy(), part["comp"].to_numpy()
     good = alike(inter, sizes[:, None], sizes[None, :], percent) & (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :])
     i, j = np.nonzero(good)
+    kept = forest(comp[i], comp[j])  # a component is linked in itself, so a link to any of its documents is one to all
+    i, j = i[kept], j[kept]
     return pd.DataFrame({"a": ids[i], "b": ids[j]})
 
 
@@ -149,8 +176,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = staged(members.filter(F.col("id") != F.col("hub")).filter(sized(F.col("n"), F.col("m"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     wanted = members.select("id").distinct()
     texts = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), "texts")
-    links = staged(confirmed(stars, texts, width, percent), "links")
+    nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = staged(confirmed(nearest, texts, width, percent), "links")
     first = components(links)
+    rest = across(stars.join(nearest, ["a", "b"], "left_anti"), first)
+    first = extended(first, staged(confirmed(rest, texts, width, percent), "links"))
     placed = staged(members.join(first.select(F.col("v").alias("id"), "comp"), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp")), "placed")
     open_keys = staged(placed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("id").alias("hub")).filter("low < high"), "open")
     few = placed.join(open_keys.filter(F.col("held") <= SMALL).select("key"), "key", "left_semi")
@@ -162,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         inside = staged(placed.join(large, "key").select("id", "n", "hub", "comp").distinct(), "inside")
         more = more.union(staged(in_blocks(inside, texts, width, percent), "links"))
-    last = components(links.union(more))
+    last = extended(first, more)
     homes = reps.join(last.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
     named = marked.select("id", "n", "f1", "f2").join(homes, ["f1", "f2"], "left")
     home = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))
@@ -175,7 +205,9 @@ def in_blocks(inside: DataFrame, texts: DataFrame, width: int, percent: int) ->
     A cluster's largest component is its main one; main blocks are not compared with each other. The other documents
     are a query set that is compared with all rows, block by block.
     """
-    cluster = components(inside, "id", "hub").select(F.col("v").alias("id"), F.col("comp").alias("cluster"))
+    own = inside.groupBy("id").agg(F.min("hub").alias("v"))
+    overlaps = inside.join(own, "id").filter("hub <> v").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()  # by hub, not by document
+    cluster = own.join(components(overlaps), "v", "left").select("id", F.coalesce("comp", "v").alias("cluster"))
     rows = staged(inside.select("id", "n", "comp").distinct().join(cluster, "id"), "clusters")
     sizes = rows.groupBy("cluster", "comp").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("k"))  # in blocks
     main = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k_all"))

@@ -126,3 +126,20 @@ def test_components(spark):
     assert found[5] == found[4] == found[3] == 3 and found[9] == 8 and found[7] == 7
     assert {found[k] for k in range(100, 141)} == {100}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_group_of_copies_makes_links_in_proportion(spark):
+    import pandas as pd
+
+    from quireflow.llm.components import extended
+
+    words = [f"w{k}" for k in range(60)]
+    part = pd.DataFrame({"id": range(40), "comp": range(40), "text": [" ".join([*words, f"end{i}"]) for i in range(40)]})
+    found = minhash.block_links(part, 5, 80)
+    assert len(found) == 39  # all 780 pairs are alike
+    links = spark.createDataFrame(found, "a long, b long")
+    assert {(r["v"], r["comp"]) for r in components(links).collect()} == {(i, 0) for i in range(40)}
+    held = components(spark.createDataFrame([(1, 5), (5, 9), (2, 7)], "a long, b long"))
+    rows = lambda more: sorted(map(tuple, extended(held, spark.createDataFrame(more, "a long, b long")).select("v", "comp").collect()))
+    assert rows([(9, 1)]) == [(1, 1), (2, 2), (5, 1), (7, 2), (9, 1)]
+    assert rows([(7, 9), (7, 5), (3, 0), (11, 3)]) == [(0, 0), (1, 1), (2, 1), (3, 0), (5, 1), (7, 1), (9, 1), (11, 0)]
