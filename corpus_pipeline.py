@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm import minhash, packing, quality, secrets, toxicity
-from quireflow.llm.common import staged, table
+from quireflow.llm.common import sieved, staged, table
 from quireflow.llm.queries import tokenizer_path
 
 #: Training sequences have at most so many ids.
@@ -46,8 +46,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     keyed = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
     found = minhash.near_duplicates(keyed, id_col=ROW, width=5, percent=80).join(keyed.select(ROW, "doc_id"), ROW)
+    found = staged(found.select(ROW, "doc_id", "component_id"), "found")
     kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}"))
-    return keyed.join(kept, ROW, "left_semi").select(docs.columns)
+    gone = staged(found.select(ROW).join(kept, ROW, "left_anti"), "gone")
+    marked = sieved(keyed, ROW, gone)  # most rows stay, and stay where they are; only those that may go meet the keys that do
+    return marked.filter("NOT __maybe").union(marked.filter("__maybe").join(gone, ROW, "left_anti").select(marked.columns)).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

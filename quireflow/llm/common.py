@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes in an Arrow batch. Texts are unbounded, so batches are kept short; kernels cut them further by bytes.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
@@ -47,6 +48,26 @@ def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a sieve for each key, in all at most, and in one row of it.
+SIEVE_EACH, SIEVE_MOST, SIEVE_ROW = 8, 1 << 26, 1 << 15
+
+
+def sieved(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows with a boolean __maybe: where it is false, key isn't in ids (staged, one column of that name); of other keys one in eight is true.
+
+    The hashed ids are bits of a table of 8 MB at most, which goes to all tasks, so rows stay where they are. With more ids
+    than it has bits for, more rows are true.
+    """
+    rows_of = min(SIEVE_MOST // SIEVE_ROW, -(-ids.count() * SIEVE_EACH // SIEVE_ROW) or 1)
+    slot = F.pmod(F.xxhash64(key), F.lit(rows_of * SIEVE_ROW))
+    at = ids.select(F.floor(slot / SIEVE_ROW).alias("__at"), (slot % SIEVE_ROW).alias("__bit"))
+    bits = staged(at.groupBy("__at").agg(F.bitmap_construct_agg("__bit").alias("__bits")), "sieve")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False))
+    placed = rows.withColumns({"__at": F.floor(slot / SIEVE_ROW), "__bit": slot % SIEVE_ROW})
+    return placed.join(F.broadcast(bits), "__at", "left").withColumn("__maybe", hit).drop("__at", "__bit", "__bits")
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches short, since one row may be a very long text.
 

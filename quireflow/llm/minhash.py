@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, shingle_sets, short_batches, staged
+from .common import mixed, shingle_sets, short_batches, sieved, staged
 from .components import components, extended
 
 #: Bands and coordinates in each: a pair of similarity 0.8 shares no band with a probability of 3e-6.
@@ -92,7 +92,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are alike. Each pair brings its own two texts; nothing is grouped."""
+    """The pairs (a, b) whose full shingle sets are alike. Each pair brings its own two texts; nothing is grouped, and other texts aren't moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,8 +102,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 keep = [alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent) for x, y in zip(left, right, strict=True)]
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    pairs = staged(pairs, "pairs")
+    one, two = (sieved(texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")), c, pairs.select(c)).filter("__maybe").drop("__maybe") for c in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -169,13 +169,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short_batches(docs.sparkSession)
     marked = staged(signed(docs, id_col, text_col, width, bands, rows), "signed")
     reps = staged(marked.filter("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep")), "reps")
-    bands_of = marked.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", F.explode("keys").alias("key"))
+    bands_of = marked.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", F.explode("keys").alias("key")).repartition("key")  # moved once, for both that follow
     hubs = bands_of.groupBy("key").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("m"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("key", "hub", "m")
     members = staged(bands_of.join(hubs, "key"), "members")  # of buckets with a second member; all that follows is about these
     sized = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     stars = staged(members.filter(F.col("id") != F.col("hub")).filter(sized(F.col("n"), F.col("m"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    wanted = members.select("id").distinct()
-    texts = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), "texts")
+    wanted = staged(members.select("id").distinct(), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = staged(sieved(texts, "id", wanted).filter("__maybe").drop("__maybe"), "texts")  # and some more, that no pair asks for
     nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = staged(confirmed(nearest, texts, width, percent), "links")
     first = components(links)

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quireflow.llm import common, minhash
 from quireflow.llm.components import components
@@ -143,3 +144,27 @@ def test_a_group_of_copies_makes_links_in_proportion(spark):
     rows = lambda more: sorted(map(tuple, extended(held, spark.createDataFrame(more, "a long, b long")).select("v", "comp").collect()))
     assert rows([(9, 1)]) == [(1, 1), (2, 2), (5, 1), (7, 2), (9, 1)]
     assert rows([(7, 9), (7, 5), (3, 0), (11, 3)]) == [(0, 0), (1, 1), (2, 1), (3, 0), (5, 1), (7, 1), (9, 1), (11, 0)]
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Only texts that may be in a pair are written again, and no join on ids moves those that are not, also where none is small."""
+    import corpus_pipeline
+
+    plans = {}
+
+    def seen(df, name, codec=None):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return common.staged(df, name, codec)
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{k // 2 if k < 20 else k}x{i}" for i in range(80)) + f" end{k}") for k in range(400)], "doc_id long, text string")
+    ids = common.staged(spark.range(0, 4000, 10).select(F.col("id").alias("doc_id")), "ids")
+    rows = common.sieved(spark.range(4000).select(F.col("id").alias("doc_id")), "doc_id", ids).collect()
+    assert all(r["__maybe"] for r in rows if r["doc_id"] % 10 == 0) and sum(r["__maybe"] for r in rows if r["doc_id"] % 10) < 900
+    monkeypatch.setattr(minhash, "staged", seen)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(corpus_pipeline.without_near_duplicates(spark, docs, "").collect()) == 390
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "hashpartitioning" not in plans["texts"]
