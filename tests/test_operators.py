@@ -347,3 +347,12 @@ def test_workers_get_short_batches_of_texts(spark):
         spark.conf.set(name, "10000")
         make()
         assert int(spark.conf.get(name)) <= 512
+
+
+def test_agents_that_read_every_chapter_need_no_window(spark):
+    from quireflow.operators import analysis as A
+
+    chapters = spark.createDataFrame([("a", k, f"Chapter {k}", f"text {k}") for k in range(1, 13)], "book_id string, number int, title string, content string")
+    whole = A.chapter_windows(chapters, ("chapter_summary",))
+    assert whole.count() == 12 and "Window" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert {(r["agent"], r["count"]) for r in A.chapter_windows(chapters).groupBy("agent").count().collect()} == {("chapter_summary", 12), ("key_quotes", 10), ("technical_concepts", 8)}
